@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boardloom.llm import encode, lines, pack, split
+from boardloom.llm import encode, lines, pack, quality, split
 from boardloom.tables import table
 
 CAPACITY = 2048
@@ -51,7 +51,27 @@ def p9_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p9_containers(spark, sf_dir).filter("container is not null").groupBy("container").agg(F.count("*").alias("items"), F.sum("tokens").alias("tokens"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_clean": p1_clean, "p6_found": p6_found, "p6_pieces": p6_pieces, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_fill": p9_fill}
+def _common(spark: SparkSession, sf_dir: str) -> dict[str, set[str]]:
+    """Function words by language: a fixed table of 194 rows, read whole; a larger one is refused."""
+    rows = table(spark, sf_dir, "common_words", "lang", "word").limit(100_001).collect()
+    if len(rows) > 100_000:
+        raise ValueError("common_words is no table of function words")
+    out: dict[str, set[str]] = {}
+    for r in rows:
+        if r["word"]:
+            out.setdefault(r["lang"], set()).add(r["word"].lower())
+    return out
+
+
+def p10_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text", _common(spark, sf_dir))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p10_stats(spark, sf_dir).filter("kind <> 'prose'").select("doc_id", "kind")
+
+
+QUERIES = {"p1_found": p1_found, "p1_clean": p1_clean, "p6_found": p6_found, "p6_pieces": p6_pieces, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_fill": p9_fill, "p10_found": p10_found, "p10_stats": p10_stats}
 
 _KEY = r"regexp_replace(lower(line), '[\s0-9\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]', '', 'g')"
 _OUTER = r"[\s\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
