@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boardloom.llm import encode, lines, pack, quality, split
+from boardloom.llm import encode, lines, markup, pack, quality, split
 from boardloom.tables import table
 
 CAPACITY = 2048
@@ -36,6 +36,16 @@ def p6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.split(chunks, "chunk_id", "text", keep=("source_file", "heading_path"))
 
 
+def p7_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Description and raw_row with markup, as clean text, and the structure found in them."""
+    rows = table(spark, sf_dir, "component_pin_functions", "pinfn_id", "description", "raw_row")
+    return markup.residue(rows, "pinfn_id", {"description": False, "raw_row": True})
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p7_clean(spark, sf_dir).select("pinfn_id", "field")
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode.encode(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text")
 
@@ -71,7 +81,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p10_stats(spark, sf_dir).filter("kind <> 'prose'").select("doc_id", "kind")
 
 
-QUERIES = {"p1_found": p1_found, "p1_clean": p1_clean, "p6_found": p6_found, "p6_pieces": p6_pieces, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_fill": p9_fill, "p10_found": p10_found, "p10_stats": p10_stats}
+QUERIES = {"p1_found": p1_found, "p1_clean": p1_clean, "p6_found": p6_found, "p6_pieces": p6_pieces, "p7_found": p7_found, "p7_clean": p7_clean, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_fill": p9_fill, "p10_found": p10_found, "p10_stats": p10_stats}
 
 _KEY = r"regexp_replace(lower(line), '[\s0-9\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]', '', 'g')"
 _OUTER = r"[\s\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
