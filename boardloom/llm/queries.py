@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boardloom.llm import encode, lines, markup, pack, quality, split
-from boardloom.tables import table
+from boardloom.llm import canon, encode, lines, markup, pack, quality, split
+from boardloom.tables import stripped, table
 
 CAPACITY = 2048
 
@@ -25,6 +25,20 @@ def p1_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.without_lines(chunks, "chunk_id", "text", _repeated(spark, sf_dir).found())
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bom = table(spark, sf_dir, "bom_lines", "line_id", "manufacturer", "part_number")
+    got = canon.resolve(bom, "line_id", "manufacturer", "part_number", table(spark, sf_dir, "manufacturer_ref"), table(spark, sf_dir, "part_ref"))
+    return got
+
+
+def p3_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values that name no entry, as written without outer blanks, with the number of lines."""
+    bom = table(spark, sf_dir, "bom_lines", "line_id", "manufacturer", "part_number").dropDuplicates(["line_id"])
+    lost = p3_found(spark, sf_dir).filter("ref_id = -1").join(bom, "line_id")
+    value = stripped(F.when(F.col("field") == "manufacturer", F.col("manufacturer")).otherwise(F.col("part_number")))
+    return lost.groupBy("field", value.alias("value")).agg(F.count("*").alias("lines"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = split.split(table(spark, sf_dir, "pdf_chunks", "chunk_id", "text"), "chunk_id", "text", long_only=True, with_text=False)
     return pieces.filter("piece = 1").select("chunk_id")
@@ -81,7 +95,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p10_stats(spark, sf_dir).filter("kind <> 'prose'").select("doc_id", "kind")
 
 
-QUERIES = {"p1_found": p1_found, "p1_clean": p1_clean, "p6_found": p6_found, "p6_pieces": p6_pieces, "p7_found": p7_found, "p7_clean": p7_clean, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_fill": p9_fill, "p10_found": p10_found, "p10_stats": p10_stats}
+QUERIES = {"p1_found": p1_found, "p1_clean": p1_clean, "p3_found": p3_found, "p3_misses": p3_misses, "p6_found": p6_found, "p6_pieces": p6_pieces, "p7_found": p7_found, "p7_clean": p7_clean, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_fill": p9_fill, "p10_found": p10_found, "p10_stats": p10_stats}
 
 _KEY = r"regexp_replace(lower(line), '[\s0-9\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]', '', 'g')"
 _OUTER = r"[\s\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
