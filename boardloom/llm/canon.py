@@ -8,7 +8,7 @@ differs from an entry just there names another part, not that one.
 
 The dictionary is broadcast; a reference list beyond MOST_ENTRIES is refused. Values are looked up where they lie, each
 distinct one once a task. Defined results: null and blank values and exact spellings are no cases; fillers (`n/a`, `any`,
-...) and values near no entry, or equally near to several, map to -1; repeated rows of one id count once.
+...) and values near no entry, or equally near to several, map to -1; repeated rows of one id count once, rows without an id are left out.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boardloom.tables import blank
+from boardloom.tables import blank, spread
 
 MOST_ENTRIES = 500_000
 EDITS = 1
@@ -286,7 +286,7 @@ def resolve(df: DataFrame, row_id: str, manufacturer: str, part_number: str, mak
     often_makers, often_parts = frequencies(df, manufacturer, makers, "name"), frequencies(df, part_number, parts, "part_number")
     shared = df.sparkSession.sparkContext.broadcast((maker_rows, part_rows, often_makers, often_parts))
     pick = [F.col(row_id).alias("_id"), F.explode(F.array(F.struct(F.lit("manufacturer").alias("field"), F.col(manufacturer).alias("value")), F.struct(F.lit("part_number").alias("field"), F.col(part_number).alias("value")))).alias("_v")]
-    rows = df.select(*pick).select("_id", "_v.*").filter(~blank(F.col("value")))
+    rows = df.select(*pick).select("_id", "_v.*").filter(F.col("_id").isNotNull() & ~blank(F.col("value")))
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         makers_, parts_, f1, f2 = shared.value
@@ -308,4 +308,4 @@ def resolve(df: DataFrame, row_id: str, manufacturer: str, part_number: str, mak
             yield pd.DataFrame(out, columns=["_id", "field", "ref_id"])
 
     kind = df.schema[row_id].dataType.simpleString()
-    return rows.mapInPandas(work, f"_id {kind}, field string, ref_id long").dropDuplicates(["_id", "field"]).withColumnRenamed("_id", row_id)
+    return spread(rows, "_id", "field").mapInPandas(work, f"_id {kind}, field string, ref_id long").dropDuplicates(["_id", "field"]).withColumnRenamed("_id", row_id)

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from boardloom.tables import spread
+
 #: A chunk ends where the low bits of the hash are all set: about one byte in 2 ** BITS.
 BITS, WINDOW = 8, 16
 #: A cut is moved by at most so many bytes.
@@ -159,7 +161,8 @@ def encode(df: DataFrame, row_id: str, text: str, path: str | None = None) -> Da
     """(row_id, ids: array<int>) of each row, without special tokens."""
     path = path or default_path()
     kind = df.schema[row_id].dataType.simpleString()
-    got = df.select(F.col(row_id).alias("_id"), F.col(text).alias("_text")).mapInArrow(lambda it: encode_batches(it, path), f"_id {kind}, ids array<int>")
+    got = df.select(F.col(row_id).alias("_id"), F.col(text).alias("_text"))
+    got = spread(got, "_id").mapInArrow(lambda it: encode_batches(it, path), f"_id {kind}, ids array<int>")
     return got.withColumnRenamed("_id", row_id)
 
 
@@ -174,5 +177,6 @@ def lengths(df: DataFrame, row_id: str, text: str, path: str | None = None) -> D
             n = [len(reuse.encode(t)) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int32())], names=["_id", "tokens"])
 
-    got = df.select(F.col(row_id).alias("_id"), F.col(text).alias("_text")).mapInArrow(count, f"_id {kind}, tokens int")
+    got = df.select(F.col(row_id).alias("_id"), F.col(text).alias("_text"))
+    got = spread(got, "_id").mapInArrow(count, f"_id {kind}, tokens int")
     return got.withColumnRenamed("_id", row_id)

@@ -7,7 +7,7 @@ structural distribution; the nearest structural profile, again by Jensen-Shannon
 
 Defined results: null and blank texts have word count 0, null shares and kind null; a sentence or heading that opens a list
 or table, and a short list within prose, weigh little and do not change the kind; one row out per row in (repeated rows of
-an id once); texts are read whole.
+an id once, rows without an id left out); texts are read whole.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from boardloom.tables import spread
+
 KINDS = ("prose", "list", "table", "junk")
 #: Shares of sentences, items, rows and noise.
 STRUCTURE = {"prose": (0.91, 0.03, 0.03, 0.03), "list": (0.03, 0.91, 0.03, 0.03), "table": (0.03, 0.03, 0.91, 0.03), "junk": (0.03, 0.03, 0.03, 0.91)}
@@ -33,10 +35,10 @@ LETTERS = {
     "de": dict(zip("abcdefghijklmnopqrstuvwxyzäöüß", (65, 19, 27, 51, 164, 17, 30, 46, 66, 3, 14, 34, 25, 98, 26, 7, 1, 70, 73, 62, 42, 8, 19, 1, 1, 11, 6, 4, 10, 3))),
     "fr": dict(zip("abcdefghijklmnopqrstuvwxyzéàèêçù", (76, 9, 33, 37, 147, 11, 9, 7, 75, 6, 1, 55, 30, 71, 58, 25, 14, 67, 79, 72, 63, 18, 1, 4, 1, 3, 19, 5, 3, 2, 1, 1))),
 }
-_WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*|\d+(?:[.,]\d+)*|[\w+./-]*\d[\w+./-]*")
+_WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*|\d+(?:[.,]\d+)*|(?<![\w+./-])[\w+./-]*\d[\w+./-]*")
 _HAN = re.compile(r"[㐀-鿿]")
 _MARK = re.compile(r"\s*(?:[-*•·–—+▪◦‣○●>]|\(?\d{1,4}[.)]|\(?[a-zA-Z][.)]|\[[ xX✓]?\]|[☐☑✓✗])\s+\S")
-_NET = re.compile(r"\s*[\w+.\-]+\s*[:=]\s*(?:[A-Za-z]+\d+(?:-\w+)?[\s,;]*)+$")
+_NET = re.compile(r"\s*[\w+.\-]+\s*[:=]\s*(?:[A-Za-z]+\d+(?:-\w+)?(?:[\s,;]+|$))+$")
 _END = re.compile(r"[.!?…:。！？：]['\"”’»)\]]*\s*$")
 _INNER = re.compile(r"[a-zà-ÿ)\d][.!?] +[A-ZÀ-Þ]|[。！？]")
 _HEX = re.compile(r"\s*(?:0x)?[0-9a-fA-F]{4,16}[:\s]+(?:[0-9a-fA-F]{2,8}\s+){3,}")
@@ -263,5 +265,5 @@ def quality(df: DataFrame, row_id: str, text: str, common: dict[str, set[str]])
             out.insert(0, "_id", b["_id"].to_numpy())
             yield out
 
-    got = df.select(F.col(row_id).alias("_id"), F.col(text).alias("_text")).mapInPandas(work, f"_id {kind}, words int, mean_word_length double, symbol_ratio double, lines_ended double, common_words double, language string, prose_jsd double, kind string")
+    got = spread(df.select(F.col(row_id).alias("_id"), F.col(text).alias("_text")).filter("_id is not null"), "_id").mapInPandas(work, f"_id {kind}, words int, mean_word_length double, symbol_ratio double, lines_ended double, common_words double, language string, prose_jsd double, kind string")
     return got.dropDuplicates(["_id"]).withColumnRenamed("_id", row_id)

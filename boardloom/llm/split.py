@@ -6,7 +6,7 @@ again while they exceed the limit less the overlap. Then every piece but the fir
 
 Lengths are counted in Unicode code points, of the text without white space at both ends. Defined results: null and blank
 texts have no pieces; a text within the limit is one piece; a text without any boundary is cut in the middle, never within
-a CR LF pair or before a combining mark; repeated rows of one id count once; all other columns may be carried along.
+a CR LF pair or before a combining mark; repeated rows of one id count once, rows without an id are left out; all other columns may be carried along.
 """
 
 from __future__ import annotations
@@ -49,7 +49,7 @@ def boundaries(text: str) -> tuple[list[list[int]], list[int]]:
         by[(HEADING if is_heading(nxt) else PARAGRAPH if ends > 1 else LINE) - 1].append(at)
     for m in _SENTENCE.finditer(text):
         by[SENTENCE - 1].append(m.end())
-    by[SPACE - 1] = [m.end() for m in re.finditer(r"[^\S\n\r]+(?=\S)", text)]
+    by[SPACE - 1] = [m.end() for m in re.finditer(r"(?<![^\S\n\r])[^\S\n\r]++(?=\S)", text)]
     return by, []
 
 
@@ -97,6 +97,7 @@ def split(df: DataFrame, row_id: str, text: str, keep: tuple[str, ...] = (), lim
     text without outer white space. long_only: of texts beyond the limit alone, which are told apart before Python sees them."""
     rows = df.select(row_id, *keep, F.col(text).alias(clear_name([row_id, *keep], "_text")))
     body = rows.columns[-1]
+    rows = rows.filter(F.col(row_id).isNotNull())
     rows = rows.filter(F.length(body) > limit) if long_only else rows.filter(F.length(body) > 0)
     fields = [f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in (row_id, *keep)]
     names = [clear_name([row_id, *keep], x) for x in ("piece", "pieces", "start", "end", "piece_text")][: 5 if with_text else 4]
