@@ -111,8 +111,9 @@ def symbols(text: Column) -> Column:
 
 
 def sheet_hint(text: Column) -> Column:
-    first = lambda p: F.nullif(F.regexp_extract(text, p, 0), F.lit(""))
-    return F.coalesce(first(r"[A-Za-z0-9_-]+\.SchDoc"), first(r"-- \d+ of \d+ --"), F.lit("unknown_sheet"))
+    """The first sheet name, else the first page count. A fixed part is looked for first: names are costly to try at every place."""
+    first = lambda part, p: F.when(text.contains(part), F.nullif(F.regexp_extract(text, p, 0), F.lit("")))
+    return F.coalesce(first(".SchDoc", r"[A-Za-z0-9_-]+\.SchDoc"), first(" of ", r"-- \d+ of \d+ --"), F.lit("unknown_sheet"))
 
 
 def stripped_line(c: Column) -> Column:

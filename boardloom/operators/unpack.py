@@ -5,7 +5,7 @@ delimiters are scored per source on two things: how often the pieces they leave
 regularity) and how often the number of pieces is the quantity typed beside the cell (piece-count consistency). A cell is
 then cut by its best delimiter; a piece that is no designator, number or span yet is cut by the next one.
 
-Defined results: null, empty and blank cells and cells without a designator give no rows; extra columns never enter; the
+Defined results: rows without an id, null, empty and blank cells and cells without a designator give no rows; extra columns never enter; the
 same designator typed twice gives two rows; repeated rows of one id give one set of rows; a span whose ends differ in
 their letters, or that would run over more than SPAN_LIMIT names, is no span and gives its two ends.
 """
@@ -70,7 +70,8 @@ def unpack_cell(cell: str | None, scores: list[float] | None = None) -> list[str
     if cell is None:
         return []
     text = _QUOTES.sub(" ", cell.translate(_TO_SPACE)).upper()
-    text = re.sub(r"[ \n\t]*(?<![A-Z])(-|\.{2,}|~|:|TO|THRU|THROUGH|BIS)(?![A-Z]{3})[ \n\t]+(?=[A-Z]*-?\d)", r" \1 ", text)
+    text = re.sub(r" {2,}", " ", text)
+    text = re.sub(r"[ \n\t]?(?<![A-Z])(-|\.{2,}|~|:|TO|THRU|THROUGH|BIS)(?![A-Z]{3})[ \n\t]+(?=[A-Z]*-?\d)", r" \1 ", text)
     text = re.sub(r"(?<=\d)\s*(-|\.{2,}|~|:)\s*(?=[A-Z]*-?\d)", r"\1", text)
     text = re.sub(r"(?<![A-Z])(?:AND|UND|ET)(?![A-Z])", " , ", text)
     scores = scores or [0.5] * len(DELIMITERS)
@@ -102,7 +103,7 @@ def unpack_cell(cell: str | None, scores: list[float] | None = None) -> list[str
 def unpack(df: DataFrame, row_id: str, source: str, cell: str, quantity: str | None = None, least: int = 2) -> DataFrame:
     """(row_id, pos, refdes) of every cell that holds at least `least` designators; pos counts from 1 in reading order."""
     pick = [F.col(row_id).alias("_id"), F.col(source).alias("_source"), F.col(cell).alias("_cell")]
-    rows = df.select(*pick, (F.col(quantity) if quantity else F.lit(None).cast("string")).alias("_qty")).filter(~blank(F.col("_cell")))
+    rows = df.select(*pick, (F.col(quantity) if quantity else F.lit(None).cast("string")).alias("_qty")).filter(F.col("_id").isNotNull() & ~blank(F.col("_cell")))
     scores = source_scores(rows, "_source", "_cell", "_qty")
     # re-delivered rows repeat id and cell; the state of the aggregate is one row per id
     once = rows.groupBy("_id").agg(F.min_by(F.struct("_source", "_cell"), F.struct("_cell", "_source")).alias("_r")).select("_id", "_r.*")

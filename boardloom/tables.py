@@ -32,6 +32,13 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *key: str) -> DataFrame:
+    """`df`, its rows dealt out by key where the input has fewer splits than there are cores (one small file): what follows
+    is bound by Python's time. An input of many splits stays where it lies."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *key) if df.rdd.getNumPartitions() < cores else df
+
+
 #: One character that is no white space in the Unicode sense (Java regular expression).
 NOT_BLANK = r"[^\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200B}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 
