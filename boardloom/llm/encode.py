@@ -4,7 +4,7 @@ A gear hash rolled over the UTF-8 bytes cuts each text into chunks whose ends de
 that share passages share chunks; within a task each distinct chunk is encoded once. A cut is moved to the next place
 where the tokenizer parts in any context (a safe place: before white space that follows other text, or between letters,
 digits and signs). Where none is near, the cut stays and the join is repaired afterwards: the stretch between the safe
-places around it is encoded anew, wider each time, until both of its ends agree with the tokens beside it.
+places around it is encoded anew, once for all joins in it, and wider until both of its ends are ends of tokens beside it.
 
 No shuffle: texts are read, encoded and written where they lie. The memory of chunks is bounded by MEMO_BYTES a task and
 only saves work: what falls out of it is encoded again.
@@ -127,27 +127,33 @@ class Reuse:
             return list(self._chunk(raw))
         bounds = [0, *ends.tolist(), len(raw)]
         ids: list[int] = []
-        places = None
         for a, b in zip(bounds, bounds[1:]):
             ids += self._chunk(raw[a:b])
-        for p in ends[~safe[ends]].tolist():
-            places = np.flatnonzero(safe) if places is None else places
-            ids = self._repair(ids, raw, p, places)
-        return ids
-
-    def _repair(self, ids: list[int], raw: bytes, p: int, places: np.ndarray) -> list[int]:
-        """Encodes the stretch between the safe places around p anew; wider until its ends are ends of tokens beside it."""
-        self.repairs += 1
+        unsafe = ends[~safe[ends]]
+        return self._repair(ids, raw, unsafe, np.flatnonzero(safe)) if len(unsafe) else ids
+
+    def _repair(self, ids: list[int], raw: bytes, joins: np.ndarray, places: np.ndarray) -> list[int]:
+        """Encodes each stretch between safe places that holds a join anew, once; further if its ends are no ends of tokens beside it."""
         offsets = np.concatenate([[0], np.cumsum(self.lengths[ids])])
-        k = int(np.searchsorted(places, p))
-        wide = 0
-        while True:
-            a = int(places[k - 1 - wide]) if k - 1 - wide >= 0 else 0
-            b = int(places[k + wide]) if k + wide < len(places) else len(raw)
-            i, j = int(np.searchsorted(offsets, a)), int(np.searchsorted(offsets, b))
-            if offsets[i] == a and offsets[j] == b:
-                return [*ids[:i], *self.encoding.encode_ordinary(raw[a:b].decode("utf-8")), *ids[j:]]
-            wide += 1
+        out: list[int] = []
+        done = 0  # bytes that `out` stands for
+        for k in np.unique(np.searchsorted(places, joins)).tolist():
+            low, high = k - 1, k
+            while True:
+                a, b = int(places[low]) if low >= 0 else 0, int(places[high]) if high < len(places) else len(raw)
+                i, j = int(np.searchsorted(offsets, a)), int(np.searchsorted(offsets, b))
+                if offsets[i] == a and offsets[j] == b:
+                    break
+                low, high = low - 1, high + 1
+            if b <= done:
+                continue
+            start = int(np.searchsorted(offsets, done))
+            a = max(a, done)
+            self.repairs += 1
+            out += ids[start : int(np.searchsorted(offsets, a))]
+            out += self.encoding.encode_ordinary(raw[a:b].decode("utf-8"))
+            done = b
+        return out + ids[int(np.searchsorted(offsets, done)) :]
 
 
 def encode_batches(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:

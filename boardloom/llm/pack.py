@@ -1,7 +1,7 @@
 """Filling containers of fixed capacity: minimum bin slack over the histogram of lengths.
 
 Per container the fullest feasible combination of available lengths is found by subset-sum dynamic programming over bit
-sets, the longest remaining length always taken; the combination is repeated while its lengths last, then removed. The
+sets, the first remaining length in order always taken; the combination is repeated while its lengths last, then removed. The
 plan depends on lengths and their counts alone: the histogram has at most `capacity` rows, and a combination is repeated
 until one of its lengths no longer reaches as often, so there are at most capacity * (1 + ln capacity) combinations,
 whatever the number of items. Items are then ranked within their length, in salted parts, and looked up in the plan.
@@ -26,12 +26,12 @@ from boardloom.tables import written
 PART_ROWS = 100_000
 
 
-def fullest(counts: dict[int, int], room: int) -> dict[int, int]:
-    """How often to take each length so that the sum comes as near to `room` from below as can be; longer ones first."""
+def fullest(counts: dict[int, int], room: int, order=lambda x: -x) -> dict[int, int]:
+    """How often to take each length so that the sum comes as near to `room` from below as can be; those first in `order`, longer ones unless told otherwise."""
     full = (1 << (room + 1)) - 1
     goal, reach = 1 << room, 1
     steps: list[tuple[int, int, int]] = []  # (length, how many, reach before)
-    for length in sorted((x for x, n in counts.items() if n and x <= room), reverse=True):
+    for length in sorted((x for x, n in counts.items() if n and x <= room), key=order):
         left, k = min(counts[length], room // length), 1
         while left:
             take = min(k, left)
@@ -50,16 +50,34 @@ def fullest(counts: dict[int, int], room: int) -> dict[int, int]:
     return out
 
 
+def _longest(left: dict[int, int]):
+    return lambda x: -x
+
+
+def _heaviest(left: dict[int, int]):
+    """Lengths that hold the most tokens yet come first, so that all lengths run out together."""
+    return lambda x: (-left[x] * x, -x)
+
+
+_ORDERS = (_longest, _heaviest)
+
+
 def plan(histogram: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
-    """(combination, number of containers filled with it), until no item is left."""
+    """(combination, number of containers filled with it), until no item is left: of a plan for each order of lengths,
+    that of the fewest containers. Where one length holds much of all tokens, longest first would leave it over."""
+    return min((_plan(histogram, capacity, order) for order in _ORDERS), key=lambda steps: sum(times for _, times in steps))
+
+
+def _plan(histogram: dict[int, int], capacity: int, order) -> list[tuple[dict[int, int], int]]:
     left = {x: n for x, n in histogram.items() if n}
     out = []
     while left:
-        longest = max(left)
-        left[longest] -= 1
-        combination = fullest(left, capacity - longest)
-        left[longest] += 1
-        combination[longest] = combination.get(longest, 0) + 1
+        key = order(left)
+        first = min(left, key=key)
+        left[first] -= 1
+        combination = fullest(left, capacity - first, key)
+        left[first] += 1
+        combination[first] = combination.get(first, 0) + 1
         times = min(left[x] // n for x, n in combination.items())
         for x, n in combination.items():
             left[x] -= n * times

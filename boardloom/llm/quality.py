@@ -186,7 +186,7 @@ def units(text: str, profiles: Profiles) -> tuple[dict[str, float], dict[str, fl
                 kinds.append("item")
                 break
         else:
-            if len(s) <= 60 and not (_END.search(s) and n > 4) and not _INNER.search(s) and lang != "zh":
+            if len(s) <= 60 and not (_END.search(s) and (n > 4 or profiles.is_prose(shares, lang))) and not _INNER.search(s) and lang != "zh":
                 kinds.append("short")
             elif profiles.is_prose(shares, lang):
                 kinds.append("sentence")
