@@ -92,7 +92,7 @@ class Profiles:
         if not words:
             return ((0.0, 0.0, 0.0, 1.0), 0, "")
         f = o = d = c = 0
-        loud = text.upper() == text
+        loud = not re.search(r"[a-z]{2}", text)
         langs: Counter = Counter()
         for w in words:
             low = w.lower()
@@ -170,7 +170,7 @@ def units(text: str, profiles: Profiles) -> tuple[dict[str, float], dict[str, fl
         if row and not (symbols > 0.6 * len(body) and not re.fullmatch(r"[|+:\s=─┼-]+", s)):
             kinds.append("row")
             continue
-        if body and not letters and symbols > 0.5 * len(body) and len(body) > 5 or (len(body) >= 3 and symbols > 0.55 * len(body)):
+        if body and not letters and symbols > 0.5 * len(body) and len(body) > 5 or (len(body) >= 3 and symbols > 0.55 * len(body) and not (len(body) < 8 and re.search(r"[^\W\d_]{2}", s))):
             kinds.append("noise")
             continue
         if _MARK.match(x) or _NET.match(x):
