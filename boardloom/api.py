@@ -9,6 +9,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from boardloom import sinks
 from boardloom.catalog import Catalog
 from boardloom.functions import text as T
 from boardloom.operators import connect, evidence, neighborhood, search
@@ -177,6 +178,18 @@ def rank_schematic_images_for_obligations(cat: Catalog, required_nets=(), terms=
     return got.orderBy(F.desc("score"), *page).limit(max_results)
 
 
+@tool
+def get_schematic_page_image(cat: Catalog, page_number: int) -> DataFrame:
+    """The drawn page as base64, where page images were written."""
+    got = cat.table("page_images").filter(F.col("page_number") == page_number).orderBy("source_file").limit(1)
+    return _rows(got.select("source_file", "page_number", "width", "height", F.base64("image").alias("image_base64")), f"unknown page: {page_number}")
+
+
+@tool
+def get_circuit_summary(cat: Catalog) -> DataFrame:
+    return sinks.circuit_summary(cat.table("function_blocks"), cat.table("power_domains"), cat.table("interface_buses")).orderBy("board_id", "section", "line")
+
+
 @tool
 def get_component_context_bundle(cat: Catalog, refdes: str) -> dict:
     """Part, pins, datasheet chunks, pages and nets of a component, each a table."""
@@ -202,6 +215,12 @@ class Run:
     nets: set[str] = field(default_factory=set)
     components: set[str] = field(default_factory=set)
 
+    def coverage(self, need: dict) -> dict:
+        """What of the obligations the evidence so far leaves open; a planner may finish once it is satisfied."""
+        seen = sorted({json.loads(r["data"]).get("net_name_canonical") or "" for r in self.evidence if r["type"] == "net"} - {""})
+        state = self.cat.spark.createDataFrame([(need["intent"], need["components"], need["nets"], need["relations"], sorted(self.components), sorted(self.nets), seen, sorted({r["type"] for r in self.evidence}))], "intent string, components array<string>, nets array<string>, relations array<string>, found_components array<string>, found_nets array<string>, net_evidence array<string>, evidence_types array<string>")
+        return evidence.coverage(state).first().asDict()
+
     def execute(self, name: str, **arguments) -> list[dict] | dict:
         """Runs a tool; what it raises comes back as an error. Results are bounded by the tool's cap before they are collected."""
         call = f"call_{len(self.calls) + 1:04d}"
@@ -243,15 +262,30 @@ def ask(cat: Catalog, question: str, limit: int = 64, planner: Callable[[Run, di
     rows = run.evidence or [{"type": "inference", "claim_supported": "", "data": "{}", "tool_call_id": "", "ord": 0}]
     df = spark.createDataFrame(rows, "type string, claim_supported string, data string, tool_call_id string, ord int")
     df = evidence.normalize(df.withColumn("source_priority", T.source_priority(F.col("type"))).withColumn("confidence", T.source_confidence(F.col("type"))), ["ord"])
-    seen = sorted({json.loads(r["data"]).get("net_name_canonical") or "" for r in run.evidence if r["type"] == "net"} - {""})
-    state = spark.createDataFrame([(need["intent"], need["components"], need["nets"], need["relations"], sorted(run.components), sorted(run.nets), seen, sorted({r["type"] for r in run.evidence}))], "intent string, components array<string>, nets array<string>, relations array<string>, found_components array<string>, found_nets array<string>, net_evidence array<string>, evidence_types array<string>")
-    report = evidence.coverage(state).first().asDict()
+    report = run.coverage(need)
     missing = {k: report[f"missing_{k}"] for k in ("components", "nets", "relations")}
     packet = evidence.packet(question, df, limit, intent=need["intent"], obligations=need, coverage_report={"coverage_score": report["coverage_score"], "coverage_satisfied": report["coverage_satisfied"]}, missing_obligations=missing, tool_decision_trace=run.calls, image_selection_trace=pages)
     packet["stop_reason"] = "coverage_satisfied_finalize" if report["coverage_satisfied"] else "coverage_incomplete"
     return packet
 
 
+def route(cat: Catalog, question: str, forced: str | None = None) -> dict:
+    """Which way a question goes: as forced (`general` or `precision`), else by its terms."""
+    if forced in ("general", "precision"):
+        return {"route": "relevant_general" if forced == "general" else "precision", "confidence": "forced"}
+    return cat.spark.range(1).select(T.classify_route(F.lit(question)).alias("r")).select("r.*").first().asDict()
+
+
+def answer_generally(cat: Catalog, question: str, forced: str | None = None, model=None) -> dict:
+    """The way without evidence: model(question, context) where there is one, else a plain text that says what is missing."""
+    way = route(cat, question, forced)
+    context = [r["line"] for r in get_circuit_summary(cat).limit(60).collect()]
+    if model:
+        return way | {"answer": model(question, context)}
+    told = "This question is not about the board." if way["route"] == "irrelevant_general" else "No model is set up to answer in general; ask for the evidence packet, or see the circuit summary."
+    return way | {"answer": told, "context": context}
+
+
 def validate(cat: Catalog, questions: list[dict]) -> dict:
     """Each question (id, question, expected_focus) is asked; passed where any expected token stands in the packet."""
     rows = []

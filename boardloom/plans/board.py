@@ -331,11 +331,12 @@ def neighborhood_of_u1(s, d):
 
 @query("select (select count(distinct net_id) from nets) as nets, (select count(distinct comp_id) from component_pin_index) as components, (select count(distinct map_id) from refdes_to_part) as parts, (select count(distinct line_id) from bom_lines) as bom_lines, (select count(distinct chunk_id) from pdf_chunks) as chunks, (select count(*) from documents) as documents, (select count(distinct pinfn_id) from component_pin_functions) as pin_functions")
 def project_summary(s, d):
-    out = None
+    long = None
     for name, t, key in (("nets", "nets", "net_id"), ("components", "component_pin_index", "comp_id"), ("parts", "refdes_to_part", "map_id"), ("bom_lines", "bom_lines", "line_id"), ("chunks", "pdf_chunks", "chunk_id"), ("documents", "documents", "doc_id"), ("pin_functions", "component_pin_functions", "pinfn_id")):
-        one = table(s, d, t, key).agg(F.countDistinct(key).alias(name))
-        out = one if out is None else out.join(one)  # one row each
-    return out
+        one = table(s, d, t, key).agg(F.countDistinct(key).alias("n")).select(F.lit(name).alias("name"), "n")
+        long = one if long is None else long.unionByName(one)
+    names = ["nets", "components", "parts", "bom_lines", "chunks", "documents", "pin_functions"]
+    return long.agg(*(F.max(F.when(F.col("name") == n, F.col("n"))).alias(n) for n in names))
 
 
 # --- scored search ------------------------------------------------------------------------------------------------------
@@ -382,9 +383,10 @@ def chunk_search_by_type(s, d):
 @query("with q as (select embedding as e from embeddings where vec_id = 0) select vec_id, round(list_dot_product(embedding::double[], e::double[]) / (sqrt(list_dot_product(embedding::double[], embedding::double[])) * sqrt(list_dot_product(e::double[], e::double[]))), 6) as cos from embeddings, q")
 def cosine_embeddings(s, d):
     df = table(s, d, "embeddings", "vec_id", "embedding").withColumn("v", F.transform("embedding", lambda x: x.cast("double")))
-    q = df.filter("vec_id = 0").select(F.col("v").alias("q"))  # one row
+    q = df.filter("vec_id = 0").select("v").scalar()
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x)
-    return df.join(F.broadcast(q)).select("vec_id", F.round(dot("v", "q") / (F.sqrt(dot("v", "v")) * F.sqrt(dot("q", "q"))), 6).alias("cos"))
+    df = df.withColumn("q", q)
+    return df.select("vec_id", F.round(dot("v", "q") / (F.sqrt(dot("v", "v")) * F.sqrt(dot("q", "q"))), 6).alias("cos"))
 
 
 _CBLOB = "lower(concat_ws(' ', refdes, coalesce(part_number, ''), coalesce(manufacturer, ''), coalesce(value, ''), coalesce(footprint, ''), coalesce(specification, ''), array_to_string(coalesce(datasheet_candidates, []), ' ')))"

@@ -61,6 +61,13 @@ def answer_path(folder: str, now: datetime | None = None) -> str:
     return f"{folder}/response_{(now or datetime.now()):%Y%m%d_%H%M%S}.md"
 
 
+def write_answer(text: str, folder: str, now: datetime | None = None) -> str:
+    path = answer_path(folder, now)
+    Path(path).parent.mkdir(parents=True, exist_ok=True)
+    Path(path).write_text(text)
+    return path
+
+
 def counts(tables: dict[str, DataFrame]) -> dict[str, int]:
     return {name: df.count() for name, df in tables.items()}
 

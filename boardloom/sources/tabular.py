@@ -76,6 +76,19 @@ def pdf_chunks(schematic: DataFrame, datasheets: DataFrame) -> DataFrame:
     return out[0].unionByName(out[1])
 
 
+def page_images(spark: SparkSession, path: str, render, glob: str = "*.pdf") -> DataFrame:
+    """(source_file, page_number, width, height, image) of drawn pages. render(bytes) -> list of (width, height, PNG bytes)
+    is a plug-in: nothing here draws pages."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(where.rsplit("/", 1)[-1], n, *image) for where, content in zip(b["path"], b["content"]) for n, image in enumerate(render(bytes(content)), 1)]
+            yield pd.DataFrame(rows, columns=["source_file", "page_number", "width", "height", "image"])
+
+    return files.select("path", "content").mapInPandas(draw, "source_file string, page_number int, width int, height int, image binary")
+
+
 def file_names(spark: SparkSession, path: str, glob: str = "*.pdf") -> DataFrame:
     """(file, stem) of a folder, without reading contents."""
     df = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"))

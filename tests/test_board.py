@@ -151,6 +151,21 @@ def test_packet(project):
     assert api.validate(cat, [{"id": "q", "question": "Which pins are on SWDIO?", "expected_focus": ["power"]}])["questions"] == 1
 
 
+def test_ways(project, tmp_path):
+    cat, _ = project
+    assert api.route(cat, "what about the weather")["route"] == "irrelevant_general" and api.route(cat, "x", "precision") == {"route": "precision", "confidence": "forced"}
+    got = api.answer_generally(cat, "tell me about it", model=lambda q, c: f"{q} {len(c) > 0}")
+    assert got["answer"] == "tell me about it True" and "board" in api.answer_generally(cat, "the weather")["answer"]
+    assert api.TOOLS["get_circuit_summary"](cat).filter("section = 1").count() == 3
+    with pytest.raises(KeyError):
+        api.TOOLS["get_schematic_page_image"](cat, 1)
+    from boardloom import sinks
+
+    assert sinks.write_answer("x", str(tmp_path)).endswith(".md")
+    images = tabular.page_images(cat.spark, str(cat.root) + "/../in", lambda b: [(2, 3, b"png")], "*.txt").collect()
+    assert [(r["page_number"], r["width"], bytes(r["image"])) for r in images] == [(1, 2, b"png")]
+
+
 def test_rules(spark):
     df = spark.createDataFrame([(x,) for x in ("LED1", "USB1", "RT1", "FB1", "P3", "TP2", "SW1", "MOD1", "X1", "D4")], "r string")
     got = {r["r"]: (r["a"], r["b"]) for r in df.select("r", T.component_type(F.col("r")).alias("a"), T.component_class(F.col("r")).alias("b")).collect()}
