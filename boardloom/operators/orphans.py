@@ -1,8 +1,8 @@
 """References to records that do not exist: missing, already removed, or not there yet at the time of the reference.
 
-Keys are encoded as integers per key range. Of each range and month one compressed bitmap holds the keys referred to, one
-the keys that hold through the whole month; reference AND-NOT parent leaves the keys that may be orphans, which are
-decoded. An exact check of the surviving keys at the very times follows, by running sums of starts and ends per key and
+Keys are encoded as integers per key range. Of each range and day one compressed bitmap holds the keys referred to, one
+the keys that hold through the whole day; reference AND-NOT parent leaves the keys that may be orphans, which are
+decoded. (Days, not months: a record is mostly younger than its parents by hours, so hardly a key held through its month.) An exact check of the surviving keys at the very times follows, by running sums of starts and ends per key and
 day over carried sums of the days before, so that no key, however hot, is one unit of work.
 
 Defined results: null, empty and blank keys are no references, and neither are references without a time; a parent
@@ -22,14 +22,14 @@ from pyspark.sql import functions as F
 from boardloom.operators import bitmaps
 from boardloom.tables import stripped, written
 
-#: (key, month) pairs in one key range, about.
+#: (key, day) pairs in one key range, about.
 RANGE_PAIRS = 200_000
 EVER, NEVER = -(10**6), 10**6
 _KEY = ["rel", "scope", "key"]
 
 
 def references(df: DataFrame, rel: str, row_id: str, scope, key, at, upper: bool = True) -> DataFrame:
-    """(rel, row_id, scope, key, ref_key, at, month) of references; key may be an array of them."""
+    """(rel, row_id, scope, key, ref_key, at, day) of references; key may be an array of them."""
     if isinstance(df.select(key.alias("k")).schema["k"].dataType.simpleString(), str) and df.select(key.alias("k")).schema["k"].dataType.simpleString().startswith("array"):
         df = df.select(F.col(row_id).alias("_id"), scope.alias("_scope"), at.alias("_at"), F.explode(F.array_distinct(F.transform(key, stripped))).alias("_key"))
     else:
@@ -37,7 +37,7 @@ def references(df: DataFrame, rel: str, row_id: str, scope, key, at, upper: bool
     df = df.filter(F.col("_key").isNotNull() & (F.col("_key") != "") & F.col("_at").isNotNull())
     return df.select(
         F.lit(rel).alias("rel"), F.col("_id").cast("long").alias("row_id"), F.coalesce("_scope", F.lit("")).alias("scope"), F.upper("_key").alias("key"),
-        (F.upper("_key") if upper else F.col("_key")).alias("ref_key"), F.col("_at").alias("at"), _month(F.col("_at")).alias("month"),
+        (F.upper("_key") if upper else F.col("_key")).alias("ref_key"), F.col("_at").alias("at"), _day(F.col("_at")).alias("day"),
     )
 
 
@@ -47,15 +47,15 @@ def parents(df: DataFrame, rel: str, scope, key, start, end) -> DataFrame:
     return df.filter(F.col("key").isNotNull() & (F.col("key") != "") & (F.col("end").isNull() | F.col("start").isNull() | (F.col("end") > F.col("start"))))
 
 
-def _month(t) -> F.Column:
-    return (F.year(t) * 12 + F.month(t) - 1).cast("int")
+def _day(t) -> F.Column:
+    return F.unix_date(F.to_date(t))
 
 
 def candidates(refs: DataFrame, owners: DataFrame, ranges: int) -> DataFrame:
-    """(rel, scope, key, month) referred to in the month and not held through the whole of it, by bitmaps per key range and month."""
-    pairs = refs.select(*_KEY, F.lit(True).alias("is_ref"), F.col("month").alias("a"), F.col("month").alias("b")).distinct()
-    begins, full = _month(F.col("start")), F.date_trunc("month", "start") == F.col("start")
-    whole = owners.select(*_KEY, F.lit(False).alias("is_ref"), F.coalesce(F.when(full, begins).otherwise(begins + 1), F.lit(EVER)).alias("a"), F.coalesce(_month(F.col("end")), F.lit(NEVER)).alias("b"))
+    """(rel, scope, key, day) referred to on the day and not held through the whole of it, by bitmaps per key range and day."""
+    pairs = refs.select(*_KEY, F.lit(True).alias("is_ref"), F.col("day").alias("a"), F.col("day").alias("b")).distinct()
+    begins, full = _day(F.col("start")), F.date_trunc("day", "start") == F.col("start")
+    whole = owners.select(*_KEY, F.lit(False).alias("is_ref"), F.coalesce(F.when(full, begins).otherwise(begins + 1), F.lit(EVER)).alias("a"), F.coalesce(_day(F.col("end")), F.lit(NEVER)).alias("b"))
     both = pairs.unionByName(whole.filter("a < b").distinct())
     both = both.withColumn("range", F.pmod(F.xxhash64(*_KEY), F.lit(ranges)))
 
@@ -67,42 +67,40 @@ def candidates(refs: DataFrame, owners: DataFrame, ranges: int) -> DataFrame:
         if ref.any():
             low, high = a[ref].min(), a[ref].max()
             o = ~ref & (b > low) & (a <= high)
-            # starts and ends of whole-month cover by month, swept in ascending order of months
+            # starts and ends of cover by whole days, swept in ascending order of days
             steps = np.concatenate([np.stack([np.maximum(a[o], low), code[o], np.ones(o.sum(), np.int64)], 1), np.stack([b[o], code[o], -np.ones(o.sum(), np.int64)], 1)])
             steps = steps[np.argsort(steps[:, 0], kind="stable")]
             held, at = np.zeros(len(names), np.int32), 0
             order = np.argsort(a[ref], kind="stable")
-            months, codes = a[ref][order], code[ref][order]
-            for month in np.unique(months):
-                to = np.searchsorted(steps[:, 0], month, side="right")
+            days, codes = a[ref][order], code[ref][order]
+            for day in np.unique(days):
+                to = np.searchsorted(steps[:, 0], day, side="right")
                 np.add.at(held, steps[at:to, 1], steps[at:to, 2].astype(np.int32))
                 at = to
-                asked = bitmaps.pack(codes[np.searchsorted(months, month) : np.searchsorted(months, month, side="right")])
+                asked = bitmaps.pack(codes[np.searchsorted(days, day) : np.searchsorted(days, day, side="right")])
                 left = bitmaps.unpack(bitmaps.and_not(asked, bitmaps.pack(np.flatnonzero(held > 0))))
-                out.append(pd.DataFrame({"code": left, "month": np.int32(month)}))
+                out.append(pd.DataFrame({"code": left, "day": np.int32(day)}))
         if not out:
-            return pd.DataFrame({c: pd.Series(dtype=t) for c, t in (("rel", str), ("scope", str), ("key", str), ("month", "int32"))})
+            return pd.DataFrame({c: pd.Series(dtype=t) for c, t in (("rel", str), ("scope", str), ("key", str), ("day", "int32"))})
         got = pd.concat(out)
         rows = names.to_frame(index=False, name=_KEY).iloc[got["code"].to_numpy()].reset_index(drop=True)
-        rows["month"] = got["month"].to_numpy()
+        rows["day"] = got["day"].to_numpy()
         return rows
 
-    return both.groupBy("range").applyInPandas(work, "rel string, scope string, key string, month int")
+    return both.groupBy("range").applyInPandas(work, "rel string, scope string, key string, day int")
 
 
 def orphans(refs: DataFrame, owners: DataFrame) -> DataFrame:
     """(rel, row_id, ref_key, at) of each reference with no row of its key holding at its time; repeated rows once."""
-    refs = written(refs.distinct(), "references")
-    n = refs.count()
+    n = refs.count()  # a scan of the sources alone: cheaper than keeping what they unfold to
     maybe = written(candidates(refs, owners, max(8, n // RANGE_PAIRS + 1)), "maybe")
-    asked = refs.join(maybe, [*_KEY, "month"], "left_semi")
+    asked = written(refs.join(maybe, [*_KEY, "day"], "left_semi").distinct(), "asked")
     keys = maybe.select(*_KEY).distinct()
     owned = owners.join(keys, _KEY, "left_semi")
-    day = lambda t: F.unix_date(F.to_date(t))
     events = [
-        asked.select(*_KEY, day(F.col("at")).alias("day"), "at", F.lit(0).alias("d"), F.lit(1).alias("q")),
-        owned.select(*_KEY, F.coalesce(day(F.col("start")), F.lit(EVER)).alias("day"), F.col("start").alias("at"), F.lit(1).alias("d"), F.lit(0).alias("q")),
-        owned.filter("end is not null").select(*_KEY, day(F.col("end")).alias("day"), F.col("end").alias("at"), F.lit(-1).alias("d"), F.lit(0).alias("q")),
+        asked.select(*_KEY, "day", "at", F.lit(0).alias("d"), F.lit(1).alias("q")),
+        owned.select(*_KEY, F.coalesce(_day(F.col("start")), F.lit(EVER)).alias("day"), F.col("start").alias("at"), F.lit(1).alias("d"), F.lit(0).alias("q")),
+        owned.filter("end is not null").select(*_KEY, _day(F.col("end")).alias("day"), F.col("end").alias("at"), F.lit(-1).alias("d"), F.lit(0).alias("q")),
     ]
     each = events[0].unionByName(events[1]).unionByName(events[2]).groupBy(*_KEY, "day", "at").agg(F.sum("d").alias("d"), F.max("q").alias("q"))
     each = written(each, "events")
