@@ -36,6 +36,7 @@ LETTERS = {
     "fr": dict(zip("abcdefghijklmnopqrstuvwxyzéàèêçù", (76, 9, 33, 37, 147, 11, 9, 7, 75, 6, 1, 55, 30, 71, 58, 25, 14, 67, 79, 72, 63, 18, 1, 4, 1, 3, 19, 5, 3, 2, 1, 1))),
 }
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*|\d+(?:[.,]\d+)*|(?<![\w+./-])[\w+./-]*\d[\w+./-]*")
+_DIGIT, _LETTER = re.compile(r"\d"), re.compile(r"[^\W\d_]")
 _HAN = re.compile(r"[㐀-鿿]")
 _MARK = re.compile(r"\s*(?:[-*•·–—+▪◦‣○●>]|\(?\d{1,4}[.)]|\(?[a-zA-Z][.)]|\[[ xX✓]?\]|[☐☑✓✗])\s+\S")
 _NET = re.compile(r"\s*[\w+.\-]+\s*[:=]\s*(?:[A-Za-z]+\d+(?:-\w+)?(?:[\s,;]+|$))+$")
@@ -101,12 +102,17 @@ class Profiles:
                 for lang, own in self.common.items():
                     if low in own:
                         langs[lang] += 1
-            elif w[0].isdigit() and w[-1].isdigit() and not any(x.isalpha() for x in w):
+            elif w.isalpha():
+                if len(w) > 1 and not loud and w.isupper():
+                    c += 1
+                else:
+                    o += 1
+            elif not _DIGIT.search(w):
+                o += 1
+            elif w[0].isdigit() and w[-1].isdigit() and not _LETTER.search(w):
                 d += 1
-            elif any(x.isdigit() for x in w) or (len(w) > 1 and w.isupper() and not loud):
-                c += 1
             else:
-                o += 1
+                c += 1
         n = len(words)
         return ((f / n, o / n, d / n, c / n), n, langs.most_common(1)[0][0] if langs else "")
 
@@ -242,7 +248,8 @@ def describe(text: str | None, profiles: Profiles) -> tuple | None:
     symbols = len(re.findall(r"[\W_]", body))
     weight, seen = units(text, profiles)
     prose = min(jsd(shares, PROSE_WORDS[x]) for x in ([lang] if lang in PROSE_WORDS else PROSE_WORDS))
-    letters = Counter(c for w in words for c in w.lower() if not _HAN.match(c))
+    letters = Counter("".join(words).lower()) if shares[0] < 0.12 else Counter()
+    letters = Counter({c: k for c, k in letters.items() if not _HAN.match(c)})
     total = sum(weight.values()) or 1.0
     dist = tuple(weight[k] / total for k in ("sentence", "item", "row", "noise"))
     if repeated(text) or garbled(body) or (sum(letters.values()) >= 60 and shares[0] < 0.12 and weight["row"] < 0.5 * total and letters_jsd(letters) > 0.13 and sum(letters.values()) > 0.6 * len(body)):
