@@ -19,6 +19,11 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _repeated(spark, sf_dir).found().select(F.col("_doc").alias("chunk_id"), "line_no")
 
 
+def p1_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines in clusters of high document frequency, those included that are only near the others (five-word shingles, similarity 0.8)."""
+    return _repeated(spark, sf_dir).lines(near=True).filter("letter").select(F.col("_doc").alias("chunk_id"), "line_no").distinct()
+
+
 def p1_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every chunk's text without the furniture of its file."""
     chunks = table(spark, sf_dir, "pdf_chunks", "chunk_id", "source_file", "text").dropDuplicates(["chunk_id"])
@@ -95,7 +100,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p10_stats(spark, sf_dir).filter("kind <> 'prose'").select("doc_id", "kind")
 
 
-QUERIES = {"p1_found": p1_found, "p1_clean": p1_clean, "p3_found": p3_found, "p3_misses": p3_misses, "p6_found": p6_found, "p6_pieces": p6_pieces, "p7_found": p7_found, "p7_clean": p7_clean, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_fill": p9_fill, "p10_found": p10_found, "p10_stats": p10_stats}
+QUERIES = {"p1_found": p1_found, "p1_clean": p1_clean, "p1_near": p1_near, "p3_found": p3_found, "p3_misses": p3_misses, "p6_found": p6_found, "p6_pieces": p6_pieces, "p7_found": p7_found, "p7_clean": p7_clean, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_fill": p9_fill, "p10_found": p10_found, "p10_stats": p10_stats}
 
 _KEY = r"regexp_replace(lower(line), '[\s0-9\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]', '', 'g')"
 _OUTER = r"[\s\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
