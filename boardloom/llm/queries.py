@@ -21,7 +21,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p1_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines in clusters of high document frequency, those included that are only near the others (five-word shingles, similarity 0.8)."""
-    return _repeated(spark, sf_dir).lines(near=True).filter("letter").select(F.col("_doc").alias("chunk_id"), "line_no").distinct()
+    return _repeated(spark, sf_dir).near().select(F.col("_doc").alias("chunk_id"), "line_no", "cluster")
 
 
 def p1_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
