@@ -14,7 +14,7 @@ from boardloom.functions import text as T
 from boardloom.operators import connect, desk, evidence, knowledge, neighborhood, search, texts
 from boardloom.sources.tabular import split_designators
 from boardloom.streaming import questions
-from boardloom.tables import table
+from boardloom.tables import table, table_once
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -34,7 +34,7 @@ def query(sql: str | None = None):
 
 
 def _nets(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "nets", "net_id", "board_id", "net_ord", "net_name_raw", "net_name_canonical", "aliases", "pins_raw").dropDuplicates(["net_id"])
+    return table_once(s, d, "nets", "net_id", "board_id", "net_ord", "net_name_raw", "net_name_canonical", "aliases", "pins_raw")
 
 
 def _pins(s: SparkSession, d: str) -> DataFrame:
@@ -57,11 +57,11 @@ def _parts(s: SparkSession, d: str) -> DataFrame:
 
 
 def _functions(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "component_pin_functions", "pinfn_id", "board_id", "refdes", "part_number", "pin_name", "description", "function", "raw_row").dropDuplicates(["pinfn_id"])
+    return table_once(s, d, "component_pin_functions", "pinfn_id", "board_id", "refdes", "part_number", "pin_name", "description", "function", "raw_row")
 
 
 def _chunks(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "pdf_chunks", "chunk_id", "source_type", "source_file", "page_start", "heading_path", "text").dropDuplicates(["chunk_id"])
+    return table_once(s, d, "pdf_chunks", "chunk_id", "source_type", "source_file", "page_start", "heading_path", "text")
 
 
 def _documents(s: SparkSession, d: str) -> DataFrame:
@@ -213,7 +213,7 @@ def linked_entities(s, d):
 @query("""with ci as (select distinct on (entry_id) entry_id, board_id, designators, part_number, manufacturer, value, footprint, specification from component_index), e as (select *, unnest(designators) as refdes from ci)
 select board_id, refdes, arg_max(coalesce(part_number, '~'), entry_id) as part_number, max(entry_id) as line_ord from e where refdes <> '' group by 1, 2""")
 def parts_by_refdes(s, d):
-    lines = table(s, d, "component_index", "entry_id", "board_id", "designators", "part_number").dropDuplicates(["entry_id"])
+    lines = table_once(s, d, "component_index", "entry_id", "board_id", "designators", "part_number")
     lines = lines.select("board_id", F.col("entry_id").alias("line_ord"), "designators", F.coalesce("part_number", F.lit("~")).alias("part_number"))
     each = lines.select("board_id", "line_ord", F.explode("designators").alias("refdes"), "part_number").filter("refdes <> ''")
     last = each.groupBy("board_id", "refdes").agg(F.max("line_ord").alias("line_ord"))
@@ -578,13 +578,13 @@ def datasheet_markdown(s, d):
 
 @query("with b as (select distinct on (line_id) * from bom_lines), l as (select line_id, list_filter(list_transform(string_split(designator, ','), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') as ds from b where designator is not null) select line_id, unnest(ds) as designator from l")
 def designator_cells(s, d):
-    lines = table(s, d, "bom_lines", "line_id", "designator").dropDuplicates(["line_id"])
+    lines = table_once(s, d, "bom_lines", "line_id", "designator")
     return lines.select("line_id", F.explode(split_designators(F.col("designator"))).alias("designator"))
 
 
 @query("""with ci as (select distinct on (entry_id) * from component_index) select board_id, entry_id as line_ord, '| ' || concat_ws(' | ', array_to_string(designators, ', '), replace(coalesce(quantity, ''), '|', '/'), replace(coalesce(value, ''), '|', '/'), replace(coalesce(manufacturer, ''), '|', '/'), replace(coalesce(part_number, ''), '|', '/'), replace(coalesce(footprint, ''), '|', '/')) || ' |' as row from ci""")
 def bom_overview(s, d):
-    lines = table(s, d, "component_index", "entry_id", "board_id", "designators", "quantity", "value", "manufacturer", "part_number", "footprint").dropDuplicates(["entry_id"])
+    lines = table_once(s, d, "component_index", "entry_id", "board_id", "designators", "quantity", "value", "manufacturer", "part_number", "footprint")
     return sinks.bom_overview(lines.withColumnRenamed("entry_id", "line_ord"))
 
 
@@ -601,7 +601,7 @@ def circuit_summary(s, d):
 
 @query("with b as (select distinct on (line_id) line_id, part_number from bom_lines), k as (select *, regexp_replace(lower(part_number), '[^a-z0-9]', '', 'g') as part_key from b) select part_key, arg_min(part_number, line_id) as part_number, min(line_id) as line_id from k where part_key <> '' group by 1")
 def first_parts(s, d):
-    return desk.first_parts(table(s, d, "bom_lines", "line_id", "part_number").dropDuplicates(["line_id"]), "part_number", ["line_id"]).select("part_key", "part_number", "line_id")
+    return desk.first_parts(table_once(s, d, "bom_lines", "line_id", "part_number"), "part_number", ["line_id"]).select("part_key", "part_number", "line_id")
 
 
 @query(f"with {_P} select board_id, refdes, case when regexp_matches(refdes, '^(R|C|L|FB|RT)\\d+') then 'Passives' when regexp_matches(refdes, '^U\\d+') then 'ICs' else 'Other' end as part_group, {_CLS} as component_class from pt where part_number is null or trim(part_number) = ''")

@@ -15,6 +15,19 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
+def table_once(spark: SparkSession, sf_dir: str, name: str, key: str, *columns: str) -> DataFrame:
+    """The named table with each key once (the first of re-delivered rows, in order of file and row; rows without a key as
+    they are). Only keys move: those that come again, with the place of the row to keep, are written first; being few, they
+    are then broadcast under Spark's own threshold, and wide rows stay where they lie. Were they many, the join would shuffle."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    at = F.struct(F.col("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("r"))
+    again = df.select(F.col(key).alias("_key"), at.alias("_at")).filter("_key is not null").groupBy("_key").agg(F.count("*").alias("_n"), F.min("_at").alias("_keep")).filter("_n > 1").drop("_n")
+    again = written(again, f"again-{name}")
+    rows = df.select(key, *(c for c in columns if c != key), at.alias("_at"))
+    kept = rows.join(again, rows[key] == again["_key"], "left").filter(F.col("_keep").isNull() | (F.col("_keep") == F.col("_at")))
+    return kept.select(key, *(c for c in columns if c != key))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: the session's spark.checkpoint.dir; set here only where it is unset (local tests)."""
     where = spark.conf.get("spark.checkpoint.dir", None)
