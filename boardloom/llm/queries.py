@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boardloom.llm import canon, encode, lines, markup, pack, quality, split
-from boardloom.tables import stripped, table
+from boardloom.tables import stripped, table, table_once
 
 CAPACITY = 2048
 
@@ -26,7 +26,7 @@ def p1_near(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p1_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every chunk's text without the furniture of its file."""
-    chunks = table(spark, sf_dir, "pdf_chunks", "chunk_id", "source_file", "text").dropDuplicates(["chunk_id"])
+    chunks = table_once(spark, sf_dir, "pdf_chunks", "chunk_id", "source_file", "text")
     return lines.without_lines(chunks, "chunk_id", "text", _repeated(spark, sf_dir).found())
 
 
