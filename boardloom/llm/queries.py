@@ -55,14 +55,18 @@ def p6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.split(chunks, "chunk_id", "text", keep=("source_file", "heading_path"))
 
 
+def _residue(spark: SparkSession, sf_dir: str, with_text: bool) -> DataFrame:
+    rows = table(spark, sf_dir, "component_pin_functions", "pinfn_id", "description", "raw_row")
+    return markup.residue(rows, "pinfn_id", {"description": False, "raw_row": True}, with_text)
+
+
 def p7_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Description and raw_row with markup, as clean text, and the structure found in them."""
-    rows = table(spark, sf_dir, "component_pin_functions", "pinfn_id", "description", "raw_row")
-    return markup.residue(rows, "pinfn_id", {"description": False, "raw_row": True})
+    return _residue(spark, sf_dir, True)
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p7_clean(spark, sf_dir).select("pinfn_id", "field")
+    return _residue(spark, sf_dir, False).select("pinfn_id", "field")
 
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
