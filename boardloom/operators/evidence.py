@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from boardloom.functions import text as T
 
 HARD_CAP = 400
+# The line that system questions get, and the nets of a debug header.
+SYSTEM_LINE = "System-function conclusion is based on multi-artifact functional + connectivity coverage."
 DEBUG_NETS = ["SWDIO", "SWDCLK", "RESET", "GND", "1V8"]
 # Relations that an intent must prove, as (type, subject, object).
 RELATIONS = {
@@ -75,7 +77,7 @@ def findings(anomalies: DataFrame, group: list[str], intent: str = "") -> DataFr
     label = F.coalesce(F.nullif(F.col("refdes"), F.lit("")), F.nullif(F.col("net_name"), F.lit("")), F.lit("unknown_target"))
     out = anomalies.select(*group, F.format_string("%s: %s at %s.", F.upper("severity"), F.col("kind"), label).alias("finding")).distinct()
     if intent == "system_function":
-        out = out.unionByName(anomalies.select(*group, F.lit("System-function conclusion is based on multi-artifact functional + connectivity coverage.").alias("finding")).distinct())
+        out = out.unionByName(anomalies.select(*group, F.lit(SYSTEM_LINE).alias("finding")).distinct())
     return out
 
 
