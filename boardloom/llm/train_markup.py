@@ -13,12 +13,16 @@ import numpy as np
 
 from boardloom.llm.markup import DIM, ROLES, _sigmoid, leaves, lstm, reversed_in, vectors
 
-HIDDEN, STEPS, BATCH, RATE = 24, 900, 64, 0.01
+HIDDEN, STEPS, BATCH, RATE = 24, 2000, 64, 0.01
 _SYLLABLES = "ba co di fu ge hi jo ku la me no pi qua re su ti vo wa xe yo zu ster ning able port age ing ed".split()
 
 
 def _words(r: random.Random, least: int = 1, most: int = 6) -> str:
-    return " ".join("".join(r.choice(_SYLLABLES) for _ in range(r.randint(1, 4))) for _ in range(r.randint(least, most)))
+    word = lambda: "".join(r.choice(_SYLLABLES) for _ in range(r.randint(1, 4)))
+    out = [f"{word()}-{word()}" if r.random() < 0.1 else word() for _ in range(r.randint(least, most))]
+    if r.random() < 0.4:
+        out[0] = out[0].capitalize()
+    return "".join(w + (", " if r.random() < 0.08 else " ") for w in out).rstrip(", ")
 
 
 def _name(r: random.Random) -> str:
@@ -44,7 +48,7 @@ def _markup(r: random.Random) -> tuple[str, str, bool]:
     end = r.choice([f"</{tag.split()[0]}>", ""])
     return r.choice([
         (f"<{tag}>{w}{end}", "text", False), (f"{w}<br>", "text", False), (f"{w}</font>", "text", False), (f"<!-- {w} -->{w}", "text", False), (f"<h3>{w}</h3>", "heading", False), (f"<ul><li>{w}</li><li>{w}</li></ul>", "list", False),
-        (f"<pre>{w}\n {w}</pre>", "code", False), (f"<code>{w}</code>", "code", False), (f"<tr><td>{w}</td></tr>", "table", False), (f"{w}&nbsp;{w}", "text", False), (f"{w} &lt; {w} &amp; {w}", "text", False), (f"{w} &#937;", "text", False), (f"{w}&deg;C", "text", False),
+        (f"<pre>{w}\n {w}</pre>", "code", False), (f"<code>{w}</code>", "code", False), (f"<tr><td>{w}</td></tr>", "table", False), (f"{w}&nbsp;{w}", "text", False), (f"{w} &lt; {w} &amp; {w}", "text", False), (f"{w} {r.randint(1, 99)} k&#{r.randint(160, 9999)};", "text", False), (f"{_name(r)}<sup>{r.randint(1, 9)}</sup>", "text", False), (f"${r.choice(['overline', 'mathrm'])}{{{w}}}$".replace("$o", "$\\o").replace("$m", "$\\m"), "formula", False), (f"{w}&deg;C", "text", False),
         (f"# {w}", "heading", True), (f"## {w}", "heading", True), (f"- {w}\n- {w}", "list", True), (f"* {w}\n* {w}", "list", True), (f"1. {w}\n2. {w}", "list", True), (f"> {w}", "quote", True), (f"**{w}**", "text", False), (f"__{w}__", "text", False), (f"*{w}*", "text", False), (f"_{w}_", "text", False),
         (f"~~{w}~~", "text", False), (f"`{w}`", "code", False), (f"```\n{w}\n```", "code", True), (f"[{w}](#{w[:3]})", "text", False), (f"![{w}](img/x.png)", "text", False), (f"{w}[^1]", "text", False), (f"| {w} | {w} |", "table", True),
         (f"'''{w}'''", "text", False), (f"''{w}''", "text", False), (f"[[{w}|{w}]]", "text", False), (f"[[{w}]]", "text", False), (f"{{{{{w}}}}}", "text", False), (f"== {w} ==", "heading", True), (f"{{| class=x\n|-\n| {w}\n|}}", "table", True), (f"|| {w} || {w}", "table", True), (f"{w}<ref>{w}</ref>", "text", False),
@@ -57,10 +61,11 @@ def sample(r: random.Random) -> tuple[str, bool, list[tuple[int, int, str, bool]
     """(text, cells, stretches (start, end, role, markup))."""
     cells = r.random() < 0.4
     text, marks = "", []
+    bare = r.random() < 0.35  # nothing but plain text
     for k in range(r.randint(1, 4)):
         if k:
             text += r.choice([" | ", " | ", "\n"]) if cells else r.choice([" ", "\n", ". "])
-        if r.random() < 0.45:
+        if not bare and r.random() < 0.45:
             s, role, opens = _markup(r)
             if opens and k and not text.endswith(("\n", " | ")):
                 text += "\n"
