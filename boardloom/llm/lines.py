@@ -8,6 +8,10 @@ repeated lines. The lines in them, told by a bit set of fixed size and then by a
 Two lines are the same if they differ only in letter case, white space or the digits 0-9. A line counts if it has a letter
 and stands in at least `least` and at least `share` of all distinct documents of its source, those without text included.
 
+Near-duplicate clusters (`near`) are the connected components of the lines of a source: every two different lines of a band
+bucket are compared, pairs of shingle similarity SIMILAR and more are linked, and only the merged cluster is held against
+the limit. The work in a bucket grows with the square of its different masked lines.
+
 No group is gathered: what moves are bucket numbers and, of the lines in repeated clusters, fixed-size hashes. The
 bit set has 2 ** BITS bits whatever the input; where it fills up it lets more lines through to the join, none is lost.
 
@@ -17,6 +21,7 @@ repeated rows count once; extra columns never enter.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -175,6 +180,37 @@ def _place(ids: np.ndarray) -> np.ndarray:
     return ((ids ^ (ids >> np.uint64(41))) & np.uint64(2**BITS - 1)).astype(np.int64)
 
 
+def _sets(source: np.ndarray, shingles: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[list[int | None], list[np.ndarray | None]]:
+    """Per line a hash of its source and its set of shingles, and the set where it comes first; None without shingles."""
+    sets: list[int | None] = []
+    own: list[np.ndarray | None] = []
+    known: set[int] = set()
+    for src, a, b in zip(source.tolist(), low.tolist(), high.tolist()):
+        got = np.unique(shingles[a:b]).view(np.int64) if b > a else None
+        h = None if got is None else int.from_bytes(hashlib.blake2b(got.tobytes(), digest_size=8, key=src.to_bytes(8, "little", signed=True)).digest(), "little", signed=True)
+        sets.append(h)
+        own.append(None if h is None or h in known else got)
+        known.add(h)
+    return sets, own
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(a, b): each node of `links` (a, b; a > b) but the least of its connected component, and that least one. Large and small
+    stars by turns until no link changes; each step is written."""
+    mark = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
+    was, now = None, mark(links)
+    while was != now:
+        both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
+        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = written(large, "large-stars")
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.withColumnRenamed("m", "b")).distinct()
+        links = written(small, "small-stars")
+        was, now = now, mark(links)
+    return links
+
+
 class Repeated:
     """Repeated lines of `df` (columns source, doc_id, text); see the module."""
 
@@ -184,8 +220,9 @@ class Repeated:
         docs = self.rows.groupBy("_fh", F.xxhash64("_doc").alias("_d")).agg(F.lit(1).alias("_one"))
         self.limits = docs.groupBy("_fh").agg(F.greatest(F.lit(least), F.ceil(F.count("*") * share)).cast("long").alias("_limit"))
 
-    def clusters(self) -> DataFrame:
-        """(bucket): per source, clusters of lines with high document frequency; a line that stands twice in a document may count twice here."""
+    def clusters(self, near: bool = False) -> DataFrame:
+        """(bucket): per source, buckets of lines with high document frequency, near: of two lines and more; a line that stands
+        twice in a document may count twice here."""
 
         def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -196,14 +233,17 @@ class Repeated:
                     yield pa.RecordBatch.from_arrays([pa.array(got.view(np.int64)), pa.array(n.astype(np.int32))], names=["bucket", "n"])
 
         counted = self.rows.select("_fh", "_text").filter("_text <> ''").mapInArrow(emit, "bucket long, n int").groupBy("bucket").agg(F.sum("n").alias("n"))
+        if near:
+            return counted.filter("n > 1").select("bucket")
         limits = self.limits.groupBy(F.col("_fh").bitwiseAND(F.lit(0xFFFFFF)).alias("_s")).agg(F.min("_limit").alias("_limit"))
         often = counted.filter("n > 1").withColumn("_s", F.shiftrightunsigned("bucket", 40))
         return often.join(limits, "_s").filter("n >= _limit").select("bucket")
 
     def lines(self, near: bool = False) -> DataFrame:
-        """(_fh, _doc, line_no, k1, k2, letter) of the lines that are in a cluster with lines of equal form; near: with bucket
-        and shingles, once for each cluster that a line is in, be it by near lines alone."""
-        clusters = written(self.clusters(), "line-clusters")
+        """(_fh, _doc, line_no, k1, k2, letter) of the lines that are in a cluster with lines of equal form; near: of the lines
+        that share a bucket with any other (and some more, as the bit set tells), with the band buckets shared, the hash `set`
+        of their shingles (null without), and the shingles, these once for each set of a batch."""
+        clusters = written(self.clusters(near), "line-clusters")
         place = F.col("bucket").bitwiseXOR(F.shiftrightunsigned("bucket", 41)).bitwiseAND(F.lit(2**BITS - 1))
         bits = clusters.select(place.alias("p")).groupBy(F.expr("p div 32768").alias("part")).agg(F.expr("bitmap_construct_agg(p % 32768)").alias("bits"))
         found = np.zeros(2**BITS, bool)
@@ -222,28 +262,46 @@ class Repeated:
                     at = np.flatnonzero(hit.any(1))
                     own: dict[int, list[str]] = {}
                     letter = [any(map(str.isalpha, own.setdefault(r, texts[r].split("\n"))[n - 1])) for r, n in zip(row[at].tolist(), number[at].tolist())]
-                    buckets = [i[h].tolist() for i, h in zip(ids[at].view(np.int64), hit[at])]
+                    buckets = [i[h].tolist() for i, h in zip(ids[at, near:].view(np.int64), hit[at, near:])]
                     cols = [pa.array(source[first + row[at]]), docs.take(pa.array(first + row[at])), pa.array(number[at]), pa.array(k1[at].view(np.int64)), pa.array(k2[at].view(np.int64)), pa.array(letter, pa.bool_()), pa.array(buckets, pa.list_(pa.int64()))]
-                    own_shingles = [np.unique(shingles[a:b]).view(np.int64) for a, b in zip(low[at], high[at])] if near else [None] * len(at)
-                    cols.append(pa.array(own_shingles, pa.list_(pa.int64())))
-                    yield pa.RecordBatch.from_arrays(cols, names=["_fh", "_doc", "line_no", "k1", "k2", "letter", "buckets", "shingles"])
+                    if near:
+                        own_sets, own_shingles = _sets(source[first + row[at]], shingles, low[at], high[at])
+                        cols += [pa.array(own_sets, pa.int64()), pa.array(own_shingles, pa.list_(pa.int64()))]
+                    yield pa.RecordBatch.from_arrays(cols, names=names)
 
-        got = self.rows.select("_fh", "_doc", "_text").filter("_text <> ''").mapInArrow(emit, f"_fh long, _doc {kind}, line_no long, k1 long, k2 long, letter boolean, buckets array<long>, shingles array<long>")
-        each = got.withColumn("bucket", F.explode("buckets")).drop("buckets").join(clusters, "bucket", "left_semi")
-        return each if near else each.drop("bucket", "shingles").distinct()
+        columns = f"_fh long, _doc {kind}, line_no long, k1 long, k2 long, letter boolean, buckets array<long>" + (", set long, shingles array<long>" if near else "")
+        names = [c.split()[0] for c in columns.split(", ")]
+        got = self.rows.select("_fh", "_doc", "_text").filter("_text <> ''").mapInArrow(emit, columns)
+        return got if near else got.withColumn("bucket", F.explode("buckets")).drop("buckets").join(clusters, "bucket", "left_semi").drop("bucket").distinct()
 
     def near(self) -> DataFrame:
-        """(_doc, line_no, cluster) of the lines in near-duplicate clusters of high document frequency. Lines are held against
-        the first form of their bucket: SIMILAR and more of five-word shingles in common, or an equal form; a cluster counts
-        if its lines stand in as many documents as repeated lines must. A line in several is given the first."""
-        each = written(self.lines(near=True).filter("letter"), "near-lines")
-        first = each.groupBy("bucket").agg(F.min(F.struct("k1", "shingles")).alias("r"))
-        alike = F.size(F.array_intersect("shingles", "r.shingles")) / F.greatest(F.size(F.array_union("shingles", "r.shingles")), F.lit(1))
-        members = each.join(first, "bucket").filter((F.col("k1") == F.col("r.k1")) | (alike >= SIMILAR)).select("_fh", F.col("r.k1").alias("cluster"), "_doc", "line_no")
+        """(_doc, line_no, cluster) of the lines in near-duplicate clusters of high document frequency. Two lines of equal form,
+        or of one bucket with SIMILAR and more of five-word shingles in common, are in one cluster, and so are those that
+        others link; a cluster counts if its lines stand in as many documents as repeated lines must."""
+        each = written(self.lines(near=True).filter("letter").withColumn("form", F.xxhash64("_fh", "k1", "k2")).drop("k1", "k2", "letter"), "near-lines")
+        label = components(written(self._links(each), "line-links"))
+        members = each.select("_fh", "_doc", "line_no", "form").join(label, each["form"] == label["a"], "left")
+        members = members.select("_fh", "_doc", "line_no", F.coalesce("b", "form").alias("cluster"))
         often = members.select("_fh", "cluster", F.xxhash64("_doc").alias("_d")).distinct().groupBy("_fh", "cluster").count()
         often = often.join(self.limits, "_fh").filter("count >= _limit").select("_fh", "cluster")
         return members.join(often, ["_fh", "cluster"], "left_semi").groupBy("_doc", "line_no").agg(F.min("cluster").alias("cluster"))
 
+    @staticmethod
+    def _links(each: DataFrame) -> DataFrame:
+        """(a, b): pairs of forms, a > b, whose lines have equal shingles, or share a bucket and are alike."""
+        sets = each.filter("shingles is not null").select("set", "shingles", F.explode("buckets").alias("bucket"))
+        busy = sets.groupBy("bucket").agg(F.min("set").alias("low"), F.max("set").alias("high")).filter("low < high").select("bucket")
+        sets = written(sets.join(busy, "bucket", "left_semi").dropDuplicates(["bucket", "set"]), "line-sets")
+        one, two = sets.select("bucket", F.col("set").alias("s1"), F.col("shingles").alias("x")), sets.select("bucket", F.col("set").alias("s2"), F.col("shingles").alias("y"))
+        both = one.join(two, "bucket").filter("s1 < s2").filter(F.least(F.size("x"), F.size("y")) / F.greatest(F.size("x"), F.size("y")) >= SIMILAR)
+        common = F.size(F.array_intersect("x", "y"))
+        alike = both.filter(common / (F.size("x") + F.size("y") - common) >= SIMILAR).select("s1", "s2").distinct()
+        forms = each.filter("set is not null").select("set", "form").distinct()
+        least = forms.groupBy("set").agg(F.min("form").alias("b"))
+        equal = forms.join(least, "set").select(F.col("form").alias("a"), "b")
+        linked = alike.join(least.select(F.col("set").alias("s1"), F.col("b").alias("a")), "s1").join(least.withColumnRenamed("set", "s2"), "s2").select("a", "b")
+        return equal.unionByName(linked).filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
     def found(self) -> DataFrame:
         """(_doc, line_no) of the lines that are furniture of their source, counted exactly."""
         lines = written(self.lines().filter("letter"), "lines")

@@ -94,3 +94,37 @@ def test_masks():
     assert has.tolist() == [True, True, False] and np.array_equal(bands[0], bands[1]) and at.tolist() == [0] * 5 + [1] * 5 and len(shingles) == 10
     k1, k2 = lines.hash_forms("Ab 1\nAB 23\n 4\n", True)
     assert k1[0] == k1[1] != 0 and k1[2] == 0 and k2[0] == k2[1]
+
+
+def _drifting(n, step, docs):
+    """Lines of n words; each has `step` other words than the one before."""
+    words = [f"{chr(97 + i % 26)}{chr(97 + i // 26)}word" for i in range(n + step * docs)]
+    return [("s", f"d{i}", " ".join(words[i * step : i * step + n]) + "\n" + " ".join(chr(97 + (i * 7 + k * k) % 26) * 3 for k in range(12))) for i in range(docs)]
+
+
+def test_near_clusters_over_several_buckets(spark):
+    """Neighbours are alike, the ends are not, and no bucket holds all of the lines: the union counts."""
+    rows = _drifting(60, 2, 16)
+    ids = lines._buckets([t.split("\n")[0] for _, _, t in rows], np.zeros(16, np.int64), True, False)[4][:, 1:]
+    assert all((a == b).any() for a, b in zip(ids, ids[1:])) and np.unique(ids, return_counts=True)[1].max() < 14
+    df = spark.createDataFrame(rows + [("s", f"e{i}", None) for i in range(40)], "src string, doc string, text string")  # 56 documents, 14 needed
+    got = lines.Repeated(df, "src", "doc", "text").near().collect()
+    assert {(x["_doc"], x["line_no"]) for x in got} == {(f"d{i}", 1) for i in range(16)} and len({x["cluster"] for x in got}) == 1
+
+
+def test_near_holds_what_is_found(spark):
+    df = spark.createDataFrame(_rows(), "src string, doc string, text string, _fh string, letter int")
+    r = lines.Repeated(df, "src", "doc", "text")
+    assert set(map(tuple, r.found().collect())) <= {(x["_doc"], x["line_no"]) for x in r.near().collect()}
+
+
+def test_components(spark):
+    r = random.Random(2)
+    links = {(i + 1, i) for i in range(40)} | {tuple(sorted(r.sample(range(100, 160), 2), reverse=True)) for _ in range(40)}
+    root = {n: n for x in links for n in x}
+    for _ in root:
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    got = lines.components(spark.createDataFrame(sorted(links), "a long, b long"))
+    assert sorted(map(tuple, got.select("a", "b").collect())) == sorted((n, m) for n, m in root.items() if n != m)
+    assert lines.components(spark.createDataFrame([], "a long, b long")).count() == 0
