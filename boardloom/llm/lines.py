@@ -3,7 +3,8 @@
 Numbers, dates and names of each line are masked; lines of five words and more get MinHash values over their five-word
 shingles, in BANDS bands of two (a pair of similarity 0.8 shares a band with probability 0.98), every line also a bucket of
 its own masked form. Buckets are counted per source, map-side first; those of high document frequency are the clusters of
-repeated lines. The lines in them, told by a bit set of fixed size and then by a join, are counted exactly.
+repeated lines. The lines whose own form is such a bucket, told by a bit set of fixed size and then by a join, are counted
+exactly (`found`); the bands serve `near` alone.
 
 Two lines are the same if they differ only in letter case, white space or the digits 0-9. A line counts if it has a letter
 and stands in at least `least` and at least `share` of all distinct documents of its source, those without text included.
