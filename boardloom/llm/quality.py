@@ -222,14 +222,22 @@ def units(text: str, profiles: Profiles) -> tuple[dict[str, float], dict[str, fl
     return weight, {"lines": len(lines), "ended": sum(bool(_END.search(x)) for x in lines)}
 
 
+#: Words of a stretch that is longer than a sentence.
+LOOP = 24
+
+
 def repeated(text: str) -> bool:
-    """Whether the text says the same few words again and again."""
+    """Whether the text says the same few words, or one longer passage, again and again. Prose made from few sentences has as
+    few trigrams, but hardly a stretch of LOOP words comes again in it; in a loop most do, however long the passage."""
     words = re.findall(r"\w+", text.lower())
     if len(words) < 12:
         han = "".join(_HAN.findall(text))
         return len(han) >= 24 and len({han[i : i + 4] for i in range(len(han) - 3)}) < 0.2 * (len(han) - 3)
     grams = len({tuple(words[i : i + 3]) for i in range(len(words) - 2)})
-    return grams < 0.2 * (len(words) - 2) and grams < 60
+    if grams >= 0.2 * (len(words) - 2):
+        return False
+    n = len(words) - LOOP + 1
+    return grams < 60 or len({tuple(words[i : i + LOOP]) for i in range(n)}) < 0.2 * n
 
 
 def garbled(body: str) -> bool:

@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from boardloom.llm.quality import Profiles, describe, jsd, quality
+from boardloom.llm.quality import Profiles, describe, jsd, quality, repeated
 
 COMMON = {
     "en": set("a about after again an and are as at be because been both but by do each for from has if in is it no not of on only or our see so still than that the their then there this to was we what when which while who with would".split()),
@@ -45,3 +45,15 @@ def test_operator(spark):
     got = {r["id"]: r for r in quality(spark.createDataFrame(rows, "id long, text string, kind string"), "id", "text", COMMON).collect()}
     assert set(got) == {1, 2, 3, 4, 5, 6} and got[1]["kind"] == "prose" and got[5]["kind"] == got[6]["kind"] == "junk" and got[2]["kind"] is got[3]["kind"] is got[4]["kind"] is None and got[2]["words"] == 0
     assert quality(spark.createDataFrame([], "id long, text string"), "id", "text", {}).count() == 0
+
+
+def test_long_passages_repeated():
+    words = [f"{a}{b}" for a in ("board", "rail", "clock", "probe", "sheet", "hook", "limit", "pin") for b in ("ing", "ed", "er", "s", "al", "ic", "or", "ly", "y", "ous")]
+    for n in (40, 61, 80):  # distinct words of the passage: under and over 60 trigrams
+        assert repeated(" ".join(words[:n] * 8)) and not repeated(" ".join(words[:n] * 2))
+    r = random.Random(4)
+    said = [" ".join(r.sample(words, 10)) + "." for _ in range(30)]
+    prose = " ".join(r.choice(said) for _ in range(900))
+    grams = prose.replace(".", "").split()
+    assert 60 <= len(set(zip(grams, grams[1:], grams[2:]))) < 0.2 * (len(grams) - 2)  # few trigrams, but in no order that recurs
+    assert not repeated(prose)
