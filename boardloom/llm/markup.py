@@ -3,9 +3,10 @@
 A text is cut into leaves: signs that may be markup, and the words between them, each with the path of what is open around
 it. A bidirectional LSTM (numpy; weights from `train_markup.py`) reads the whole sequence, tag paths and hashed words, and
 labels every leaf: sign or word of markup, heading, list, code, formula, table, or plain text. A value whose leaves the
-labeller holds for markup is then checked exactly by the grammars of the four languages (`pieces`).
+labeller holds for markup is then checked exactly by the grammars of the four languages (`pieces`). Its clean text is made
+by regular expressions (`clean`); the labels are listed beside it and steer no conversion.
 
-Defined results: null, empty and blank texts have no markup and come out as they are; comparison signs, bus ranges, signal
+Defined results: null, empty and blank texts have no markup and come out as they are (`residue(whole=True)`); comparison signs, bus ranges, signal
 names, arithmetic, paths, arrows and the " | " between cells are no markup; texts are read whole; repeated rows count once, rows without an id are left out.
 """
 
@@ -323,15 +324,17 @@ def clean(text: str, cells: bool) -> str:
     return re.sub(r"\n{3,}", "\n\n", re.sub(r"[^\S\n]+\n", "\n", out)).strip()
 
 
-def residue(df: DataFrame, row_id: str, fields: dict[str, bool], with_text: bool = True) -> DataFrame:
+def residue(df: DataFrame, row_id: str, fields: dict[str, bool], with_text: bool = True, whole: bool = False) -> DataFrame:
     """(row_id, field, roles, clean_text) of each value with markup; fields: name -> whether it is a row of cells.
-    roles: the structure that the labeller found, in order, without repeats; with_text=False leaves clean_text null."""
+    roles: the structure that the labeller found, in order, without repeats; with_text=False leaves clean_text null;
+    whole: values without markup too, null and empty ones included, with their text as it is and no roles."""
     kind = df.schema[row_id].dataType.simpleString()
     names = list(fields)
-    rows = df.select(F.col(row_id).alias("_id"), F.posexplode(F.array(*map(F.col, names))).alias("_field", "_text")).filter("_id is not null and _text is not null and _text <> ''")
+    rows = df.select(F.col(row_id).alias("_id"), F.posexplode(F.array(*map(F.col, names))).alias("_field", "_text")).filter("_id is not null")
     # a value without any sign that markup is made of has none; where cells begin, lines do
     text = F.when(F.element_at(F.array(*map(F.lit, fields.values())), F.col("_field") + 1), F.regexp_replace("_text", r" \| ", "\n")).otherwise(F.col("_text"))
-    rows = rows.filter(text.rlike(r"""[<&`*_~\[\]{}|$\\#]|''|(?m)^\s*(?:[-+:;=>!]|\d{1,3}[.)])"""))
+    signs = F.coalesce(text.rlike(r"""[<&`*_~\[\]{}|$\\#]|''|(?m)^\s*(?:[-+:;=>!]|\d{1,3}[.)])"""), F.lit(False))
+    plain, rows = rows.filter(~signs), rows.filter(signs)
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -341,11 +344,13 @@ def residue(df: DataFrame, row_id: str, fields: dict[str, bool], with_text: bool
             got = []
             for (t, c), (_, role, p) in zip(memo, label(list(memo))):
                 if not len(p) or p.max() < MAYBE or not pieces(t, c):
-                    got.append(None)
+                    got.append(([], t) if whole else None)
                 else:
                     got.append((list(dict.fromkeys(ROLES[r] for r in role.tolist() if ROLES[r] != "mark")), clean(t, c) if with_text else None))
             out = [(i, names[f], *got[k]) for i, f, k in zip(b["_id"], b["_field"], at) if got[k] is not None]
             yield pd.DataFrame(out, columns=["_id", "field", "roles", "clean_text"])
 
     found = spread(rows, "_id", "_field").mapInPandas(work, f"_id {kind}, field string, roles array<string>, clean_text string")
+    if whole:
+        found = found.unionByName(plain.select("_id", F.element_at(F.array(*map(F.lit, names)), F.col("_field") + 1).alias("field"), F.array().cast("array<string>").alias("roles"), F.col("_text").alias("clean_text")))
     return found.dropDuplicates(["_id", "field"]).withColumnRenamed("_id", row_id)

@@ -55,14 +55,14 @@ def p6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.split(chunks, "chunk_id", "text", keep=("source_file", "heading_path"))
 
 
-def _residue(spark: SparkSession, sf_dir: str, with_text: bool) -> DataFrame:
+def _residue(spark: SparkSession, sf_dir: str, with_text: bool, whole: bool = False) -> DataFrame:
     rows = table(spark, sf_dir, "component_pin_functions", "pinfn_id", "description", "raw_row")
-    return markup.residue(rows, "pinfn_id", {"description": False, "raw_row": True}, with_text)
+    return markup.residue(rows, "pinfn_id", {"description": False, "raw_row": True}, with_text, whole)
 
 
 def p7_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Description and raw_row with markup, as clean text, and the structure found in them."""
-    return _residue(spark, sf_dir, True)
+    """Every description and raw_row as clean text, those without markup as they are, and the structure found in them."""
+    return _residue(spark, sf_dir, True, whole=True)
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -74,3 +74,10 @@ def test_operator(spark):
     got = sorted((x["id"], x["field"], x["clean_text"]) for x in markup.residue(df, "id", {"d": False, "r": True}).collect() if x["id"] != 4)
     assert got == [(1, "d", "x"), (3, "r", "A | - x | o")]
     assert markup.residue(df.limit(0), "id", {"d": False, "r": True}).count() == 0
+
+
+def test_unmarked_values_come_out_as_they_are(spark):
+    rows = [(1, "<b>x</b>", "A | x | o"), (1, "<b>x</b>", "A | x | o"), (2, None, " "), (3, "plain", "A | - x | o"), (4, "a < b", ""), (None, "x", "y")]
+    df = spark.createDataFrame(rows, "id long, d string, r string")
+    got = {(x["id"], x["field"]): (x["clean_text"], bool(x["roles"])) for x in markup.residue(df, "id", {"d": False, "r": True}, whole=True).collect()}
+    assert got == {(1, "d"): ("x", True), (1, "r"): ("A | x | o", False), (2, "d"): (None, False), (2, "r"): (" ", False), (3, "d"): ("plain", False), (3, "r"): ("A | - x | o", True), (4, "d"): ("a < b", False), (4, "r"): ("", False)}
