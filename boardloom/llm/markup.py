@@ -1,13 +1,15 @@
 """Markup residue in texts: HTML, Markdown, wiki and LaTeX turned into clean text that keeps headings, lists, code and formulas.
 
 A text is cut into leaves: signs that may be markup, and the words between them, each with the path of what is open around
-it. A bidirectional LSTM (numpy; weights from `train_markup.py`) reads the whole sequence, tag paths and hashed words, and
+it. A bidirectional LSTM (numpy; weights from `train_markup.py`) reads the sequence, tag paths and hashed words (bounds below), and
 labels every leaf: sign or word of markup, heading, list, code, formula, table, or plain text. A value whose leaves the
 labeller holds for markup is then checked exactly by the grammars of the four languages (`pieces`). Its clean text is made
 by regular expressions (`clean`); the labels are listed beside it and steer no conversion.
 
 Defined results: null, empty and blank texts have no markup and come out as they are (`residue(whole=True)`); comparison signs, bus ranges, signal
-names, arithmetic, paths, arrows and the " | " between cells are no markup; texts are read whole; repeated rows count once, rows without an id are left out.
+names, arithmetic, paths, arrows and the " | " between cells are no markup; texts are cut into leaves whole, but
+of a leaf the labeller reads 400 characters, 12 words and 24 characters of a sign, and sequences beyond STRETCH leaves in
+stretches with CONTEXT leaves around them; repeated rows count once, rows without an id are left out.
 """
 
 from __future__ import annotations
