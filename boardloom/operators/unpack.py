@@ -1,13 +1,16 @@
 """Several values packed in one field: infer each source's delimiters, split, explode with position.
 
-A cell such as ``R1, R2 & R3``, ``["C1","C2"]``, ``R7-9`` or ``Q1/2/5`` stands for several designators. Candidate
-delimiters are scored per source on two things: how often the pieces they leave are whole designators (piece type
-regularity) and how often the number of pieces is the quantity typed beside the cell (piece-count consistency). A cell is
-then cut by its best delimiter; a piece that is no designator, number or span yet is cut by the next one.
-
-Defined results: rows without an id, null, empty and blank cells and cells without a designator give no rows; extra columns never enter; the
-same designator typed twice gives two rows; repeated rows of one id give one set of rows; a span whose ends differ in
-their letters, or that would run over more than SPAN_LIMIT names, is no span and gives its two ends.
+A cell such as ``R1, R2 & R3``, ``["C1","C2"]``, ``R7-9`` or ``Q1/2/5`` stands for several designators. Whatever stands
+between two designators (or numbers that go on from one) is a candidate; none is listed in advance. Each candidate of a
+source is scored in three readings - it parts two pieces, it spans from one to the other, or what follows is no piece of
+its own - on how often the number of pieces is then the quantity typed beside the cell (piece-count consistency) and how
+regular the pieces on both sides are (piece type). Scores of a source are drawn towards those of all sources, and those
+towards a weak prior (PRIOR), so that a rare mark is read as elsewhere. The best reading cuts the cells of that source.
+
+Defined results: rows without an id, null, empty and blank cells and cells without a designator give no rows; extra columns
+never enter; the same designator typed twice gives two rows; repeated rows of one id give one set of rows (they count in the
+scores as often as they stand); a span whose ends differ in their letters, or one of a chain of spans, gives its ends; spans
+of any length are written out, row by row, never held whole.
 """
 
 from __future__ import annotations
@@ -21,99 +24,174 @@ from pyspark.sql import functions as F
 
 from boardloom.tables import blank
 
-SPAN_LIMIT = 100_000
-#: Candidate delimiters, as patterns without quantifier; the words stand between white space.
-DELIMITERS = [",", ";", r"\|", "/", r"\+", "&", "，", "、", "；", r"\n", r"\t", r"\s(?:and|und|et)\s", " "]
+PART, SPAN, NONE = "part", "span", "none"
+#: Marks that are taken for spans unless scores say otherwise; all others are taken to part.
+PRIOR = {"-", "..", "~", ":", "TO", "THRU", "THROUGH", "BIS"}
+#: Cells that the prior, and the scores of all sources, count for beside the cells of a source.
+PRIOR_CELLS, COMMON_CELLS = 4.0, 8.0
+#: Rows handed on at a time.
+AT_ONCE = 20_000
 _QUOTES = re.compile(r"[\"'`“”‘’„«»\[\]{}()<>]")
 _SPACE = "\r\v\f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000\ufeff" + "".join(map(chr, range(0x2000, 0x200C)))
 _TO_SPACE = str.maketrans(dict.fromkeys(_SPACE, " ") | {"\r": "\n", "–": "-", "—": "-", "−": "-", "‐": "-", "‑": "-", "…": "~", "～": "~"})
-_NAME = re.compile(r"([A-Z]+-?)(\d+)")
-_NUMBER = re.compile(r"\d+")
-_SPAN = re.compile(r"(?:([A-Z]+-?)?(\d+)) *(?:-|\.{2,}|~|:| TO | THRU | THROUGH | BIS ) *(?:([A-Z]+-?)?(\d+))")
-#: Java form of a piece that is a whole designator; for the per-source scores.
-_PIECE = r"^[\s\"'\[\]{}()]*[A-Za-z]+-?[0-9]+[\s\"'\[\]{}()]*$"
-
-
-def source_scores(cells: DataFrame, source: str, cell: str, quantity: str | None) -> DataFrame:
-    """(source, scores: array<double> in the order of DELIMITERS), by one aggregation with map-side partial sums."""
-    want = F.regexp_extract(F.coalesce(F.col(quantity), F.lit("")), r"([0-9]+)", 1).try_cast("int") if quantity else F.lit(None).cast("int")
-    parts = []
-    for k, d in enumerate(DELIMITERS):
-        pieces = F.filter(F.split(F.col(cell), d + "+"), lambda p: F.trim(p) != "")
-        fit = F.size(F.filter(pieces, lambda p: p.rlike(_PIECE))) / F.size(pieces)
-        same = F.when(want.isNull(), 0.5).when(F.size(pieces) == want, 1.0).otherwise(0.0)
-        used = F.col(cell).rlike(d) & (F.size(pieces) > 1)
-        parts += [F.sum(F.when(used, fit * 0.7 + same * 0.3)).alias(f"_s{k}"), F.sum(F.when(used, 1.0)).alias(f"_n{k}")]
-    smooth = [((F.coalesce(F.col(f"_s{k}"), F.lit(0.0)) + 0.5) / (F.coalesce(F.col(f"_n{k}"), F.lit(0.0)) + 1.0)) for k in range(len(DELIMITERS))]
-    return cells.groupBy(F.col(source).alias("_source")).agg(*parts).select("_source", F.array(*smooth).alias("_scores"))
-
-
-_PATTERNS = [re.compile(d.replace("and|und|et", "AND|UND|ET") + "+") for d in DELIMITERS]
-
-
-def _atoms(text: str, order: list[int]) -> list[str]:
-    """Pieces that are designators, numbers or spans, in reading order; delimiters are tried in `order`."""
-    text = text.strip(" \n\t")
-    if not text:
-        return []
-    if _NAME.fullmatch(text) or _NUMBER.fullmatch(text) or _SPAN.fullmatch(text):
-        return [text]
-    for at, k in enumerate(order):
-        pieces = [p for p in _PATTERNS[k].split(text) if p.strip()]
-        if len(pieces) > 1 or (pieces and pieces[0].strip() != text):
-            return [a for p in pieces for a in _atoms(p, order[at:])]
-    return [m[0] for m in re.finditer(r"[A-Z]+-?\d+|(?<![A-Z\d])\d+", text)]
-
-
-def unpack_cell(cell: str | None, scores: list[float] | None = None) -> list[str]:
-    """The designators of one cell, upper case, spans written out, in reading order."""
-    if cell is None:
-        return []
+_TOKEN = re.compile(r"([A-Z]+-?)?(\d+)")
+_AGAIN = re.compile(r"([^\w\s])\s*(?:\1\s*)+")
+
+
+def pieces(cell: str | None) -> tuple[list[tuple[str, str]], list[str]]:
+    """([(letters or "", digits)], [mark before each piece but the first]) of a cell, in reading order."""
+    if not cell:
+        return [], []
     text = _QUOTES.sub(" ", cell.translate(_TO_SPACE)).upper()
-    text = re.sub(r" {2,}", " ", text)
-    text = re.sub(r"[ \n\t]?(?<![A-Z])(-|\.{2,}|~|:|TO|THRU|THROUGH|BIS)(?![A-Z]{3})[ \n\t]+(?=[A-Z]*-?\d)", r" \1 ", text)
-    text = re.sub(r"(?<=\d)\s*(-|\.{2,}|~|:)\s*(?=[A-Z]*-?\d)", r"\1", text)
-    text = re.sub(r"(?<![A-Z])(?:AND|UND|ET)(?![A-Z])", " , ", text)
-    scores = scores or [0.5] * len(DELIMITERS)
-    # a blank parts last: it also stands beside other delimiters and inside spans
-    order = sorted(range(len(DELIMITERS)), key=lambda k: (DELIMITERS[k] == " ", -scores[k], k))
-    out: list[str] = []
-    letters = ""
-    for atom in _atoms(text, order):
-        if m := _SPAN.fullmatch(atom):
-            head, a, tail, b = m.groups()
-            head = head or letters
+    out, marks, end = [], [], 0
+    for m in _TOKEN.finditer(text):
+        if out:
+            marks.append(_mark(text[end : m.start()]))
+        out.append((m[1] or "", m[2]))
+        end = m.end()
+    return out, marks
+
+
+def _mark(between: str) -> str:
+    """What stands between two pieces, in one spelling: repeats as one (full stops as two), blanks only where nothing else stands."""
+    bare = between.strip()
+    if not bare:
+        return "\n" if "\n" in between else "\t" if "\t" in between else " "
+    if len(bare) > 1:
+        bare = _AGAIN.sub(lambda m: ".." if m[1] == "." else m[1], bare)
+        bare = re.sub(r"\s+", " ", bare).strip()
+    return bare
+
+
+def prior(mark: str) -> str:
+    return SPAN if mark in PRIOR else PART
+
+
+def runs(out: list[tuple[str, str]], marks: list[str], reading) -> list[tuple[str, int, int, int]]:
+    """(letters, first number, last number, width of padded digits) in reading order; reading: mark -> how it is read."""
+    how = [reading(m) for m in marks]
+    got: list[tuple[str, int, int, int]] = []
+    letters, k = "", 0
+    while k < len(out):
+        end = k
+        while end < len(how) and how[end] == SPAN:
+            end += 1
+        head, a = out[k]
+        head = head or letters
+        if end == k + 1:
+            tail, b = out[end]
             if tail and head and tail.endswith("-") and not head.endswith("-") and tail[:-1] == head:
                 tail = head
-            if head and (not tail or tail == head) and abs(int(b) - int(a)) < SPAN_LIMIT:
-                step, width = (1 if int(b) >= int(a) else -1), len(a) if a[0] == "0" else 0
-                out += [f"{head}{n:0{width}d}" for n in range(int(a), int(b) + step, step)]
-                letters = head
-                continue
-            out += [f"{x or head}{n}" for x, n in ((head, a), (tail, b)) if x or head]
-            letters = tail or head or letters
-        elif m := _NAME.fullmatch(atom):
-            letters = m[1]
-            out.append(atom)
-        elif letters:
-            out.append(letters + atom)
-    return out
+            if head and (not tail or tail == head):
+                got.append((head, int(a), int(b), len(a) if a[0] == "0" else 0))
+                letters, k = head, end + 1
+            else:
+                got += [(x, int(n), int(n), len(n)) for x, n in ((head, a), (tail or head, b)) if x]
+                letters, k = tail or head or letters, end + 1
+        else:
+            for x, n in out[k : end + 1]:
+                letters = x or letters
+                if letters:
+                    got.append((letters, int(n), int(n), len(n)))
+            k = end + 1
+        # pieces that are none of their own belong to the one before
+        while k < len(out) and how[k - 1] == NONE:
+            k += 1
+    return got
+
+
+def names(got: list[tuple[str, int, int, int]]) -> Iterator[str]:
+    """The designators of runs, written out one after the other."""
+    for letters, a, b, width in got:
+        step = 1 if b >= a else -1
+        for n in range(a, b + step, step):
+            yield f"{letters}{n:0{width}d}"
+
+
+def size(got: list[tuple[str, int, int, int]]) -> int:
+    return sum(abs(b - a) + 1 for _, a, b, _ in got)
+
+
+def unpack_cell(cell: str | None, readings: dict[str, str] | None = None) -> list[str]:
+    """The designators of one cell, upper case, spans written out, in reading order; readings: mark -> reading, where it is not the prior's."""
+    readings = readings or {}
+    return list(names(runs(*pieces(cell), lambda m: readings.get(m) or prior(m))))
+
+
+def evidence(cell: str | None, quantity: int | None) -> Iterator[tuple[str, float, float, float]]:
+    """(mark, scores of the readings PART, SPAN and NONE) of each different mark in a cell."""
+    out, marks = pieces(cell)
+    for mark in dict.fromkeys(marks):
+        at = [k for k, m in enumerate(marks) if m == mark]
+        # piece types: a span goes up within the same letters, by more than one, and ends there
+        rising = sum(out[k + 1][0] in ("", out[k][0]) and int(out[k][1]) + 1 < int(out[k + 1][1]) and k + 1 not in at and k - 1 not in at for k in at) / len(at)
+        regular = {PART: 1.0 - 0.5 * rising, SPAN: rising, NONE: 0.0}
+        score = []
+        for how in (PART, SPAN, NONE):
+            same = 0.5 if quantity is None else float(size(runs(out, marks, lambda m: how if m == mark else prior(m))) == quantity)
+            score.append(0.7 * same + 0.3 * regular[how])
+        yield mark, *score
+
+
+_READINGS = (PART, SPAN, NONE)
+
+
+def source_readings(cells: DataFrame) -> DataFrame:
+    """(_source, _how: map of mark -> reading) for each source with marks that are not read as the prior would; cells:
+    _source, _cell, _qty. Cells are counted where they lie; what moves is one row for each source and mark of a batch."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            sums: dict[tuple[str | None, str], list[float]] = {}
+            for source, cell, q in zip(b["_source"], b["_cell"], b["_qty"]):
+                for mark, *score in evidence(cell, None if pd.isna(q) else int(q)):
+                    own = sums.setdefault((source, mark), [0.0] * 4)
+                    own[0] += 1.0
+                    for k in range(3):
+                        own[k + 1] += score[k]
+            yield pd.DataFrame([(*key, *v) for key, v in sums.items()], columns=["_source", "mark", "n", *_READINGS])
+
+    sums = ["n", *_READINGS]
+    own = cells.mapInPandas(count, "_source string, mark string, n double, part double, span double, none double")
+    own = own.groupBy("_source", "mark").agg(*(F.sum(c).alias(c) for c in sums))
+    spans = F.col("mark").isin(*sorted(PRIOR))
+    weight = {PART: F.when(spans, 0.3).otherwise(0.8), SPAN: F.when(spans, 0.8).otherwise(0.3), NONE: F.lit(0.2)}
+    every = own.groupBy("mark").agg(*(F.sum(c).alias(f"a_{c}") for c in sums))
+    mean = {r: (F.col(f"a_{r}") + PRIOR_CELLS * weight[r]) / (F.col("a_n") + PRIOR_CELLS) for r in _READINGS}
+    score = [((F.col(r) + COMMON_CELLS * mean[r]) / (F.col("n") + COMMON_CELLS)).alias(f"s_{r}") for r in _READINGS]
+    scored = own.join(every, "mark").select("_source", "mark", *score)
+    best = F.greatest(*(F.col(f"s_{r}") for r in _READINGS))
+    how = F.when(F.col("s_part") == best, PART).when(F.col("s_span") == best, SPAN).otherwise(NONE)
+    other = scored.withColumn("how", how).filter(F.col("how") != F.when(spans, SPAN).otherwise(PART))
+    return other.groupBy("_source").agg(F.map_from_entries(F.collect_list(F.struct("mark", "how"))).alias("_how"))
 
 
 def unpack(df: DataFrame, row_id: str, source: str, cell: str, quantity: str | None = None, least: int = 2) -> DataFrame:
     """(row_id, pos, refdes) of every cell that holds at least `least` designators; pos counts from 1 in reading order."""
-    pick = [F.col(row_id).alias("_id"), F.col(source).alias("_source"), F.col(cell).alias("_cell")]
-    rows = df.select(*pick, (F.col(quantity) if quantity else F.lit(None).cast("string")).alias("_qty")).filter(F.col("_id").isNotNull() & ~blank(F.col("_cell")))
-    scores = source_scores(rows, "_source", "_cell", "_qty")
+    want = F.regexp_extract(F.coalesce(F.col(quantity).cast("string"), F.lit("")), r"([0-9]+)", 1).try_cast("int") if quantity else F.lit(None).cast("int")
+    rows = df.select(F.col(row_id).alias("_id"), F.col(source).cast("string").alias("_source"), F.col(cell).alias("_cell"), want.alias("_qty"))
+    rows = rows.filter(F.col("_id").isNotNull() & ~blank(F.col("_cell")))
+    readings = source_readings(rows.select("_source", "_cell", "_qty"))
     # re-delivered rows repeat id and cell; the state of the aggregate is one row per id
     once = rows.groupBy("_id").agg(F.min_by(F.struct("_source", "_cell"), F.struct("_cell", "_source")).alias("_r")).select("_id", "_r.*")
-    scored = once.join(scores, once["_source"].eqNullSafe(scores["_source"]), "left").select("_id", "_cell", "_scores")
+    told = once.join(readings, once["_source"].eqNullSafe(readings["_source"]), "left").select("_id", "_cell", "_how")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, pos, out = [], [], []
         for b in batches:
-            got = [unpack_cell(c, list(s) if s is not None else None) for c, s in zip(b["_cell"], b["_scores"])]
-            yield pd.DataFrame({"_id": b["_id"], "_names": [g if len(g) >= least else [] for g in got]})
+            for i, c, how in zip(b["_id"], b["_cell"], b["_how"]):
+                other = dict(how) if how is not None else {}
+                got = runs(*pieces(c), lambda m: other.get(m) or prior(m))
+                if size(got) < least:
+                    continue
+                for k, name in enumerate(names(got), 1):
+                    ids.append(i)
+                    pos.append(k)
+                    out.append(name)
+                    if len(out) >= AT_ONCE:
+                        yield pd.DataFrame({"row_id": ids, "pos": pos, "refdes": out})
+                        ids, pos, out = [], [], []
+        yield pd.DataFrame({"row_id": pd.Series(ids, dtype=object if not ids else None), "pos": pd.Series(pos, dtype="int64"), "refdes": pd.Series(out, dtype=object)})
 
     kind = df.schema[row_id].dataType.simpleString()
-    names = scored.mapInPandas(cut, f"_id {kind}, _names array<string>")
-    return names.select(F.col("_id").alias("row_id"), F.posexplode("_names").alias("pos", "refdes")).withColumn("pos", (F.col("pos") + 1).cast("long"))
+    return told.mapInPandas(cut, f"row_id {kind}, pos long, refdes string")
