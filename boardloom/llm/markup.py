@@ -1,21 +1,20 @@
 """Markup residue in texts: HTML, Markdown, wiki and LaTeX turned into clean text that keeps headings, lists, code and formulas.
 
 A text is cut into leaves: signs that may be markup, and the words between them, each with the path of what is open around
-it. A bidirectional LSTM (numpy; weights from `train_markup.py`) reads the sequence, tag paths and hashed words (bounds below), and
-labels every leaf: sign or word of markup, heading, list, code, formula, table, or plain text. A value whose leaves the
-labeller holds for markup is then checked exactly by the grammars of the four languages (`pieces`). Its clean text is made
-by regular expressions (`clean`); the labels are listed beside it and steer no conversion.
+it. A bidirectional LSTM (numpy; weights from `train_markup.py`) reads the whole sequence, tag paths and hashed words, and
+labels every leaf: sign or word of markup, heading, list, code, formula, table, quote or plain text. The labels decide: a value has
+markup if a leaf is held for it at MARKUP and above; in its clean text signs that are not held for markup are left alone, and
+structure is written out only where its role was given (`clean`).
 
 Defined results: null, empty and blank texts have no markup and come out as they are (`residue(whole=True)`); comparison signs, bus ranges, signal
-names, arithmetic, paths, arrows and the " | " between cells are no markup; texts are cut into leaves whole, but
-of a leaf the labeller reads 400 characters, 12 words and 24 characters of a sign, and sequences beyond STRETCH leaves in
-stretches with CONTEXT leaves around them; repeated rows count once, rows without an id are left out.
+names, arithmetic, paths, arrows and the " | " between cells are no markup; texts are read whole, all words of a leaf
+and all leaves of a text: longer sequences are computed in stretches that hand their state on, in both directions, with the
+same result; repeated rows count once, rows without an id are left out.
 """
 
 from __future__ import annotations
 
 import html
-import html.entities
 import io
 import pkgutil
 import re
@@ -31,48 +30,9 @@ from pyspark.sql import functions as F
 from boardloom.tables import spread
 
 ROLES = ["text", "heading", "list", "code", "formula", "table", "quote", "mark"]
-#: What the labeller holds for markup at this probability and above goes on to the exact check.
-MAYBE = 0.2
-
-_TAGS = "a|abbr|b|big|blockquote|body|br|center|code|dd|del|div|dl|dt|em|font|h[1-6]|head|hr|html|i|img|ins|kbd|li|math|nowiki|ol|p|pre|q|ref|references|s|samp|small|span|strike|strong|sub|sup|table|tbody|td|tfoot|th|thead|title|tr|tt|u|ul|var"
-_COMMANDS = (
-    "alpha|approx|bar|begin|beta|bf|bullet|cdot|celsius|centering|chapter|circ|cite|degree|delta|Delta|dots|emph|end|footnote|frac|ge|geq|hbox|hline|hspace|infty|item|itshape|kilo|"
-    "label|ldots|le|left|leq|mathrm|mathbf|mbox|mega|micro|milli|mu|newline|ohm|omega|Omega|overline|paragraph|percent|pi|pm|quad|qquad|ref|right|rm|section|si|SI|sigma|sqrt|"
-    "subsection|subsubsection|sum|tau|textbf|textdegree|textit|textmu|textohm|textrm|textsubscript|textsuperscript|texttt|textunderscore|times|to|tt|underline|unit|url|vspace|volt|watt"
-)
-_TAG = rf"</?(?:{_TAGS})(?:\s[^<>]*|/)?>|<(?:{_TAGS})\s+[a-z-]+\s*=[^<>\n]*|<!--(?:.*?-->|.*)|<!DOCTYPE[^>]*>?|<\?xml[^>]*>?|<https?://[^>\s]*>?"
-_ENTITY = r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6});?|&[A-Za-z][A-Za-z0-9]{1,30};|&(?:nbsp|amp|lt|gt|quot|deg|micro|plusmn|times)(?![A-Za-z0-9=])"
-#: (kind, pattern) of pieces that are markup wherever they stand.
-_ANYWHERE = [
-    ("html", rf"(?is:{_TAG})"),
-    ("entity", _ENTITY),
-    ("code", r"`"),
-    ("strong", r"(?<![\w*])\*\*(?=[^\s*])|(?<=[^\s*])\*\*(?![\w*])"),
-    ("strong", r"(?<!\w)__(?=[A-Za-z])|(?<=[A-Za-z0-9.)])__(?!\w)"),
-    ("emphasis", r"(?<![\w*])\*(?=[^\s*\d])[^*\n]*[^\s*]\*(?![\w*])"),
-    ("emphasis", r"(?<!\w)_(?=[^\s_])(?![A-Z0-9]+_(?!\w))[^_\n]*[^\s_]_(?!\w)"),
-    ("strike", r"~~(?=[^\s~])|(?<=[^\s~])~~(?!~)"),
-    ("link", r"!?\[[^\[\]\n]*\]\([^)\s]*(?:\s+\"[^\"]*\")?\)?|(?<!\w)\[[^\[\]\n]+\]\[[^\[\]\n]*\]|\[\^[^\]\s]+\]|\[https?://[^\]\s]+"),
-    ("wiki", r"\[\[|\]\]|\{\{|\}\}|(?<![\d'\w])'{2,5}(?=[^\s'])|(?<=[A-Za-z.!?)])'{2,5}(?![\w'])"),
-    ("formula", r"\$\$|\$(?=[^\s$\d])[^$\n]*?[^\s$]\$(?!\d)|\$(?=[^\s$]*[\\_^]\{?)|\\[()\[\]]|(?<=\w)[_^]\{"),
-    ("latex", rf"\\(?:{_COMMANDS})(?![A-Za-z])\*?|(?<![\w:\\])\\[A-Za-z]+\*?\s*[\[{{]|\\[_#&%${{}}~^*](?!\w:)|(?<=\w)\\[,;!](?=\s?\S)|\\\\(?=\s|$|\\hline)"),
-]
-#: Pieces that are markup where they open a line (or a cell of raw rows).
-_OPENING = [
-    ("heading", r"#{1,6}\s+(?=\S)|={2,6}\s*(?=[^=\s])"),
-    ("list", r"(?:[-+]|\*{1,4}|#+\*+)\s+(?=\S)|\d{1,3}[.)]\s+(?=\D)|[:;]+\s*(?=[A-Za-z])"),
-    ("emphasis", r"\*(?=[A-Za-z])"),
-    ("quote", r">+\s*(?=[A-Za-z\"'(*_\[`>])"),
-    ("code", r"```|~~~"),
-    ("table", r"\{\||\|[-}+](?!\d)|\|\||\|(?=\s|\w)|!{1,2}\s*(?=[^\n]*!!)"),
-    ("rule", r"(?:-{3,}|\*{3,}|_{3,}|={3,})\s*$"),
-]
-_ANY = re.compile("|".join(f"(?P<k{i}>{p})" for i, (_, p) in enumerate(_ANYWHERE)))
-_OPEN = re.compile("|".join(f"(?P<k{i}>{p})" for i, (_, p) in enumerate(_OPENING)), re.M)
-
+#: Probability from which on a leaf is markup.
+MARKUP = 0.5
 
-def _named(entity: str) -> bool:
-    return entity.startswith("&#") or not entity.endswith(";") or entity[1:] in html.entities.html5
 
 
 def starts(text: str, cells: bool) -> list[int]:
@@ -81,36 +41,14 @@ def starts(text: str, cells: bool) -> list[int]:
     return [m.end() for m in re.finditer(pattern, text)]
 
 
-def pieces(text: str | None, cells: bool = False) -> list[tuple[int, int, str]]:
-    """(start, end, kind) of each piece of markup; `cells`: the text is a row of cells parted by " | "."""
-    if not text:
-        return []
-    out = []
-    for m in _ANY.finditer(text):
-        kind = _ANYWHERE[int(m.lastgroup[1:])][0]
-        if kind == "entity" and not _named(m[0]):
-            continue
-        out.append((m.start(), m.end(), kind))
-    for at in starts(text, cells):
-        m = _OPEN.match(text, at)
-        if m:
-            kind = _OPENING[int(m.lastgroup[1:])][0]
-            if kind == "table" and cells and m[0] == "|" and at and text[at - 1] == " " and text[:at].rstrip().endswith("|"):
-                continue  # an empty cell
-            out.append((m.start(), m.end(), kind))
-    if cells and not out and "|" not in text and text.split("\n")[0].count(" & ") >= 2:
-        out += [(m.start(), m.end(), "table") for m in re.finditer(" & ", text)]
-    return sorted(out)
-
-
 # --- leaves ------------------------------------------------------------------------------------------------------------
 
 _SIGN = re.compile(
-    r"</?[A-Za-z!][^<>\n]{0,200}>|<!--|<|&#?\w{1,30};?|\\[A-Za-z]+\*?|\\.|`+|\*+|_{2,}|~+|'{2,}|\[\[|\]\]|\{\{|\}\}|\{\||\|\}|\|-|\$+|!?\[[^\[\]\n]*\]\(?|[_^]\{|[|{}#=>+-]+|\d{1,3}[.)](?=\s)"
+    r"</?[A-Za-z!][^<>\n]*>|<!--|<|&#?\w{1,30};?|\\[A-Za-z]+\*?|\\.|`+|\*+|_{2,}|(?<!\w)_(?=[^\s_])|(?<=[^\s_])_(?!\w)|~+|'{2,}|\[\[|\]\]|\{\{|\}\}|\{\||\|\}|\|-|\$+|!?\[[^\[\]\n]*\]\(?|[_^]\{|[|{}#=>+-]+|\d{1,3}[.)](?=\s)|(?:^|(?<=\n)|(?<=\| ))[:;]{1,4}(?=\s*[A-Za-z])"
 )
-_CLOSED_BY = {"<": ">"}
 WORDS_DIM, SIGN_DIM = 24, 40
 DIM = 12 + WORDS_DIM + SIGN_DIM
+_LEAF_WORD = re.compile(r"[^\W\d_]+|\d")
 
 
 def _class(c: str) -> int:
@@ -143,26 +81,54 @@ def leaves(text: str, cells: bool) -> list[tuple[int, int, bool, str]]:
     return out
 
 
+class Vectors:
+    """The vectors of leaves, each distinct leaf made once; forgotten all together when there are MOST of them."""
+
+    MOST = 100_000
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
+        self.at: dict[tuple, int] = {}
+        self.rows = np.zeros((1024, DIM), np.float32)
+
+    def ids(self, text: str, cells: bool, seq: list[tuple[int, int, bool, str]]) -> np.ndarray:
+        opens, n = set(starts(text, cells)), len(text)
+        kinds = [_class(text[a - 1] if a else "") for a, _, _, _ in seq]
+        kinds_after = [_class(text[b] if b < n else "") for _, b, _, _ in seq]
+        # all that a leaf's vector depends on
+        keys = [(text[a:b], sign, path, a in opens, before, after) for (a, b, sign, path), before, after in zip(seq, kinds, kinds_after)]
+        out = np.empty(len(seq), np.int64)
+        for i, key in enumerate(keys):
+            k = self.at.get(key)
+            if k is None:
+                k = self.at[key] = len(self.at)
+                if k >= len(self.rows):
+                    self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+                self.rows[k] = vector(*key)
+            out[i] = k
+        return out
+
+
 def vectors(text: str, cells: bool, seq: list[tuple[int, int, bool, str]]) -> np.ndarray:
     """One row per leaf: place and neighbours, hashed words, hashed signs and path."""
-    x = np.zeros((len(seq), DIM), np.float32)
-    opens = set(starts(text, cells))
-    for i, (a, b, sign, path) in enumerate(seq):
-        # all that a leaf's vector depends on
-        x[i] = _vector(text[a:b] if b - a <= 400 else text[a : a + 400], sign, path, a in opens, _class(text[a - 1 : a] if a else ""), _class(text[b : b + 1]))
-    return x
+    v = Vectors()
+    return v.rows[v.ids(text, cells, seq)]
 
 
-@lru_cache(maxsize=50_000)
-def _vector(s: str, sign: bool, path: str, opens: bool, before: int, after: int) -> np.ndarray:
+def vector(s: str, sign: bool, path: str, opens: bool, before: int, after: int) -> np.ndarray:
+    """Of one leaf. All its words count; beyond twelve they weigh less, so that a long leaf is no louder than a short one."""
     row = np.zeros(DIM, np.float32)
     row[0], row[1], row[2 + before], row[7 + after] = sign, opens, 1.0, 1.0
-    for w in re.findall(r"[^\W\d_]+|\d", s.lower())[:12]:
+    words = _LEAF_WORD.findall(s.lower())
+    weight = 0.3 * min(1.0, 12 / max(1, len(words)))
+    for w in words:
         k, v = _bucket(w, WORDS_DIM)
-        row[12 + k] += v * 0.3
+        row[12 + k] += v * weight
     marks = [f"p:{path}"] if path else []
     if sign:
-        marks += [f"s:{re.sub(r'[0-9]+', '9', s.lower())[:24]}", f"h:{s[:1]}", f"t:{s[-1:]}", f"n:{s[:1]}{before}{after}{int(opens)}"]
+        marks += [f"s:{re.sub(r'[0-9]+', '9', s.lower())}", f"h:{s[:1]}", f"t:{s[-1:]}", f"n:{s[:1]}{before}{after}{int(opens)}"]
     for w in marks:
         k, v = _bucket(w, SIGN_DIM)
         row[12 + WORDS_DIM + k] += v
@@ -176,17 +142,20 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(z, -30, 30)))
 
 
-def lstm(x: np.ndarray, live: np.ndarray, w: np.ndarray, u: np.ndarray, b: np.ndarray, keep: bool = False):
-    """Hidden states of a batch (n, time, dim), in order of time; live: (n, time), where a sequence has ended its state stays."""
+def lstm(x: np.ndarray, live: np.ndarray, w: np.ndarray, u: np.ndarray, b: np.ndarray, keep: bool = False, state: tuple[np.ndarray, np.ndarray] | None = None):
+    """Hidden states of a batch (n, time, dim), in order of time; live: (n, time), where a sequence has ended its state stays.
+    state: what to begin with; (hidden, cell) of the last step comes back beside the states where one is given."""
     n, time, _ = x.shape
     size = u.shape[0]
-    h, c = np.zeros((n, size), np.float32), np.zeros((n, size), np.float32)
+    h, c = state if state is not None else (np.zeros((n, size), np.float32), np.zeros((n, size), np.float32))
     out, kept = np.zeros((n, time, size), np.float32), []
     wx = x.reshape(n * time, -1) @ w + b
     wx = wx.reshape(n, time, 4 * size)
     for t in range(time):
         z = wx[:, t] + h @ u
-        i, f, o, g = _sigmoid(z[:, :size]), _sigmoid(z[:, size : 2 * size] + 1.0), _sigmoid(z[:, 2 * size : 3 * size]), np.tanh(z[:, 3 * size :])
+        z[:, size : 2 * size] += 1.0
+        gates = _sigmoid(z[:, : 3 * size])
+        i, f, o, g = gates[:, :size], gates[:, size : 2 * size], gates[:, 2 * size :], np.tanh(z[:, 3 * size :])
         m = live[:, t : t + 1]
         c1 = f * c + i * g
         h1 = o * np.tanh(c1)
@@ -194,6 +163,8 @@ def lstm(x: np.ndarray, live: np.ndarray, w: np.ndarray, u: np.ndarray, b: np.nd
             kept.append((h, c, i, f, o, g, c1, m))
         c, h = m * c1 + (1 - m) * c, m * h1 + (1 - m) * h
         out[:, t] = h
+    if state is not None:
+        return out, (h, c)
     return (out, kept) if keep else out
 
 
@@ -212,120 +183,171 @@ def weights() -> dict[str, np.ndarray]:
         return {k: z[k].astype(np.float32) for k in z.files}
 
 
-#: A longer sequence of leaves is read in stretches, each with so many leaves of context at both ends.
-STRETCH, CONTEXT = 4096, 64
+#: Leaves that are computed at a time: of one text (a stretch), and of all texts of a batch.
+STRETCH, AT_ONCE = 4096, 60_000
 
 
-def label(texts: list[tuple[str, bool]], at_once: int = 256) -> list[tuple[list[tuple[int, int, bool, str]], np.ndarray, np.ndarray]]:
+def label(texts: list[tuple[str, bool]], stretch: int = STRETCH, known: Vectors | None = None) -> list[tuple[list[tuple[int, int, bool, str]], np.ndarray, np.ndarray]]:
     """Per (text, cells): its leaves, their roles (indices of ROLES) and their probability of being markup."""
-    w = weights()
-    whole = [leaves(t, c) for t, c in texts]
-    owner, seqs, inner = [], [], []
-    for i, seq in enumerate(whole):
-        for a in range(0, max(1, len(seq)), STRETCH):
-            low, high = max(0, a - CONTEXT), min(len(seq), a + STRETCH + CONTEXT)
-            owner.append(i)
-            seqs.append(seq[low:high])
-            inner.append((a - low, min(a + STRETCH, len(seq)) - low))
-    got = _label([texts[i] for i in owner], seqs, w, at_once)
-    out = [(seq, [], []) for seq in whole]
-    for i, (a, b), (role, p) in zip(owner, inner, got):
-        out[i][1].append(role[a:b])
-        out[i][2].append(p[a:b])
-    return [(seq, np.concatenate(r), np.concatenate(p)) for seq, r, p in out]
-
-
-def _label(texts: list[tuple[str, bool]], seqs: list, w: dict[str, np.ndarray], at_once: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    w, known = weights(), known or Vectors()
+    seqs = [leaves(t, c) for t, c in texts]
     out: list = [None] * len(texts)
-    order = sorted(range(len(texts)), key=lambda i: len(seqs[i]))
-    for k in range(0, len(order), at_once):
-        part = [i for i in order[k : k + at_once] if seqs[i]]
-        for i in order[k : k + at_once]:
-            if not seqs[i]:
-                out[i] = (np.zeros(0, int), np.zeros(0))
-        while part:
-            time = max(len(seqs[i]) for i in part)
-            n = max(1, min(len(part), 200_000 // time))
-            now, part = part[:n], part[n:]
-            time = max(len(seqs[i]) for i in now)
-            x, live = np.zeros((len(now), time, DIM), np.float32), np.zeros((len(now), time), np.float32)
-            for r, i in enumerate(now):
-                x[r, : len(seqs[i])], live[r, : len(seqs[i])] = vectors(*texts[i], seqs[i]), 1.0
-            h = np.concatenate([lstm(x, live, w["wf"], w["uf"], w["bf"]), reversed_in(lstm(reversed_in(x, live), live, w["wb"], w["ub"], w["bb"]), live)], 2)
-            z = h @ w["v"] + w["c"]
-            role, markup = z[:, :, : len(ROLES)].argmax(2), _sigmoid(z[:, :, -1])
-            for r, i in enumerate(now):
-                out[i] = (role[r, : len(seqs[i])], markup[r, : len(seqs[i])])
+    part: list[int] = []
+    for i in sorted(range(len(texts)), key=lambda i: len(seqs[i])):
+        n = len(seqs[i])
+        if not n:
+            out[i] = (seqs[i], np.zeros(0, int), np.zeros(0))
+        elif n > stretch:
+            out[i] = (seqs[i], *_label_long(known.rows[_ids(known, texts[i], seqs[i])], stretch, w))
+        else:
+            # of rising length: little of a batch is padding
+            if part and (n * (len(part) + 1) > AT_ONCE or n > 1.3 * len(seqs[part[0]]) + 2):
+                _label(texts, seqs, part, out, known, w)
+                part = []
+            part.append(i)
+    if part:
+        _label(texts, seqs, part, out, known, w)
     return out
 
 
+def _ids(known: Vectors, text: tuple[str, bool], seq: list) -> np.ndarray:
+    if len(known.at) > Vectors.MOST:
+        known.clear()
+    return known.ids(*text, seq)
+
+
+def _read(h: np.ndarray, w: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    z = h @ w["v"] + w["c"]
+    return z[..., : len(ROLES)].argmax(-1), _sigmoid(z[..., -1])
+
+
+def _label(texts: list, seqs: list, part: list[int], out: list, known: Vectors, w: dict[str, np.ndarray]) -> None:
+    time = len(seqs[part[-1]])
+    x, live = np.zeros((len(part), time, DIM), np.float32), np.zeros((len(part), time), np.float32)
+    for r, i in enumerate(part):
+        ids = _ids(known, texts[i], seqs[i])
+        x[r, : len(ids)], live[r, : len(ids)] = known.rows[ids], 1.0
+    h = np.concatenate([lstm(x, live, w["wf"], w["uf"], w["bf"]), reversed_in(lstm(reversed_in(x, live), live, w["wb"], w["ub"], w["bb"]), live)], 2)
+    role, p = _read(h, w)
+    for r, i in enumerate(part):
+        n = len(seqs[i])
+        out[i] = (seqs[i], role[r, :n], p[r, :n])
+
+
+def _label_long(x: np.ndarray, stretch: int, w: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """One sequence in stretches, each direction handing its state on: as if it were read at once."""
+    n, size = len(x), w["uf"].shape[0]
+    h = np.zeros((n, 2 * size), np.float32)
+    for side, (wx, u, b), order in ((slice(0, size), ("wf", "uf", "bf"), 1), (slice(size, None), ("wb", "ub", "bb"), -1)):
+        state = (np.zeros((1, size), np.float32), np.zeros((1, size), np.float32))
+        firsts = range(0, n, stretch)
+        for a in firsts if order == 1 else reversed(firsts):
+            got, state = lstm(x[None, a : a + stretch][:, ::order], np.ones((1, min(stretch, n - a)), np.float32), w[wx], w[u], w[b], state=state)
+            h[a : a + stretch, side] = got[0, ::order]
+    return _read(h, w)
+
+
 # --- clean text --------------------------------------------------------------------------------------------------------
 
-_STEPS: list[tuple[re.Pattern, str]] = [
-    (re.compile(r"(?s)<!--.*?(?:-->|$)"), ""),
-    (re.compile(r"(?is)<pre[^>]*>\n?(.*?)\n?(?:</pre>|$)"), "\n```\n\\1\n```\n"),
-    (re.compile(r"(?i)<(?:br|/p|/tr|/table|/ul|/ol|/div)\s*/?>"), "\n"),
-    (re.compile(r"(?i)<h([1-6])[^>]*>\s*(.*?)\s*</h\1>"), "\n# \\2\n"),
-    (re.compile(r"(?i)<li[^>]*>\s*"), "\n- "),
-    (re.compile(r"(?i)</t[dh]>\s*<t[dh][^>]*>"), " | "),
-    (re.compile(r"(?is)<(?:code|tt|samp|kbd)[^>]*>(.*?)</(?:code|tt|samp|kbd)>"), "`\\1`"),
-    (re.compile(r"(?is)<sub[^>]*>(.*?)</sub>"), "_\\1"),
-    (re.compile(r"(?is)<sup[^>]*>(.*?)</sup>"), "^\\1"),
-    (re.compile(r"(?is)<ref[^>]*>.*?(?:</ref>|$)"), ""),
-    (re.compile(rf"(?is){_TAG}"), ""),
-    (re.compile(r"(?m)^\s*={2,6}\s*(.*?)\s*=*\s*$"), "# \\1"),
-    (re.compile(r"\\(?:sub)*section\*?\{([^{}]*)\}"), "\n# \\1\n"),
-    (re.compile(r"\\begin\{(?:itemize|enumerate|description)\}|\\end\{(?:itemize|enumerate|description)\}"), "\n"),
-    (re.compile(r"\\item\b\s*"), "\n- "),
-    (re.compile(r"\\begin\{(?:verbatim|lstlisting)\}\n?(.*?)\n?\\end\{(?:verbatim|lstlisting)\}", re.S), "\n```\n\\1\n```\n"),
-    (re.compile(r"\\(?:textbf|textit|emph|texttt|textrm|mathrm|mathbf|underline|mbox)\{([^{}]*)\}"), "\\1"),
-    (re.compile(r"\\(?:hline|centering|newline)\b|\\\\(?=\s|$)"), "\n"),
-    (re.compile(r"\\([_#&%{}~^*])"), "\\1"),
-    (re.compile(r"(?m)^\s*\{\|.*$|^\s*\|[-}+].*$"), ""),
-    (re.compile(r"(?m)^\s*\|\|?\s*|\s*\|\|?\s*$"), ""),
-    (re.compile(r"(?m)^\s*[|:\s-]*-{3,}[|:\s-]*$"), ""),
-    (re.compile(r"!?\[([^\]\n]*)\]\([^)\n]*\)?"), "\\1"),
-    (re.compile(r"\[\^[^\]\s]+\]"), ""),
-    (re.compile(r"\[\[(?:[^|\]\n]*\|)?([^\]\n]*)\]\]"), "\\1"),
-    (re.compile(r"\{\{(?:[^|{}\n]*\|)?([^{}\n]*)\}\}"), "\\1"),
-    (re.compile(r"(?<!\d)'{2,5}"), ""),
-    (re.compile(r"(?<![\w*])(\*{1,3})(?=[^\s*])([^*\n]+?)(?<=[^\s*])\1(?![\w*])"), "\\2"),
-    (re.compile(r"(?<!\w)__(?=\S)([^\n]+?)(?<=\S)__(?!\w)"), "\\1"),
-    (re.compile(r"~~(?=\S)([^~\n]+)~~"), "\\1"),
-    (re.compile(r"(?m)^(\s*)[*+]\s+"), "\\1- "),
-    (re.compile(r"(?m)^\s*>+\s*(?=[A-Za-z\"'(])"), ""),
+_B = r"[^\S\n]*"
+#: (role whose label asks for the step, pattern, what to write); "mark" asks for signs alone. Within one line but for what
+#: opens and closes over several.
+_STEPS: list[tuple[str, re.Pattern, str]] = [
+    ("mark", re.compile(r"(?s)<!--.*?(?:-->|$)"), ""),
+    ("code", re.compile(r"(?is)<pre[^<>]*>\n?(.*?)\n?(?:</pre>|$)"), "\n```\n\\1\n```\n"),
+    ("heading", re.compile(r"(?is)<h([1-6])[^<>]*>\s*(.*?)\s*</h\1>"), "\n# \\2\n"),
+    ("heading", re.compile(rf"(?i)<h[1-6][^<>]*>{_B}"), "\n# "),
+    ("list", re.compile(rf"(?i)<li[^<>]*>{_B}"), "\n- "),
+    ("table", re.compile(r"(?i)</t[dh]>\s*<t[dh][^<>]*>"), " | "),
+    ("code", re.compile(r"(?is)<(code|tt|samp|kbd)[^<>]*>(.*?)</\1>"), "`\\2`"),
+    ("mark", re.compile(r"(?is)<sub[^<>]*>(.*?)</sub>"), "_\\1"),
+    ("mark", re.compile(r"(?is)<sup[^<>]*>(.*?)</sup>"), "^\\1"),
+    ("mark", re.compile(r"(?is)<ref\b[^<>]*>.*?(?:</ref>|$)"), ""),
+    ("mark", re.compile(r"(?i)<(?:br|hr|/?p|/?tr|/?table|/ul|/ol|/dl|/?d[ltd]|/?div|/?section|/?article|/?figure|/?figcaption|/?blockquote|/h[1-6])\b[^<>]*>"), "\n"),
+    ("mark", re.compile(r"</?[A-Za-z!?][^<>\n]*>|</?[A-Za-z][A-Za-z0-9]*(?:\s+[A-Za-z-]+\s*=[^<>\n]*)?$"), ""),
+    ("heading", re.compile(rf"(?m)^{_B}={{2,6}}{_B}([^=\n](?:.*?[^=\s])?){_B}=*{_B}$"), "# \\1"),
+    ("heading", re.compile(rf"(?m)^({_B}[^\s|`>#-].*)\n{_B}(?:=+|-{{3,}}){_B}$"), "# \\1"),
+    ("heading", re.compile(rf"(?m)^{_B}#{{1,6}}[^\S\n]+(.*?){_B}#*{_B}$"), "# \\1"),
+    ("heading", re.compile(r"\\(?:chapter|paragraph|(?:sub)*section)\*?\{([^{}]*)\}"), "\n# \\1\n"),
+    ("code", re.compile(r"(?s)\\begin\{(?:verbatim|lstlisting)\}\n?(.*?)\n?\\end\{(?:verbatim|lstlisting)\}"), "\n```\n\\1\n```\n"),
+    ("table", re.compile(r"\\begin\{(?:tabular|array|longtable)\*?\}(?:\[[^\]\n]*\]|\{[^{}\n]*\})*|\\end\{(?:tabular|array|longtable)\*?\}"), "\n"),
+    ("list", re.compile(rf"\\item\b(?:\[([^\]\n]*)\])?{_B}"), "\n- \\1"),
+    ("mark", re.compile(r"\\(?:begin|end)\{[A-Za-z]+\*?\}"), "\n"),
+    ("mark", re.compile(r"\\(?:textbf|textit|emph|texttt|textrm|mathrm|mathbf|underline|mbox|hbox)\{([^{}]*)\}"), "\\1"),
+    ("mark", re.compile(r"\\(?:hline|centering|newline)\b|\\\\(?=\s|$)"), "\n"),
+    ("mark", re.compile(r"\\([_#&%{}~^*])"), "\\1"),
+    ("table", re.compile(rf"(?m)^{_B}(?:\{{\|.*|\|[-}}].*)\n?"), ""),
+    ("table", re.compile(rf"(?m)^{_B}\|\+{_B}"), ""),
+    ("table", re.compile(rf"(?m)^{_B}!{{1,2}}{_B}(?=.*!!)"), ""),
+    ("table", re.compile(rf"{_B}(?:\|\||!!){_B}(?=\S)"), " | "),
+    ("table", re.compile(rf"(?m)^{_B}(?=[|:-]*[|-])[|: -]*-{{3,}}[|: -]*(?:\n|$)"), ""),
+    ("table", re.compile(rf"(?m)^{_B}\|{_B}|{_B}\|{{1,2}}{_B}$"), ""),
+    ("table", re.compile(r"[^\S\n]&[^\S\n]"), " | "),
+    ("mark", re.compile(r"!?\[([^\]\n]*)\]\([^)\n]*\)?"), "\\1"),
+    ("mark", re.compile(r"\[\^[^\]\s]+\]"), ""),
+    ("mark", re.compile(r"\[\[(?:[^|\]\n]*\|)?([^\]\n]*)\]\]"), "\\1"),
+    ("mark", re.compile(r"\{\{(?:[^|{}\n]*\|)?([^{}\n]*)\}\}"), "\\1"),
+    ("mark", re.compile(r"(?<!\d)'{2,5}"), ""),
+    ("mark", re.compile(r"(?<![\w*])(\*{1,3})(?=[^\s*])([^*\n]+?)(?<=[^\s*])\1(?![\w*])"), "\\2"),
+    ("mark", re.compile(r"(?<!\w)__(?=\S)([^\n]+?)(?<=\S)__(?!\w)"), "\\1"),
+    ("mark", re.compile(r"(?<![\w\ue001])_(?=[^\s_])([^_\n]*[^\s_])_(?![\w\ue000])"), "\\1"),
+    ("mark", re.compile(r"~~(?=\S)([^~\n]+)~~"), "\\1"),
+    ("list", re.compile(rf"(?m)^({_B})[*+][^\S\n]+"), "\\1- "),
+    ("list", re.compile(rf"(?m)^{_B}[:;]+{_B}(?=[A-Za-z])"), ""),
+    ("quote", re.compile(rf"(?m)^{_B}(?:>{_B})+"), ""),
 ]
+_FORMULA = re.compile(r"(?s)\$\$(.+?)\$\$|\\[(\[](.+?)\\[)\]]|\$(?=[^\s$])([^$\n]*?[^\s$])\$(?!\d)")
+_LOOSE = re.compile(r"[\w.]*\\(?:[,;!]|[A-Za-z]+\*?)[^\s\ue000-\uf8ff]*")
+#: Signs that stand for themselves while the others are rewritten, and what is done with already.
+_HELD = re.compile("\ue000(\\d+)\ue001")
 
 
-def clean(text: str, cells: bool) -> str:
-    """The text without markup: headings as `# `, items as `- `, code between backticks, formulas between `$`, cells parted by " | "."""
-    if cells and " | " in text:
-        return " | ".join(clean(c, False) for c in text.split(" | "))
+def clean(text: str, cells: bool, labelled: tuple[list, np.ndarray, np.ndarray] | None = None) -> str:
+    """The text without markup: headings as `# `, items as `- `, code between backticks, formulas between `$`, cells parted by " | ".
+
+    The labels tell what is done: signs held for no markup stand as they are; headings, items, code, formulas, tables and
+    quotes are written out as such where a leaf of the text was given that role; other marks are dropped."""
+    seq, role, p = labelled or label([(text, cells)])[0]
     held: list[str] = []
 
-    def hold(m: re.Match) -> str:
-        inner = m[1] if m[1] is not None else m[2] if m[2] is not None else m[3]
-        held.append(f"${inner.strip()}$")
-        return f"\x00{len(held) - 1}\x00"
-
-    out = re.sub(r"(?s)\$\$(.+?)\$\$|\\[(\[](.+?)\\[)\]]|\$(?=[^\s$\d])([^$\n]*?[^\s$])\$(?!\d)", hold, text)
-    for pattern, to in _STEPS:
-        out = pattern.sub(to, out)
-    def keep(m: re.Match) -> str:
-        held.append(f"${m[0]}$")
-        return f"\x00{len(held) - 1}\x00"
-
-    # what is left of commands is a formula outside dollar signs
-    out = re.sub(rf"[\w.]*\\(?:[,;!]|(?:{_COMMANDS})(?![A-Za-z]))[^\s\x00]*", keep, out)
-    if cells and " | " not in out and " & " in out:
-        out = re.sub(r"\s&\s", " | ", out)
-    if cells and " | " not in out and " || " in out:
-        out = out.replace(" || ", " | ")
+    def hold(s: str) -> str:
+        held.append(s)
+        return f"\ue000{len(held) - 1}\ue001"
+
+    marked = p >= MARKUP
+    if not marked.any():
+        return text
+    asked = {ROLES[r] for r in role[marked].tolist()} | {"mark"}
+    signs = {text[a:b] for (a, b, sign, _), m in zip(seq, marked) if sign and m}
+    # a pipe, a dollar sign, a fence or a command that is held for markup tells of its structure, whatever its words were taken for
+    asked |= {r for r, has in (("table", any(s.strip("|-}{") == "" or s in ("&", "!!") for s in signs)), ("formula", any(s[0] in "$\\_^" for s in signs)), ("code", any(s[0] == "`" for s in signs))) if has}
+    out = "".join(text[a:b] if m or not sign else hold(text[a:b]) for (a, b, sign, _), m in zip(seq, marked))
+    if cells and " | " in text:
+        # cells are parted by a sign that is no markup
+        bars = [f"\ue000{k}\ue001" for k, s in enumerate(held) if s == "|"]
+        return " | ".join(_unhold(_rewritten(c, asked, held, hold), held) for c in re.split(f" (?:{'|'.join([*bars, re.escape('|')])}) ", out))
+    return _unhold(_rewritten(out, asked, held, hold), held)
+
+
+def _rewritten(out: str, asked: set[str], held: list[str], hold) -> str:
+    if "formula" in asked:
+        out = _FORMULA.sub(lambda m: hold(f"${(m[1] or m[2] or m[3]).strip()}$"), out)
+    for role, pattern, to in _STEPS:
+        if role in asked:
+            out = pattern.sub(to, out)
+    if "formula" in asked:
+        # what is left of commands is a formula outside dollar signs
+        out = _LOOSE.sub(lambda m: hold(f"${m[0]}$"), out)
     out = html.unescape(out).replace("\xa0", " ")
-    out = re.sub("\x00(\\d+)\x00", lambda m: held[int(m[1])], out)
     return re.sub(r"\n{3,}", "\n\n", re.sub(r"[^\S\n]+\n", "\n", out)).strip()
 
 
+def _unhold(out: str, held: list[str]) -> str:
+    while _HELD.search(out):
+        out = _HELD.sub(lambda m: held[int(m[1])], out)
+    return out
+
+
 def residue(df: DataFrame, row_id: str, fields: dict[str, bool], with_text: bool = True, whole: bool = False) -> DataFrame:
     """(row_id, field, roles, clean_text) of each value with markup; fields: name -> whether it is a row of cells.
     roles: the structure that the labeller found, in order, without repeats; with_text=False leaves clean_text null;
@@ -339,16 +361,17 @@ def residue(df: DataFrame, row_id: str, fields: dict[str, bool], with_text: bool
     plain, rows = rows.filter(~signs), rows.filter(signs)
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = Vectors()
         for b in batches:
-            texts = [(t, fields[names[f]]) for t, f in zip(b["_text"], b["_field"])]
             memo: dict[tuple[str, bool], int] = {}
-            at = [memo.setdefault(x, len(memo)) for x in texts]
+            at = [memo.setdefault((t, fields[names[f]]), len(memo)) for t, f in zip(b["_text"], b["_field"])]
             got = []
-            for (t, c), (_, role, p) in zip(memo, label(list(memo))):
-                if not len(p) or p.max() < MAYBE or not pieces(t, c):
+            for (t, c), own in zip(memo, label(list(memo), known=known)):
+                _, role, p = own
+                if not len(p) or p.max() < MARKUP:
                     got.append(([], t) if whole else None)
                 else:
-                    got.append((list(dict.fromkeys(ROLES[r] for r in role.tolist() if ROLES[r] != "mark")), clean(t, c) if with_text else None))
+                    got.append((list(dict.fromkeys(ROLES[r] for r in role.tolist() if ROLES[r] != "mark")), clean(t, c, own) if with_text else None))
             out = [(i, names[f], *got[k]) for i, f, k in zip(b["_id"], b["_field"], at) if got[k] is not None]
             yield pd.DataFrame(out, columns=["_id", "field", "roles", "clean_text"])
 

@@ -1,22 +1,93 @@
 """Fits the labeller of `markup.py` on generated texts and writes its weights: python -m boardloom.llm.train_markup.
 
 No test data enters: words, markup and the signs that look like markup but are none are drawn at random, and the labels
-come from how each text was made.
+come from how each text was made. The grammars (`pieces`) are a yardstick for tests and for agreement on tables; no query
+runs them.
 """
 
 from __future__ import annotations
 
+import html.entities
 import random
+import re
 from pathlib import Path
 
 import numpy as np
 
-from boardloom.llm.markup import DIM, ROLES, _sigmoid, leaves, lstm, reversed_in, vectors
+from boardloom.llm.markup import DIM, ROLES, _sigmoid, leaves, lstm, reversed_in, starts, vectors
 
-HIDDEN, STEPS, BATCH, RATE = 24, 2000, 64, 0.01
+HIDDEN, STEPS, BATCH, RATE = 24, 4000, 64, 0.01
 _SYLLABLES = "ba co di fu ge hi jo ku la me no pi qua re su ti vo wa xe yo zu ster ning able port age ing ed".split()
 
 
+# --- grammars ---------------------------------------------------------------------------------------------------------
+
+_TAGS = "a|abbr|b|big|blockquote|body|br|center|code|dd|del|div|dl|dt|em|font|h[1-6]|head|hr|html|i|img|ins|kbd|li|math|nowiki|ol|p|pre|q|ref|references|s|samp|small|span|strike|strong|sub|sup|table|tbody|td|tfoot|th|thead|title|tr|tt|u|ul|var"
+_COMMANDS = (
+    "alpha|approx|bar|begin|beta|bf|bullet|cdot|celsius|centering|chapter|circ|cite|degree|delta|Delta|dots|emph|end|footnote|frac|ge|geq|hbox|hline|hspace|infty|item|itshape|kilo|"
+    "label|ldots|le|left|leq|mathrm|mathbf|mbox|mega|micro|milli|mu|newline|ohm|omega|Omega|overline|paragraph|percent|pi|pm|quad|qquad|ref|right|rm|section|si|SI|sigma|sqrt|"
+    "subsection|subsubsection|sum|tau|textbf|textdegree|textit|textmu|textohm|textrm|textsubscript|textsuperscript|texttt|textunderscore|times|to|tt|underline|unit|url|vspace|volt|watt"
+)
+_TAG = rf"</?(?:{_TAGS})(?:\s[^<>]*|/)?>|<(?:{_TAGS})\s+[a-z-]+\s*=[^<>\n]*|<!--(?:.*?-->|.*)|<!DOCTYPE[^>]*>?|<\?xml[^>]*>?|<https?://[^>\s]*>?"
+_ENTITY = r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6});?|&[A-Za-z][A-Za-z0-9]{1,30};|&(?:nbsp|amp|lt|gt|quot|deg|micro|plusmn|times)(?![A-Za-z0-9=])"
+#: (kind, pattern) of pieces that are markup wherever they stand.
+_ANYWHERE = [
+    ("html", rf"(?is:{_TAG})"),
+    ("entity", _ENTITY),
+    ("code", r"`"),
+    ("strong", r"(?<![\w*])\*\*(?=[^\s*])|(?<=[^\s*])\*\*(?![\w*])"),
+    ("strong", r"(?<!\w)__(?=[A-Za-z])|(?<=[A-Za-z0-9.)])__(?!\w)"),
+    ("emphasis", r"(?<![\w*])\*(?=[^\s*\d])[^*\n]*[^\s*]\*(?![\w*])"),
+    ("emphasis", r"(?<!\w)_(?=[^\s_])(?![A-Z0-9]+_(?!\w))[^_\n]*[^\s_]_(?!\w)"),
+    ("strike", r"~~(?=[^\s~])|(?<=[^\s~])~~(?!~)"),
+    ("link", r"!?\[[^\[\]\n]*\]\([^)\s]*(?:\s+\"[^\"]*\")?\)?|(?<!\w)\[[^\[\]\n]+\]\[[^\[\]\n]*\]|\[\^[^\]\s]+\]|\[https?://[^\]\s]+"),
+    ("wiki", r"\[\[|\]\]|\{\{|\}\}|(?<![\d'\w])'{2,5}(?=[^\s'])|(?<=[A-Za-z.!?)])'{2,5}(?![\w'])"),
+    ("formula", r"\$\$|\$(?=[^\s$\d])[^$\n]*?[^\s$]\$(?!\d)|\$(?=[^\s$]*[\\_^]\{?)|\\[()\[\]]|(?<=\w)[_^]\{"),
+    ("latex", rf"\\(?:{_COMMANDS})(?![A-Za-z])\*?|(?<![\w:\\])\\[A-Za-z]+\*?\s*[\[{{]|\\[_#&%${{}}~^*](?!\w:)|(?<=\w)\\[,;!](?=\s?\S)|\\\\(?=\s|$|\\hline)"),
+]
+#: Pieces that are markup where they open a line (or a cell of raw rows).
+_OPENING = [
+    ("heading", r"#{1,6}\s+(?=\S)|={2,6}\s*(?=[^=\s])"),
+    ("list", r"(?:[-+]|\*{1,4}|#+\*+)\s+(?=\S)|\d{1,3}[.)]\s+(?=\D)|[:;]+\s*(?=[A-Za-z])"),
+    ("emphasis", r"\*(?=[A-Za-z])"),
+    ("quote", r">+\s*(?=[A-Za-z\"'(*_\[`>])"),
+    ("code", r"```|~~~"),
+    ("table", r"\{\||\|[-}+](?!\d)|\|\||\|(?=\s|\w)|!{1,2}\s*(?=[^\n]*!!)"),
+    ("rule", r"(?:-{3,}|\*{3,}|_{3,}|={3,})\s*$"),
+]
+_ANY = re.compile("|".join(f"(?P<k{i}>{p})" for i, (_, p) in enumerate(_ANYWHERE)))
+_OPEN = re.compile("|".join(f"(?P<k{i}>{p})" for i, (_, p) in enumerate(_OPENING)), re.M)
+
+
+def _named(entity: str) -> bool:
+    return entity.startswith("&#") or not entity.endswith(";") or entity[1:] in html.entities.html5
+
+
+def pieces(text: str | None, cells: bool = False) -> list[tuple[int, int, str]]:
+    """(start, end, kind) of each piece of markup; `cells`: the text is a row of cells parted by " | "."""
+    if not text:
+        return []
+    out = []
+    for m in _ANY.finditer(text):
+        kind = _ANYWHERE[int(m.lastgroup[1:])][0]
+        if kind == "entity" and not _named(m[0]):
+            continue
+        out.append((m.start(), m.end(), kind))
+    for at in starts(text, cells):
+        m = _OPEN.match(text, at)
+        if m:
+            kind = _OPENING[int(m.lastgroup[1:])][0]
+            if kind == "table" and cells and m[0] == "|" and at and text[at - 1] == " " and text[:at].rstrip().endswith("|"):
+                continue  # an empty cell
+            out.append((m.start(), m.end(), kind))
+    if cells and not out and "|" not in text and text.split("\n")[0].count(" & ") >= 2:
+        out += [(m.start(), m.end(), "table") for m in re.finditer(" & ", text)]
+    return sorted(out)
+
+
+# --- generated texts ---------------------------------------------------------------------------------------------------
+
+
 def _words(r: random.Random, least: int = 1, most: int = 6) -> str:
     word = lambda: "".join(r.choice(_SYLLABLES) for _ in range(r.randint(1, 4)))
     out = [f"{word()}-{word()}" if r.random() < 0.1 else word() for _ in range(r.randint(least, most))]
@@ -49,11 +120,13 @@ def _markup(r: random.Random) -> tuple[str, str, bool]:
     return r.choice([
         (f"<{tag}>{w}{end}", "text", False), (f"{w}<br>", "text", False), (f"{w}</font>", "text", False), (f"<!-- {w} -->{w}", "text", False), (f"<h3>{w}</h3>", "heading", False), (f"<ul><li>{w}</li><li>{w}</li></ul>", "list", False),
         (f"<pre>{w}\n {w}</pre>", "code", False), (f"<code>{w}</code>", "code", False), (f"<tr><td>{w}</td></tr>", "table", False), (f"{w}&nbsp;{w}", "text", False), (f"{w} &lt; {w} &amp; {w}", "text", False), (f"{w} {r.randint(1, 99)} k&#{r.randint(160, 9999)};", "text", False), (f"{_name(r)}<sup>{r.randint(1, 9)}</sup>", "text", False), (f"${r.choice(['overline', 'mathrm'])}{{{w}}}$".replace("$o", "$\\o").replace("$m", "$\\m"), "formula", False), (f"{w}&deg;C", "text", False),
-        (f"# {w}", "heading", True), (f"## {w}", "heading", True), (f"- {w}\n- {w}", "list", True), (f"* {w}\n* {w}", "list", True), (f"1. {w}\n2. {w}", "list", True), (f"> {w}", "quote", True), (f"**{w}**", "text", False), (f"__{w}__", "text", False), (f"*{w}*", "text", False), (f"_{w}_", "text", False),
+        (f"# {w}", "heading", True), (f"## {w}", "heading", True), (f"- {w}\n- {w}", "list", True), (f"* {w}\n* {w}", "list", True), (f"1. {w}\n2. {w}", "list", True), (f"- {w}", "list", True), (f"* {w}", "list", True), (f"+ {w}", "list", True), (f"{r.randint(1, 20)}{r.choice('.)')} {w}", "list", True), (f"> {w}", "quote", True), (f"**{w}**", "text", False), (f"__{w}__", "text", False), (f"*{w}*", "text", False), (f"_{w}_", "text", False),
         (f"~~{w}~~", "text", False), (f"`{w}`", "code", False), (f"```\n{w}\n```", "code", True), (f"[{w}](#{w[:3]})", "text", False), (f"![{w}](img/x.png)", "text", False), (f"{w}[^1]", "text", False), (f"| {w} | {w} |", "table", True),
-        (f"'''{w}'''", "text", False), (f"''{w}''", "text", False), (f"[[{w}|{w}]]", "text", False), (f"[[{w}]]", "text", False), (f"{{{{{w}}}}}", "text", False), (f"== {w} ==", "heading", True), (f"{{| class=x\n|-\n| {w}\n|}}", "table", True), (f"|| {w} || {w}", "table", True), (f"{w}<ref>{w}</ref>", "text", False),
+        (f"'''{w}'''", "text", False), (f"''{w}''", "text", False), (f"[[{w}|{w}]]", "text", False), (f"[[{w}]]", "text", False), (f"{{{{{w}}}}}", "text", False), (f"== {w} ==", "heading", True), (f"{{| class=x\n|-\n| {w}\n|}}", "table", True), ("|| " + " || ".join(_words(r, 1, 3) for _ in range(r.randint(1, 4))), "table", True), (f"{w}<ref>{w}</ref>", "text", False),
         (f"\\textbf{{{w}}}", "text", False), (f"\\emph{{{w}}}", "text", False), (f"\\section*{{{w}}}", "heading", False), (f"\\begin{{itemize}}\\item {w}\\end{{itemize}}", "list", False), (f"${w[:2]}_{{{w[:3]}}}$", "formula", False), (f"$$I = \\frac{{V}}{{R}}$$", "formula", False), (f"\\({w[:1]}_{{pd}}\\)", "formula", False),
-        (f"10\\,k\\Omega", "formula", False), (f"\\SI{{3.3}}{{\\volt}}", "formula", False), (f"{w} \\\\ \\hline", "table", False), (f"\\_{w}\\_", "text", False), (f"{w} & {w} \\\\", "table", False),
+        (f"10\\,k\\Omega", "formula", False), (f"\\SI{{3.3}}{{\\volt}}", "formula", False), (f"{w} \\\\ \\hline", "table", False), (f"\\_{w}\\_", "text", False), (f"{w} & {w} \\\\", "table", False), (f"\\begin{{tabular}}{{{r.choice(['ll', 'l|r', '|c|c|'])}}} {w} & {w} \\\\ \\hline {w} & {w} \\end{{tabular}}", "table", False),
+        (f"<{_words(r, 1, 1)}>{w}</{_words(r, 1, 1)}>", "text", False), (f"<{r.choice(['figure', 'section', 'video', 'article'])} id={w[:2]}>{w}", "text", False), (f": {w}", "list", True), (f"; {w}\n: {w}", "list", True),
+        (f"{w}\n{r.choice('=-') * r.randint(3, 12)}\n{w}", "heading", True), (f"| {w} | {w} |\n|---|:--|\n| {w} | {w} |", "table", True), (f"{{|\n! {w} !! {w}\n|-\n| {w} || {w}\n|}}", "table", True),
     ])
 
 
