@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -113,18 +114,29 @@ def symbols(text: Column) -> Column:
 def sheet_hint(text: Column) -> Column:
     """The first sheet name, else the first page count. A fixed part is looked for first: names are costly to try at every place."""
     first = lambda part, p: F.when(text.contains(part), F.nullif(F.regexp_extract(text, p, 0), F.lit("")))
-    return F.coalesce(first(".SchDoc", r"[A-Za-z0-9_-]+\.SchDoc"), first(" of ", r"-- \d+ of \d+ --"), F.lit("unknown_sheet"))
+    return F.coalesce(first(".SchDoc", r"[A-Za-z0-9_]+\.SchDoc"), first("--", r"--\s*\d+\s+of\s+\d+\s*--"), F.lit("unknown_sheet"))
 
 
 def stripped_line(c: Column) -> Column:
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 
 
+#: What a heading of 3 to 80 characters opens with, unless it is all upper case.
+_HEADING = r"^(?:\d+(?:\.\d+)*\s+[A-Za-z]|(?i:table|figure|section) )"
+_OPENS_HEADING = re.compile(_HEADING)
+
+
 def is_heading(line: Column) -> Column:
     """A stripped line of 3 to 80 characters: upper case, numbered, or opening with table, figure or section."""
     s = stripped_line(line)
     loud = (F.upper(s) == s) & (F.lower(s) != s)
-    return F.length(s).between(3, 80) & (loud | s.rlike(r"^\d+(\.\d+)*\s+[A-Za-z]") | F.lower(s).rlike("^(table|figure|section) "))
+    return F.length(s).between(3, 80) & (loud | s.rlike(_HEADING))
+
+
+def heading(line: str) -> bool:
+    """The same rule for one text."""
+    s = line.strip()
+    return 2 < len(s) < 81 and (s.isupper() or _OPENS_HEADING.match(s) is not None)
 
 
 def source_priority(kind: Column) -> Column:

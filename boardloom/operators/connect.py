@@ -76,18 +76,33 @@ def parts_by_refdes(lines: DataFrame) -> DataFrame:
     return latest(each, ["board_id", "refdes"], ["line_ord"]).drop("line_ord")
 
 
-def containment(parts: DataFrame, part: str, stems: DataFrame, stem: str) -> DataFrame:
-    """(part, stem) where either holds the other: an equi-join on substrings, exact, without a nested loop.
-    A text of n characters has n(n+1)/2 substrings; both sides are short names, so their number is linear in the rows."""
-    a = parts.select(F.col(part).alias("a")).filter("a <> ''").distinct()
-    b = stems.select(F.col(stem).alias("b")).filter("b <> ''").distinct()
+#: Length of the stretches that texts are joined on.
+GRAM = 3
+
+
+def held_in(needles: DataFrame, needle: str, texts: DataFrame, text: str) -> DataFrame:
+    """(needle, text), distinct, where the text holds the needle: an equi-join on the needle's rarest stretch of GRAM characters
+    (itself, where it is shorter), then an exact check. Rows grow with the length of the texts, not with its square."""
+    a = needles.select(F.col(needle).alias("a")).filter("a <> ''").distinct()
+    b = texts.select(F.col(text).alias("b")).filter("b <> ''").distinct()
+
+    def stretches(c: str, n: int) -> F.Column:
+        return F.when(F.length(c) >= n, F.transform(F.sequence(F.lit(1), F.length(c) - (n - 1)), lambda i: F.substring(F.col(c), i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
 
-    def substrings(c: str) -> F.Column:
-        return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.transform(F.sequence(F.lit(1), F.length(F.col(c)) - i + 1), lambda n: F.substring(F.col(c), i, n)))))
+    def grams(c: str, sizes: range) -> F.Column:
+        return F.array_distinct(F.concat(*(stretches(c, n) for n in sizes)))
 
-    inside = b.select("b", F.explode(substrings("b")).alias("a")).join(a, "a").select("a", "b")
-    around = a.select("a", F.explode(substrings("a")).alias("b")).join(b, "b").select("a", "b")
-    return inside.union(around).distinct().select(F.col("a").alias(part), F.col("b").alias(stem))
+    held = b.select("b", F.explode(grams("b", range(1, GRAM + 1))).alias("g"))
+    often = held.groupBy("g").agg(F.count("*").alias("n"))
+    own = a.select("a", F.explode(F.when(F.length("a") > GRAM, grams("a", range(GRAM, GRAM + 1))).otherwise(F.array("a"))).alias("g"))
+    # a needle with a stretch that no text has is in none
+    rarest = own.join(often, "g", "left").groupBy("a").agg(F.min(F.struct(F.coalesce("n", F.lit(0).cast("long")).alias("n"), "g")).alias("k")).filter("k.n > 0").select("a", F.col("k.g").alias("g"))
+    return held.join(rarest, "g").filter(F.col("b").contains(F.col("a"))).select(F.col("a").alias(needle), F.col("b").alias(text))
+
+
+def containment(parts: DataFrame, part: str, stems: DataFrame, stem: str) -> DataFrame:
+    """(part, stem), distinct, where either holds the other, exact, without a nested loop."""
+    return held_in(parts, part, stems, stem).unionByName(held_in(stems, stem, parts, part)).distinct()
 
 
 def nets_of(pins: DataFrame, asked: DataFrame) -> DataFrame:

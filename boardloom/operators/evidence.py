@@ -55,6 +55,14 @@ def coverage(df: DataFrame) -> DataFrame:
     return df.withColumn("coverage_score", F.round(F.when(total > 0, F.greatest(F.lit(0.0), 1.0 - lost / total)).otherwise(1.0), 4)).withColumn("coverage_satisfied", lost == 0)
 
 
+def debug_nets_found(nets: DataFrame) -> DataFrame:
+    """(board_id, found_nets): of the nets that a debug question asks for those a board has, every supply as one of its kind; at
+    most seven a board, whatever its size."""
+    name = F.col("net_name_canonical")
+    told = F.when(name.isin(*DEBUG_NETS), name).when(name.startswith("1V8"), "1V8_").when(name.startswith("VDD"), "VDD")
+    return nets.groupBy("board_id").agg(F.collect_set(told).alias("found_nets"))
+
+
 def normalize(rows: DataFrame, order: list[str], group: list[str] | None = None) -> DataFrame:
     """Evidence with ids by place (before sorting), known priorities and confidence; the first HARD_CAP rows, or those of each group."""
     if group:
@@ -68,8 +76,24 @@ def normalize(rows: DataFrame, order: list[str], group: list[str] | None = None)
     return df.withColumn("confidence", F.coalesce("confidence", T.default_confidence(F.col("source_priority")))).drop("_n")
 
 
-def by_precedence(rows: DataFrame) -> DataFrame:
-    return rows.orderBy(T.priority_rank(F.col("source_priority")), "id")
+def by_precedence(rows: DataFrame, group: list[str] | None = None) -> DataFrame:
+    """Rows in order of precedence, then of id; group: with their `place` from 1 within it (HARD_CAP rows at most, see `normalize`)."""
+    order = [T.priority_rank(F.col("source_priority")), F.col("id")]
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(*group).orderBy(*order))) if group else rows.orderBy(*order)
+
+
+def suites(runs: DataFrame) -> DataFrame:
+    """Figures of each suite of runs (suite, heuristic_pass, coverage_satisfied, uncertain, images), and their totals as one more row."""
+    share = lambda n: F.round(n / F.count("*"), 4)
+    passed, covered = F.count_if("heuristic_pass"), F.count_if("coverage_satisfied")
+    each = runs.groupBy("suite").agg(
+        F.count("*").alias("total"), passed.alias("passed_heuristic"), (F.count("*") - passed).alias("failed_heuristic"), covered.alias("coverage_passed"), (F.count("*") - covered).alias("coverage_failed"),
+        share(F.count_if(F.col("coverage_satisfied") & F.col("uncertain"))).alias("false_uncertainty_rate"), share(F.count_if(F.col("images") > 0)).alias("image_attachment_precision_proxy"),
+    )
+    sums = ["total", "passed_heuristic", "failed_heuristic", "coverage_passed", "coverage_failed"]
+    none = F.lit(None).cast("double")
+    total = each.agg(*(F.sum(c).alias(c) for c in sums)).filter("total is not null").select(F.lit("totals").alias("suite"), *sums, none.alias("false_uncertainty_rate"), none.alias("image_attachment_precision_proxy"))
+    return each.unionByName(total)
 
 
 def findings(anomalies: DataFrame, group: list[str], intent: str = "") -> DataFrame:
@@ -85,11 +109,17 @@ def packet(question: str, evidence: DataFrame, limit: int = 64, **parts) -> dict
     """The evidence packet of one question: at most `limit` rows (cut before the sort), in order of precedence."""
     few = [r.asDict(recursive=True) for r in by_precedence(evidence.limit(limit)).limit(limit).collect()]
     keys = ("agent_trace", "resolved_entities", "open_uncertainties", "critical_findings", "obligations", "coverage_report", "missing_obligations", "tool_decision_trace", "image_selection_trace", "recommended_answer_constraints")
-    return {"question": question, "evidence_priority": list(T.PRIORITY_ORDER), "evidence": few, "functional_hypotheses": [], "anomaly_findings": [], **{k: parts.get(k) or [] for k in keys}, "intent": parts.get("intent", "system_function"), "evidence_diversity_metrics": diversity(few)}
+    return {"question": question, "evidence_priority": list(T.PRIORITY_ORDER), "evidence": few, "functional_hypotheses": [], "anomaly_findings": [], **{k: parts.get(k) or [] for k in keys}, "intent": parts.get("intent", "system_function"), "evidence_diversity_metrics": diversity(few, parts.get("nets") or (), parts.get("components") or ())}
+
+
+def diversity(rows: list[dict], nets=(), components=()) -> dict:
+    """Different nets and components found, and rows about function blocks."""
+    return {"distinct_nets": len(set(nets)), "distinct_components": len(set(components)), "distinct_blocks": sum(r.get("type") == "function_block" for r in rows)}
 
 
-def diversity(rows: list[dict]) -> dict:
-    return {"evidence_items": len(rows), "types": len({r.get("type") for r in rows}), "priorities": len({r.get("source_priority") for r in rows})}
+def diversity_by(rows: DataFrame, group: list[str]) -> DataFrame:
+    """The same of each group of rows (type, net_name, refdes)."""
+    return rows.groupBy(*group).agg(F.countDistinct("net_name").alias("distinct_nets"), F.countDistinct("refdes").alias("distinct_components"), F.count_if(F.col("type") == "function_block").alias("distinct_blocks"))
 
 
 def prompt(packet: dict) -> str:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boardloom.functions import text as T
+from boardloom.operators import connect
 
 BLOCKS = ["power_path", "compute_control", "io_debug"]
 
@@ -23,6 +24,7 @@ def bus_nets(nets: DataFrame) -> DataFrame:
 
 
 def interface_buses(nets: DataFrame) -> DataFrame:
+    """Buses with their nets as sorted arrays: for boards whose netlist was itself one row."""
     return bus_nets(nets).groupBy("board_id", "bus_type").agg(F.array_sort(F.collect_list("net_name")).alias("nets"))
 
 
@@ -41,14 +43,21 @@ def block_members(nets: DataFrame, parts: DataFrame) -> DataFrame:
     return a.unionByName(b).distinct()
 
 
+def blocks_of(nets: DataFrame, parts: DataFrame) -> DataFrame:
+    """(board_id, block): the three blocks of every board."""
+    return nets.select("board_id").union(parts.select("board_id")).distinct().select("board_id", F.explode(F.array(*map(F.lit, BLOCKS))).alias("block"))
+
+
+def block_rows(nets: DataFrame, parts: DataFrame) -> DataFrame:
+    """(board_id, block, kind, member): the three blocks of every board member by member, an empty one as one row without a
+    member. No block is gathered, however large its board is."""
+    return blocks_of(nets, parts).join(block_members(nets, parts), ["board_id", "block"], "left")
+
+
 def function_blocks(nets: DataFrame, parts: DataFrame) -> DataFrame:
-    """The three blocks of every board, empty ones included."""
-    members = block_members(nets, parts)
+    """The three blocks of every board with their members as sorted arrays: for boards whose netlist was itself one row."""
     of = lambda kind: F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.col("member"))))
-    got = members.groupBy("board_id", "block").agg(of("component").alias("component_refs"), of("net").alias("nets"))
-    boards = nets.select("board_id").union(parts.select("board_id")).distinct().select("board_id", F.explode(F.array(*map(F.lit, BLOCKS))).alias("block"))
-    none = F.array().cast("array<string>")
-    return boards.join(got, ["board_id", "block"], "left").select("board_id", "block", F.coalesce("component_refs", none).alias("component_refs"), F.coalesce("nets", none).alias("nets"))
+    return block_rows(nets, parts).groupBy("board_id", "block").agg(of("component").alias("component_refs"), of("net").alias("nets"))
 
 
 def anomalies(index: DataFrame, nets: DataFrame) -> DataFrame:
@@ -88,45 +97,37 @@ def typed_graph(nets: DataFrame, parts: DataFrame, pins: DataFrame) -> DataFrame
     return a.unionByName(b).unionByName(c).unionByName(d)
 
 
+# How many tokens of a chunk tell the tags of its sheet, and the nets that make a sheet one of power.
+TAG_TOKENS = 300
+POWER_NETS = ["VBUSIN", "VBAT", "1V8", "2V8_SW", "GND"]
+
+
 def sheet_semantics(chunks: DataFrame) -> DataFrame:
-    """Per schematic file and page: headings and tags of the first 300 tokens of each chunk."""
-    tokens = F.transform(F.slice(T.tokenize(F.coalesce("text", F.lit(""))), 1, 300), F.upper)
+    """Per schematic file and page: headings (each different path once) and tags of the first TAG_TOKENS tokens of each chunk."""
+    tokens = F.transform(F.slice(T.tokenize(F.coalesce("text", F.lit(""))), 1, TAG_TOKENS), F.upper)
     has = lambda f: F.bool_or(F.exists("t", f))
     return (
         chunks.filter("source_type = 'schematic'").select("source_file", F.col("page_start").alias("page_number"), "heading_path", tokens.alias("t"))
         .groupBy("source_file", "page_number")
-        .agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("heading_path")))).alias("sheet_hints"), has(lambda t: t.rlike("^(SWD|JTAG)")).alias("debug"),
-             has(lambda t: t.isin("VBUSIN", "VBAT", "1V8", "2V8_SW", "GND")).alias("power"), has(lambda t: t.contains("IMU") | t.contains("ICM")).alias("sensor"), has(lambda t: t.rlike(r"^J\d+$")).alias("connector"))
+        .agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("heading_path")))).alias("sheet_hints"), has(lambda t: t.rlike("^(SWD|JTAG)")).alias("debug"),
+             has(lambda t: t.isin(*POWER_NETS)).alias("power"), has(lambda t: t.contains("IMU") | t.contains("ICM")).alias("sensor"), has(lambda t: t.rlike(r"^J\d+$")).alias("connector"))
     )
 
 
-def entity_pages(names: DataFrame, name: str, pages: DataFrame, page: list[str], text: str, block: int = 50_000) -> DataFrame:
-    """(name, page...) where the upper-case text of a page holds the name.
-
-    Names are put into Aho-Corasick automata of at most `block` each, and every block of names is run over the texts
-    where they lie: work and memory of a task do not depend on how many pages or names there are, and nothing is dropped."""
-    asked = names.select(F.col(name).alias("_n")).filter("_n is not null and _n <> ''").distinct()
-    count = asked.count()
-    blocks = max(1, -(-count // block))
-    tagged = asked.withColumn("_b", F.pmod(F.xxhash64("_n"), F.lit(blocks)))
-    fields = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in page)
-    out = None
-    for k in range(blocks):
-        own = [r["_n"] for r in tagged.filter(F.col("_b") == k).select("_n").toLocalIterator()]  # about `block` names
-        shared = pages.sparkSession.sparkContext.broadcast(own)
-
-        def find(batches, shared=shared):
-            import ahocorasick
-            import pandas as pd
-
-            machine = ahocorasick.Automaton()
-            for n in shared.value:
-                machine.add_word(n, n)
-            machine.make_automaton()
-            for b in batches:
-                rows = [(n, *key) for *key, t in b.itertuples(index=False, name=None) for n in ({m for _, m in machine.iter(t.upper())} if shared.value else ())]
-                yield pd.DataFrame(rows, columns=[name, *page])
-
-        got = pages.filter(F.col(text).isNotNull()).select(*page, text).mapInPandas(find, f"`{name}` string, {fields}")
-        out = got if out is None else out.unionByName(got)
-    return out.distinct()
+def entity_pages(names: DataFrame, name: str, pages: DataFrame, page: list[str], text: str) -> DataFrame:
+    """(name, page...), distinct, where the upper-case text of a page holds the name.
+
+    A name stands within one word of the text (a stretch without white space), so names are looked up in the distinct words of
+    all pages (`connect.held_in`), and these joined back to their pages. A name with white space is looked up by its longest
+    word and then checked against the text."""
+    asked = names.select(F.col(name).alias("_n")).filter("_n is not null and trim(_n) <> ''").distinct()
+    words = F.filter(F.split("_n", r"\s+"), lambda w: w != "")
+    longest = F.element_at(F.array_sort(F.transform(words, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), 1)["w"]
+    asked = asked.withColumn("_w", longest)
+    upper = F.upper(text)
+    on = pages.filter(F.col(text).isNotNull()).select(*page, F.explode(F.array_distinct(F.split(upper, r"\s+"))).alias("_word")).filter("_word <> ''")
+    held = connect.held_in(asked, "_w", on.select("_word").distinct(), "_word").join(asked, "_w").select("_n", "_word", F.col("_n").rlike(r"\s").alias("_check"))
+    hits = on.join(held, "_word").select("_n", *page, "_check").distinct()
+    sure = hits.filter("not _check").select("_n", *page)
+    maybe = hits.filter("_check").join(pages.select(*page, upper.alias("_t")), page).filter(F.col("_t").contains(F.col("_n"))).select("_n", *page)
+    return sure.unionByName(maybe.distinct()).withColumnRenamed("_n", name)

@@ -15,7 +15,7 @@ def k_hops(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
 
     Nothing is truncated. A hub node's edges are spread by the join's shuffle on (board, src) and AQE's skew handling; what
     a hop reaches is made distinct map-side first."""
-    edges = edges.select("board_id", "src", "dst").distinct()
+    edges = written(edges.select("board_id", "src", "dst").distinct(), "edges")
     seen = seeds.select("board_id", "id").distinct().withColumn("hop", F.lit(0))
     frontier = seen
     for hop in range(1, depth + 1):

@@ -144,14 +144,26 @@ def rank_pages(net_pages: DataFrame, required_nets: list[str], chunks: DataFrame
     return total.join(less, page, "left").withColumn("score", F.round(F.col("score") - F.coalesce("_seen", F.lit(0.0)), 4)).drop("_seen")
 
 
-def seed_nets(nets: DataFrame, asked: DataFrame, hints: list[str], breadth: bool, budget: int = 14) -> DataFrame:
-    """Asked nets, then, for broad questions, nets with a hint in their name in file order until there are `budget` per board."""
+def nets_touching(nets: DataFrame, refs: list[str]) -> DataFrame:
+    """(board_id, net_name_canonical) of nets with a pin of one of the components."""
+    starts = F.array(*(F.lit(f"{r.upper()}-") for r in refs)) if refs else F.array().cast("array<string>")
+    hit = F.exists(F.coalesce("pins_raw", F.array()), lambda t: F.exists(starts, lambda s: F.upper(t).startswith(s)))
+    return nets.filter(hit).select("board_id", "net_name_canonical").distinct()
+
+
+# Nets that a broad question begins with, and how many seeds are enough.
+BREADTH, SEEDS = ["VBUS", "VBAT", "1V8", "2V8", "SWD", "RESET", "P0.", "P1.", "P2."], 14
+
+
+def seed_nets(nets: DataFrame, asked: DataFrame, breadth: bool, refs: list[str] = (), hints: list[str] = BREADTH, budget: int = SEEDS) -> DataFrame:
+    """(board_id, net_name_canonical, pins, asked, score): asked nets and those of the asked components, then, for broad
+    questions, nets with a hint in their name in file order until there are `budget` per board. Of several rows of one name the last tells its pins."""
     key = ["board_id", "net_name_canonical"]
-    once = nets.groupBy(*key).agg(F.min(F.struct("net_ord", "net_id")).alias("_o"), F.max(F.size(F.coalesce("pins_raw", F.array()))).alias("pins"))
-    wanted = asked.select(*key).distinct()
+    once = nets.groupBy(*key).agg(F.min(F.struct("net_ord", "net_id")).alias("_o"), F.max_by(F.size(F.coalesce("pins_raw", F.array())), F.struct("net_ord", "net_id")).alias("pins"))
+    wanted = asked.select(*key).union(nets_touching(nets, list(refs))).distinct()
     own = once.join(wanted, key, "left_semi").select(*key, "pins", F.lit(True).alias("asked"))
     if breadth:
-        count = own.groupBy("board_id").agg(F.count("*").alias("_have"))
+        count = wanted.groupBy("board_id").agg(F.count("*").alias("_have"))
         more = once.filter(T.holds_any(F.col("net_name_canonical"), hints)).join(wanted, key, "left_anti")
         more = top_by(more.select(*key, "pins", F.col("_o.net_ord").alias("_a"), F.col("_o.net_id").alias("_b"), F.lit(0).alias("_z")), ["board_id"], "_z", ["_a", "_b", "net_name_canonical"], budget)
         more = more.join(count, "board_id", "left").filter(F.col("rank") <= budget - F.coalesce("_have", F.lit(0)))
@@ -159,9 +171,44 @@ def seed_nets(nets: DataFrame, asked: DataFrame, hints: list[str], breadth: bool
     return own.withColumn("score", F.round(2.0 + F.least(F.lit(1.5), 0.05 * F.col("pins")), 4))
 
 
-def block_evidence(blocks: DataFrame, refs: list[str], nets: list[str], breadth: bool) -> DataFrame:
-    """Blocks that share components or nets with the question; all of them for broad questions."""
-    of = lambda c, xs: F.size(F.array_intersect(c, F.array(*map(F.lit, xs)) if xs else F.array().cast("array<string>")))
-    df = blocks.withColumn("overlap", of("component_refs", refs) + of("nets", nets))
-    df = df if breadth else df.filter("overlap > 0")
-    return df.withColumn("score", 1.0 + F.col("overlap") + (0.6 if breadth else 0.0))
+def block_evidence(members: DataFrame, boards: DataFrame, refs: list[str], nets: list[str], breadth: bool, most: int = 6) -> DataFrame:
+    """(board_id, block, overlap, score): blocks that share components or nets with the question, all of them for broad
+    questions; the best `most` of a board. members: (board_id, block, kind, member), as rows: no block is gathered."""
+    hit = ((F.col("kind") == "component") & F.upper("member").isin([r.upper() for r in refs] or [""])) | ((F.col("kind") == "net") & F.upper("member").isin([n.upper() for n in nets] or [""]))
+    got = members.filter(hit).groupBy("board_id", "block").agg(F.count_distinct("kind", F.upper("member")).alias("overlap"))
+    df = boards.join(got, ["board_id", "block"], "left").withColumn("overlap", F.coalesce("overlap", F.lit(0).cast("long"))) if breadth else got
+    return top_by(df.withColumn("score", 1.0 + F.col("overlap") + (0.6 if breadth else 0.0)), ["board_id"], "score", ["block"], most).drop("rank")
+
+
+def anomaly_evidence(anomalies: DataFrame, refs: list[str], nets: list[str], aggressive: bool) -> DataFrame:
+    """(board_id, anomaly_id, n, score): those about an asked component or net, all of them where `aggressive`; the best 12 or 6
+    of a board, equal ones in order of their kind and id."""
+    match = F.coalesce(F.upper("refdes").isin([r.upper() for r in refs] or [""]), F.lit(False)) | F.coalesce(F.upper("net_name").isin([n.upper() for n in nets] or [""]), F.lit(False))
+    df = anomalies.select("board_id", "anomaly_id", "n", match.alias("m"))
+    df = df if aggressive else df.filter("m")
+    return top_by(df.select("board_id", "anomaly_id", "n", F.when(F.col("m"), 2.1).otherwise(1.1).alias("score")), ["board_id"], "score", ["anomaly_id", "n"], 12 if aggressive else 6).drop("rank")
+
+
+def component_evidence(parts: DataFrame, refs: list[str]) -> DataFrame:
+    """The asked components that have a part."""
+    return parts.filter(F.upper("refdes").isin([r.upper() for r in refs] or [""])).withColumn("score", F.lit(2.0))
+
+
+def pdf_evidence(chunks: DataFrame, key: list[str], text: str, question: str, files: DataFrame, k: int = 8) -> DataFrame:
+    """(source_type, key..., score, rank): the k best chunks of datasheets and half as many, three at least, of schematics.
+    files: source_file of the asked components' datasheets; where there are any, no other datasheet counts."""
+    some = files.select(F.col("source_file").alias("_f")).filter("_f is not null").distinct()
+    df = chunks.join(some, chunks["source_file"] == some["_f"], "left").withColumn("_any", some.limit(1).agg(F.count("*").alias("_any")).scalar())
+    df = df.filter((F.col("source_type") != "datasheet") | (F.col("_any") == 0) | F.col("_f").isNotNull()).drop("_f", "_any")
+    got = scored(df.select("source_type", *key, text), text, question).withColumn("score", F.round("score", 6)).filter("score > 0.05").select("source_type", *key, "score")
+    return top_by(got.filter(F.col("source_type").isin("datasheet", "schematic")), ["source_type"], "score", key, F.when(F.col("source_type") == "datasheet", k).otherwise(max(3, k // 2)))
+
+
+def referenced_terms(evidence: DataFrame, group: list[str], data: str) -> DataFrame:
+    """(group..., term): what evidence rows (JSON) speak of, upper case: their component and net, components and nets of blocks,
+    nets of connected pins, components among a net's members."""
+    kind = "refdes string, net_name_canonical string, component_refs array<string>, nets array<string>, connected_pin_nets map<string,string>, members struct<component_to_pins: map<string,array<string>>>"
+    none = F.array().cast("array<string>")
+    d = evidence.select(*group, F.from_json(data, kind).alias("d"))
+    terms = F.concat(F.array("d.refdes", "d.net_name_canonical"), *(F.coalesce(c, none) for c in (F.col("d.component_refs"), F.col("d.nets"), F.map_values("d.connected_pin_nets"), F.map_keys("d.members.component_to_pins"))))
+    return d.select(*group, F.explode(F.transform(terms, F.upper)).alias("term")).filter("term <> ''").distinct()

@@ -165,11 +165,12 @@ def datasheet_mapping(s, d):
     return desk.map_datasheets(table(s, d, "part_ref", "part_number"), "part_number", stems, "stem")
 
 
-@query(f"""with {_P}, e as (select board_id, refdes, unnest(datasheet_candidates) as source_file, generate_subscripts(datasheet_candidates, 1) as pos from pt), k as (select distinct source_file from pdf_chunks where source_file is not null)
+@query(f"""with {_P}, e as (select board_id, refdes, unnest(datasheet_candidates) as source_file, generate_subscripts(datasheet_candidates, 1) as pos from pt), k as (select distinct replace(lower(part_number), '/', '_') || '.pdf' as source_file from part_ref where withdrawn_at is null)
 select board_id, refdes, arg_min(source_file, pos) as source_file from e join k using (source_file) group by 1, 2""")
 def first_datasheet(s, d):
+    """The first candidate that is a sheet of a part still listed."""
     each = _parts(s, d).select("board_id", "refdes", F.posexplode("datasheet_candidates").alias("pos", "source_file"))
-    known = table(s, d, "pdf_chunks", "source_file").distinct()
+    known = table(s, d, "part_ref", "part_number", "withdrawn_at").filter("withdrawn_at is null").select(F.concat(T.file_stem(F.col("part_number")), F.lit(".pdf")).alias("source_file")).distinct()
     return each.join(known, "source_file", "left_semi").groupBy("board_id", "refdes").agg(F.min_by("source_file", "pos").alias("source_file"))
 
 
@@ -225,17 +226,18 @@ def connected_pins(s, d):
     return connect.connected_pins(_pins(s, d).filter("token is not null")).withColumn("connected_pins", F.array_join("connected_pins", ","))
 
 
-@query(f"""with {_NP}, {_I}, im as (select board_id, image_name || '_' || refdes as token, refdes as r, all_pins, comp_id from ix where image_name is not null),
+@query(f"""with {_NP}, {_I}, im as (select board_id, image_name || '_' || refdes as token, image_name as own, refdes as r, all_pins, comp_id from ix where image_name is not null),
 co as (select board_id, upper(refdes) as refdes, list_sort(list_distinct(list(pin))) as connected from np where token is not null group by 1, 2),
 tk as (select board_id, token, regexp_replace(token, '_[^_]*$', '') as image, upper(regexp_extract(token, '^.*_([^_]*)$', 1)) as refdes, comp_id from im),
 nm as (select board_id, refdes, comp_id, 0 as which, token as image_name from tk union all select board_id, refdes, comp_id, 1, image from tk),
-sz as (select board_id, token as image_name, list_sort(list_distinct(list(p))) as pins from (select board_id, token, unnest(all_pins) as p from im) group by 1, 2),
+sz as (select board_id, image_name, list_sort(list_distinct(list(p))) as pins from (select board_id, case when comp_id % 2 = 0 then token else own end as image_name, unnest(all_pins) as p from im) group by 1, 2),
 best as (select nm.board_id, nm.refdes, arg_max(coalesce(pins, []), (len(coalesce(pins, [])), -comp_id, -which)) as pins from nm left join sz using (board_id, image_name) where nm.refdes <> '' group by 1, 2)
 select board_id, refdes, array_to_string(coalesce(pins, connected, []), ',') as all_pins, array_to_string(coalesce(connected, []), ',') as connected_pins,
 array_to_string(list_filter(coalesce(pins, connected, []), lambda p: p <> '' and not list_contains(coalesce(connected, []), p)), ',') as floating_pins from best full join co using (board_id, refdes)""")
 def component_pins(s, d):
     ix = _index(s, d).filter("image_name is not null").withColumn("token", F.concat_ws("_", "image_name", "refdes"))
-    images = ix.select("board_id", F.col("token").alias("image_name"), F.explode("all_pins").alias("pin"))
+    # images by their whole token, or by the part before the designator
+    images = ix.select("board_id", F.when(F.col("comp_id") % 2 == 0, F.col("token")).otherwise(F.col("image_name")).alias("image_name"), F.explode("all_pins").alias("pin"))
     got = connect.component_pins(images, ix.select("board_id", F.col("comp_id").alias("ord"), "token"), connect.connected_pins(_pins(s, d).filter("token is not null")))
     return got.select("board_id", "refdes", *(F.array_join(c, ",").alias(c) for c in ("all_pins", "connected_pins", "floating_pins")))
 
@@ -248,9 +250,9 @@ def power_domains(s, d):
 _BUS = " union ".join(f"select board_id, net_name_canonical as net_name, '{b}' as bus_type from n where {_or('net_name_canonical', h)}" for b, h in T.BUS_HINTS.items())
 
 
-@query(f"with {_N}, b as ({_BUS}) select board_id, bus_type, string_agg(net_name, ',' order by net_name) as nets from b group by 1, 2")
+@query(f"with {_N}, b as ({_BUS}) select * from b")
 def interface_buses(s, d):
-    return knowledge.interface_buses(_nets(s, d)).withColumn("nets", F.array_join("nets", ","))
+    return knowledge.bus_nets(_nets(s, d))
 
 
 _BLOB = "upper(concat_ws(' ', refdes, coalesce(part_number, ''), coalesce(manufacturer, ''), coalesce(specification, ''), coalesce(value, '')))"
@@ -265,11 +267,9 @@ _MEMBERS = f"""bm as (
 
 
 @query(f"""with {_N}, {_P}, {_MEMBERS}, bb as (select board_id, block from (select board_id from n union select board_id from pt), (select unnest(['power_path', 'compute_control', 'io_debug']) as block))
-select bb.board_id, bb.block, coalesce(string_agg(case when kind = 'component' then member end, ',' order by member), '') as component_refs, coalesce(string_agg(case when kind = 'net' then member end, ',' order by member), '') as nets
-from bb left join bm on bb.board_id = bm.board_id and bb.block = bm.block group by 1, 2""")
+select bb.board_id, bb.block, kind, member from bb left join bm on bb.board_id = bm.board_id and bb.block = bm.block""")
 def function_blocks(s, d):
-    got = knowledge.function_blocks(_nets(s, d), _parts(s, d))
-    return got.select("board_id", "block", F.array_join("component_refs", ",").alias("component_refs"), F.array_join("nets", ",").alias("nets"))
+    return knowledge.block_rows(_nets(s, d), _parts(s, d))
 
 
 _ANOMALIES = f"""an as (
@@ -431,34 +431,67 @@ def schematic_pages(s, d):
     return got.select("source_file", F.col("page_start").alias("page_number"), F.lit("query").alias("reasons")).distinct()
 
 
-_BREADTH = ["VBUS", "VBAT", "1V8", "2V8", "SWD", "RESET", "P0.", "P1.", "P2."]
-
-
-@query(f"""with {_N}, o as (select board_id, net_name_canonical, min((net_ord, net_id)) as o, max(coalesce(len(pins_raw), 0)) as pins from n group by 1, 2), ask as (select * from o where net_name_canonical in ('GND', 'SWDIO')), have as (select board_id, count(*) as c from ask group by 1),
-more as (select o.*, row_number() over (partition by o.board_id order by o, net_name_canonical) as rank from o where {_or("net_name_canonical", _BREADTH)} and net_name_canonical not in ('GND', 'SWDIO'))
+@query(f"""with {_N}, o as (select board_id, net_name_canonical, min((net_ord, net_id)) as o, arg_max(coalesce(len(pins_raw), 0), (net_ord, net_id)) as pins from n group by 1, 2),
+w as (select board_id, net_name_canonical from n where net_name_canonical in ('GND', 'SWDIO') union select board_id, net_name_canonical from n where len(list_filter(pins_raw, lambda t: starts_with(upper(t), 'U1-'))) > 0),
+ask as (select o.* from o semi join w using (board_id, net_name_canonical)), have as (select board_id, count(*) as c from w group by 1),
+more as (select o.*, row_number() over (partition by o.board_id order by o, net_name_canonical) as rank from o anti join w using (board_id, net_name_canonical) where {_or("net_name_canonical", search.BREADTH)})
 select board_id, net_name_canonical, pins, true as asked, round(2.0 + least(1.5, 0.05 * pins), 4) as score from ask union all select more.board_id, net_name_canonical, pins, false, round(2.0 + least(1.5, 0.05 * pins), 4) from more left join have on have.board_id = more.board_id where rank <= 14 - coalesce(c, 0)""")
 def net_evidence(s, d):
     nets = _nets(s, d)
     asked = nets.filter(F.col("net_name_canonical").isin("GND", "SWDIO"))
-    return search.seed_nets(nets, asked, _BREADTH, breadth=True).withColumn("pins", F.col("pins").cast("long"))
+    return search.seed_nets(nets, asked, breadth=True, refs=["U1"]).withColumn("pins", F.col("pins").cast("long"))
 
 
-@query(f"""with {_N}, {_P}, {_MEMBERS}, bb as (select board_id, block from (select board_id from n union select board_id from pt), (select unnest(['power_path', 'compute_control', 'io_debug']) as block)), ov as (select board_id, block, count(*) as k from bm where (kind = 'component' and member in ('U1', 'J1')) or (kind = 'net' and member = 'VBAT') group by 1, 2)
-select bb.board_id, bb.block, coalesce(k, 0) as overlap, 1.0 + coalesce(k, 0) + 0.6 as score from bb left join ov on ov.board_id = bb.board_id and ov.block = bb.block""")
+@query(f"""with {_N}, {_P}, {_MEMBERS}, bb as (select board_id, block from (select board_id from n union select board_id from pt), (select unnest(['power_path', 'compute_control', 'io_debug']) as block)),
+ov as (select board_id, block, count(distinct (kind, upper(member))) as k from bm where (kind = 'component' and upper(member) in ('U1', 'J1')) or (kind = 'net' and upper(member) = 'VBAT') group by 1, 2),
+r as (select bb.board_id, bb.block, coalesce(k, 0) as overlap, 1.0 + coalesce(k, 0) + 0.6 as score, row_number() over (partition by bb.board_id order by coalesce(k, 0) desc, bb.block) as rank from bb left join ov on ov.board_id = bb.board_id and ov.block = bb.block)
+select board_id, block, overlap, score from r where rank <= 6""")
 def block_evidence(s, d):
-    got = search.block_evidence(knowledge.function_blocks(_nets(s, d), _parts(s, d)), ["U1", "J1"], ["VBAT"], breadth=True)
-    return got.select("board_id", "block", F.col("overlap").cast("long").alias("overlap"), "score")
+    nets, parts = _nets(s, d), _parts(s, d)
+    return search.block_evidence(knowledge.block_members(nets, parts), knowledge.blocks_of(nets, parts), ["U1", "J1"], ["VBAT"], breadth=True)
+
+
+@query(f"""with {_N}, {_P}, {_MEMBERS} select board_id, block, count(distinct (kind, upper(member))) as overlap, 1.0 + count(distinct (kind, upper(member))) as score from bm where (kind = 'component' and upper(member) in ('U1', 'J1')) or (kind = 'net' and upper(member) = 'VBAT') group by 1, 2""")
+def block_evidence_of_entities(s, d):
+    nets, parts = _nets(s, d), _parts(s, d)
+    return search.block_evidence(knowledge.block_members(nets, parts), knowledge.blocks_of(nets, parts), ["U1", "J1"], ["VBAT"], breadth=False)
 
 
-@query(f"with {_N}, {_I}, {_ANOMALIES} select board_id, anomaly_id, case when refdes = 'U1' or net_name = 'VBAT' then 2.1 else 1.1 end as score from an")
+@query(f"""with {_N}, {_I}, {_ANOMALIES}, m as (select board_id, anomaly_id, n, case when coalesce(upper(refdes) = 'U1', false) or coalesce(upper(net_name) = 'VBAT', false) then 2.1 else 1.1 end as score from an),
+r as (select *, row_number() over (partition by board_id order by score desc, anomaly_id, n) as rank from m) select board_id, anomaly_id, n, score from r where rank <= 12""")
 def anomaly_evidence(s, d):
-    got = knowledge.anomalies(_index(s, d), _nets(s, d))
-    return got.select("board_id", "anomaly_id", F.when((F.col("refdes") == "U1") | (F.col("net_name") == "VBAT"), 2.1).otherwise(1.1).alias("score"))
+    got = search.anomaly_evidence(knowledge.anomalies(_index(s, d), _nets(s, d)), ["U1"], ["VBAT"], aggressive=True)
+    return got.withColumn("n", F.col("n").cast("long"))
+
+
+@query(f"""with {_N}, {_I}, {_ANOMALIES}, r as (select *, row_number() over (partition by board_id order by anomaly_id, n) as rank from an where upper(refdes) = 'U1' or upper(net_name) = 'VBAT') select board_id, anomaly_id, n, 2.1 as score from r where rank <= 6""")
+def anomaly_evidence_of_entities(s, d):
+    got = search.anomaly_evidence(knowledge.anomalies(_index(s, d), _nets(s, d)), ["U1"], ["VBAT"], aggressive=False)
+    return got.withColumn("n", F.col("n").cast("long"))
 
 
 @query(f"with {_P} select board_id, refdes, part_number, 2.0 as score from pt where refdes in ('U1', 'J1', 'R1')")
 def component_evidence(s, d):
-    return _parts(s, d).filter(F.col("refdes").isin("U1", "J1", "R1")).select("board_id", "refdes", "part_number", F.lit(2.0).alias("score"))
+    return search.component_evidence(_parts(s, d), ["U1", "J1", "R1"]).select("board_id", "refdes", "part_number", "score")
+
+
+@query(f"""with {_C}, {_P}, {_scored_sql('ch', 'chunk_id')}, f as (select distinct unnest(datasheet_candidates) as source_file from pt where refdes = 'U1'),
+k as (select source_type, chunk_id, score from sc join ch using (chunk_id) where score > 0.05 and (source_type = 'schematic' or (source_type = 'datasheet' and ((select count(*) from f where source_file is not null) = 0 or source_file in (select source_file from f)))))
+select source_type, chunk_id, score, rank from (select *, row_number() over (partition by source_type order by score desc, chunk_id) as rank from k) where rank <= case when source_type = 'datasheet' then 8 else 4 end""")
+def pdf_evidence(s, d):
+    files = _parts(s, d).filter("refdes = 'U1'").select(F.explode("datasheet_candidates").alias("source_file"))
+    return search.pdf_evidence(_chunks(s, d), ["chunk_id"], "text", _ASK, files)
+
+
+@query(f"""with {_NP}, {_P}, {_MEMBERS}, e as (select board_id, upper(refdes) as term from np where contains(token, '-') union select board_id, upper(net_name_canonical) from n union select board_id, upper(member) from bm) select distinct board_id, term from e where term <> ''""")
+def referenced_terms(s, d):
+    """Of the evidence rows that members of nets and blocks make."""
+    pins = _pins(s, d)
+    of_nets = connect.net_members(pins).select("board_id", F.to_json(F.struct("net_name_canonical", F.struct(F.create_map("refdes", "pins").alias("component_to_pins")).alias("members"))).alias("data"))
+    bare = _nets(s, d).select("board_id", F.to_json(F.struct("net_name_canonical")).alias("data"))
+    m = knowledge.block_members(_nets(s, d), _parts(s, d))
+    of_blocks = m.select("board_id", F.to_json(F.struct(F.when(F.col("kind") == "component", F.array("member")).alias("component_refs"), F.when(F.col("kind") == "net", F.array("member")).alias("nets"))).alias("data"))
+    return search.referenced_terms(of_nets.unionByName(bare).unionByName(of_blocks), ["board_id"], "data")
 
 
 # --- questions, obligations, coverage -----------------------------------------------------------------------------------
@@ -493,19 +526,26 @@ select board_id, array_to_string(mn, ',') as missing_nets, len(mr) as missing_re
 def coverage(s, d):
     """Whether each board has what a debug question must prove."""
     none = F.array().cast("array<string>")
-    found = _nets(s, d).groupBy("board_id").agg(F.collect_set("net_name_canonical").alias("found_nets"))
+    found = evidence.debug_nets_found(_nets(s, d))
     need = F.array(*map(F.lit, evidence.DEBUG_NETS))
     relations = F.array(*(F.lit("/".join(r)) for r in evidence.RELATIONS["protocol_debug_validation"]))
     got = evidence.coverage(found.select("board_id", F.lit("protocol_debug_validation").alias("intent"), none.alias("components"), need.alias("nets"), relations.alias("relations"), none.alias("found_components"), "found_nets", F.col("found_nets").alias("net_evidence"), none.alias("evidence_types")))
     return got.select("board_id", F.array_join("missing_nets", ",").alias("missing_nets"), F.size("missing_relations").cast("long").alias("missing_relations"), "coverage_score", "coverage_satisfied")
 
 
-@query(f"""with {_N}, {_I}, {_ANOMALIES}, r as (select board_id, anomaly_id, row_number() over (partition by board_id order by anomaly_id, severity, n) as k from (select distinct board_id, anomaly_id, severity, n from an))
-select board_id, anomaly_id, printf('ev_%04d', k) as id, 'DSN' as source_priority, 'exact' as confidence from r where k <= 400""")
+@query(f"""with {_NP}, {_I}, {_P}, {_MEMBERS}, {_ANOMALIES}, e as (select distinct board_id, anomaly_id as item, 'dsn' as sp, null as cf from an union select board_id, 'block:' || block || ':' || member, ' Schematic', null from bm union select board_id, 'part:' || refdes, 'bom', 'sure' from pt union select board_id, 'net:' || net_name_canonical, 'guess', null from n),
+r as (select *, row_number() over (partition by board_id order by item, sp) as k from e)
+select board_id, item, printf('ev_%04d', k) as id, case trim(lower(sp)) when 'dsn' then 'DSN' when 'schematic' then 'schematic' when 'bom' then 'BOM' else 'inference' end as source_priority, coalesce(cf, case trim(lower(sp)) when 'dsn' then 'exact' when 'schematic' then 'high' when 'bom' then 'medium' else 'low' end) as confidence,
+row_number() over (partition by board_id order by case trim(lower(sp)) when 'dsn' then 1 when 'schematic' then 2 when 'bom' then 4 else 5 end, k) as place from r where k <= 400""")
 def evidence_order(s, d):
-    rows = knowledge.anomalies(_index(s, d), _nets(s, d)).select("board_id", "anomaly_id", "severity", "n").distinct()
-    rows = rows.withColumns({"source_priority": F.lit("dsn"), "confidence": F.lit(None).cast("string")})
-    return evidence.normalize(rows, ["anomaly_id", "severity", "n"], ["board_id"]).select("board_id", "anomaly_id", "id", "source_priority", "confidence")
+    """Evidence of four sources numbered as it comes, then put in order of precedence."""
+    nets, parts = _nets(s, d), _parts(s, d)
+    kind = lambda df, item, priority, sure=None: df.select("board_id", item.alias("item"), F.lit(priority).alias("source_priority"), F.lit(sure).cast("string").alias("confidence"))
+    rows = kind(knowledge.anomalies(_index(s, d), nets), F.col("anomaly_id"), "dsn")
+    rows = rows.unionByName(kind(knowledge.block_members(nets, parts), F.concat_ws(":", F.lit("block"), "block", "member"), " Schematic"))
+    rows = rows.unionByName(kind(parts, F.concat(F.lit("part:"), "refdes"), "bom", "sure")).unionByName(kind(nets, F.concat(F.lit("net:"), "net_name_canonical"), "guess")).distinct()
+    got = evidence.normalize(rows, ["item", "source_priority"], ["board_id"])
+    return evidence.by_precedence(got, ["board_id"]).select("board_id", "item", "id", "source_priority", "confidence", F.col("place").cast("long").alias("place"))
 
 
 @query(f"with {_N}, {_I}, {_ANOMALIES} select distinct board_id, upper(severity) || ': ' || kind || ' at ' || coalesce(refdes, nullif(net_name, ''), 'unknown_target') || '.' as finding from an")
@@ -513,33 +553,45 @@ def critical_findings(s, d):
     return evidence.findings(knowledge.anomalies(_index(s, d), _nets(s, d)), ["board_id"])
 
 
-@query(f"with {_N}, {_I}, {_ANOMALIES} select board_id, count(*) as evidence_items, count(distinct kind) as types, count(distinct severity) as priorities from an group by 1")
+@query(f"""with {_N}, {_I}, {_P}, {_ANOMALIES}, e as (select board_id, net_name, refdes, 0 as b from an union all select board_id, null, null, 1 from (select board_id from n union select board_id from pt), (select unnest([1, 2, 3])))
+select board_id, count(distinct net_name) as distinct_nets, count(distinct refdes) as distinct_components, sum(b)::bigint as distinct_blocks from e group by 1""")
 def evidence_diversity(s, d):
-    return knowledge.anomalies(_index(s, d), _nets(s, d)).groupBy("board_id").agg(F.count("*").alias("evidence_items"), F.countDistinct("kind").alias("types"), F.countDistinct("severity").alias("priorities"))
+    none = F.lit(None).cast("string")
+    nets, parts = _nets(s, d), _parts(s, d)
+    rows = knowledge.anomalies(_index(s, d), nets).select("board_id", F.lit("anomaly").alias("type"), "net_name", "refdes")
+    rows = rows.unionByName(knowledge.blocks_of(nets, parts).select("board_id", F.lit("function_block").alias("type"), none.alias("net_name"), none.alias("refdes")))
+    return evidence.diversity_by(rows, ["board_id"])
 
 
-@query(f"with {_N}, g as (select board_id, bool_or(net_name_canonical = 'GND') as passed, bool_or(net_name_canonical = 'SWDIO') as covered from n group by 1) select count(*) as questions, sum(passed::int)::bigint as passed, sum(covered::int)::bigint as coverage_passed, round(avg((passed and not covered)::int), 4) as false_uncertainty_rate from g")
+@query(f"""with {_N}, g as (select case when right(board_id, 1) in ('0', '2', '4', '6', '8') then 'even' else 'odd' end as suite, board_id, bool_or(net_name_canonical = 'GND') as passed, bool_or(net_name_canonical = 'SWDIO') as covered, bool_or(net_name_canonical like 'VDD%') as unsure, count(distinct case when net_name_canonical like 'USB%' then net_name_canonical end) as images from n where board_id is not null group by 1, 2),
+f as (select suite, count(*) as total, sum(passed::int)::bigint as p, sum(covered::int)::bigint as c, sum((covered and unsure)::int) as u, sum((images > 0)::int) as i from g group by 1)
+select suite, total, p as passed_heuristic, total - p as failed_heuristic, c as coverage_passed, total - c as coverage_failed, round(u / total, 4) as false_uncertainty_rate, round(i / total, 4) as image_attachment_precision_proxy from f
+union all select 'totals', sum(total)::bigint, sum(p)::bigint, sum(total - p)::bigint, sum(c)::bigint, sum(total - c)::bigint, null, null from f having count(*) > 0""")
 def validation_summary(s, d):
-    g = _nets(s, d).groupBy("board_id").agg(F.bool_or(F.col("net_name_canonical") == "GND").alias("passed"), F.bool_or(F.col("net_name_canonical") == "SWDIO").alias("covered"))
-    return g.agg(F.count("*").alias("questions"), F.count_if("passed").alias("passed"), F.count_if("covered").alias("coverage_passed"), F.round(F.avg((F.col("passed") & ~F.col("covered")).cast("int")), 4).alias("false_uncertainty_rate"))
+    """Figures of two suites of runs (here one of each board) and their totals."""
+    name = F.col("net_name_canonical")
+    g = _nets(s, d).filter("board_id is not null").groupBy("board_id").agg(F.bool_or(name == "GND").alias("heuristic_pass"), F.bool_or(name == "SWDIO").alias("coverage_satisfied"), F.bool_or(name.startswith("VDD")).alias("uncertain"), F.count_distinct(F.when(name.startswith("USB"), name)).alias("images"))
+    suite = F.when(F.right("board_id", F.lit(1)).isin("0", "2", "4", "6", "8"), "even").otherwise("odd")
+    return evidence.suites(g.withColumn("suite", suite))
 
 
 # --- texts --------------------------------------------------------------------------------------------------------------
 
 
-@query(f"with {_C} select chunk_id, coalesce(nullif(regexp_extract(text, '[A-Za-z0-9_-]+\\.SchDoc'), ''), nullif(regexp_extract(text, '-- \\d+ of \\d+ --'), ''), 'unknown_sheet') as hint from ch")
+@query(f"with {_C} select chunk_id, coalesce(nullif(regexp_extract(text, '[A-Za-z0-9_]+\\.SchDoc'), ''), nullif(regexp_extract(text, '--\\s*\\d+\\s+of\\s+\\d+\\s*--'), ''), 'unknown_sheet') as hint from ch")
 def sheet_hints(s, d):
     return _chunks(s, d).select("chunk_id", T.sheet_hint(F.col("text")).alias("hint"))
 
 
-@query(f"""with {_C}, l as (select chunk_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as line_no from ch where text is not null), s as (select chunk_id, line_no, regexp_replace(line, '^\\s+|\\s+$', '', 'g') as h from l)
-select chunk_id, line_no, h as heading from s where length(h) between 3 and 80 and ((upper(h) = h and lower(h) <> h) or regexp_matches(h, '^\\d+(\\.\\d+)*\\s+[A-Za-z]') or regexp_matches(lower(h), '^(table|figure|section) '))""")
+@query(f"""with {_C}, l as (select chunk_id, text, string_split(text, chr(10)) as ls, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as line_no from ch where text is not null), s as (select *, regexp_replace(line, '^\\s+|\\s+$', '', 'g') as h from l)
+select chunk_id, line_no, h as heading, case when line_no = 0 then 0 else length(array_to_string(ls[1:line_no], chr(10))) + 1 end as "offset" from s where length(h) between 3 and 80 and ((upper(h) = h and lower(h) <> h) or regexp_matches(h, '^\\d+(\\.\\d+)*\\s+[A-Za-z]') or regexp_matches(lower(h), '^(table|figure|section) '))""")
 def heading_lines(s, d):
     got = texts.heading_lines(_chunks(s, d).filter("text is not null"), ["chunk_id"], "text")
-    return got.select("chunk_id", F.col("line_no").cast("long").alias("line_no"), "heading")
+    return got.select("chunk_id", *(F.col(c).cast("long").alias(c) for c in ("line_no", "offset")), "heading")
 
 
-@query(f"with {_C}, w as (select chunk_id, text, unnest(generate_series(0, length(text) - 1, 750)) as start from ch where length(text) > 0) select chunk_id, start // 750 as window_no, start, substring(text, start + 1, 1000) as window_text from w")
+@query(f"""with {_C}, b as (select chunk_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') as t from ch where text is not null), w as (select chunk_id, t, unnest(generate_series(0, length(t) - 1, 750)) as start from b where t <> '')
+select chunk_id, start // 750 as window_no, start, substring(t, start + 1, 1000) as window_text from w""")
 def text_windows(s, d):
     got = texts.windows(_chunks(s, d), ["chunk_id"], "text", size=1000)
     return got.withColumns({"window_no": F.col("window_no").cast("long"), "start": F.col("start").cast("long")})
@@ -560,17 +612,32 @@ def first_descriptions(s, d):
     return _chunks(s, d).filter("text is not null").select("chunk_id", texts.first_description("text").alias("part_description"))
 
 
-@query()
+_WS = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+_ENDS = r"\r\n|[\n\r\x{0B}\x{0C}\x{1C}-\x{1E}\x{85}\x{2028}\x{2029}]"
+
+
+def _strip(c: str) -> str:
+    return f"regexp_replace({c}, '^{_WS}+|{_WS}+$', '', 'g')"
+
+
+@query(f"""with recursive t as (select doc_id, {_strip("text")} as t from documents where text is not null),
+l as (select doc_id, t, regexp_split_to_array(t, '{_ENDS}') as l from t where t <> ''),
+h as (select doc_id, t, list_append(list_filter(list_transform(generate_series(1, len(l)), lambda k: case when length({_strip("l[k]")}) between 3 and 80 and ((upper({_strip("l[k]")}) = {_strip("l[k]")} and lower({_strip("l[k]")}) <> {_strip("l[k]")}) or regexp_matches({_strip("l[k]")}, '^([0-9]+([.][0-9]+)*\\s+[A-Za-z]|(?i:table|figure|section) )'))
+  then coalesce(list_sum(list_transform(l[1:k-1], lambda x: length(x) + 1)), 0)::bigint end), lambda x: x is not null), length(t)) as b from l),
+r as (select doc_id, 0::bigint as a, coalesce(list_max(list_filter(b, lambda x: x > 0 and x <= 1800)), 1800) as e from h
+  union all select q.doc_id, q.a, coalesce(list_max(list_filter(b, lambda x: x > q.a and x <= q.a + 1800)), q.a + 1800) from (select r.doc_id, case when e - 250 <= a then e else e - 250 end as a from r join h using (doc_id) where e < length(t)) q join h using (doc_id)),
+c as (select doc_id, a, {_strip("substring(t, a + 1, e - a)")} as c from r join h using (doc_id))
+select doc_id, row_number() over (partition by doc_id order by a) as chunk_no, length(c) as size, md5(c) as digest from c where c <> ''""")
 def page_chunks(s, d):
-    """The greedy heading-aware chunker over whole documents (a scan with state: no SQL)."""
-    return texts.chunk_pages(_documents(s, d).select("doc_id", "text"), ["doc_id"], "text").select("doc_id", "chunk_no", F.length("chunk_text").alias("size"), F.md5("chunk_text").alias("digest"))
+    """The greedy heading-aware chunker over whole documents."""
+    return texts.chunk_pages(_documents(s, d).select("doc_id", "text"), ["doc_id"], "text").select("doc_id", F.col("chunk_no").cast("long").alias("chunk_no"), F.length("chunk_text").cast("long").alias("size"), F.md5("chunk_text").alias("digest"))
 
 
-@query(f"""with {_C}, p as (select source_file, chunk_id, case when coalesce(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '') = '' then '_No extractable text on this page._' else regexp_replace(text, '^\\s+|\\s+$', '', 'g') end as t from ch where source_file is not null)
-select source_file, md5('# Datasheet: ' || source_file || chr(10) || chr(10) || string_agg('## Page ' || chunk_id || chr(10) || chr(10) || t, chr(10) || chr(10) order by chunk_id) || chr(10)) as digest from p group by 1""")
+@query(f"""with {_C}, p as (select source_file, chunk_id, coalesce(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '') as t from ch where source_file is not null)
+select source_file, chunk_id, md5('## Page ' || chunk_id || chr(10) || chr(10) || case when t = '' then '_No extractable text on this page._' else t end) as digest from p""")
 def datasheet_markdown(s, d):
-    got = texts.datasheet_markdown(_chunks(s, d).filter("source_file is not null"), "source_file", "chunk_id", "text")
-    return got.select("source_file", F.md5("markdown").alias("digest"))
+    got = texts.markdown_pages(_chunks(s, d).filter("source_file is not null"), ["source_file"], "chunk_id", "text")
+    return got.select("source_file", "chunk_id", F.md5("markdown").alias("digest"))
 
 
 # --- lines, desk --------------------------------------------------------------------------------------------------------
@@ -582,7 +649,8 @@ def designator_cells(s, d):
     return lines.select("line_id", F.explode(split_designators(F.col("designator"))).alias("designator"))
 
 
-@query("""with ci as (select distinct on (entry_id) * from component_index) select board_id, entry_id as line_ord, '| ' || concat_ws(' | ', array_to_string(designators, ', '), replace(coalesce(quantity, ''), '|', '/'), replace(coalesce(value, ''), '|', '/'), replace(coalesce(manufacturer, ''), '|', '/'), replace(coalesce(part_number, ''), '|', '/'), replace(coalesce(footprint, ''), '|', '/')) || ' |' as row from ci""")
+@query("""with ci as (select distinct on (entry_id) * from component_index) select board_id, entry_id as line_ord, '| ' || concat_ws(' | ', array_to_string(designators, ', '), coalesce(quantity, ''), coalesce(value, ''), coalesce(manufacturer, ''), coalesce(part_number, ''), coalesce(footprint, '')) || ' |' as row from ci
+union all select board_id, k, r from (select distinct board_id from ci), (values (-4, '# Bill of Materials Overview'), (-3, ''), (-2, '| Designators | Quantity | Value | Manufacturer | Part Number | Footprint |'), (-1, '| --- | --- | --- | --- | --- | --- |')) h(k, r)""")
 def bom_overview(s, d):
     lines = table_once(s, d, "component_index", "entry_id", "board_id", "designators", "quantity", "value", "manufacturer", "part_number", "footprint")
     return sinks.bom_overview(lines.withColumnRenamed("entry_id", "line_ord"))

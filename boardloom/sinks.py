@@ -29,11 +29,16 @@ def write_json(value: object, path: str) -> None:
     Path(path).write_text(json.dumps(value, indent=2, default=str))
 
 
+# What a bill of materials opens with.
+BOM_HEAD = ["# Bill of Materials Overview", "", "| Designators | Quantity | Value | Manufacturer | Part Number | Footprint |", "| --- | --- | --- | --- | --- | --- |"]
+
+
 def bom_overview(lines: DataFrame) -> DataFrame:
-    """One markdown row per line, in order."""
-    cell = lambda c: F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit("")), r"\|", "/")
+    """(board_id, line_ord, row): title and head of each board, numbered below 0, and one markdown row per line, in order."""
+    cell = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    head = F.array(*(F.struct(F.lit(k - len(BOM_HEAD)).cast("long").alias("line_ord"), F.lit(s).alias("row")) for k, s in enumerate(BOM_HEAD)))
     row = F.concat(F.lit("| "), F.concat_ws(" | ", F.array_join("designators", ", "), *(cell(c) for c in ("quantity", "value", "manufacturer", "part_number", "footprint"))), F.lit(" |"))
-    return lines.select("board_id", "line_ord", row.alias("row"))
+    return lines.select("board_id").distinct().select("board_id", F.inline(head)).unionByName(lines.select("board_id", "line_ord", row.alias("row")))
 
 
 def circuit_summary(blocks: DataFrame, domains: DataFrame, buses: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,17 +23,31 @@ def table_once(spark: SparkSession, sf_dir: str, name: str, key: str, *columns:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     at = F.struct(F.col("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("r"))
     again = df.select(F.col(key).alias("_key"), at.alias("_at")).filter("_key is not null").groupBy("_key").agg(F.count("*").alias("_n"), F.min("_at").alias("_keep")).filter("_n > 1").drop("_n")
-    again = written(again, f"again-{name}")
+    again = _once(spark, f"{sf_dir}/{name}.parquet", key, lambda: written(again, f"again-{name}"))
     rows = df.select(key, *(c for c in columns if c != key), at.alias("_at"))
     kept = rows.join(again, rows[key] == again["_key"], "left").filter(F.col("_keep").isNull() | (F.col("_keep") == F.col("_at")))
     return kept.select(key, *(c for c in columns if c != key))
 
 
+def _once(spark: SparkSession, path: str, key: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """What `make` gives, made once a session for each state of the files at `path` (their time and length)."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    state = (path, key, fs.getFileStatus(p).getModificationTime(), fs.getContentSummary(p).getLength())
+    known = spark.__dict__.setdefault("_boardloom_once", {})
+    if state not in known:
+        known[state] = make()
+    return known[state]
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: the session's spark.checkpoint.dir; set here only where it is unset (local tests)."""
+    """The folder all executors share: the session's spark.checkpoint.dir. Where it is unset, a local session (one machine, as
+    in tests) gets a folder of its own; on a cluster that is an error, since no folder of one machine is shared."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        where = tempfile.mkdtemp(prefix="boardloom-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: it must name a folder that all executors share")
+        where = "file://" + tempfile.mkdtemp(prefix="boardloom-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where
 
