@@ -1,9 +1,10 @@
 """Quantities recorded in different units: find each measure in a text, convert it to a common unit.
 
-Measures with a unit are read by a grammar. For a number without one, a random forest with calibrated confidence, fitted
-on measures whose unit is written (the unit hidden), predicts the unit from magnitude, kind of component, prefix letter
-and neighbouring text. A prediction is converted where the written convention (MISSING, or a unit that the specification
-names) agrees or decides; where no convention holds, it is converted only at CONFIDENT and above, else routed to review.
+Measures with a unit are read by a grammar. For a number without one, a random forest with calibrated confidence predicts the
+unit from magnitude, source, kind of component, prefix letter and neighbouring text. It is fitted on a bounded sample of
+labelled rows: measures whose unit is written (the unit hidden), and numbers that the written convention (MISSING, or a unit
+that the specification names) labels; a third of the sample is held out for an isotonic calibration of its vote. A prediction
+is converted at CONFIDENT and above, else routed to review; `confirmed` tells whether the convention says the same.
 
 Defined results: null, empty and blank texts have no measures; a row id that comes again counts once; of several measures
 of one quantity in one field, the first counts; amounts are rounded half up; extra columns never enter;
@@ -12,16 +13,18 @@ rows without an id are left out.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from fractions import Fraction
 from functools import lru_cache
+from zlib import crc32
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Labelled rows that the forest is fitted on, at most (lowest hashes first), and those it is calibrated on.
+#: Labelled rows that the forest is fitted and calibrated on, at most (lowest hashes first).
 FIT_ROWS = 20_000
 CONFIDENT = 0.9
 
@@ -83,7 +86,7 @@ def unit_of(word: str) -> tuple[str, Fraction, Fraction, str] | None:
     if flat == "K":
         return "temperature", Fraction(1000), Fraction(-27315, 100), "kelvin"
     if low == "mfd":
-        return "capacitance", Fraction(10) ** 9, Fraction(0), "uf"
+        return "capacitance", Fraction(10) ** 9, Fraction(0), "ucapacitance"
     low = low.replace(" ", "")
     for word_, letter in sorted(WORDS.items(), key=lambda x: -len(x[0])):
         if low.startswith(word_) and low[len(word_) :] in BASES:
@@ -174,10 +177,8 @@ _CLUES = ["film", "X7R", "X5R", "NP0", "C0G", "Y5V", "DCR", "Isat", "Irms", "CL"
 _UNITS = [p + q for q in ("resistance", "capacitance", "inductance", "frequency", "voltage", "current") for p in ("", "p", "n", "u", "m", "k", "M", "G")]
 
 
-def features(x: float, letter: str, sign: bool, kind: str, spec: str | None) -> list[float]:
-    """Magnitude, prefix letter, kind of component, and clues of the specification; of fixed length."""
-    import math
-
+def features(x: float, letter: str, sign: bool, kind: str, spec: str | None, source: str | None = None) -> list[float]:
+    """Magnitude, prefix letter, kind of component, clues of the specification, and source; of fixed length."""
     spec = spec or ""
     named = _NAMED.search(spec.translate(_CLEAN))
     u = unit_of(named[1]) if named else None
@@ -185,37 +186,40 @@ def features(x: float, letter: str, sign: bool, kind: str, spec: str | None) ->
     return [
         math.log10(abs(x)) if x else -20.0, float(len(f"{x:g}")), float(sign),
         float(_LETTERS.index(letter) if letter in _LETTERS else len(_LETTERS)), float(_KINDS.index(kind) if kind in _KINDS else len(_KINDS)),
-        float(_UNITS.index(u[3]) + 1 if u and u[3] in _UNITS else 0), *(float(c in spec) for c in _CLUES),
+        float(_UNITS.index(u[3]) + 1 if u and u[3] in _UNITS else 0), float(crc32((source or "").encode("utf-8", "replace")) % 64), *(float(c in spec) for c in _CLUES),
     ]
 
 
-def read(df: DataFrame, row_id: str, designator: str, value: str, specification: str) -> DataFrame:
+def read(df: DataFrame, row_id: str, designator: str, value: str, specification: str, source: str | None = None) -> DataFrame:
     """One row per id: measures with unit of both fields; of a number without one, its features and what the convention says."""
-    rows = df.select(F.col(row_id).alias("_id"), F.col(designator).alias("_d"), F.col(value).alias("_v"), F.col(specification).alias("_s")).filter("_id is not null")
-    once = rows.groupBy("_id").agg(F.min_by(F.struct("_d", "_v", "_s"), F.struct("_v", "_s", "_d")).alias("_r")).select("_id", "_r.*")
+    src = F.col(source).cast("string") if source else F.lit(None).cast("string")
+    rows = df.select(F.col(row_id).alias("_id"), F.col(designator).alias("_d"), F.col(value).alias("_v"), F.col(specification).alias("_s"), src.alias("_src")).filter("_id is not null")
+    once = rows.groupBy("_id").agg(F.min_by(F.struct("_d", "_v", "_s", "_src"), F.struct("_v", "_s", "_d", "_src")).alias("_r")).select("_id", "_r.*")
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for i, d, v, s in zip(b["_id"], b["_d"], b["_v"], b["_s"]):
+            for i, d, v, s, src in zip(b["_id"], b["_d"], b["_v"], b["_s"], b["_src"]):
                 kind, found = kind_of(d), [("value", *m) for m in measures(v, kelvin=False)]
                 given = next((f for f in found if f[1] == MISSING.get(kind, ("",))[0]), None)
                 n = None if given else bare(v)
                 if n:
                     c = by_convention(kind, n[1], s)
-                    shown, row = None, (features(float(n[0]), n[1], n[2], kind, s), c and c[0], c and c[2], c and _whole(n[0] * c[1]), f"{n[0].numerator}/{n[0].denominator}")
-                elif given and given[3] in _UNITS:
-                    # labelled: the unit as written is hidden but for its prefix letter, and that too in every other row
-                    letter = given[3].removesuffix(given[1]) if hash(len(v or "")) % 2 else ""
-                    shown, row = given[3], (features(given[4], letter, False, kind, s), None, None, None, None)
+                    shown = c[2] if c and c[2] in _UNITS else None
+                    row = (features(float(n[0]), n[1], n[2], kind, s, src), c and c[0], c and c[2], c and _whole(n[0] * c[1]), f"{n[0].numerator}/{n[0].denominator}")
+                elif given and given[3] in _UNITS and (letter := given[3].removesuffix(given[1])):
+                    # the unit as written is hidden but for its prefix letter
+                    shown, row = given[3], (features(given[4], letter, False, kind, s, src), None, None, None, None)
                 else:
                     shown, row = None, (None, None, None, None, None)
                 found += [("specification", *m) for m in measures(s)]
-                out.append((i, [f[:3] for f in found], shown, *row))
-            yield pd.DataFrame(out, columns=["_id", "found", "label", "features", "c_quantity", "c_unit", "c_amount", "number"]).astype({"c_amount": "Int64"})
+                # one labelled row in five is shown without its kind, for the forest to learn how far the rest tells the unit
+                hidden = [*row[0][:4], float(len(_KINDS)), *row[0][5:]] if shown and crc32(str(i).encode()) % 5 == 0 else None
+                out.append((i, [f[:3] for f in found], shown, *row, hidden))
+            yield pd.DataFrame(out, columns=["_id", "found", "label", "features", "c_quantity", "c_unit", "c_amount", "number", "shown"]).astype({"c_amount": "Int64"})
 
     kind = df.schema[row_id].dataType.simpleString()
-    return once.mapInPandas(parse, f"_id {kind}, found array<struct<field:string,quantity:string,amount:long>>, label string, features array<double>, c_quantity string, c_unit string, c_amount long, number string")
+    return once.mapInPandas(parse, f"_id {kind}, found array<struct<field:string,quantity:string,amount:long>>, label string, features array<double>, c_quantity string, c_unit string, c_amount long, number string, shown array<double>")
 
 
 def _none() -> F.Column:
@@ -224,40 +228,39 @@ def _none() -> F.Column:
 
 
 def fit(parsed: DataFrame, rows: int = FIT_ROWS):
-    """A random forest over at most `rows` labelled rows, and accuracy by tenth of its vote on a third of them held out; None without labels."""
+    """(forest, isotonic model of how often its vote is right, share right and rows of the third held out), of at most `rows`
+    labelled rows; None where there are not labels enough."""
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.regression import IsotonicRegression
 
-    named = F.when(F.col("features")[5] > 0, F.element_at(F.array(*map(F.lit, _UNITS)), F.col("features")[5].cast("int")))
-    # rows whose specification names the unit are labelled too, though the number has none
-    label = F.coalesce("label", F.when(F.col("c_unit") == named, named))
-    known = parsed.filter(F.col("features").isNotNull() & label.isNotNull()).select("_id", label.alias("_label"), "features")
+    known = parsed.filter(F.col("features").isNotNull() & F.col("label").isNotNull()).select("_id", "label", F.coalesce("shown", "features").alias("features"))
     sample = known.orderBy(F.xxhash64("_id"), "_id").limit(rows)
-    got = sample.withColumn("_y", F.array_position(F.array(*map(F.lit, _UNITS)), F.col("_label")).cast("double") - 1).withColumn("_x", array_to_vector(F.coalesce("features", _none())))
+    got = sample.withColumn("_y", F.array_position(F.array(*map(F.lit, _UNITS)), F.col("label")).cast("double") - 1).withColumn("_x", array_to_vector(F.coalesce("features", _none())))
     part = F.pmod(F.xxhash64(F.lit("held out"), "_id"), F.lit(3))
-    got = got.cache()
-    if got.filter(part > 0).select("_y").distinct().limit(2).count() < 2:
-        return None
-    forest = RandomForestClassifier(featuresCol="_x", labelCol="_y", numTrees=20, maxDepth=8, seed=7, probabilityCol="_p", predictionCol="_g", rawPredictionCol="_raw").fit(got.filter(part > 0))
-    held = forest.transform(got.filter(part == 0)).select((F.col("_g") == F.col("_y")).cast("int").alias("ok"), F.least(F.floor(F.array_max(vector_to_array("_p")) * 10), F.lit(9)).alias("bin"))
-    table = {int(r["bin"]): (int(r["ok"]), int(r["n"])) for r in held.groupBy("bin").agg(F.sum("ok").alias("ok"), F.count("*").alias("n")).collect()}  # at most ten rows
-    got.unpersist()
-    # isotonic: the calibrated confidence never falls as the vote rises
-    calibrated, best = [], 0.0
-    for k in range(10):
-        ok, n = table.get(k, (0, 0))
-        best = max(best, (ok + 0.5) / (n + 1.0) if n else best)
-        calibrated.append(best)
-    return forest, calibrated
-
-
-def convert(df: DataFrame, row_id: str, designator: str, value: str, specification: str, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """(row_id, field, quantity, amount, unit_from, confidence, route): unit_from is `written`, `convention` or `forest`;
-    route is `convert` or, for a number whose unit is neither written, nor settled by the convention, nor predicted with confidence, `review`."""
+    got = got.coalesce(8).cache()  # `rows` rows at most
+    try:
+        if got.filter(part > 0).select("_y").distinct().limit(2).count() < 2:
+            return None
+        forest = RandomForestClassifier(featuresCol="_x", labelCol="_y", numTrees=20, maxDepth=10, maxBins=64, featureSubsetStrategy="0.6", subsamplingRate=0.9, seed=7, probabilityCol="_p", predictionCol="_g", rawPredictionCol="_raw").fit(got.filter(part > 0))
+        held = forest.transform(got.filter(part == 0)).select((F.col("_g") == F.col("_y")).cast("double").alias("ok"), F.array_max(vector_to_array("_p")).alias("vote"))
+        share, n = held.agg(F.avg("ok"), F.count("*")).first()
+        if not n:
+            return None
+        isotonic = IsotonicRegression(featuresCol="vote", labelCol="ok", predictionCol="_conf").fit(held)
+    finally:
+        got.unpersist()
+    return forest, isotonic, share, n
+
+
+def convert(df: DataFrame, row_id: str, designator: str, value: str, specification: str, fit_rows: int = FIT_ROWS, source: str | None = None) -> DataFrame:
+    """(row_id, field, quantity, amount, unit_from, confidence, route, confirmed): unit_from is `written` or `forest`; route is
+    `convert` or, for a number whose unit is not written and not predicted with confidence, `review`; confirmed: whether a
+    unit is written, or the convention says what the forest does (null where there is no convention)."""
     from boardloom.tables import written
 
-    parsed = written(read(df, row_id, designator, value, specification), "units")
-    given = parsed.select("_id", F.inline("found")).select("_id", "field", "quantity", "amount", F.lit("written").alias("unit_from"), F.lit(1.0).alias("confidence"), F.lit("convert").alias("route"))
+    parsed = written(read(df, row_id, designator, value, specification, source), "units")
+    given = parsed.select("_id", F.inline("found")).select("_id", "field", "quantity", "amount", F.lit("written").alias("unit_from"), F.lit(1.0).alias("confidence"), F.lit("convert").alias("route"), F.lit(True).alias("confirmed"))
     lone = parsed.filter(F.col("number").isNotNull())
     model = fit(parsed, fit_rows)
     if model is None:
@@ -265,18 +268,15 @@ def convert(df: DataFrame, row_id: str, designator: str, value: str, specificati
     else:
         from pyspark.ml.functions import array_to_vector, vector_to_array
 
-        forest, calibrated = model
-        got = forest.transform(lone.withColumn("_x", array_to_vector(F.coalesce("features", _none()))))
-        vote = F.least(F.floor(F.array_max(vector_to_array("_p")) * 10), F.lit(9)).cast("int")
-        lone = got.withColumn("_conf", F.element_at(F.array(*map(F.lit, calibrated)), vote + 1)).withColumn("_unit", F.element_at(F.array(*map(F.lit, _UNITS)), F.col("_g").cast("int") + 1))
+        got = model[0].transform(lone.withColumn("_x", array_to_vector(F.coalesce("features", _none())))).withColumn("vote", F.array_max(vector_to_array("_p")))
+        lone = model[1].transform(got).withColumn("_unit", F.element_at(F.array(*map(F.lit, _UNITS)), F.col("_g").cast("int") + 1))
     ratio = F.split("number", "/")
     factor = F.element_at(F.create_map(*[F.lit(x) for p, e in PREFIX.items() for q in COMMON for x in (p + q, 10.0 ** (e - COMMON[q]))]), F.col("_unit"))
     guessed = F.floor(ratio[0].cast("double") / ratio[1].cast("double") * factor + 0.5).cast("long")
-    settled = F.col("c_unit").isNotNull()
+    same = F.col("c_unit") == F.col("_unit")
     lone = lone.select(
-        "_id", F.lit("value").alias("field"), F.coalesce("c_quantity", F.regexp_replace("_unit", "^[pnumkMG](?=resist|capac|induct|frequ|volt|curr|power)", "")).alias("quantity"),
-        F.coalesce("c_amount", guessed).alias("amount"), F.when(settled, "convention").otherwise("forest").alias("unit_from"),
-        F.when(settled & (F.col("c_unit") == F.col("_unit")), F.greatest("_conf", F.lit(CONFIDENT))).otherwise(F.col("_conf")).alias("confidence"),
-        F.when(settled | (F.col("_conf") >= CONFIDENT), "convert").otherwise("review").alias("route"),
+        "_id", F.lit("value").alias("field"), F.regexp_replace("_unit", "^[pnumkMG](?=resist|capac|induct|frequ|volt|curr|power)", "").alias("quantity"),
+        F.when(same, F.col("c_amount")).otherwise(guessed).alias("amount"), F.lit("forest").alias("unit_from"), F.col("_conf").alias("confidence"),
+        F.when(F.col("_conf") >= CONFIDENT, "convert").otherwise("review").alias("route"), same.alias("confirmed"),
     )
     return given.unionByName(lone).withColumnRenamed("_id", "row_id")

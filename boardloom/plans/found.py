@@ -41,20 +41,20 @@ def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every measure of value and specification in its common unit, with where the unit comes from and how sure it is."""
-    df = table(spark, sf_dir, "bom_lines", "line_id", "designator", "value", "specification")
-    return units.convert(df, "line_id", "designator", "value", "specification")
+    df = table(spark, sf_dir, "bom_lines", "line_id", "board_id", "designator", "value", "specification")
+    return units.convert(df, "line_id", "designator", "value", "specification", source="board_id")
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = p4_measures(spark, sf_dir)
-    # the exact check: what only the forest proposes has no convention behind it
-    sure = got.filter((F.col("route") == "convert") & (F.col("unit_from") != "forest"))
+    # the exact check: what the forest is sure of must be what the convention says
+    sure = got.filter((F.col("route") == "convert") & F.col("confirmed"))
     return sure.select(F.col("row_id").alias("line_id"), "field", "quantity", "amount")
 
 
 def p4_review(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numbers whose unit is neither written, nor settled by the convention, nor predicted with confidence."""
-    return p4_measures(spark, sf_dir).filter(F.col("route") == "review").select(F.col("row_id").alias("line_id"), "field", "quantity", "amount", F.round("confidence", 6).alias("confidence"))
+    """Numbers without a written unit that are not predicted with confidence, or against the convention."""
+    return p4_measures(spark, sf_dir).filter((F.col("route") == "review") | ~F.coalesce("confirmed", F.lit(True))).select(F.col("row_id").alias("line_id"), "field", "quantity", "amount", F.round("confidence", 6).alias("confidence"))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:

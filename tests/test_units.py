@@ -31,21 +31,36 @@ def test_numbers_without_unit(value, kind, spec, want):
     assert (c and units._whole(n[0] * c[1])) == want
 
 
-def test_operator(spark):
+def _lines() -> list[tuple]:
     rows = [(i, f"C{i}", f"{i % 90 + 1}pF", "X7R; 16V", "x") for i in range(400)] + [(1000 + i, f"R{i}", f"{i % 90 + 1}kohm", "thin film", "x") for i in range(400)]
-    rows += [(5000, "C9", "47", "X7R", "x"), (5001, None, "47", "X7R", "x"), (5002, "R1", None, None, "x"), (5003, "R1", "", "", "x"), (5000, "C9", "47", "X7R", "x"), (None, "R1", "4k7", "", "x")]
+    return rows + [(2000 + i, f"C{i}", f"{i % 90 + 1}", "X7R", "x") for i in range(300)] + [(3000 + i, f"R{i}", f"{i % 90 + 1}k", "thin film", "x") for i in range(300)]
+
+
+def test_operator(spark):
+    rows = _lines() + [(5000, "C9", "47", "X7R", "x"), (5001, None, "47", "", "x"), (5002, "R1", None, None, "x"), (5003, "R1", "", "", "x"), (5000, "C9", "47", "X7R", "x"), (None, "R1", "4k7", "", "x")]
     df = spark.createDataFrame(rows, "id long, d string, v string, s string, found string")
-    got = {(r["row_id"], r["field"], r["quantity"]): r for r in units.convert(df, "id", "d", "v", "s").collect()}
-    assert got[(5000, "value", "capacitance")]["amount"] == 47_000 and got[(5000, "value", "capacitance")]["unit_from"] == "convention"
+    got = {(r["row_id"], r["field"], r["quantity"]): r for r in units.convert(df, "id", "d", "v", "s", source="found").collect()}
+    r = got[(5000, "value", "capacitance")]
+    assert r["amount"] == 47_000 and r["unit_from"] == "forest" and r["route"] == "convert" and r["confirmed"] and units.CONFIDENT <= r["confidence"] <= 1
     assert got[(1, "value", "capacitance")]["amount"] == 2000 and got[(1, "specification", "voltage")]["amount"] == 16_000_000
     lone = [r for k, r in got.items() if k[0] == 5001]
-    assert len(lone) == 1 and lone[0]["unit_from"] == "forest" and 0 < lone[0]["confidence"] <= 1
+    assert len(lone) == 1 and lone[0]["unit_from"] == "forest" and 0 < lone[0]["confidence"] <= 1 and lone[0]["confirmed"] is None
     assert not any(k[0] in (5002, 5003, None) for k in got)
     assert units.convert(df.limit(0), "id", "d", "v", "s").count() == 0
 
 
+def test_forest_decides(spark, monkeypatch):
+    """Without a forest, or with one that is wrong, no number without a unit is converted by the convention alone."""
+    df = spark.createDataFrame(_lines(), "id long, d string, v string, s string, src string")
+    lone = lambda: units.convert(df, "id", "d", "v", "s").filter("unit_from = 'forest'")
+    assert lone().filter("route = 'convert' and confirmed").count() >= 590
+    monkeypatch.setattr(units, "fit", lambda parsed, rows: None)
+    assert lone().filter("route = 'convert'").count() == 0 and lone().count() == 600
+
+
 def test_forest_on_held_out_rows(spark):
     rows = [(i, f"{'RCLY'[i % 4]}{i}", ["{}kohm", "{}nF", "{}uH", "{}MHz"][i % 4].format(i % 95 + 1), "") for i in range(1200)]
     parsed = units.read(spark.createDataFrame(rows, "id long, d string, v string, s string"), "id", "d", "v", "s")
-    forest, calibrated = units.fit(parsed)
-    assert calibrated == sorted(calibrated) and calibrated[-1] > 0.9
+    forest, isotonic, share, n = units.fit(parsed)
+    steps = isotonic.predictions.toArray().tolist()
+    assert share > 0.85 and 300 < n < 500 and steps == sorted(steps) and steps[-1] > 0.9
