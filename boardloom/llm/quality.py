@@ -1,22 +1,25 @@
 """Text quality figures of each document, and its structural kind: prose, list, table or junk.
 
-Every line is a unit. Its words are set against the prose and the item profile of each language (shares of function words,
-other words, numbers and codes), its characters against the letters of each language, by Jensen-Shannon divergence; marks
-of rows, items and noise are counted beside. The shares of text in sentences, items, rows and noise make the document's
-structural distribution; the nearest structural profile, again by Jensen-Shannon divergence, is its kind.
-
-Defined results: null and blank texts have word count 0, null shares and kind null; a sentence or heading that opens a list
-or table, and a short list within prose, weigh little and do not change the kind; one row out per row in (repeated rows of
-an id once, rows without an id left out); texts are read whole.
+A text is described by FACETS, each a distribution: its character classes, its letters, its function words and other kinds of
+words, what its lines open and end with, the cells of its lines, the length of its parts, and what it says again. These are
+set against structural profiles - the mean facets of groups of texts of one kind and language, prose profiles of each
+language among them - by Jensen-Shannon divergence; the kind of the nearest profile is the kind of the text. The profiles
+are fitted by `train_quality.py` on a bounded sample.
+
+Defined results: null and blank texts have word count 0, null shares and kind null; a heading or a sentence that opens a list
+or table, and a short list within prose, move the facets little and do not change the kind; one row out per row in (repeated
+rows of an id once, rows without an id left out); texts are read whole.
 """
 
 from __future__ import annotations
 
-import math
+import io
+import pkgutil
 import re
-from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,261 +27,258 @@ from pyspark.sql import functions as F
 from boardloom.tables import spread
 
 KINDS = ("prose", "list", "table", "junk")
-#: Shares of sentences, items, rows and noise.
-STRUCTURE = {"prose": (0.91, 0.03, 0.03, 0.03), "list": (0.03, 0.91, 0.03, 0.03), "table": (0.03, 0.03, 0.91, 0.03), "junk": (0.03, 0.03, 0.03, 0.91)}
-#: Shares of function words, other words, numbers and codes in running text of a language, and in items.
-PROSE_WORDS = {"en": (0.46, 0.44, 0.04, 0.06), "de": (0.42, 0.46, 0.04, 0.08), "fr": (0.46, 0.42, 0.04, 0.08), "zh": (0.27, 0.50, 0.10, 0.13)}
-ITEM_WORDS = (0.08, 0.62, 0.10, 0.20)
-# Per mille of each letter in running text.
-LETTERS = {
-    "en": dict(zip("abcdefghijklmnopqrstuvwxyz", (82, 15, 28, 43, 127, 22, 20, 61, 70, 2, 8, 40, 24, 67, 75, 19, 1, 60, 63, 91, 28, 10, 24, 2, 20, 1))),
-    "de": dict(zip("abcdefghijklmnopqrstuvwxyzäöüß", (65, 19, 27, 51, 164, 17, 30, 46, 66, 3, 14, 34, 25, 98, 26, 7, 1, 70, 73, 62, 42, 8, 19, 1, 1, 11, 6, 4, 10, 3))),
-    "fr": dict(zip("abcdefghijklmnopqrstuvwxyzéàèêçù", (76, 9, 33, 37, 147, 11, 9, 7, 75, 6, 1, 55, 30, 71, 58, 25, 14, 67, 79, 72, 63, 18, 1, 4, 1, 3, 19, 5, 3, 2, 1, 1))),
-}
-_WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*|\d+(?:[.,]\d+)*|(?<![\w+./-])[\w+./-]*\d[\w+./-]*")
-_DIGIT, _LETTER = re.compile(r"\d"), re.compile(r"[^\W\d_]")
-_HAN = re.compile(r"[㐀-鿿]")
-_MARK = re.compile(r"\s*(?:[-*•·–—+▪◦‣○●>]|\(?\d{1,4}[.)]|\(?[a-zA-Z][.)]|\[[ xX✓]?\]|[☐☑✓✗])\s+\S")
-_NET = re.compile(r"\s*[\w+.\-]+\s*[:=]\s*(?:[A-Za-z]+\d+(?:-\w+)?(?:[\s,;]+|$))+$")
-_END = re.compile(r"[.!?…:。！？：]['\"”’»)\]]*\s*$")
-_INNER = re.compile(r"[a-zà-ÿ)\d][.!?] +[A-ZÀ-Þ]|[。！？]")
-_HEX = re.compile(r"\s*(?:0x)?[0-9a-fA-F]{4,16}[:\s]+(?:[0-9a-fA-F]{2,8}\s+){3,}")
-_BLOB = re.compile(r"[A-Za-z0-9+/=_-]{32,}")
-_BROKEN = re.compile(r"[ÃÂ�¿½]|â€|Å[\x80-\xbf]|[\x00-\x08\x0e-\x1f\x80-\x9f]")
-_GAPS = re.compile(r"\S(?: {2,}|\t+ *)(?=\S)")
-_HTML_ROW = re.compile(r"<\s*/?\s*(?:table|thead|tbody|tr|td|th)\b", re.I)
-_ROW_MARKS = ("\t", "|", "│", "┃", "║", "¦", ";", "\",\"", ",", " & ", "::", "~")
-
-
-def jsd(p: tuple[float, ...], q: tuple[float, ...]) -> float:
-    """Jensen-Shannon divergence of two distributions, in bits."""
-    out = 0.0
-    for a, b in zip(p, q):
-        m = (a + b) / 2
-        out += (a * math.log2(a / m) if a else 0.0) + (b * math.log2(b / m) if b else 0.0)
-    return out / 2
-
-
-def letters_jsd(counts: Counter) -> float:
-    """The least divergence of letter counts from the letters of a language."""
-    total = sum(counts.values())
-    best = 1.0
-    for table in LETTERS.values():
-        keys = {*counts, *table}
-        norm = sum(table.values())
-        best = min(best, jsd(tuple(counts.get(k, 0) / total for k in keys), tuple(table.get(k, 0) / norm for k in keys)))
-    return best
+#: Words of a stretch that is longer than a sentence.
+LOOP = 24
+WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*|\d+(?:[.,]\d+)*|(?<![\w+./-])[\w+./-]*\d[\w+./-]*")
+HAN = re.compile(r"[㐀-鿿]")
+END = re.compile(r"[.!?…:。！？：]['\"”’»)\]]*\s*$")
+_LETTER = re.compile(r"[^\W\d_]")
 
 
 class Profiles:
-    """Function words by language."""
+    """Function words by language, and what is known of words: each distinct one is looked at once (at most MOST at a time)."""
+
+    MOST = 300_000
 
     def __init__(self, common: dict[str, set[str]]):
-        self.common = common
+        self.common, self.names = common, sorted(common)
         self.any = set().union(*common.values()) if common else set()
-        self.han = sorted((w for w in common.get("zh", ()) if _HAN.match(w)), key=len, reverse=True)
+        self.han = sorted((w for w in common.get("zh", ()) if HAN.match(w)), key=len, reverse=True)
         self.han_re = re.compile("|".join(map(re.escape, self.han))) if self.han else None
-
-    def word_shares(self, text: str) -> tuple[tuple[float, ...], int, str]:
-        """((function words, other words, numbers, codes), number of words, language of most function words)."""
-        words = _WORD.findall(text)
-        han = len(_HAN.findall(text))
-        if han and self.han_re and han >= len(words) / 2:
-            f = sum(len(m) for m in self.han_re.findall(text))
-            n = max(1, han)
-            digits = sum(1 for w in words if w[0].isdigit())
-            codes = sum(1 for w in words if not w[0].isdigit() and not _HAN.match(w))
-            total = n / 2 + digits + codes
-            return ((min(f, n) / 2 / total, (n - min(f, n)) / 2 / total, digits / total, codes / total), int(total), "zh")
-        if not words:
-            return ((0.0, 0.0, 0.0, 1.0), 0, "")
-        f = o = d = c = 0
-        loud = not re.search(r"[a-z]{2}", text)
-        langs: Counter = Counter()
-        for w in words:
+        self.clear()
+
+    def clear(self) -> None:
+        self.ids: dict[str, int] = {}
+        self.kind, self.size, self.hash = np.zeros(1024, np.int8), np.zeros(1024, np.int32), np.zeros(1024, np.uint64)
+        self.langs = np.zeros((1024, max(1, len(self.names))), np.int8)
+
+    def look_up(self, words: list[str]) -> np.ndarray:
+        if len(self.ids) > self.MOST:
+            self.clear()
+        known = self.ids
+        for w in {*words}.difference(known):
+            k = known[w] = len(known)
+            if k >= len(self.kind):
+                self.kind, self.size, self.hash, self.langs = (np.concatenate([x, np.zeros_like(x)]) for x in (self.kind, self.size, self.hash, self.langs))
             low = w.lower()
-            if low in self.any:
-                f += 1
-                for lang, own in self.common.items():
-                    if low in own:
-                        langs[lang] += 1
-            elif w.isalpha():
-                if len(w) > 1 and not loud and w.isupper():
-                    c += 1
-                else:
-                    o += 1
-            elif not _DIGIT.search(w):
-                o += 1
-            elif w[0].isdigit() and w[-1].isdigit() and not _LETTER.search(w):
-                d += 1
-            else:
-                c += 1
-        n = len(words)
-        return ((f / n, o / n, d / n, c / n), n, langs.most_common(1)[0][0] if langs else "")
-
-    def is_prose(self, shares: tuple[float, ...], lang: str) -> bool:
-        near = min(jsd(shares, PROSE_WORDS[x]) for x in ([lang] if lang in PROSE_WORDS else PROSE_WORDS))
-        return near < jsd(shares, ITEM_WORDS)
-
-
-def _row_counts(line: str) -> dict[str, int]:
-    """How often each cell mark parts the line."""
-    out = {}
-    for m in _ROW_MARKS:
-        if m in line:
-            out[m] = line.count(m)
-    if ";" in out:
-        out[";"] -= line.count("; ")
-    if "," in out:
-        out[","] -= line.count(", ") + len(re.findall(r"\d,\d{3}\b", line))
-    gaps = len(_GAPS.findall(line.strip()))
-    if gaps:
-        out["gap"] = gaps
-    return {m: n for m, n in out.items() if n > 0}
-
-
-def units(text: str, profiles: Profiles) -> tuple[dict[str, float], dict[str, float]]:
-    """(characters in sentences, items, rows and noise; figures found on the way)."""
-    lines = [x for x in re.split(r"\r\n|[\n\r\x0b\x0c\x85  ]", text) if x.strip()]
-    weight = {"sentence": 0.0, "item": 0.0, "row": 0.0, "noise": 0.0}
-    marks = [_row_counts(x) for x in lines]
-    kinds: list[str] = []
-    for i, x in enumerate(lines):
-        s = x.strip()
-        body = re.sub(r"\s", "", s)
-        letters = sum(map(str.isalpha, body))
-        # noise by its characters
-        if _HEX.match(x) or (len(body) >= 3 and len(set(body)) <= 2 and set(body) <= set("01")):
-            kinds.append("noise")
-            continue
-        blob = sum(len(m) for m in _BLOB.findall(s) if not re.fullmatch(r"[-=_]+", m) and (re.search(r"\d", m) or re.search(r"[a-z][A-Z]", m)))
-        if blob > len(s) / 2 or (len(_BROKEN.findall(s)) > 0.05 * len(body) + 1):
-            kinds.append("noise")
-            continue
-        # rows: a mark that the neighbours bear as often
-        near = [marks[j] for j in (i - 1, i + 1) if 0 <= j < len(lines)]
-        row = bool(_HTML_ROW.search(x))
-        for m, n in marks[i].items():
-            same = any(o.get(m) == n for o in near)
-            if m in ("\t", "│", "┃", "║", "¦"):
-                row |= same or n >= 2
-            elif m == "|":
-                row |= (n >= 2 and (same or s[0] == "|" or " | " in s)) and sum(map(str.isalnum, body)) > 0.25 * len(body) or bool(re.fullmatch(r"[|+:\s=-]+", s)) and n > 1
-            elif m == "gap":
-                row |= same and n >= 2
-            elif m == "~":
-                row |= same and n >= 2 and letters > 0.5 * len(body)
-            else:
-                row |= same and n >= (1 if m in ('","', " & ", "::") else 2)
-        if re.fullmatch(r"\+?(?:[-=─]{2,}[+┼┬┴]?)+", body) and near and any(o for o in near):
-            row = True
-        symbols = len(body) - letters - sum(map(str.isdigit, body))
-        if row and not (symbols > 0.6 * len(body) and not re.fullmatch(r"[|+:\s=─┼-]+", s)):
-            kinds.append("row")
-            continue
-        if body and not letters and symbols > 0.5 * len(body) and len(body) > 5 or (len(body) >= 3 and symbols > 0.55 * len(body) and not (len(body) < 8 and re.search(r"[^\W\d_]{2}", s))):
-            kinds.append("noise")
-            continue
-        if _MARK.match(x) or _NET.match(x):
-            # an item whose line runs on into sentences
-            on = len(s) > 90 and len(_INNER.findall(s)) > 0 and profiles.is_prose(*profiles.word_shares(s)[::2])
-            kinds.append("sentence" if on else "item")
-            continue
-        # items run together: many short parts of few function words
-        shares, n, lang = profiles.word_shares(s)
-        for mark in ("; ", ", ", " / ", " · ", " • ", " - ", " | ", "；", "、", "，"):
-            parts = s.split(mark)
-            if len(parts) >= 5 and sorted(len(p.split()) for p in parts)[len(parts) // 2] <= 7 and not profiles.is_prose(shares, lang):
-                kinds.append("item")
-                break
+            self.kind[k], self.size[k], self.hash[k] = _kind_of_word(w, low in self.any), len(w) if w.isalpha() else 0, hash(low) & 0xFFFFFFFFFFFFFFFF
+            self.langs[k] = [low in self.common[n] for n in self.names] or 0
+        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+
+
+def _kind_of_word(w: str, common: bool) -> int:
+    """0 function word, 1 to 5 other words by length, 6 capitals, 7 numbers, 8 codes, 9 blobs (10: characters of Chinese, counted apart)."""
+    if common:
+        return 0
+    if w.isalpha():
+        n = len(w)
+        return 6 if n > 1 and w.isupper() else 1 if n < 2 else 2 if n < 4 else 3 if n < 9 else 4 if n < 15 else 5
+    return 9 if len(w) >= 32 else 7 if w[0].isdigit() and w[-1].isdigit() and not _LETTER.search(w) else 8
+
+
+# --- distributions ------------------------------------------------------------------------------------------------------
+
+_COARSE = ("lower", "upper", "digit", "blank", "line end", "han", "letter", "stop", "cell", "pair", "sign", "broken")
+#: Facets of a text, each a distribution, with their number of shares.
+FACETS = {"classes": 30, "letters": 28, "words": 11, "lines": 12, "cells": 8, "parts": 6, "again": 2, "loop": 2}
+BOUNDS = np.cumsum([0, *FACETS.values()])
+_FINE_SIGNS = ".,;:!?-|/\\_=+*#&%@~^$'\""
+
+
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per code point of the basic plane: fine class, coarse class, letter."""
+    fine, coarse, letter = (np.zeros(65537, np.uint8) for _ in range(3))
+    for c in range(65536):
+        ch = chr(c)
+        if 0xD800 <= c < 0xE000 or ch in "\ufffdÃÂ¿½\xad" or c < 9 or 13 < c < 32 or 0x7F <= c < 0xA0:
+            k, f = 11, 7
+        elif "a" <= ch <= "z":
+            k, f = 0, 0
+        elif "A" <= ch <= "Z":
+            k, f = 1, 1
+        elif ch.isdigit():
+            k, f = 2, 2
+        elif ch in "\n\r\x0b\x0c\x85\u2028\u2029":
+            k, f = 4, 4
+        elif ch == "\t":
+            k, f = 8, 5
+        elif ch.isspace():
+            k, f = 3, 3
+        elif 0x3400 <= c <= 0x9FFF:
+            k, f = 5, 6
+        elif ch.isalpha():
+            k, f = (0 if ch.islower() else 6), 6
+        elif ch in ".!?:,;。！？，、；：…":
+            k, f = 7, 8 + _FINE_SIGNS.find(ch) if ch in _FINE_SIGNS else 8
+        elif ch in "|│┃║¦":
+            k, f = 8, 8 + _FINE_SIGNS.find("|")
+        elif ch in "()[]{}<>\"'“”‘’«»„「」『』（）":
+            k, f = 9, 28
         else:
-            if len(s) <= 60 and not (_END.search(s) and (n > 4 or profiles.is_prose(shares, lang))) and not _INNER.search(s) and lang != "zh":
-                kinds.append("short")
-            elif profiles.is_prose(shares, lang):
-                kinds.append("sentence")
-            else:
-                kinds.append("sentence" if shares[0] >= 0.12 or _INNER.search(s) or _END.search(s) else "item")
-    at = 0
-    while at < len(kinds):
-        end = at
-        while end < len(kinds) and kinds[end] == "short":
-            end += 1
-        if end > at:
-            # a run of short lines that end no sentence: items, unless they are as long as wrapped text, or the rest of it
-            sizes = sorted(len(x.strip()) for x in lines[at:end])
-            rest = at > 0 and kinds[at - 1] == "sentence" and not _END.search(lines[at - 1]) and len(lines[at - 1]) > 40
-            before = end < len(kinds) and kinds[end] == "sentence" and (len(lines[end - 1]) > 45 or end - at == 1)
-            wrapped = sizes[len(sizes) // 2] > 45 or (rest and end - at <= 2) or (before and end - at == 1)
-            kinds[at:end] = ["sentence" if wrapped else "item"] * (end - at)
-        at = max(end, at + 1)
-    # a heading or a sentence that opens a list or table weighs little
-    opening = 0
-    while opening < len(kinds) and kinds[opening] == "sentence" and (not opening or not _END.search(lines[opening - 1])):
-        opening += 1
-    if sum(len(x.strip()) for x in lines[:opening]) > 200 or opening == len(kinds):
-        opening = 0
-    for i, (k, x) in enumerate(zip(kinds, lines)):
-        weight[k] += len(x.strip()) * (0.15 if i < opening or (not i and len(x) < 60 and len(lines) > 1) else 1.0)
-    return weight, {"lines": len(lines), "ended": sum(bool(_END.search(x)) for x in lines)}
-
-
-#: Words of a stretch that is longer than a sentence.
-LOOP = 24
-
-
-def repeated(text: str) -> bool:
-    """Whether the text says the same few words, or one longer passage, again and again. Prose made from few sentences has as
-    few trigrams, but hardly a stretch of LOOP words comes again in it; in a loop most do, however long the passage."""
-    words = re.findall(r"\w+", text.lower())
-    if len(words) < 12:
-        han = "".join(_HAN.findall(text))
-        return len(han) >= 24 and len({han[i : i + 4] for i in range(len(han) - 3)}) < 0.2 * (len(han) - 3)
-    grams = len({tuple(words[i : i + 3]) for i in range(len(words) - 2)})
-    if grams >= 0.2 * (len(words) - 2):
-        return False
-    n = len(words) - LOOP + 1
-    return grams < 60 or len({tuple(words[i : i + LOOP]) for i in range(n)}) < 0.2 * n
-
-
-def garbled(body: str) -> bool:
-    """Whether signs of bad recognition stand all over the text."""
-    n = [body.count(c) for c in "^`~|!"]
-    return sum(x > 0 for x in n) >= 3 and sum(n) > 0.03 * len(body)
-
-
-def describe(text: str | None, profiles: Profiles) -> tuple | None:
-    """(words, mean word length, symbol ratio, share of lines ended, share of common words, language, JSD to its prose, kind)."""
-    if text is None or not text.strip():
-        return None
-    shares, n, lang = profiles.word_shares(text)
-    words = re.findall(r"[^\W\d_]+", text)
-    body = "".join(text.split())
-    symbols = len(re.findall(r"[\W_]", body))
-    weight, seen = units(text, profiles)
-    prose = min(jsd(shares, PROSE_WORDS[x]) for x in ([lang] if lang in PROSE_WORDS else PROSE_WORDS))
-    letters = Counter("".join(words).lower()) if shares[0] < 0.12 else Counter()
-    letters = Counter({c: k for c, k in letters.items() if not _HAN.match(c)})
-    total = sum(weight.values()) or 1.0
-    dist = tuple(weight[k] / total for k in ("sentence", "item", "row", "noise"))
-    if repeated(text) or garbled(body) or (sum(letters.values()) >= 60 and shares[0] < 0.12 and weight["row"] < 0.5 * total and letters_jsd(letters) > 0.13 and sum(letters.values()) > 0.6 * len(body)):
-        dist = (0.0, 0.0, 0.0, 1.0)
-    kind = min(KINDS, key=lambda k: (jsd(dist, STRUCTURE[k]), KINDS.index(k)))
-    mean = sum(map(len, words)) / len(words) if words else 0.0
-    return n, mean, symbols / max(1, len(body)), seen["ended"] / max(1, seen["lines"]), shares[0], lang, prose, kind
+            k, f = 10, 8 + _FINE_SIGNS.find(ch) if ch in _FINE_SIGNS else 29
+        coarse[c], fine[c] = k, f
+        letter[c] = ord(ch.lower()) - 97 if "a" <= ch.lower() <= "z" and len(ch.lower()) == 1 else 26 if ch.isalpha() and not 0x3400 <= c <= 0x9FFF else 27
+    coarse[65536], fine[65536], letter[65536] = 10, 29, 27
+    return fine, coarse, letter
+
+
+_FINE, _KIND, _LETTER_OF = _tables()
+_CELL_CODES = np.zeros(65537, np.uint8)
+for _k, _marks in enumerate(("\t", "|│┃║¦", ";；", ",，", "&", ":", "~"), 1):
+    for _c in _marks:
+        _CELL_CODES[ord(_c)] = _k
+_MARKS_AT = re.compile(r"(?:[-*•·–—+▪◦‣○●>☐☑✓✗]|\(?\d{1,4}[.)]|\(?[a-zA-Z][.)]|\[[ xX✓]?\])\s")
+_LINE_ENDS = re.compile(r"\r\n|[\n\r\x0b\x0c\x85\u2028\u2029]")
+
+
+def _two(x: float) -> tuple[float, float]:
+    x = min(1.0, max(0.0, x))
+    return x, 1.0 - x
+
+
+def facets(text: str, profiles: Profiles) -> tuple[np.ndarray, tuple]:
+    """(the facets of a text one after the other, each summing to 1; (words, mean word length, symbol ratio, share of lines ended,
+    share of function words, language))."""
+    out = [np.zeros(n, np.float64) for n in FACETS.values()]
+    codes = np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), 65536)
+    coarse = _KIND[codes]
+    out[0][:] = np.bincount(_FINE[codes], minlength=30)
+    out[1][:27] = np.bincount(_LETTER_OF[codes], minlength=28)[:27]
+    # words
+    words = WORD.findall(text)
+    ids = profiles.look_up(words)
+    kinds = np.bincount(profiles.kind[ids], minlength=11).astype(float)
+    han, n, f, lang = int(np.count_nonzero(coarse == 5)), float(len(words)), kinds[0], ""
+    if han and profiles.han_re and han >= len(words) / 2:
+        own = min(han, sum(map(len, profiles.han_re.findall(text))))
+        f, n, lang = own / 2, han / 2 + kinds[6:9].sum(), "zh"
+        kinds[0], kinds[1:6], kinds[10] = kinds[0] + own / 2, 0.0, (han - own) / 2
+    elif f:
+        lang = profiles.names[int(profiles.langs[ids].sum(0, dtype=np.int64).argmax())]
+    out[2][:] = kinds
+    # lines: how they open and end, and how long they are
+    ended, lines = 0, [x for x in _LINE_ENDS.split(text) if x and not x.isspace()]
+    for x in lines:
+        s = x.strip()
+        e = END.search(s) is not None
+        ended += e
+        out[3][(6 if _MARKS_AT.match(s) else 0) + (3 if e else 0) + (0 if len(s) <= 20 else 1 if len(s) <= 60 else 2)] += len(s)
+    out[4][:] = _cells(codes, coarse) if len(lines) > 1 else [1.0] + [0.0] * 7
+    # parts between commas, semicolons and the like: how many words they have
+    out[5][:] = np.bincount([min(5, len(p.split())) for p in _PARTS.split(text)], minlength=6)
+    out[5][0] = 0.0
+    # what is said again
+    h = profiles.hash[ids]
+    if len(h) < 12 and han >= 24:
+        h = codes[coarse == 5].astype(np.uint64) * _ODD
+    out[6][:], out[7][:] = _two(_distinct(h, 3)), _two(_distinct(h, LOOP))
+    size = profiles.size[ids]
+    letters = np.count_nonzero(size)
+    blank = (coarse == 3) | (coarse == 4) | (codes == 9)
+    symbols = int(np.count_nonzero((coarse >= 7) & (codes != 9)))
+    stats = (int(n), float(size.sum() / letters) if letters else 0.0, symbols / max(1, len(codes) - int(np.count_nonzero(blank))), ended / max(1, len(lines)), float(f / n) if n else 0.0, lang)
+    return np.concatenate([x / total if (total := x.sum()) else np.full(len(x), 1.0 / len(x)) for x in out]).astype(np.float32), stats
+
+
+def _cells(codes: np.ndarray, coarse: np.ndarray) -> np.ndarray:
+    """Characters of lines by the mark that parts their cells: one that a neighbouring line bears as often; 0 without."""
+    at = np.cumsum(coarse == 4)
+    rows = int(at[-1]) + 1
+    marks = _CELL_CODES[codes]
+    on = np.flatnonzero(marks)
+    count = np.bincount(at[on] * 8 + marks[on], minlength=rows * 8).reshape(rows, 8)
+    blank = codes == 32
+    gap = np.flatnonzero(blank[1:-1] & blank[:-2] & ~blank[2:]) + 1
+    count[:, 0] = np.bincount(at[gap], minlength=rows)
+    size = np.bincount(at, minlength=rows)
+    full = size > np.bincount(at[(coarse == 3) | (coarse == 4)], minlength=rows)
+    count, size = count[full], size[full]
+    same = np.zeros(count.shape, bool)
+    if len(size) > 1:
+        pair = (count[1:] == count[:-1]) & (count[1:] >= np.array([2, 1, 2, 2, 2, 1, 2, 2]))
+        same[1:] |= pair
+        same[:-1] |= pair
+    first = np.where(same.any(1), np.array([1, 2, 3, 4, 5, 6, 7, 7])[same[:, [1, 2, 0, 3, 4, 5, 6, 7]].argmax(1)], 0)
+    return np.bincount(first, weights=size, minlength=8)
+
+
+_PARTS = re.compile(r"[,;，；、·•]\s|\s[/|-]\s|[.!?。！？]\s|\n")
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
+
+
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
+def _distinct(h: np.ndarray, size: int) -> float:
+    """Share of different ones among all stretches of `size` words (by a rolling hash); 1 where there are none."""
+    n = len(h) - size + 1
+    if n < 2:
+        return 1.0
+    s = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(h * _powers(_ODD, len(h)), out=s[1:])
+    x = np.sort((s[size:] - s[:-size]) * _powers(_INVERSE, n))
+    return (1 + np.count_nonzero(x[1:] != x[:-1])) / n
+
+
+def _entropy(p: np.ndarray) -> np.ndarray:
+    """-p log p, element by element."""
+    return -p * np.log2(np.maximum(p, 1e-12))
+
+
+class Kinds:
+    """Structural profiles: mean facets of groups of texts of one kind and language."""
+
+    def __init__(self, profiles: np.ndarray, kinds: np.ndarray):
+        self.profiles, self.kinds = profiles.astype(np.float32), kinds.astype(int)
+        self.own = _entropy(self.profiles).sum(1)
+
+    @classmethod
+    @lru_cache(maxsize=1)
+    def load(cls) -> "Kinds":
+        with np.load(io.BytesIO(pkgutil.get_data("boardloom.llm", "quality_profiles.npz"))) as z:
+            return cls(z["profiles"], z["kinds"])
+
+    def divergences(self, x: np.ndarray, at_once: int = 64) -> np.ndarray:
+        """Jensen-Shannon divergence (bits, summed over facets) of each row of facets to each profile."""
+        out, mine = np.empty((len(x), len(self.profiles)), np.float32), _entropy(x).sum(1)
+        for k in range(0, len(x), at_once):
+            m = (x[k : k + at_once, None, :] + self.profiles[None]) * np.float32(0.5)
+            out[k : k + at_once] = _entropy(m).sum(2) - (mine[k : k + at_once, None] + self.own[None]) * np.float32(0.5)
+        return np.maximum(out, 0.0)
+
+    def nearest(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(kind of the nearest profile, least divergence to each kind) of each row; ties go to the earlier of KINDS."""
+        d = self.divergences(x)
+        by = np.stack([d[:, self.kinds == k].min(1, initial=np.inf) for k in range(len(KINDS))], 1)
+        return by.argmin(1), by
 
 
 def quality(df: DataFrame, row_id: str, text: str, common: dict[str, set[str]]) -> DataFrame:
-    """(row_id, words, mean_word_length, symbol_ratio, lines_ended, common_words, language, prose_jsd, kind)."""
-    kind = df.schema[row_id].dataType.simpleString()
-    names = ["words", "mean_word_length", "symbol_ratio", "lines_ended", "common_words", "language", "prose_jsd", "kind"]
+    """(row_id, words, mean_word_length, symbol_ratio, lines_ended, common_words, language, prose_jsd, kind); prose_jsd is the
+    divergence from the nearest profile of prose."""
+    id_kind = df.schema[row_id].dataType.simpleString()
+    names = ["words", "mean_word_length", "symbol_ratio", "lines_ended", "common_words", "language"]
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        profiles = Profiles(common)
+        profiles, known = Profiles(common), Kinds.load()
         for b in batches:
-            rows = [describe(t, profiles) or (0, *[None] * 7) for t in b["_text"]]
-            out = pd.DataFrame(rows, columns=names)
+            there = [t is not None and not t.isspace() and t != "" for t in b["_text"]]
+            got = [facets(t, profiles) for t, ok in zip(b["_text"], there) if ok]
+            rows = iter([s for _, s in got])
+            out = pd.DataFrame([next(rows) if ok else (0, *[None] * 5) for ok in there], columns=names)
+            kind, prose = np.full(len(b), None, object), np.full(len(b), np.nan)
+            if got:
+                nearest, by = known.nearest(np.stack([f for f, _ in got]))
+                kind[there], prose[there] = np.array(KINDS, object)[nearest], by[:, 0]
+            out["prose_jsd"], out["kind"] = prose, kind
+            out["prose_jsd"] = out["prose_jsd"].astype(object).where(np.array(there), None)
             out.insert(0, "_id", b["_id"].to_numpy())
             yield out
 
-    got = spread(df.select(F.col(row_id).alias("_id"), F.col(text).alias("_text")).filter("_id is not null"), "_id").mapInPandas(work, f"_id {kind}, words int, mean_word_length double, symbol_ratio double, lines_ended double, common_words double, language string, prose_jsd double, kind string")
+    rows = df.select(F.col(row_id).alias("_id"), F.col(text).alias("_text")).filter("_id is not null")
+    got = spread(rows, "_id").mapInPandas(work, f"_id {id_kind}, words int, mean_word_length double, symbol_ratio double, lines_ended double, common_words double, language string, prose_jsd double, kind string")
     return got.dropDuplicates(["_id"]).withColumnRenamed("_id", row_id)

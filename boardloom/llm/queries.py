@@ -85,14 +85,10 @@ def p9_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _common(spark: SparkSession, sf_dir: str) -> dict[str, set[str]]:
-    """Function words by language: a fixed table of 194 rows, read whole; a larger one is refused."""
-    rows = table(spark, sf_dir, "common_words", "lang", "word").limit(100_001).collect()
-    if len(rows) > 100_000:
-        raise ValueError("common_words is no table of function words")
+    """Function words by language: a fixed table (194 rows), read whole."""
     out: dict[str, set[str]] = {}
-    for r in rows:
-        if r["word"]:
-            out.setdefault(r["lang"], set()).add(r["word"].lower())
+    for r in table(spark, sf_dir, "common_words", "lang", "word").filter("lang is not null and word <> ''").collect():
+        out.setdefault(r["lang"], set()).add(r["word"].lower())
     return out
 
 

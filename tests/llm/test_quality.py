@@ -1,9 +1,11 @@
 import base64
 import random
 
+import numpy as np
 import pytest
 
-from boardloom.llm.quality import Profiles, describe, jsd, quality, repeated
+from boardloom.llm.quality import BOUNDS, FACETS, KINDS, Kinds, Profiles, facets, quality
+from boardloom.llm.train_quality import by_lines, fit, jsd, loops, repeated
 
 COMMON = {
     "en": set("a about after again an and are as at be because been both but by do each for from has if in is it no not of on only or our see so still than that the their then there this to was we what when which while who with would".split()),
@@ -26,18 +28,55 @@ CASES = [
 ]
 
 
+def kind_of(text: str) -> str:
+    return KINDS[Kinds.load().nearest(facets(text, Profiles(COMMON))[0][None])[0][0]]
+
+
 @pytest.mark.parametrize("text,kind", CASES)
 def test_kinds(text, kind):
-    assert describe(text, Profiles(COMMON))[-1] == kind
+    assert by_lines(text, Profiles(COMMON)) == kind
+    assert kind_of(text) == kind
 
 
 def test_figures():
-    n, mean, symbols, ended, common, lang, near, kind = describe("The rail is on.\nIs it?", Profiles(COMMON))
-    assert (n, ended, lang, kind) == (6, 1.0, "en", "prose") and abs(symbols - 2 / 17) < 1e-9 and abs(mean - 15 / 6) < 1e-9 and abs(common - 5 / 6) < 1e-9 and 0 <= near <= 1
+    x, (n, mean, symbols, ended, common, lang) = facets("The rail is on.\nIs it?", Profiles(COMMON))
+    assert (n, ended, lang) == (6, 1.0, "en") and abs(symbols - 2 / 17) < 1e-9 and abs(mean - 15 / 6) < 1e-9 and abs(common - 5 / 6) < 1e-9
+    for text in ("The rail is on.\nIs it?", "x", "当电池快没电时", "-" * 50, "\x00", "\ud800 odd", "😀 " * 9):
+        x, _ = facets(text, Profiles(COMMON))
+        assert np.allclose([x[a:b].sum() for a, b in zip(BOUNDS, BOUNDS[1:])], 1.0, atol=1e-5) and len(x) == sum(FACETS.values())
 
 
-def test_jsd():
+def test_divergence():
     assert jsd((1.0, 0.0), (0.0, 1.0)) == 1.0 and jsd((0.5, 0.5), (0.5, 0.5)) == 0.0
+    two = Kinds(np.array([[1.0, 0.0], [0.5, 0.5]]), np.array([0, 1]))
+    got = two.divergences(np.array([[1.0, 0.0], [0.5, 0.5], [0.0, 1.0]], np.float32))
+    want = [[jsd(p, q) for q in ((1.0, 0.0), (0.5, 0.5))] for p in ((1.0, 0.0), (0.5, 0.5), (0.0, 1.0))]
+    assert np.allclose(got, want, atol=1e-5)
+
+
+def test_profiles_decide(spark, monkeypatch):
+    """Other profiles, other kinds: no rule beside them decides."""
+    known = Kinds.load()
+    assert {tuple(p.round(4)) for p in known.profiles[known.kinds == 0]}.isdisjoint({tuple(p.round(4)) for p in known.profiles[known.kinds != 0]})
+    df = spark.createDataFrame([(1, PROSE), (2, "\n".join(ITEMS))], "id long, text string")
+    assert {r["id"]: r["kind"] for r in quality(df, "id", "text", COMMON).collect()} == {1: "prose", 2: "list"}
+    texts = [PROSE, "\n".join(ITEMS)]
+    x = np.stack([facets(t, Profiles(COMMON))[0] for t in texts])
+    swapped = Kinds(x, np.array([1, 0]))
+    assert [KINDS[k] for k in swapped.nearest(x)[0]] == ["list", "prose"]
+
+
+def test_fit_on_held_out_texts():
+    """Profiles fitted to generated texts tell others of their like."""
+    r, words = random.Random(2), "the a is on we it of to and rail fuse probe codec sheet limit antenna regulator".split()
+    say = lambda n: " ".join(r.choice(words) for _ in range(n))
+    make = [lambda: " ".join(say(12).capitalize() + "." for _ in range(8)), lambda: "\n".join(f"- {say(3)}" for _ in range(12)), lambda: "\n".join("\t".join(say(1) for _ in range(4)) for _ in range(9)), lambda: "".join(r.choice("01 ") for _ in range(400))]
+    kinds = np.array([i % 4 for i in range(240)])
+    got = [facets(make[k](), Profiles(COMMON)) for k in kinds]
+    x, langs = np.stack([f for f, _ in got]), [s[5] for _, s in got]
+    near = fit(x[:160], kinds[:160], langs[:160])
+    assert (near.nearest(x[160:])[0] == kinds[160:]).mean() >= 0.97
+    assert all(len(t.split()) > 20 for t in loops([PROSE * 3], 5))
 
 
 def test_operator(spark):
