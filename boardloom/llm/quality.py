@@ -137,9 +137,10 @@ def _two(x: float) -> tuple[float, float]:
 
 
 def facets(text: str, profiles: Profiles) -> tuple[np.ndarray, tuple]:
-    """(the facets of a text one after the other, each summing to 1; (words, mean word length, symbol ratio, share of lines ended,
+    """(the counts of all facets of a text, one after the other; (words, mean word length, symbol ratio, share of lines ended,
     share of function words, language))."""
-    out = [np.zeros(n, np.float64) for n in FACETS.values()]
+    row = np.zeros(BOUNDS[-1])
+    out = [row[a:b] for a, b in zip(BOUNDS, BOUNDS[1:])]
     codes = np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), 65536)
     coarse = _KIND[codes]
     out[0][:] = np.bincount(_FINE[codes], minlength=30)
@@ -177,7 +178,15 @@ def facets(text: str, profiles: Profiles) -> tuple[np.ndarray, tuple]:
     blank = (coarse == 3) | (coarse == 4) | (codes == 9)
     symbols = int(np.count_nonzero((coarse >= 7) & (codes != 9)))
     stats = (int(n), float(size.sum() / letters) if letters else 0.0, symbols / max(1, len(codes) - int(np.count_nonzero(blank))), ended / max(1, len(lines)), float(f / n) if n else 0.0, lang)
-    return np.concatenate([x / total if (total := x.sum()) else np.full(len(x), 1.0 / len(x)) for x in out]).astype(np.float32), stats
+    return row, stats
+
+
+def shares(counts: list[np.ndarray]) -> np.ndarray:
+    """Rows of counts with each facet as a distribution; one without any count is even."""
+    x = np.stack(counts)
+    sizes = np.array(list(FACETS.values()))
+    total = np.repeat(np.add.reduceat(x, BOUNDS[:-1], 1), sizes, 1)
+    return np.where(total > 0, x / np.where(total > 0, total, 1.0), 1.0 / np.repeat(sizes, sizes)).astype(np.float32)
 
 
 def _cells(codes: np.ndarray, coarse: np.ndarray) -> np.ndarray:
@@ -189,9 +198,10 @@ def _cells(codes: np.ndarray, coarse: np.ndarray) -> np.ndarray:
     count = np.bincount(at[on] * 8 + marks[on], minlength=rows * 8).reshape(rows, 8)
     blank = codes == 32
     gap = np.flatnonzero(blank[1:-1] & blank[:-2] & ~blank[2:]) + 1
-    count[:, 0] = np.bincount(at[gap], minlength=rows)
+    if len(gap):
+        count[:, 0] = np.bincount(at[gap], minlength=rows)
     size = np.bincount(at, minlength=rows)
-    full = size > np.bincount(at[(coarse == 3) | (coarse == 4)], minlength=rows)
+    full = np.bincount(at[(coarse != 3) & (coarse != 4)], minlength=rows) > 0
     count, size = count[full], size[full]
     same = np.zeros(count.shape, bool)
     if len(size) > 1:
@@ -207,10 +217,17 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 
 
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
+def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first powers of the multiplier and of its inverse, modulo 2 ** 64."""
+    out = []
+    for base in (_ODD, _INVERSE):
+        x = np.full(n, base, np.uint64)
+        x[:1] = 1
+        out.append(np.multiply.accumulate(x))
+    return out[0], out[1]
+
+
+_POWERS = _power_table(4096)
 
 
 def _distinct(h: np.ndarray, size: int) -> float:
@@ -218,23 +235,27 @@ def _distinct(h: np.ndarray, size: int) -> float:
     n = len(h) - size + 1
     if n < 2:
         return 1.0
+    up, down = _POWERS if len(h) <= 4096 else _power_table(len(h))
     s = np.zeros(len(h) + 1, np.uint64)
-    np.cumsum(h * _powers(_ODD, len(h)), out=s[1:])
-    x = np.sort((s[size:] - s[:-size]) * _powers(_INVERSE, n))
+    np.cumsum(h * up[: len(h)], out=s[1:])
+    x = np.sort((s[size:] - s[:-size]) * down[:n])
     return (1 + np.count_nonzero(x[1:] != x[:-1])) / n
 
 
-def _entropy(p: np.ndarray) -> np.ndarray:
-    """-p log p, element by element."""
-    return -p * np.log2(np.maximum(p, 1e-12))
+_TINY, _NAT = np.float32(1e-9), np.float32(1 / np.log(2))
+
+
+def _minus_entropy(p: np.ndarray) -> np.ndarray:
+    """The sum of p log p (natural) over the last axis; no share is 0."""
+    return np.einsum("...k,...k->...", p, np.log(p))
 
 
 class Kinds:
     """Structural profiles: mean facets of groups of texts of one kind and language."""
 
     def __init__(self, profiles: np.ndarray, kinds: np.ndarray):
-        self.profiles, self.kinds = profiles.astype(np.float32), kinds.astype(int)
-        self.own = _entropy(self.profiles).sum(1)
+        self.profiles, self.kinds = profiles.astype(np.float32) + _TINY, kinds.astype(int)
+        self.own = _minus_entropy(self.profiles)
 
     @classmethod
     @lru_cache(maxsize=1)
@@ -244,11 +265,12 @@ class Kinds:
 
     def divergences(self, x: np.ndarray, at_once: int = 64) -> np.ndarray:
         """Jensen-Shannon divergence (bits, summed over facets) of each row of facets to each profile."""
-        out, mine = np.empty((len(x), len(self.profiles)), np.float32), _entropy(x).sum(1)
+        x = x.astype(np.float32) + _TINY
+        out, mine = np.empty((len(x), len(self.profiles)), np.float32), _minus_entropy(x)
         for k in range(0, len(x), at_once):
             m = (x[k : k + at_once, None, :] + self.profiles[None]) * np.float32(0.5)
-            out[k : k + at_once] = _entropy(m).sum(2) - (mine[k : k + at_once, None] + self.own[None]) * np.float32(0.5)
-        return np.maximum(out, 0.0)
+            out[k : k + at_once] = (mine[k : k + at_once, None] + self.own[None]) * np.float32(0.5) - _minus_entropy(m)
+        return np.maximum(out, 0.0) * _NAT
 
     def nearest(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(kind of the nearest profile, least divergence to each kind) of each row; ties go to the earlier of KINDS."""
@@ -272,7 +294,7 @@ def quality(df: DataFrame, row_id: str, text: str, common: dict[str, set[str]])
             out = pd.DataFrame([next(rows) if ok else (0, *[None] * 5) for ok in there], columns=names)
             kind, prose = np.full(len(b), None, object), np.full(len(b), np.nan)
             if got:
-                nearest, by = known.nearest(np.stack([f for f, _ in got]))
+                nearest, by = known.nearest(shares([f for f, _ in got]))
                 kind[there], prose[there] = np.array(KINDS, object)[nearest], by[:, 0]
             out["prose_jsd"], out["kind"] = prose, kind
             out["prose_jsd"] = out["prose_jsd"].astype(object).where(np.array(there), None)

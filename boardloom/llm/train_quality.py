@@ -20,7 +20,7 @@ import numpy as np
 
 from boardloom.llm.quality import END as _END
 from boardloom.llm.quality import HAN as _HAN
-from boardloom.llm.quality import KINDS, LOOP, Kinds, Profiles, facets
+from boardloom.llm.quality import KINDS, LOOP, Kinds, Profiles, facets, shares
 from boardloom.llm.quality import WORD as _WORD
 
 FIT_ROWS, GROUPS, ROUNDS = 10_000, 20, 10
@@ -309,7 +309,7 @@ def main(folder: str) -> None:
     profiles = Profiles(common)
     got = [facets(t, profiles) for t in sample]
     # loops and broken texts are groups of their own
-    x, langs = np.stack([f for f, _ in got]), [s[5] + "+" * ((i >= len(order)) + (i >= len(order) + len(order) // 2)) for i, (_, s) in enumerate(got)]
+    x, langs = shares([f for f, _ in got]), [s[5] + "+" * ((i >= len(order)) + (i >= len(order) + len(order) // 2)) for i, (_, s) in enumerate(got)]
     kinds = np.array([KINDS.index(by_lines(t, profiles)) for t in sample])
     held = np.arange(len(x)) % 4 == 3
     near = fit(x[~held], kinds[~held], [lang for lang, h in zip(langs, held) if not h])

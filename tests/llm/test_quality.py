@@ -4,7 +4,7 @@ import random
 import numpy as np
 import pytest
 
-from boardloom.llm.quality import BOUNDS, FACETS, KINDS, Kinds, Profiles, facets, quality
+from boardloom.llm.quality import BOUNDS, FACETS, KINDS, Kinds, Profiles, facets, quality, shares
 from boardloom.llm.train_quality import by_lines, fit, jsd, loops, repeated
 
 COMMON = {
@@ -29,7 +29,7 @@ CASES = [
 
 
 def kind_of(text: str) -> str:
-    return KINDS[Kinds.load().nearest(facets(text, Profiles(COMMON))[0][None])[0][0]]
+    return KINDS[Kinds.load().nearest(shares([facets(text, Profiles(COMMON))[0]]))[0][0]]
 
 
 @pytest.mark.parametrize("text,kind", CASES)
@@ -42,7 +42,7 @@ def test_figures():
     x, (n, mean, symbols, ended, common, lang) = facets("The rail is on.\nIs it?", Profiles(COMMON))
     assert (n, ended, lang) == (6, 1.0, "en") and abs(symbols - 2 / 17) < 1e-9 and abs(mean - 15 / 6) < 1e-9 and abs(common - 5 / 6) < 1e-9
     for text in ("The rail is on.\nIs it?", "x", "当电池快没电时", "-" * 50, "\x00", "\ud800 odd", "😀 " * 9):
-        x, _ = facets(text, Profiles(COMMON))
+        x = shares([facets(text, Profiles(COMMON))[0]])[0]
         assert np.allclose([x[a:b].sum() for a, b in zip(BOUNDS, BOUNDS[1:])], 1.0, atol=1e-5) and len(x) == sum(FACETS.values())
 
 
@@ -61,7 +61,7 @@ def test_profiles_decide(spark, monkeypatch):
     df = spark.createDataFrame([(1, PROSE), (2, "\n".join(ITEMS))], "id long, text string")
     assert {r["id"]: r["kind"] for r in quality(df, "id", "text", COMMON).collect()} == {1: "prose", 2: "list"}
     texts = [PROSE, "\n".join(ITEMS)]
-    x = np.stack([facets(t, Profiles(COMMON))[0] for t in texts])
+    x = shares([facets(t, Profiles(COMMON))[0] for t in texts])
     swapped = Kinds(x, np.array([1, 0]))
     assert [KINDS[k] for k in swapped.nearest(x)[0]] == ["list", "prose"]
 
@@ -73,7 +73,7 @@ def test_fit_on_held_out_texts():
     make = [lambda: " ".join(say(12).capitalize() + "." for _ in range(8)), lambda: "\n".join(f"- {say(3)}" for _ in range(12)), lambda: "\n".join("\t".join(say(1) for _ in range(4)) for _ in range(9)), lambda: "".join(r.choice("01 ") for _ in range(400))]
     kinds = np.array([i % 4 for i in range(240)])
     got = [facets(make[k](), Profiles(COMMON)) for k in kinds]
-    x, langs = np.stack([f for f, _ in got]), [s[5] for _, s in got]
+    x, langs = shares([f for f, _ in got]), [s[5] for _, s in got]
     near = fit(x[:160], kinds[:160], langs[:160])
     assert (near.nearest(x[160:])[0] == kinds[160:]).mean() >= 0.97
     assert all(len(t.split()) > 20 for t in loops([PROSE * 3], 5))
