@@ -1,13 +1,14 @@
 """Values typed by hand mapped to the entry of a reference list that is meant, or to none.
 
-The reference list becomes a symmetric-delete dictionary: every key with up to EDITS characters taken out points to its
-entries, so all entries within a bounded edit distance are found by look-up. They are ranked by a weighted
-Damerau-Levenshtein distance (look-alike characters and swaps cost less), then by how often the entry occurs, as written,
-in the table itself, then by key. Where members of a family differ in one character, that character decides: a value that
-differs from an entry just there names another part, not that one.
-
-The dictionary is broadcast; a reference list beyond MOST_ENTRIES is refused. Values are looked up where they lie, each
-distinct one once a task. Defined results: null and blank values and exact spellings are no cases; fillers (`n/a`, `any`,
+The reference list becomes a symmetric-delete dictionary: every key with up to EDITS characters taken out of its first PREFIX
+points to its entries, so all entries within a bounded edit distance are found by look-up (`allowed`: none for short keys,
+one, two for long ones). They are ranked by a weighted Damerau-Levenshtein distance (look-alike characters and swaps cost
+less), then by how often the entry occurs, as written, in the table itself, then by key. Where members of a family differ
+in one character, that character decides: a value that differs from an entry just there names another part, not that one.
+
+The dictionary of lists of up to MOST_ENTRIES is broadcast, and values are looked up where they lie, each distinct one once a
+worker process. Longer lists are never held whole: entries and distinct values meet by a join on all keys that a look-up could
+use (`entry_keys`, `asked_keys`), and each value is resolved among the entries it met, with the same result. Defined results: null and blank values and exact spellings are no cases; fillers (`n/a`, `any`,
 ...) and values near no entry, or equally near to several, map to -1; repeated rows of one id count once, rows without an id are left out.
 """
 
@@ -15,17 +16,21 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import uuid
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
+from zlib import crc32
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boardloom.tables import blank, spread
+from boardloom.tables import blank, spread, written
 
 MOST_ENTRIES = 500_000
-EDITS = 1
+#: Edits at most, and the stretch of a key that deletions are taken from.
+EDITS, PREFIX = 2, 8
 MEMO = 200_000
 
 # Look-alike letters, fillers, words around names.
@@ -38,12 +43,21 @@ _PACKING = r"(?:T ?[/&] ?R|TR|REEL|TAPE|CUT TAPE|RL|TUBE|TRAY|BULK|CT|ND|DKR)"
 
 def fold(text: str) -> str:
     """Compatibility forms, look-alike letters and accents as plain letters; invisible characters out; upper case."""
-    text = "".join(_LOOKS.get(c, c) for c in unicodedata.normalize("NFKC", text))
+    if text.isascii():
+        return text.upper()
+    text = "".join("-" if unicodedata.category(c) == "Pd" or c == "\u2212" else _LOOKS.get(c, c) for c in unicodedata.normalize("NFKC", text))
     text = "".join(c for c in unicodedata.normalize("NFD", text) if not unicodedata.combining(c) and unicodedata.category(c) != "Cf")
     return text.translate({0xF8: "o", 0xD8: "O", 0xDF: "ss", 0x142: "l", 0x131: "i", 0x111: "d"}).upper()
 
 
-def deletes(key: str, edits: int = EDITS) -> set[str]:
+def allowed(size: int) -> float:
+    """Edits that two keys, the longer of so many characters, may be apart: none below 5, one below 9, then two."""
+    return 0.0 if size < 5 else 1.0 if size < 9 else 2.0
+
+
+def deletes(key: str, edits: int = EDITS, prefix: int = PREFIX) -> set[str]:
+    """The first `prefix` characters of a key with up to `edits` of them taken out."""
+    key = key[:prefix]
     out, last = {key}, {key}
     for _ in range(edits):
         last = {k[:i] + k[i + 1 :] for k in last for i in range(len(k))}
@@ -77,21 +91,41 @@ def distance(a: str, b: str, most: float = 3.0) -> float:
 class Dictionary:
     """Keys with their ids, found by bounded edit distance."""
 
-    def __init__(self, edits: int = EDITS):
-        self.edits = edits
+    def __init__(self):
         self.ids: dict[str, set[int]] = defaultdict(set)
-        self.near: dict[str, set[str]] = defaultdict(set)
+        self.near: dict[str, list[str]] = defaultdict(list)
 
     def add(self, key: str, ref_id: int) -> None:
         if key not in self.ids:
-            for d in deletes(key, self.edits):
-                self.near[d].add(key)
+            for d in deletes(key):
+                self.near[d].append(key)
         self.ids[key].add(ref_id)
 
     def find(self, key: str) -> list[tuple[float, str]]:
-        """(distance, key) of the keys within the edits, nearest first."""
-        got = set().union(*(self.near.get(d, ()) for d in deletes(key, self.edits)))
-        return sorted((d, k) for k in got if (d := distance(key, k)) <= self.edits + 0.01)
+        """(distance, key) of the keys within the edits allowed, nearest first."""
+        got = {k for d in deletes(key) for k in self.near.get(d, ())} if allowed(len(key)) else {key} & self.ids.keys()
+        return sorted((d, k) for k in got if (d := distance(key, k, EDITS)) <= allowed(max(len(key), len(k))) + 0.01)
+
+
+#: How much farther the runner-up must be: of a match by two edits, and of any other.
+FAR, NEAR = 0.45, 0.05
+
+
+def margin(d: float) -> float:
+    return FAR if d > 1.01 else NEAR
+
+
+def _crc(text: str) -> str:
+    return f"{len(text)}:{crc32(text.encode('utf-8', 'replace'))}"
+
+
+def _prefix_keys(kind: str, text: str) -> list[tuple[str, int]]:
+    """(key, length) of each beginning of a text, told by checksums (equal ones only mean one entry more to look at)."""
+    out, crc = [], 0
+    for n, c in enumerate(text, 1):
+        crc = crc32(c.encode("utf-8", "replace"), crc)
+        out.append((f"{kind}:{n}:{crc}", n))
+    return out
 
 
 class Names:
@@ -103,6 +137,7 @@ class Names:
         self.kinds: dict[int, list[str]] = {}
         self.brand_of: dict[int, str] = {}
         self.count = {i: frequency.get(n, 0) for i, n, _ in rows}
+        self.sorted: list[str] | None = None
         for i, name, short in rows:
             words = self.core(name)
             if not words:
@@ -113,6 +148,26 @@ class Names:
             if short:
                 self.shorts[fold(short)].add(i)
 
+    @classmethod
+    def entry_keys(cls, name: str, short: str | None) -> set[str]:
+        """What an entry can be found by."""
+        words = cls.core(name)
+        if not words:
+            return set()
+        whole = "".join(words)
+        out = {f"bd:{d}" for d in deletes(words[0])} | {f"wd:{d}" for d in deletes(whole)} | {f"b:{_crc(words[0])}"}
+        out |= {key for key, n in _prefix_keys("p", whole) if n >= 5}
+        return out | ({f"s:{fold(short)}"} if short else set())
+
+    @classmethod
+    def asked_keys(cls, value: str) -> set[str]:
+        """What a value looks up, all rules together."""
+        words = cls.core(value)
+        squeezed = "".join(words)
+        out = {f"s:{w}" for w in words} | {f"bd:{d}" for w in words if len(w) > 3 for d in deletes(w)} | {f"wd:{d}" for d in deletes(squeezed)}
+        out |= {f"bd:{d}" for a, b in zip(words, words[1:]) for d in deletes(a + b)} | {key for key, n in _prefix_keys("b", squeezed) if n >= 5}
+        return out | ({f"p:{_crc(squeezed)}"} if len(squeezed) >= 5 else set())
+
     @staticmethod
     def core(text: str) -> list[str]:
         """The words of a name without its legal form and what stands around it."""
@@ -149,8 +204,6 @@ class Names:
             if w in self.shorts:
                 best += [(0.2, -self.count[i], self.brand_of[i], i) for i in self.shorts[w] if self._suits(i, rest)]
             for d, key in self.brands.find(w) if len(w) > 3 else []:
-                if d and len(w) < 5:
-                    continue
                 best += [(d, -self.count[i], key, i) for i in self.brands.ids[key] if self._suits(i, rest)]
         for d, key in self.wholes.find(squeezed):
             best += [(d, -self.count[i], key, i) for i in self.wholes.ids[key]]
@@ -159,17 +212,25 @@ class Names:
         if not best:
             return -1
         best.sort()
-        near = {i for d, _, _, i in best if d <= best[0][0] + 0.05}
+        near = {i for d, _, _, i in best if d <= best[0][0] + margin(best[0][0])}
         return best[0][3] if len(near) == 1 or best[0][0] == 0 and best[0][1] < best[1][1] else -1
 
     def _cut_short(self, squeezed: str) -> list[tuple[float, int, str, int]]:
         """A name run together or cut off: the one whose beginning it is."""
-        got = [(0.5, -self.count[i], k, i) for k, ids in self.wholes.ids.items() if k.startswith(squeezed) and len(squeezed) >= 5 for i in ids]
+        if len(squeezed) < 5:
+            return []
+        if self.sorted is None:
+            self.sorted = sorted(self.wholes.ids)
+        got = []
+        for k in self.sorted[bisect_left(self.sorted, squeezed) :]:
+            if not k.startswith(squeezed):
+                break
+            got += [(0.5, -self.count[i], k, i) for i in self.wholes.ids[k]]
         if got:
             return got if len({i for *_, i in got}) == 1 else []
-        for brand, ids in self.brands.ids.items():
-            if squeezed.startswith(brand) and len(brand) >= 5:
-                got += [(0.5 - len(brand) / 1000, -self.count[i], brand, i) for i in ids if self._suits(i, [squeezed[len(brand) :]])]
+        for n in range(5, len(squeezed) + 1):
+            brand = squeezed[:n]
+            got += [(0.5 - n / 1000, -self.count[i], brand, i) for i in self.brands.ids.get(brand, ()) if self._suits(i, [squeezed[n:]])]
         return got
 
     def _parted(self, words: list[str]) -> list[tuple[float, int, str, int]]:
@@ -181,10 +242,19 @@ class Names:
         return out
 
 
+class _Any(set):
+    """A set that holds everything."""
+
+    def __contains__(self, x: object) -> bool:
+        return True
+
+
 class Parts:
     """The catalogue of part numbers: (id, part number)."""
 
-    def __init__(self, rows: list[tuple[int, str]], frequency: dict[str, int], brands: set[str]):
+    def __init__(self, rows: list[tuple[int, str]], frequency: dict[str, int], brands: set[str], live: dict[str, set[int]] | None = None):
+        #: places where an entry's family has several characters, where told from outside (rows are not the whole list)
+        self.live = live
         self.exact: dict[str, set[int]] = defaultdict(set)
         self.tight = Dictionary()
         self.count = {i: frequency.get(n, 0) for i, n in rows}
@@ -202,6 +272,18 @@ class Parts:
         for key in self.exact:
             self.looks[self.plain(key)].add(key)
 
+    @classmethod
+    def entry_keys(cls, number: str) -> set[str]:
+        key = cls.squeeze(fold(number))
+        return {f"e:{key}", f"l:{cls.plain(key)}"} | {f"d:{d}" for d in deletes(key)}
+
+    @classmethod
+    def asked_keys(cls, value: str) -> tuple[set[str], set[str]]:
+        """(keys of parts, keys of the makers whose names may stand before a number)."""
+        forms = cls([], {}, _Any()).forms(value)
+        keys = {k for f in forms for k in (f"e:{f}", f"l:{cls.plain(f)}")} | {f"d:{d}" for f in forms if len(f) >= 6 for d in deletes(f)}
+        return keys, {f"b:{_crc(w)}" for w in re.findall(r"[A-Z]{3,}", fold(value))}
+
     @staticmethod
     def squeeze(text: str) -> str:
         return "".join(re.findall(r"[A-Z0-9]", text))
@@ -228,11 +310,11 @@ class Parts:
         return list(dict.fromkeys(s for x in out if (s := self.squeeze(x))))
 
     def _deviates(self, key: str, entry: str) -> bool:
-        """Whether key differs from entry by one other character where entry's family has several."""
+        """Whether key differs from entry by another character where entry's family has several."""
         if len(key) != len(entry):
             return False
         diff = [k for k in range(len(key)) if key[k] != entry[k]]
-        return len(diff) == 1 and len(self.families[f"{entry[: diff[0]]}\x00{entry[diff[0] + 1 :]}"]) > 1
+        return len(diff) <= EDITS and any(k in self.live.get(entry, ()) if self.live is not None else len(self.families.get(f"{entry[:k]}\x00{entry[k + 1 :]}", ())) > 1 for k in diff)
 
     def resolve(self, value: str) -> int:
         forms = self.forms(value)
@@ -256,7 +338,7 @@ class Parts:
             if got:
                 best = sorted(got)
                 break
-        if not best or (len(best) > 1 and best[1][0] <= best[0][0] + 0.05):
+        if not best or (len(best) > 1 and best[1][0] <= best[0][0] + margin(best[0][0])):
             return -1
         ids = self.exact[best[0][2]]
         return next(iter(ids)) if len(ids) == 1 else -1
@@ -266,34 +348,48 @@ class Parts:
         return sum(x != y for x, y in zip(a, b)) > 3
 
 
-def _bounded(df: DataFrame, what: str) -> list:
-    rows = df.limit(MOST_ENTRIES + 1).collect()
-    if len(rows) > MOST_ENTRIES:
-        raise ValueError(f"{what} has more than {MOST_ENTRIES} entries; it is no list to be broadcast")
-    return rows
+_BUILT: dict[str, tuple] = {}
 
 
-def frequencies(df: DataFrame, column: str, entries: DataFrame, key: str) -> dict[str, int]:
-    """How often each entry stands in the column, as written; as many rows as there are entries, at most."""
-    own = df.select(F.col(column).alias("_v")).join(F.broadcast(entries.select(F.col(key).alias("_v")).distinct()), "_v", "left_semi")
+def _dictionaries(token: str, shared) -> tuple[Names, Parts, dict[str, set[str]], dict[tuple[str, str], int]]:
+    """The dictionaries of a broadcast list, and what values were found to be: built once in each worker process, the last list's alone kept."""
+    if token not in _BUILT:
+        makers, parts, often_makers, often_parts = shared.value
+        names = Names(makers, often_makers)
+        _BUILT.clear()
+        _BUILT[token] = (names, Parts(parts, often_parts, set(names.brands.ids)), {"manufacturer": {n for _, n, _ in makers}, "part_number": {n for _, n in parts}}, {})
+    return _BUILT[token]
+
+
+def frequencies(df: DataFrame, entries: DataFrame, key: str) -> dict[str, int]:
+    """How often each entry stands in the values (_v), as written; as many rows as there are entries, at most."""
+    own = df.join(entries.select(F.col(key).alias("_v")).distinct(), "_v", "left_semi")
     return {r["_v"]: r["count"] for r in own.groupBy("_v").count().collect()}
 
 
-def resolve(df: DataFrame, row_id: str, manufacturer: str, part_number: str, makers: DataFrame, parts: DataFrame) -> DataFrame:
+def _counted(df: DataFrame, row_id: str, column: str) -> DataFrame:
+    """(_v) of the column's values; re-delivered rows count once: a row is its id and its value."""
+    return df.select(F.col(row_id).alias("_i"), F.col(column).alias("_v")).filter("_i is not null and _v is not null").distinct().select("_v")
+
+
+def resolve(df: DataFrame, row_id: str, manufacturer: str, part_number: str, makers: DataFrame, parts: DataFrame, most: int = MOST_ENTRIES) -> DataFrame:
     """(row_id, field, ref_id) of every value that is no exact entry; makers: mfr_id, name, short_name; parts: part_id, part_number."""
-    maker_rows = [(r[0], r[1], r[2]) for r in _bounded(makers.select("mfr_id", "name", "short_name").filter("name is not null").distinct(), "the list of manufacturers")]
-    part_rows = [(r[0], r[1]) for r in _bounded(parts.select("part_id", "part_number").filter("part_number is not null").distinct(), "the catalogue")]
-    often_makers, often_parts = frequencies(df, manufacturer, makers, "name"), frequencies(df, part_number, parts, "part_number")
-    shared = df.sparkSession.sparkContext.broadcast((maker_rows, part_rows, often_makers, often_parts))
+    makers = makers.select("mfr_id", "name", "short_name").filter("name is not null").distinct()
+    parts = parts.select("part_id", "part_number").filter("part_number is not null").distinct()
     pick = [F.col(row_id).alias("_id"), F.explode(F.array(F.struct(F.lit("manufacturer").alias("field"), F.col(manufacturer).alias("value")), F.struct(F.lit("part_number").alias("field"), F.col(part_number).alias("value")))).alias("_v")]
     rows = df.select(*pick).select("_id", "_v.*").filter(F.col("_id").isNotNull() & ~blank(F.col("value")))
+    few = makers.limit(most + 1).count() <= most and parts.limit(most + 1).count() <= most
+    got = _by_broadcast(df, row_id, manufacturer, part_number, makers, parts, rows) if few else _by_join(df, row_id, manufacturer, part_number, makers, parts, rows)
+    return got.dropDuplicates(["_id", "field"]).withColumnRenamed("_id", row_id)
+
+
+def _by_broadcast(df: DataFrame, row_id: str, manufacturer: str, part_number: str, makers: DataFrame, parts: DataFrame, rows: DataFrame) -> DataFrame:
+    maker_rows, part_rows = [tuple(r) for r in makers.collect()], [tuple(r) for r in parts.collect()]  # at most MOST_ENTRIES each
+    often_makers, often_parts = frequencies(_counted(df, row_id, manufacturer), makers, "name"), frequencies(_counted(df, row_id, part_number), parts, "part_number")
+    shared, token = df.sparkSession.sparkContext.broadcast((maker_rows, part_rows, often_makers, often_parts)), uuid.uuid4().hex
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        makers_, parts_, f1, f2 = shared.value
-        names = Names(makers_, f1)
-        numbers = Parts(parts_, f2, set(names.brands.ids))
-        exact = {"manufacturer": {n for _, n, _ in makers_}, "part_number": {n for _, n in parts_}}
-        memo: dict[tuple[str, str], int] = {}
+        names, numbers, exact, memo = _dictionaries(token, shared)
         for b in batches:
             out = []
             for i, field, value in zip(b["_id"], b["field"], b["value"]):
@@ -308,4 +404,57 @@ def resolve(df: DataFrame, row_id: str, manufacturer: str, part_number: str, mak
             yield pd.DataFrame(out, columns=["_id", "field", "ref_id"])
 
     kind = df.schema[row_id].dataType.simpleString()
-    return spread(rows, "_id", "field").mapInPandas(work, f"_id {kind}, field string, ref_id long").dropDuplicates(["_id", "field"]).withColumnRenamed("_id", row_id)
+    return spread(rows, "_id", "field").mapInPandas(work, f"_id {kind}, field string, ref_id long")
+
+
+def _by_join(df: DataFrame, row_id: str, manufacturer: str, part_number: str, makers: DataFrame, parts: DataFrame, rows: DataFrame) -> DataFrame:
+    often = lambda c: _counted(df, row_id, c).groupBy("_v").agg(F.count("*").alias("n"))
+    n = F.coalesce("n", F.lit(0).cast("long")).alias("n")
+    # places of a part where its family has several characters, over the whole list
+    squeezed = F.udf(lambda x: Parts.squeeze(fold(x)), "string")
+    keyed = parts.select("part_id", "part_number", squeezed("part_number").alias("k"))
+    at = keyed.select("k").distinct().filter("k <> ''").select("k", F.explode(F.sequence(F.lit(0), F.length("k") - 1)).alias("p"))
+    family = at.select("k", "p", F.concat(F.expr("substring(k, 1, p)"), F.lit("\0"), F.expr("substring(k, p + 2)")).alias("w"), F.expr("substring(k, p + 1, 1)").alias("c"))
+    several = family.groupBy("w").agg(F.count_distinct("c").alias("m")).filter("m > 1").select("w")
+    live = family.join(several, "w", "left_semi").groupBy("k").agg(F.collect_set("p").alias("live"))
+    none = F.lit(None)
+    a = makers.join(often(manufacturer), makers["name"] == F.col("_v"), "left").select(F.lit("m").alias("list"), F.col("mfr_id").cast("long").alias("ref"), "name", F.col("short_name").alias("short"), n, none.cast("array<int>").alias("live"))
+    b = keyed.join(often(part_number), keyed["part_number"] == F.col("_v"), "left").join(live, "k", "left").select(F.lit("p").alias("list"), F.col("part_id").cast("long").alias("ref"), F.col("part_number").alias("name"), none.cast("string").alias("short"), n, "live")
+    entries = written(a.unionByName(b), "entries")
+
+    def entry_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            yield pd.DataFrame([(f"{k}:{key}", k, r) for k, r, name, short in zip(x["list"], x["ref"], x["name"], x["short"]) for key in (Names.entry_keys(name, short) if k == "m" else Parts.entry_keys(name))], columns=["key", "list", "ref"])
+
+    def asked_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            out = []
+            for field, value in zip(x["field"], x["value"]):
+                if field == "manufacturer":
+                    out += [(field, value, f"m:{k}") for k in Names.asked_keys(value)]
+                else:
+                    own, of_makers = Parts.asked_keys(value)
+                    out += [(field, value, f"p:{k}") for k in own] + [(field, value, f"m:{k}") for k in of_makers]
+            yield pd.DataFrame(out, columns=["field", "value", "key"])
+
+    exact = makers.select(F.lit("manufacturer").alias("field"), F.col("name").alias("value")).union(parts.select(F.lit("part_number"), "part_number"))
+    open_rows = rows.join(exact.distinct(), ["field", "value"], "left_anti")
+    values = written(open_rows.select("field", "value").distinct(), "values")
+    keys = entries.select("list", "ref", "name", "short").mapInPandas(entry_keys, "key string, list string, ref long")
+    met = values.mapInPandas(asked_keys, "field string, value string, key string").join(keys, "key").select("field", "value", "list", "ref").distinct()
+    met = met.join(entries, ["list", "ref"])
+
+    def decide(x: pd.DataFrame) -> pd.DataFrame:
+        field, value = x["field"].iloc[0], x["value"].iloc[0]
+        own = x[x["list"] == "m"]
+        names = Names([(r, n, s if isinstance(s, str) else None) for r, n, s in zip(own["ref"], own["name"], own["short"])], dict(zip(own["name"], own["n"])))
+        if field == "manufacturer":
+            ref = names.resolve(value)
+        else:
+            p = x[x["list"] == "p"]
+            live = {Parts.squeeze(fold(n)): set(at) if at is not None else set() for n, at in zip(p["name"], p["live"])}
+            ref = Parts(list(zip(p["ref"], p["name"])), dict(zip(p["name"], p["n"])), set(names.brands.ids), live).resolve(value)
+        return pd.DataFrame({"field": [field], "value": [value], "ref_id": [int(ref)]})
+
+    found = written(met.groupBy("field", "value").applyInPandas(decide, "field string, value string, ref_id long"), "resolved")
+    return open_rows.join(found, ["field", "value"], "left").select("_id", "field", F.coalesce("ref_id", F.lit(-1).cast("long")).alias("ref_id"))

@@ -22,6 +22,26 @@ def test_parts(value, want):
     assert Parts(PARTS, {}, {"HOBVIKVOR"}).resolve(value) == want
 
 
+def test_two_edits_in_long_names():
+    names = Names([(1, "Microchip Technology", None), (2, "Drecrafen Optics", None), (3, "Limfen Passives", None)], {})
+    assert names.resolve("Mirochp") == 1 and names.resolve("Drekrafon") == 2 and names.resolve("L1mf3n") == -1
+    parts = Parts([(1, "AAG36219XEA"), (2, "QQW70714LFM")], {}, set())
+    assert parts.resolve("AAG3629XEAA") == 1 and parts.resolve("QQW7O7I4LFM") == 2 and parts.resolve("AAX36219XXB") == -1
+    assert parts.resolve("AAG36219XEA–TR") == 1 and parts.resolve("QQW70714LFM—T&R") == 2
+    family = Parts([(1, "AAG36219XEA"), (2, "AAG36219XEB")], {}, set())
+    assert family.resolve("AAG3621XEC") == -1
+
+
+def test_long_lists_are_joined(spark):
+    """Lists beyond the bound give the rows that broadcast ones do."""
+    values = ["drecra optics", "Optics, Drecra", "GBP Power", "GambrymoxPower", "RudjorvikIntercon", "Rud jorvik", "FWE", "Zimgr0 Devices", "Limfen", "nobody", "n/a", "Drecra Optics GmbH", None, ""]
+    numbers = ["aag3621xea", "AAG3621XEQ", "TF333-5WL", "HOBVIKVOR-HC23056/ZLH1", "Drecra: TF3335WL", "YP68I05HAY2", "TF33335WL", "QQ1234AB", "tbd", "TF3335WL", "AAG3621XEX–TR", None, "BGC38564 NDC", "9" * 500]
+    df = spark.createDataFrame([(i, v, n) for i, (v, n) in enumerate(zip(values, numbers))] * 2, "id long, m string, p string")
+    makers, parts = spark.createDataFrame(MAKERS, "mfr_id long, name string, short_name string"), spark.createDataFrame(PARTS, "part_id long, part_number string")
+    a, b = (sorted(map(tuple, resolve(df, "id", "m", "p", makers, parts, most).collect())) for most in (500_000, 3))
+    assert a == b and sum(r[2] > 0 for r in a) >= 15
+
+
 def test_ties_are_misses():
     assert Parts([(1, "ABC123X"), (2, "ABC124X")], {}, set()).resolve("ABC12X") == -1
     assert Names([(1, "Grofen Optics", None), (2, "Grofan Optics", None)], {}).resolve("Grofn Optics") == -1
