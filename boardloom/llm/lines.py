@@ -3,8 +3,8 @@
 Numbers, dates and names of each line are masked; lines of five words and more get MinHash values over their five-word
 shingles, in BANDS bands of two (a pair of similarity 0.8 shares a band with probability 0.98), every line also a bucket of
 its own masked form. Buckets are counted per source, map-side first; those of high document frequency are the clusters of
-repeated lines. The lines whose own form is such a bucket, told by a bit set of fixed size and then by a join, are counted
-exactly (`found`); the bands serve `near` alone.
+repeated lines. The lines in such a cluster, by their bands or their form, as a bit set of fixed size tells, are then counted
+exactly (`found`); those of a cluster that are only near each other are told by `near`.
 
 Two lines are the same if they differ only in letter case, white space or the digits 0-9. A line counts if it has a letter
 and stands in at least `least` and at least `share` of all distinct documents of its source, those without text included.
@@ -14,7 +14,7 @@ bucket are compared, pairs of shingle similarity SIMILAR and more are linked, an
 the limit. The work in a bucket grows with the square of its different masked lines.
 
 No group is gathered: what moves are bucket numbers and, of the lines in repeated clusters, fixed-size hashes. The
-bit set has 2 ** BITS bits whatever the input; where it fills up it lets more lines through to the join, none is lost.
+bit set has 2 ** BITS bits whatever the input; where it fills up it lets more lines through to the exact count, none is lost.
 
 Defined results: null and empty texts have no lines but count as documents; rows without a source or an id are left out;
 repeated rows count once; extra columns never enter.
@@ -90,7 +90,7 @@ _MONTH_HASHES = _month_hashes()
 def hash_forms(text: str, second: bool) -> tuple[np.ndarray, np.ndarray]:
     """Per line of `text` one or two hashes of its masked form (letter case, white space and digits taken out); 0 where nothing is left."""
     n = text.count("\n") + 1
-    data = np.frombuffer(text.casefold().encode("utf-8", "replace"), np.uint8)
+    data = np.frombuffer(text.lower().encode("utf-8", "replace"), np.uint8)
     kept = _KEPT[data]
     own, at = data[kept], np.cumsum(data == 10, dtype=np.int32)[kept]
     starts, who = _stretches(own, at)
@@ -241,9 +241,9 @@ class Repeated:
         return often.join(limits, "_s").filter("n >= _limit").select("bucket")
 
     def lines(self, near: bool = False) -> DataFrame:
-        """(_fh, _doc, line_no, k1, k2, letter) of the lines that are in a cluster with lines of equal form; near: of the lines
-        that share a bucket with any other (and some more, as the bit set tells), with the band buckets shared, the hash `set`
-        of their shingles (null without), and the shingles, these once for each set of a batch."""
+        """(_fh, _doc, line_no, k1, k2, letter) of the lines in clusters (and some more, as the bit set tells); near: of the lines
+        that share a bucket with any other, with the band buckets shared, the hash `set` of their shingles (null without), and
+        the shingles, these once for each set of a batch."""
         clusters = written(self.clusters(near), "line-clusters")
         place = F.col("bucket").bitwiseXOR(F.shiftrightunsigned("bucket", 41)).bitwiseAND(F.lit(2**BITS - 1))
         bits = clusters.select(place.alias("p")).groupBy(F.expr("p div 32768").alias("part")).agg(F.expr("bitmap_construct_agg(p % 32768)").alias("bits"))
@@ -258,22 +258,21 @@ class Repeated:
             for b in batches:
                 source, docs = b.column("_fh").to_numpy(), b.column("_doc")
                 for first, texts in _parts(b):
-                    row, number, k1, k2, ids, mask, shingles, low, high = _buckets(texts, source[first : first + len(texts)], near, second=True, whole=near)
+                    row, number, k1, k2, ids, mask, shingles, low, high = _buckets(texts, source[first : first + len(texts)], near=True, second=True, whole=near)
                     hit = bits[_place(ids)] & mask
                     at = np.flatnonzero(hit.any(1))
                     own: dict[int, list[str]] = {}
                     letter = [any(map(str.isalpha, own.setdefault(r, texts[r].split("\n"))[n - 1])) for r, n in zip(row[at].tolist(), number[at].tolist())]
-                    buckets = [i[h].tolist() for i, h in zip(ids[at, near:].view(np.int64), hit[at, near:])]
-                    cols = [pa.array(source[first + row[at]]), docs.take(pa.array(first + row[at])), pa.array(number[at]), pa.array(k1[at].view(np.int64)), pa.array(k2[at].view(np.int64)), pa.array(letter, pa.bool_()), pa.array(buckets, pa.list_(pa.int64()))]
+                    cols = [pa.array(source[first + row[at]]), docs.take(pa.array(first + row[at])), pa.array(number[at]), pa.array(k1[at].view(np.int64)), pa.array(k2[at].view(np.int64)), pa.array(letter, pa.bool_())]
                     if near:
+                        cols.append(pa.array([i[h].tolist() for i, h in zip(ids[at, 1:].view(np.int64), hit[at, 1:])], pa.list_(pa.int64())))
                         own_sets, own_shingles = _sets(source[first + row[at]], shingles, low[at], high[at])
                         cols += [pa.array(own_sets, pa.int64()), pa.array(own_shingles, pa.list_(pa.int64()))]
                     yield pa.RecordBatch.from_arrays(cols, names=names)
 
-        columns = f"_fh long, _doc {kind}, line_no long, k1 long, k2 long, letter boolean, buckets array<long>" + (", set long, shingles array<long>" if near else "")
+        columns = f"_fh long, _doc {kind}, line_no long, k1 long, k2 long, letter boolean" + (", buckets array<long>, set long, shingles array<long>" if near else "")
         names = [c.split()[0] for c in columns.split(", ")]
-        got = self.rows.select("_fh", "_doc", "_text").filter("_text <> ''").mapInArrow(emit, columns)
-        return got if near else got.withColumn("bucket", F.explode("buckets")).drop("buckets").join(clusters, "bucket", "left_semi").drop("bucket").distinct()
+        return self.rows.select("_fh", "_doc", "_text").filter("_text <> ''").mapInArrow(emit, columns)
 
     def near(self) -> DataFrame:
         """(_doc, line_no, cluster) of the lines in near-duplicate clusters of high document frequency. Two lines of equal form,
@@ -309,13 +308,15 @@ class Repeated:
         key = ["_fh", "k1", "k2"]
         often = lines.select(*key, F.xxhash64("_doc").alias("_d")).distinct().groupBy(*key).count()
         often = often.join(self.limits, "_fh").filter("count >= _limit").select(*key)
-        return lines.join(often, key, "left_semi").select("_doc", "line_no")
+        return lines.join(often, key, "left_semi").select("_doc", "line_no").distinct()
 
 
 def without_lines(df: DataFrame, doc_id: str, text: str, found: DataFrame) -> DataFrame:
     """`df` with the found lines (_doc, line_no) taken out of its text; other columns as they are; a text that loses all lines is empty."""
     out, key = clear_name(df.columns, "_gone"), clear_name(df.columns, "_doc")
-    gone = found.groupBy(F.col("_doc").alias(key)).agg(F.collect_set("line_no").alias(out))
-    keep = F.filter(F.split(F.col(text), "\n"), lambda x, i: ~F.array_contains(F.col(out), (i + 1).cast("long")))
+    gone = found.groupBy(F.col("_doc").alias(key)).agg(F.collect_set(F.col("line_no").cast("int")).alias(out))
+    lines = F.split(F.col(text), "\n")
+    # places that stay, by one pass over a hash set; in their order
+    keep = F.transform(F.array_except(F.sequence(F.lit(1), F.size(lines)), F.col(out)), lambda i: F.element_at(lines, i))
     joined = df.join(gone, df[doc_id] == gone[key], "left")
-    return joined.withColumn(text, F.when(F.col(out).isNull(), F.col(text)).otherwise(F.array_join(keep, "\n"))).select(*df.columns)
+    return joined.withColumn(text, F.when(F.col(out).isNull() | F.col(text).isNull(), F.col(text)).otherwise(F.array_join(keep, "\n"))).select(*df.columns)

@@ -25,9 +25,11 @@ def p1_near(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every chunk's text without the furniture of its file."""
+    """Every chunk's text without the furniture of its file, and without the lines of near-duplicate clusters that stand as often."""
     chunks = table_once(spark, sf_dir, "pdf_chunks", "chunk_id", "source_file", "text")
-    return lines.without_lines(chunks, "chunk_id", "text", _repeated(spark, sf_dir).found())
+    repeated = _repeated(spark, sf_dir)
+    gone = repeated.found().unionByName(repeated.near().select("_doc", "line_no"))
+    return lines.without_lines(chunks, "chunk_id", "text", gone)
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:

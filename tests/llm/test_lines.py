@@ -20,7 +20,7 @@ def _brute(rows):
         docs[src].add(doc)
         for n, line in enumerate((text or "").split("\n"), 1) if text else ():
             if any(map(str.isalpha, line)):
-                key = src, re.sub(r"[\s0-9]", "", line.casefold())
+                key = src, re.sub(r"[\s0-9]", "", line.lower())
                 seen[key].add(doc)
                 at[key].add((doc, n))
     return sorted({x for k, v in seen.items() if len(v) >= 4 and len(v) * 4 >= len(docs[k[0]]) for x in at[k]})
@@ -59,11 +59,61 @@ def test_edges(spark):
     assert {n for _, n in _found(spark, long)} == {1, 2}
 
 
+def test_letter_case_alone(spark):
+    """`Straße` and `strasse` differ in more than letter case."""
+    rows = [("s", f"d{i}", "An der Straße" if i % 2 else "An der Strasse", "x", 1) for i in range(7)]
+    assert {d for d, _ in _found(spark, rows)} == {f"d{i}" for i in (0, 2, 4, 6)}
+
+
+def test_bands_bring_candidates(spark):
+    """Lines of a cluster that only its bands tell of are counted too; the exact count then decides."""
+    text = "the buyer alone must check whether this part is fit for the purpose and no claim of any kind follows from these "
+    rows = [("s", f"d{i}", text + chr(97 + i) * 3) for i in range(8)]
+    r = lines.Repeated(spark.createDataFrame(rows, "src string, doc string, text string"), "src", "doc", "text")
+    assert r.lines().select("_doc").distinct().count() == 8 and r.found().count() == 0
+
+
+def test_recall_of_near_lines(spark):
+    """Planted variants of similarity 0.8 and more: at least 0.9 of the lines that brute force links are found."""
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(6))
+    rows, want = [], set()
+    for c in range(25):
+        base = [word() for _ in range(40)]
+        for d in range(5):
+            own = list(base)
+            for k in r.sample([0, 1, -1, -2, r.randrange(4, 36)], r.randint(1, 2)):
+                own[k] = word()  # one to seven of 36 shingles differ from the base
+            rows.append((f"s{c % 5}", f"d{c}-{d}", " ".join(own)))
+    rows += [(f"s{i % 5}", f"e{i}", " ".join(word() for _ in range(30))) for i in range(40)]
+    sets = [(s, d, {tuple(w[i : i + 5]) for i in range(len(w) - 4)}) for s, d, t in rows for w in [t.split()]]
+    near = lambda a, b: len(a & b) / len(a | b) >= 0.8
+    for s in {x[0] for x in sets}:
+        own = [x for x in sets if x[0] == s]
+        group = {d: d for _, d, _ in own}
+        for i, (_, d, a) in enumerate(own):
+            for _, e, b in own[:i]:
+                if near(a, b):
+                    old, new = group[d], group[e]
+                    group = {k: new if v == old else v for k, v in group.items()}
+        sizes = defaultdict(set)
+        for d, g in group.items():
+            sizes[g].add(d)
+        want |= {d for g in sizes.values() if len(g) >= 4 for d in g}
+    got = {x["_doc"] for x in lines.Repeated(spark.createDataFrame(rows, "src string, doc string, text string"), "src", "doc", "text", share=0.0).near().collect()}
+    assert len(want) > 20 and len(got & want) >= 0.9 * len(want) and got <= want
+
+
 def test_text_without_lines(spark):
     df = spark.createDataFrame([("s", f"d{i}", f"Notice\nown {chr(97 + i)}\nNOTICE", 7) for i in range(5)], "src string, doc string, text string, _gone int")
     got = lines.without_lines(df, "doc", "text", lines.Repeated(df, "src", "doc", "text").found())
     assert {r["doc"]: r["text"] for r in got.collect()} == {f"d{i}": f"own {chr(97 + i)}" for i in range(5)}
     assert got.columns == df.columns
+    many = "\n".join(f"line {k}" for k in range(30_000))
+    df = spark.createDataFrame([("d", many), ("e", None), ("f", "")], "doc string, text string")
+    gone = spark.range(1, 30_001, 2).selectExpr("'d' as _doc", "cast(id as int) as line_no")
+    out = {r["doc"]: r["text"] for r in lines.without_lines(df, "doc", "text", gone).collect()}
+    assert out["e"] is None and out["f"] == "" and out["d"].split("\n") == [f"line {k}" for k in range(1, 30_000, 2)]
 
 
 def test_near_clusters(spark):
