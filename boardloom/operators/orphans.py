@@ -1,6 +1,7 @@
 """References to records that do not exist: missing, already removed, or not there yet at the time of the reference.
 
-Keys are encoded as integers per key range. Of each range and day one compressed bitmap holds the keys referred to, one
+Keys are spread by hash and read in its order, a stretch at a time (a key range), within which a dictionary encodes them as
+integers. Of each range and day one compressed bitmap holds the keys referred to, one
 the keys that hold through the whole day; reference AND-NOT parent leaves the keys that may be orphans, which are
 decoded. (Days, not months: a record is mostly younger than its parents by hours, so hardly a key held through its month.) An exact check of the surviving keys at the very times follows, by running sums of starts and ends per key and
 day over carried sums of the days before, so that no key, however hot, is one unit of work.
@@ -15,15 +16,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from boardloom.operators import bitmaps
 from boardloom.tables import stripped, written
 
-#: (key, day) pairs in one key range, about.
-RANGE_PAIRS = 200_000
+#: Rows of one key range, about: a range ends where the hash changes next.
+RANGE_ROWS = 200_000
 EVER, NEVER = -(10**6), 10**6
 _KEY = ["rel", "scope", "key"]
 
@@ -51,49 +53,74 @@ def _day(t) -> F.Column:
     return F.unix_date(F.to_date(t))
 
 
-def candidates(refs: DataFrame, owners: DataFrame, ranges: int) -> DataFrame:
+def _ranges(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    """Stretches of rows in order of their hash, of `rows` rows and more, no hash in two of them."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for b in batches:
+        held.append(b)
+        size += b.num_rows
+        if size < rows:
+            continue
+        t = pa.Table.from_batches(held)
+        h = t.column("h").to_numpy()
+        cut = int(np.searchsorted(h, h[-1]))
+        if cut:
+            yield t.slice(0, cut)
+            held, size = t.slice(cut).to_batches(), t.num_rows - cut
+    if size:
+        yield pa.Table.from_batches(held)
+
+
+def _left(t: pa.Table) -> Iterator[pa.RecordBatch]:
+    """The (rel, scope, key, day) of a key range that are referred to and not held through the day."""
+    ref = t.column("is_ref").to_numpy()
+    if not ref.any():
+        return
+    names = pc.binary_join_element_wise(*(t.column(c) for c in _KEY), "\0").combine_chunks().dictionary_encode()
+    code = names.indices.to_numpy().astype(np.int64)
+    a, b = t.column("a").to_numpy().astype(np.int64), t.column("b").to_numpy().astype(np.int64)
+    # codes are given in order of first appearance
+    first = np.flatnonzero(np.diff(np.maximum.accumulate(code), prepend=-1))
+    low, high = a[ref].min(), a[ref].max()
+    o = ~ref & (b > low) & (a <= high)
+    # starts and ends of cover by whole days, swept in ascending order of days
+    steps = np.concatenate([np.stack([np.maximum(a[o], low), code[o], np.ones(o.sum(), np.int64)], 1), np.stack([b[o], code[o], -np.ones(o.sum(), np.int64)], 1)])
+    steps = steps[np.argsort(steps[:, 0], kind="stable")]
+    held, at = np.zeros(len(first), np.int32), 0
+    order = np.argsort(a[ref], kind="stable")
+    days, codes = a[ref][order], code[ref][order]
+    for day in np.unique(days):
+        to = np.searchsorted(steps[:, 0], day, side="right")
+        np.add.at(held, steps[at:to, 1], steps[at:to, 2].astype(np.int32))
+        at = to
+        asked = bitmaps.pack(codes[np.searchsorted(days, day) : np.searchsorted(days, day, side="right")])
+        left = bitmaps.unpack(bitmaps.and_not(asked, bitmaps.pack(np.flatnonzero(held > 0))))
+        if len(left):
+            rows = t.select(_KEY).take(pa.array(first[left])).append_column("day", pa.array(np.full(len(left), day, np.int32)))
+            yield from rows.combine_chunks().to_batches()
+
+
+def candidates(refs: DataFrame, owners: DataFrame, rows: int = RANGE_ROWS) -> DataFrame:
     """(rel, scope, key, day) referred to on the day and not held through the whole of it, by bitmaps per key range and day."""
     pairs = refs.select(*_KEY, F.lit(True).alias("is_ref"), F.col("day").alias("a"), F.col("day").alias("b")).distinct()
     begins, full = _day(F.col("start")), F.date_trunc("day", "start") == F.col("start")
     whole = owners.select(*_KEY, F.lit(False).alias("is_ref"), F.coalesce(F.when(full, begins).otherwise(begins + 1), F.lit(EVER)).alias("a"), F.coalesce(_day(F.col("end")), F.lit(NEVER)).alias("b"))
-    both = pairs.unionByName(whole.filter("a < b").distinct())
-    both = both.withColumn("range", F.pmod(F.xxhash64(*_KEY), F.lit(ranges)))
-
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        code, names = pd.factorize(pd.MultiIndex.from_frame(pdf[_KEY]))
-        ref = pdf["is_ref"].to_numpy()
-        a, b = pdf["a"].to_numpy(np.int64), pdf["b"].to_numpy(np.int64)
-        out = []
-        if ref.any():
-            low, high = a[ref].min(), a[ref].max()
-            o = ~ref & (b > low) & (a <= high)
-            # starts and ends of cover by whole days, swept in ascending order of days
-            steps = np.concatenate([np.stack([np.maximum(a[o], low), code[o], np.ones(o.sum(), np.int64)], 1), np.stack([b[o], code[o], -np.ones(o.sum(), np.int64)], 1)])
-            steps = steps[np.argsort(steps[:, 0], kind="stable")]
-            held, at = np.zeros(len(names), np.int32), 0
-            order = np.argsort(a[ref], kind="stable")
-            days, codes = a[ref][order], code[ref][order]
-            for day in np.unique(days):
-                to = np.searchsorted(steps[:, 0], day, side="right")
-                np.add.at(held, steps[at:to, 1], steps[at:to, 2].astype(np.int32))
-                at = to
-                asked = bitmaps.pack(codes[np.searchsorted(days, day) : np.searchsorted(days, day, side="right")])
-                left = bitmaps.unpack(bitmaps.and_not(asked, bitmaps.pack(np.flatnonzero(held > 0))))
-                out.append(pd.DataFrame({"code": left, "day": np.int32(day)}))
-        if not out:
-            return pd.DataFrame({c: pd.Series(dtype=t) for c, t in (("rel", str), ("scope", str), ("key", str), ("day", "int32"))})
-        got = pd.concat(out)
-        rows = names.to_frame(index=False, name=_KEY).iloc[got["code"].to_numpy()].reset_index(drop=True)
-        rows["day"] = got["day"].to_numpy()
-        return rows
-
-    return both.groupBy("range").applyInPandas(work, "rel string, scope string, key string, day int")
+    both = pairs.unionByName(whole.filter("a < b").distinct()).withColumn("h", F.xxhash64(*_KEY))
+    # a number of partitions of its own: rows are few bytes but much work, and would be put together
+    n = int(refs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = both.repartition(n, "h").sortWithinPartitions("h")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _ranges(batches, rows):
+            yield from _left(t)
+
+    return spread.mapInArrow(work, "rel string, scope string, key string, day int")
 
 
 def orphans(refs: DataFrame, owners: DataFrame) -> DataFrame:
     """(rel, row_id, ref_key, at) of each reference with no row of its key holding at its time; repeated rows once."""
-    n = refs.count()  # a scan of the sources alone: cheaper than keeping what they unfold to
-    maybe = written(candidates(refs, owners, max(8, n // RANGE_PAIRS + 1)), "maybe")
+    maybe = written(candidates(refs, owners), "maybe")
     asked = written(refs.join(maybe, [*_KEY, "day"], "left_semi").distinct(), "asked")
     keys = maybe.select(*_KEY).distinct()
     owned = owners.join(keys, _KEY, "left_semi")

@@ -52,3 +52,17 @@ def test_edges(spark):
     assert [x[0] for x in _run(spark, refs, owners)] == [2, 3, 4]
     assert [x[0] for x in _run(spark, refs, [])] == [1, 2, 3, 4]
     assert _run(spark, [], owners) == []
+
+
+def test_key_ranges_of_any_size():
+    """Stretches hold each hash whole, in order, and all rows."""
+    import numpy as np
+    import pyarrow as pa
+
+    r = np.random.default_rng(1)
+    h = np.sort(np.concatenate([r.integers(0, 40, 500), np.full(300, 17)]))
+    batches = [pa.RecordBatch.from_arrays([pa.array(x)], names=["h"]) for x in np.array_split(h, 23)]
+    for rows in (1, 50, 10_000):
+        got = [t.column("h").to_numpy() for t in orphans._ranges(iter(batches), rows)]
+        assert np.array_equal(np.concatenate(got), h) and all(a[-1] < b[0] for a, b in zip(got, got[1:]))
+    assert list(orphans._ranges(iter([]), 5)) == []
