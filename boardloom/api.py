@@ -1,10 +1,10 @@
-"""The evidence tools by name over a project folder, their dispatcher, the deterministic plan and the command line."""
+"""The evidence tools by name over a project folder, with the schema of their arguments."""
 
 from __future__ import annotations
 
-import json
+import inspect
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from typing import get_args, get_type_hints
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from boardloom import sinks
 from boardloom.catalog import Catalog
 from boardloom.functions import text as T
-from boardloom.operators import connect, evidence, neighborhood, search
+from boardloom.operators import connect, neighborhood, search
 
 TOOLS: dict[str, Callable[..., DataFrame | dict]] = {}
 
@@ -28,10 +28,17 @@ def _rows(df: DataFrame, what: str) -> DataFrame:
     return df
 
 
+#: Count of the summary -> table it counts.
+SUMMARY = {
+    "nets": "nets", "pin_mappings": "pin_to_net", "components_with_pins": "component_pins", "components_bom": "refdes_to_part", "pdf_chunks": "pdf_chunks", "schematic_images": "page_images", "function_blocks": "function_blocks", "power_domains": "power_domains",
+    "interface_buses": "interface_buses", "connectivity_anomalies": "anomalies", "protocol_obligations": "protocol_obligations", "sheet_semantics": "sheet_semantics", "component_facts": "component_facts", "component_pin_functions": "component_pin_functions",
+}
+
+
 @tool
 def list_project_summary(cat: Catalog) -> dict:
-    names = ("nets", "component_pins", "refdes_to_part", "pdf_chunks", "component_pin_functions", "power_domains", "interface_buses", "function_blocks", "anomalies", "typed_graph", "entity_pages")
-    return {n: cat.table(n).count() for n in names}
+    """Counts of the tables of the project."""
+    return {name: connect.pin_to_net(connect.net_pins(cat.table("nets"))).count() if t == "pin_to_net" else cat.table(t).count() for name, t in SUMMARY.items()}
 
 
 @tool
@@ -167,14 +174,16 @@ def get_connectivity_anomalies(cat: Catalog, severity: str | None = None, refdes
 
 
 @tool
-def rank_schematic_images_for_obligations(cat: Catalog, required_nets=(), terms=(), intent: str = "system_function", seen_pages=(), max_results: int = 4) -> DataFrame:
+def rank_schematic_images_for_obligations(cat: Catalog, required_nets: list = (), required_components: list = (), terms: list = (), intent: str = "system_function", seen_pages: list = (), max_results: int = 4) -> DataFrame:
+    """Schematic pages ranked by what a question needs: its nets and components, terms that evidence speaks of, tags; pages seen weigh less."""
     page = ["source_file", "page_number"]
     chunks = cat.table("pdf_chunks").filter("source_type = 'schematic'").withColumn("page_number", F.col("page_start"))
     sheets = cat.table("sheet_semantics")
     tagged = sheets.filter(F.col("debug") if intent == "protocol_debug_validation" else F.col("power") & F.lit(intent in ("system_function", "relationship_trace")))
     weight, why = (1.5, "sheet_tag:debug") if intent == "protocol_debug_validation" else (0.8, "sheet_tag:power")
     seen = sheets.filter(F.col("page_number").isin(list(seen_pages) or [-1]))
-    got = search.rank_pages(cat.table("entity_pages"), [n.upper() for n in required_nets], chunks, [t.upper() for t in (*required_nets, *terms)], tagged.withColumns({"w": F.lit(weight), "why": F.lit(why)}), seen, page)
+    about = sorted({x.upper() for x in (*required_nets, *required_components, *terms)} - {""})
+    got = search.rank_pages(cat.table("entity_pages"), [n.upper() for n in required_nets], chunks, about, tagged.withColumns({"w": F.lit(weight), "why": F.lit(why)}), seen, page)
     return got.orderBy(F.desc("score"), *page).limit(max_results)
 
 
@@ -199,138 +208,20 @@ def get_component_context_bundle(cat: Catalog, refdes: str) -> dict:
     return {"component": part, "pins": pins, "top_datasheet_chunks": search_datasheet_chunks(cat, refdes, about, 4), "related_schematic_pages": get_schematic_pages(cat, refdes=refdes), "related_nets": pins.select("board_id", "net_name_canonical").distinct()}
 
 
-# --- the run of a question ----------------------------------------------------------------------------------------------
-
-#: How many rows of a tool's result become evidence, and of what kind.
-_CAPS = {"search_components": ("component", 8), "search_nets": ("net", 8), "search_pdf_chunks": ("schematic", 12), "search_datasheet_chunks": ("datasheet", 12), "search_pin_functions": ("datasheet", 20), "get_function_blocks": ("function_block", 20), "get_power_domains": ("net", 16), "get_interface_buses": ("net", 20), "get_connectivity_anomalies": ("anomaly", 20), "get_net_members": ("net", 20), "get_component_datasheet_facts": ("datasheet", 1), "get_component": ("component", 1), "get_pin_net": ("pin", 1)}
-
-
-@dataclass
-class Run:
-    """What a question has gathered: evidence rows, tool calls, nets and components found."""
-
-    cat: Catalog
-    evidence: list[dict] = field(default_factory=list)
-    calls: list[dict] = field(default_factory=list)
-    nets: set[str] = field(default_factory=set)
-    components: set[str] = field(default_factory=set)
-
-    def coverage(self, need: dict) -> dict:
-        """What of the obligations the evidence so far leaves open; a planner may finish once it is satisfied."""
-        seen = sorted({json.loads(r["data"]).get("net_name_canonical") or "" for r in self.evidence if r["type"] == "net"} - {""})
-        state = self.cat.spark.createDataFrame([(need["intent"], need["components"], need["nets"], need["relations"], sorted(self.components), sorted(self.nets), seen, sorted({r["type"] for r in self.evidence}))], "intent string, components array<string>, nets array<string>, relations array<string>, found_components array<string>, found_nets array<string>, net_evidence array<string>, evidence_types array<string>")
-        return evidence.coverage(state).first().asDict()
-
-    def execute(self, name: str, **arguments) -> list[dict] | dict:
-        """Runs a tool; what it raises comes back as an error. Results are bounded by the tool's cap before they are collected."""
-        call = f"call_{len(self.calls) + 1:04d}"
-        kind, cap = _CAPS.get(name, ("inference", 20))
-        try:
-            got = TOOLS[name](self.cat, **arguments)
-            out = [r.asDict(recursive=True) for r in got.limit(cap).collect()] if isinstance(got, DataFrame) else got
-        except (KeyError, ValueError, FileNotFoundError) as e:
-            out = {"error": {"tool": name, "type": type(e).__name__, "message": str(e), "arguments": arguments}}
-        self.calls.append({"tool_name": name, "arguments": arguments, "result_preview": json.dumps(out, default=str)[:1200], "call_id": call})
-        for row in out if isinstance(out, list) else []:
-            if len(self.evidence) < evidence.HARD_CAP:
-                self.evidence.append({"type": kind, "claim_supported": f"{name} result", "data": json.dumps(row, default=str), "tool_call_id": call, "ord": len(self.evidence)})
-            if n := row.get("net_name_canonical"):
-                self.nets.add(n)
-            if c := row.get("refdes"):
-                self.components.add(c.upper())
-        return out
-
-
-def ask(cat: Catalog, question: str, limit: int = 64, planner: Callable[[Run, dict], None] | None = None) -> dict:
-    """The evidence packet of a question. planner(run, obligations) may call tools of its own choice; the default plan is
-    fixed: nets, blocks, domains, facts of components, pin functions, chunks, pages."""
-    spark = cat.spark
-    need = spark.range(1).select(evidence.obligations(F.lit(question)).alias("o")).select("o.*").first().asDict()
-    run = Run(cat, nets=set(need["nets"]), components=set(need["components"]))
-    if planner:
-        planner(run, need)
-    else:
-        for net in need["nets"][:6]:
-            run.execute("get_net_members", net_name=net)
-        run.execute("get_function_blocks")
-        run.execute("get_power_domains")
-        for c in need["components"][:4]:
-            run.execute("get_component_datasheet_facts", refdes=c)
-        run.execute("search_pin_functions", query=question, max_results=10)
-        run.execute("search_pdf_chunks", query=question, source_type="schematic", max_results=8)
-    pages = run.execute("rank_schematic_images_for_obligations", required_nets=need["nets"], intent=need["intent"])
-    rows = run.evidence or [{"type": "inference", "claim_supported": "", "data": "{}", "tool_call_id": "", "ord": 0}]
-    df = spark.createDataFrame(rows, "type string, claim_supported string, data string, tool_call_id string, ord int")
-    df = evidence.normalize(df.withColumn("source_priority", T.source_priority(F.col("type"))).withColumn("confidence", T.source_confidence(F.col("type"))), ["ord"])
-    report = run.coverage(need)
-    missing = {k: report[f"missing_{k}"] for k in ("components", "nets", "relations")}
-    packet = evidence.packet(question, df, limit, intent=need["intent"], obligations=need, coverage_report={"coverage_score": report["coverage_score"], "coverage_satisfied": report["coverage_satisfied"]}, missing_obligations=missing, tool_decision_trace=run.calls, image_selection_trace=pages)
-    packet["stop_reason"] = "coverage_satisfied_finalize" if report["coverage_satisfied"] else "coverage_incomplete"
-    return packet
-
-
-def route(cat: Catalog, question: str, forced: str | None = None) -> dict:
-    """Which way a question goes: as forced (`general` or `precision`), else by its terms."""
-    if forced in ("general", "precision"):
-        return {"route": "relevant_general" if forced == "general" else "precision", "confidence": "forced"}
-    return cat.spark.range(1).select(T.classify_route(F.lit(question)).alias("r")).select("r.*").first().asDict()
-
-
-def answer_generally(cat: Catalog, question: str, forced: str | None = None, model=None) -> dict:
-    """The way without evidence: model(question, context) where there is one, else a plain text that says what is missing."""
-    way = route(cat, question, forced)
-    context = [r["line"] for r in get_circuit_summary(cat).limit(60).collect()]
-    if model:
-        return way | {"answer": model(question, context)}
-    told = "This question is not about the board." if way["route"] == "irrelevant_general" else "No model is set up to answer in general; ask for the evidence packet, or see the circuit summary."
-    return way | {"answer": told, "context": context}
-
-
-def validate(cat: Catalog, questions: list[dict]) -> dict:
-    """Each question (id, question, expected_focus) is asked; passed where any expected token stands in the packet."""
-    rows = []
-    for q in questions:
-        p = ask(cat, q["question"], 48)
-        blob = json.dumps(p["evidence"], default=str).upper().replace("\\", "")
-        rows.append((q["id"], any(t.upper().replace("\\", "") in blob for t in q["expected_focus"]), p["coverage_report"]["coverage_satisfied"]))
-    n = max(1, len(rows))
-    return {"questions": len(rows), "passed": sum(r[1] for r in rows), "coverage_passed": sum(r[2] for r in rows), "false_uncertainty_rate": round(sum(r[1] and not r[2] for r in rows) / n, 4)}
-
-
-def main(arguments: list[str] | None = None) -> None:
-    """Command line: ingest, ask, tool."""
-    import argparse
-
-    from pyspark.sql import SparkSession
-
-    from boardloom.pipeline import ingest
-    from boardloom.ship import ship
-
-    p = argparse.ArgumentParser(prog="boardloom")
-    sub = p.add_subparsers(dest="command", required=True)
-    a = sub.add_parser("ingest")
-    for x in ("--netlist", "--bom", "--schematic", "--datasheets"):
-        a.add_argument(x, required=True)
-    a.add_argument("--glob", default="*.pdf")
-    b = sub.add_parser("ask")
-    b.add_argument("question")
-    b.add_argument("--prompt", action="store_true")
-    c = sub.add_parser("tool")
-    c.add_argument("name", choices=sorted(TOOLS))
-    c.add_argument("--json", default="{}")
-    for x in (a, b, c):
-        x.add_argument("--root", required=True)
-    args = p.parse_args(arguments)
-    spark = SparkSession.builder.appName("boardloom").getOrCreate()
-    ship(spark)
-    if args.command == "ingest":
-        print(json.dumps(ingest(spark, args.root, args.netlist, args.bom, args.schematic, args.datasheets, args.glob)))
-    elif args.command == "ask":
-        packet = ask(Catalog(spark, args.root), args.question)
-        print(evidence.prompt(packet) if args.prompt else json.dumps(packet, default=str))
-    else:
-        print(json.dumps(Run(Catalog(spark, args.root)).execute(args.name, **json.loads(args.json)), default=str))
-
-
-if __name__ == "__main__":
-    main()
+_JSON_TYPES = {str: "string", int: "integer", float: "number", bool: "boolean", dict: "object", tuple: "array", list: "array"}
+
+
+def schemas() -> list[dict]:
+    """Name, description and JSON schema of the arguments of every tool, from its signature."""
+    out = []
+    for name, f in TOOLS.items():
+        given = list(inspect.signature(f).parameters.values())[1:]
+        hints = get_type_hints(f)
+        fields = {}
+        for p in given:
+            kinds = [k for k in (get_args(hints[p.name]) or (hints[p.name],) if p.name in hints else (type(p.default),)) if k is not type(None)]
+            kind = _JSON_TYPES.get(kinds[0], "string")
+            fields[p.name] = {"type": kind} | ({"items": {"type": "string"}} if kind == "array" else {})
+        need = [p.name for p in given if p.default is inspect.Parameter.empty]
+        out.append({"type": "function", "name": name, "description": (inspect.getdoc(f) or name.replace("_", " ").capitalize()).split("\n")[0], "parameters": {"type": "object", "properties": fields, "required": need, "additionalProperties": False}})
+    return out

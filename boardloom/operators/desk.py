@@ -43,6 +43,17 @@ def carry_over(conversations: DataFrame, current, key: str, updated: str, k: int
     return conversations.filter(F.col(key) != current).orderBy(F.desc(updated), key).limit(k)
 
 
+def carried_lines(conversations: DataFrame, current, key: str, title: str, summary: str, updated: str, k: int = 3) -> DataFrame:
+    """The same conversations as lines of `title: summary`, the latest first."""
+    line = F.concat_ws(": ", F.coalesce(F.col(title), F.lit("")), F.coalesce(F.col(summary), F.lit("")))
+    return carry_over(conversations, current, key, updated, k).select(key, updated, line.alias("line"))
+
+
+def response_files(files: DataFrame, name: str) -> DataFrame:
+    """Answers by the time in their file's name, the latest first; other files are left out."""
+    return files.withColumn("answered_at", T.response_time(F.col(name))).filter("answered_at is not null").orderBy(F.desc("answered_at"), name)
+
+
 def upsert(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     return old.join(new.select(*key), key, "left_anti").unionByName(new)
 

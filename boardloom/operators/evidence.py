@@ -24,8 +24,16 @@ RELATIONS = {
 }
 
 
+# What an intent must not conclude, and the sources that count for every intent.
+NEGATIVE_CHECKS = {
+    "protocol_debug_validation": ["if required protocol nets are not confirmed in DSN, classify as unresolved_not_missing", "do not claim missing VTREF/GND without explicit DSN search for header pins"],
+    "system_function": ["do not finalize with single-net-dominated evidence", "must include at least one power-domain and one io/debug trace"],
+}
+SOURCES = ["DSN", "schematic", "datasheet", "BOM", "inference"]
+
+
 def obligations(question: Column, linked_refs: Column | None = None, linked_nets: Column | None = None) -> Column:
-    """struct(intent, components, nets, relations, minimum_confidence) of a question."""
+    """struct(intent, components, nets, relations, minimum_confidence, acceptable_sources, negative_checks) of a question."""
     none = F.array().cast("array<string>")
     intent = T.classify_intent(question)
     refs = F.array_sort(F.array_distinct(F.concat(T.explicit_refs(question), F.coalesce(linked_refs, none) if linked_refs is not None else none)))
@@ -34,7 +42,11 @@ def obligations(question: Column, linked_refs: Column | None = None, linked_nets
     relations = F
     for name, rows in RELATIONS.items():
         relations = relations.when(intent == name, F.array(*(F.lit("/".join(r)) for r in rows)))
-    return F.struct(intent.alias("intent"), refs.alias("components"), nets.alias("nets"), relations.alias("relations"), F.when(intent.isin("protocol_debug_validation", "pin_validation"), "exact").otherwise("high").alias("minimum_confidence"))
+    checks = F
+    for name, rows in NEGATIVE_CHECKS.items():
+        checks = checks.when(intent == name, F.array(*map(F.lit, rows)))
+    checks = checks.otherwise(none)
+    return F.struct(intent.alias("intent"), refs.alias("components"), nets.alias("nets"), relations.alias("relations"), F.when(intent.isin("protocol_debug_validation", "pin_validation"), "exact").otherwise("high").alias("minimum_confidence"), F.array(*map(F.lit, SOURCES)).alias("acceptable_sources"), checks.alias("negative_checks"))
 
 
 def coverage(df: DataFrame) -> DataFrame:
@@ -105,6 +117,12 @@ def findings(anomalies: DataFrame, group: list[str], intent: str = "") -> DataFr
     return out
 
 
+def findings_of(anomalies: list[dict], intent: str) -> list[str]:
+    """The same lines of a run's own rows, each once, in order."""
+    lines = [f"{str(a.get('severity') or 'medium').upper()}: {a.get('kind') or 'anomaly'} at {a.get('refdes') or a.get('net_name') or 'unknown_target'}." for a in anomalies]
+    return list(dict.fromkeys(lines + ([SYSTEM_LINE] if intent == "system_function" else [])))
+
+
 def packet(question: str, evidence: DataFrame, limit: int = 64, **parts) -> dict:
     """The evidence packet of one question: at most `limit` rows (cut before the sort), in order of precedence."""
     few = [r.asDict(recursive=True) for r in by_precedence(evidence.limit(limit)).limit(limit).collect()]

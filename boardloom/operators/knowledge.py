@@ -122,7 +122,7 @@ def entity_pages(names: DataFrame, name: str, pages: DataFrame, page: list[str],
     word and then checked against the text."""
     asked = names.select(F.col(name).alias("_n")).filter("_n is not null and trim(_n) <> ''").distinct()
     words = F.filter(F.split("_n", r"\s+"), lambda w: w != "")
-    longest = F.element_at(F.array_sort(F.transform(words, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), 1)["w"]
+    longest = F.try_element_at(F.array_sort(F.transform(words, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), F.lit(1))["w"]
     asked = asked.withColumn("_w", longest)
     upper = F.upper(text)
     on = pages.filter(F.col(text).isNotNull()).select(*page, F.explode(F.array_distinct(F.split(upper, r"\s+"))).alias("_word")).filter("_word <> ''")

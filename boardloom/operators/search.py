@@ -212,3 +212,22 @@ def referenced_terms(evidence: DataFrame, group: list[str], data: str) -> DataFr
     d = evidence.select(*group, F.from_json(data, kind).alias("d"))
     terms = F.concat(F.array("d.refdes", "d.net_name_canonical"), *(F.coalesce(c, none) for c in (F.col("d.component_refs"), F.col("d.nets"), F.map_values("d.connected_pin_nets"), F.map_keys("d.members.component_to_pins"))))
     return d.select(*group, F.explode(F.transform(terms, F.upper)).alias("term")).filter("term <> ''").distinct()
+
+
+# Intents that ask broadly, and those that look at every anomaly.
+BROAD, AGGRESSIVE = ("system_function", "relationship_trace"), ("anomaly_check", "pin_validation")
+
+
+def retrieve(nets: DataFrame, parts: DataFrame, members: DataFrame, boards: DataFrame, anomalies: DataFrame, chunks: DataFrame, question: str, refs: list[str], asked: list[str], intent: str, k: int = 8) -> DataFrame:
+    """(board_id, kind, source_id, score): evidence of all kinds for a question's entities, each kind bounded per board (chunks in
+    all); texts belong to no board."""
+    broad, every = intent in BROAD, intent in AGGRESSIVE
+    board = lambda df, kind, i: df.select("board_id", F.lit(kind).alias("kind"), F.col(i).alias("source_id"), "score")
+    wanted = nets.filter(F.col("net_name_canonical").isin(asked or [""]))
+    out = board(seed_nets(nets, wanted, broad, refs), "net", "net_name_canonical")
+    out = out.unionByName(board(component_evidence(parts, refs), "component", "refdes"))
+    out = out.unionByName(board(block_evidence(members, boards, refs, asked, broad), "function_block", "block"))
+    out = out.unionByName(board(anomaly_evidence(anomalies, refs, asked, every), "anomaly", "anomaly_id"))
+    files = parts.filter(F.upper("refdes").isin([r.upper() for r in refs] or [""])).select(F.explode("datasheet_candidates").alias("source_file"))
+    texts = pdf_evidence(chunks, ["chunk_id"], "text", question, files, k)
+    return out.unionByName(texts.select(F.lit(None).cast("string").alias("board_id"), F.col("source_type").alias("kind"), F.col("chunk_id").alias("source_id"), "score"))

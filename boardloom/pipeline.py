@@ -9,7 +9,8 @@ from boardloom.catalog import Catalog
 from boardloom.functions import text as T
 from boardloom.operators import connect, knowledge, texts
 from boardloom.ship import ship
-from boardloom.sinks import counts, write_json, write_table
+from boardloom.enrich import enrich
+from boardloom.sinks import bom_overview, circuit_summary, counts, image_manifest, write_json, write_lines, write_markdown, write_table
 from boardloom.sources import dsn, tabular
 
 
@@ -19,8 +20,9 @@ def _keep(df: DataFrame, cat: Catalog, name: str) -> DataFrame:
     return cat.table(name)
 
 
-def ingest(spark: SparkSession, root: str, netlist: str, bom: str, schematic: str, datasheets: str, glob: str = "*.pdf", board: str = "board", extract=None) -> dict:
-    """Reads the four inputs, writes all tables under `root`, returns their counts. The files are those of one board."""
+def ingest(spark: SparkSession, root: str, netlist: str, bom: str, schematic: str, datasheets: str, glob: str = "*.pdf", board: str = "board", extract=None, render=None, model=None) -> dict:
+    """Reads the four inputs, writes all tables under `root`, returns their counts. The files are those of one board.
+    extract: bytes -> page texts; render: bytes -> drawn pages of the schematic; model: see `enrich`; each a plug-in."""
     tabular.required(netlist, bom, schematic, datasheets)
     ship(spark)
     cat, one = Catalog(spark, root), F.lit(board)
@@ -52,7 +54,13 @@ def ingest(spark: SparkSession, root: str, netlist: str, bom: str, schematic: st
     _keep(knowledge.sheet_semantics(chunks), cat, "sheet_semantics")
     drawn = chunks.filter("source_type = 'schematic'").select("source_file", F.col("page_start").alias("page_number"), "text")
     _keep(knowledge.entity_pages(nets.select(F.col("net_name_canonical").alias("net_name")), "net_name", drawn, ["source_file", "page_number"], "text"), cat, "entity_pages")
-    summary = {"inputs": {"netlist": netlist, "bom": bom, "schematic": schematic, "datasheets": datasheets}, "counts": counts({n: cat.table(n) for n in ("nets", "component_pins", "bom_lines", "pdf_chunks", "component_pin_functions", "anomalies", "typed_graph")})}
+    images = _keep(tabular.page_images(spark, schematic, render, "*"), cat, "page_images") if render else cat.table("page_images")
+    write_json(image_manifest(images), f"{root}/schematic_page_images.json")
+    write_markdown(sheets, f"{root}/datasheets")
+    write_lines(bom_overview(lines), ["line_ord"], "row", f"{root}/bom_overview.md")
+    write_lines(circuit_summary(cat.table("function_blocks"), cat.table("power_domains"), cat.table("interface_buses")), ["section", "line"], "line", f"{root}/circuit_summary.md")
+    added = enrich(cat, model)
+    summary = {"enriched": added, "inputs": {"netlist": netlist, "bom": bom, "schematic": schematic, "datasheets": datasheets}, "counts": counts({n: cat.table(n) for n in ("nets", "component_pins", "bom_lines", "pdf_chunks", "component_pin_functions", "anomalies", "typed_graph")})}
     write_json(summary, f"{root}/ingest_summary.json")
     return summary
 

@@ -329,14 +329,23 @@ def neighborhood_of_u1(s, d):
     return neighborhood.k_hops(edges, seeds, 3)
 
 
-@query("select (select count(distinct net_id) from nets) as nets, (select count(distinct comp_id) from component_pin_index) as components, (select count(distinct map_id) from refdes_to_part) as parts, (select count(distinct line_id) from bom_lines) as bom_lines, (select count(distinct chunk_id) from pdf_chunks) as chunks, (select count(*) from documents) as documents, (select count(distinct pinfn_id) from component_pin_functions) as pin_functions")
+@query(f"""with {_NP}, {_I}, {_P}, {_F}, {_C}, {_ANOMALIES}, b as ({_BUS}) select (select count(*) from n) as nets, (select count(*) from (select distinct board_id, token from np where token is not null)) as pin_mappings, (select count(*) from ix) as components_with_pins, (select count(*) from pt) as components_bom, (select count(*) from ch) as pdf_chunks,
+(select count(*) from (select distinct source_file, page_start from ch where source_type = 'schematic')) as schematic_images, (select 3 * count(*) from (select board_id from n union select board_id from pt)) as function_blocks, (select count(*) from n where {_POWER}) as power_domains, (select count(*) from (select distinct board_id, bus_type from b)) as interface_buses,
+(select count(*) from an) as connectivity_anomalies, 0::bigint as protocol_obligations, (select count(*) from (select distinct source_file, page_start from ch where source_type = 'schematic')) as sheet_semantics, (select count(*) from (select distinct board_id, upper(refdes) from fn where refdes is not null)) as component_facts, (select count(*) from fn) as component_pin_functions""")
 def project_summary(s, d):
+    """The fourteen counts of a summary over all boards; each is one row before they meet."""
+    nets, index, parts, chunks, functions = _nets(s, d), _index(s, d), _parts(s, d), _chunks(s, d).drop("text", "heading_path"), _functions(s, d)
+    sheets = chunks.filter("source_type = 'schematic'").select("source_file", "page_start").distinct()
+    tables = {
+        "nets": nets, "pin_mappings": _pins(s, d).filter("token is not null").select("board_id", "token").distinct(), "components_with_pins": index, "components_bom": parts, "pdf_chunks": chunks, "schematic_images": sheets,
+        "function_blocks": knowledge.blocks_of(nets, parts), "power_domains": knowledge.power_domains(nets), "interface_buses": knowledge.bus_nets(nets).select("board_id", "bus_type").distinct(), "connectivity_anomalies": knowledge.anomalies(index, nets),
+        "protocol_obligations": nets.limit(0), "sheet_semantics": sheets, "component_facts": functions.filter("refdes is not null").select("board_id", F.upper("refdes")).distinct(), "component_pin_functions": functions,
+    }
     long = None
-    for name, t, key in (("nets", "nets", "net_id"), ("components", "component_pin_index", "comp_id"), ("parts", "refdes_to_part", "map_id"), ("bom_lines", "bom_lines", "line_id"), ("chunks", "pdf_chunks", "chunk_id"), ("documents", "documents", "doc_id"), ("pin_functions", "component_pin_functions", "pinfn_id")):
-        one = table(s, d, t, key).agg(F.countDistinct(key).alias("n")).select(F.lit(name).alias("name"), "n")
+    for name, df in tables.items():
+        one = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
         long = one if long is None else long.unionByName(one)
-    names = ["nets", "components", "parts", "bom_lines", "chunks", "documents", "pin_functions"]
-    return long.agg(*(F.max(F.when(F.col("name") == n, F.col("n"))).alias(n) for n in names))
+    return long.agg(*(F.max(F.when(F.col("name") == n, F.col("n"))).alias(n) for n in tables))
 
 
 # --- scored search ------------------------------------------------------------------------------------------------------
@@ -355,8 +364,8 @@ def hash_buckets(s, d):
 _ASK = "status indicator near the mounting hole SWDIO"
 
 
-def _scored_sql(source: str, key: str, extra: str = "") -> str:
-    q = search.query_tokens(_ASK)
+def _scored_sql(source: str, key: str, ask: str = _ASK) -> str:
+    q = search.query_tokens(ask)
     vector = search.query_vector(q)
     weights = ", ".join(f"({k}, {v!r})" for k, v in vector.items())
     asked = ", ".join(f"'{t}'" for t in sorted(set(q)))
@@ -494,6 +503,31 @@ def referenced_terms(s, d):
     return search.referenced_terms(of_nets.unionByName(bare).unionByName(of_blocks), ["board_id"], "data")
 
 
+_HOW = "How does U1 communicate with J1 over VBAT?"
+
+
+@query(f"""with {_NP}, {_I}, {_P}, {_C}, {_MEMBERS}, {_ANOMALIES}, {_scored_sql('ch', 'chunk_id', _HOW)},
+o as (select board_id, net_name_canonical, min((net_ord, net_id)) as o, arg_max(coalesce(len(pins_raw), 0), (net_ord, net_id)) as pins from n group by 1, 2),
+wn as (select board_id, net_name_canonical from n where net_name_canonical = 'VBAT' union select board_id, net_name_canonical from n where len(list_filter(pins_raw, lambda t: starts_with(upper(t), 'U1-') or starts_with(upper(t), 'J1-'))) > 0),
+have as (select board_id, count(*) as c from wn group by 1), more as (select o.*, row_number() over (partition by o.board_id order by o, net_name_canonical) as rank from o anti join wn using (board_id, net_name_canonical) where {_or("net_name_canonical", search.BREADTH)}),
+ov as (select board_id, block, count(distinct (kind, upper(member))) as k from bm where (kind = 'component' and upper(member) in ('U1', 'J1')) or (kind = 'net' and upper(member) = 'VBAT') group by 1, 2),
+bb as (select board_id, block from (select board_id from n union select board_id from pt), (select unnest(['power_path', 'compute_control', 'io_debug']) as block)),
+ar as (select board_id, anomaly_id, row_number() over (partition by board_id order by anomaly_id, n) as rank from an where upper(refdes) in ('U1', 'J1') or upper(net_name) = 'VBAT'),
+f as (select distinct unnest(datasheet_candidates) as source_file from pt where refdes in ('U1', 'J1')),
+k as (select source_type, chunk_id, score, row_number() over (partition by source_type order by score desc, chunk_id) as rank from sc join ch using (chunk_id) where score > 0.05 and (source_type = 'schematic' or (source_type = 'datasheet' and ((select count(*) from f where source_file is not null) = 0 or source_file in (select source_file from f)))))
+select board_id, kind, source_id, round(score, 6) as score from (select board_id, 'net' as kind, net_name_canonical as source_id, round(2.0 + least(1.5, 0.05 * pins), 4) as score from o semi join wn using (board_id, net_name_canonical)
+union all select more.board_id, 'net', net_name_canonical, round(2.0 + least(1.5, 0.05 * pins), 4) from more left join have on have.board_id = more.board_id where rank <= 14 - coalesce(c, 0)
+union all select board_id, 'component', refdes, 2.0 from pt where refdes in ('U1', 'J1')
+union all select bb.board_id, 'function_block', bb.block, 1.6 + coalesce(k, 0) from bb left join ov on ov.board_id = bb.board_id and ov.block = bb.block
+union all select board_id, 'anomaly', anomaly_id, 2.1 from ar where rank <= 6
+union all select null, source_type, chunk_id, score from k where rank <= case when source_type = 'datasheet' then 8 else 4 end)""")
+def retrieval(s, d):
+    """Evidence of all kinds for one question, on every board."""
+    nets, parts = _nets(s, d), _parts(s, d)
+    got = search.retrieve(nets, parts, knowledge.block_members(nets, parts), knowledge.blocks_of(nets, parts), knowledge.anomalies(_index(s, d), nets), _chunks(s, d), _HOW, ["U1", "J1"], ["VBAT"], "relationship_trace")
+    return got.withColumn("score", F.round("score", 6))
+
+
 # --- questions, obligations, coverage -----------------------------------------------------------------------------------
 
 _INTENT = "case " + " ".join(f"when {_or('lower(text)', terms)} then '{name}'" for name, terms in T.INTENTS.items()) + " else 'system_function' end"
@@ -515,10 +549,11 @@ def explicit_refs(s, d):
     return _documents(s, d).select("doc_id", F.array_join(T.explicit_refs(F.col("text")), ",").alias("refs"))
 
 
-@query(f"select doc_id, {_INTENT} as intent, len({_REFS}) as components, case {_INTENT} " + " ".join(f"when '{k}' then {len(v)}" for k, v in evidence.RELATIONS.items()) + f" end as relations, case when {_INTENT} in ('protocol_debug_validation', 'pin_validation') then 'exact' else 'high' end as minimum_confidence from documents where text is not null")
+@query(f"""select doc_id, {_INTENT} as intent, len({_REFS}) as components, case {_INTENT} """ + " ".join(f"when '{k}' then {len(v)}" for k, v in evidence.RELATIONS.items()) + f""" end as relations, case when {_INTENT} in ('protocol_debug_validation', 'pin_validation') then 'exact' else 'high' end as minimum_confidence,
+case when {_INTENT} in ('protocol_debug_validation', 'system_function') then 2 else 0 end as negative_checks, 'DSN,schematic,datasheet,BOM,inference' as sources, case {_INTENT} when 'protocol_debug_validation' then '1V8,GND,RESET,SWDCLK,SWDIO' else '' end as nets from documents where text is not null""")
 def obligations(s, d):
     got = _documents(s, d).select("doc_id", evidence.obligations(F.col("text")).alias("o"))
-    return got.select("doc_id", "o.intent", F.size("o.components").cast("long").alias("components"), F.size("o.relations").alias("relations"), "o.minimum_confidence")
+    return got.select("doc_id", "o.intent", F.size("o.components").cast("long").alias("components"), F.size("o.relations").alias("relations"), "o.minimum_confidence", F.size("o.negative_checks").alias("negative_checks"), F.array_join("o.acceptable_sources", ",").alias("sources"), F.array_join("o.nets", ",").alias("nets"))
 
 
 @query(f"""with {_N}, {_I}, b as (select board_id, list_distinct(list(net_name_canonical)) as found from n group by 1), m as (select board_id, list_filter(['1V8', 'GND', 'RESET', 'SWDCLK', 'SWDIO'], lambda x: not list_contains(found, x)) as mn, list_concat(list_filter(['SWDIO', 'SWDCLK', 'RESET', 'GND'], lambda x: not list_contains(found, x)), case when len(list_filter(found, lambda x: starts_with(x, '1V8') or starts_with(x, 'VDD'))) = 0 then ['p'] else [] end) as mr from b)

@@ -19,5 +19,6 @@ TABLES = {
     "graph_edges": "board_id string, net_ord long, net_id long, pin_ord int, edge_no int, src string, dst string, type string",
     "sheet_semantics": "source_file string, page_number int, sheet_hints array<string>, debug boolean, power boolean, sensor boolean, connector boolean",
     "page_images": "source_file string, page_number int, width int, height int, image binary",
+    "protocol_obligations": "protocol string, required_nets array<string>, note string",
     "entity_pages": "net_name string, source_file string, page_number int",
 }

@@ -62,6 +62,32 @@ def component_facts_markdown(facts: DataFrame, pins: DataFrame, most: int = 200)
     return facts.join(table, ["board_id", "refdes"], "left").select("board_id", "refdes", F.concat(head, F.coalesce(F.array_join("rows", "\n"), F.lit(""))).alias("markdown"))
 
 
+def image_manifest(images: DataFrame) -> dict:
+    """How many pages are drawn, and which, without their bytes."""
+    rows = [r.asDict() for r in images.select("source_file", "page_number", "width", "height").orderBy("source_file", "page_number").toLocalIterator()]
+    return {"page_count": len(rows), "images": rows}
+
+
+def write_markdown(sheets: DataFrame, folder: str) -> dict:
+    """One file for each datasheet of a project (source_file, markdown), one at a time, and a manifest of them beside."""
+    at, items = Path(folder), []
+    at.mkdir(parents=True, exist_ok=True)
+    for r in sheets.orderBy("source_file").toLocalIterator():
+        path = at / f"{Path(r['source_file']).stem}.md"
+        path.write_text(r["markdown"])
+        items.append({"pdf_name": r["source_file"], "markdown_path": str(path)})
+    write_json({"items": items}, str(at / "manifest.json"))
+    return {"items": items}
+
+
+def write_lines(rows: DataFrame, order: list[str], column: str, path: str) -> None:
+    """A document of rows in order, row by row."""
+    Path(path).parent.mkdir(parents=True, exist_ok=True)
+    with open(path, "w", encoding="utf-8") as f:
+        for r in rows.orderBy(*order).select(column).toLocalIterator():
+            f.write(r[0] + "\n")
+
+
 def answer_path(folder: str, now: datetime | None = None) -> str:
     return f"{folder}/response_{(now or datetime.now()):%Y%m%d_%H%M%S}.md"
 

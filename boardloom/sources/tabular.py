@@ -20,13 +20,13 @@ def split_designators(c: F.Column) -> F.Column:
     return F.filter(F.transform(F.split(c, ","), T.stripped_line), lambda x: x != "")
 
 
-def read_bom(spark: SparkSession, path: str) -> DataFrame:
-    """Lines with a designator, in order, fields trimmed, designators cut at commas. A line shorter than the header has
+def read_bom(spark: SparkSession, path: str, need: tuple[str, ...] = ("Designator",)) -> DataFrame:
+    """Lines with a designator (a file without one of the columns `need` is an error), in order, fields trimmed, designators cut at commas. A line shorter than the header has
     empty fields; header names are matched without letter case; the file's name names the board."""
     # enforceSchema=False would fail on reordered headers: columns are taken by name instead
     df = spark.read.csv(path, header=True, multiLine=True, escape='"', inferSchema=False)
     low = {c.strip().lstrip("﻿").lower(): c for c in df.columns}
-    missing = [c for c in ("Designator",) if c.lower() not in low]
+    missing = [c for c in need if c.lower() not in low]
     if missing:
         raise ValueError(f"no column {missing} in {path}")
     take = [T.stripped_line(F.coalesce(F.col(f"`{low[c.lower()]}`"), F.lit(""))).alias(n) if c.lower() in low else F.lit("").alias(n) for c, n in BOM_COLUMNS.items()]
@@ -108,3 +108,12 @@ def required(*paths: str) -> None:
     gone = [p for p in paths if not Path(p).exists()]
     if gone:
         raise FileNotFoundError(f"missing inputs: {', '.join(gone)}")
+
+
+def default_inputs(folder: str) -> dict[str, str]:
+    """The four inputs of a folder by their endings: one *.dsn, one *.csv, one file that starts with `schematic`, and `datasheets`."""
+    at = Path(folder)
+    one = lambda pattern: next(iter(sorted(map(str, at.glob(pattern)))), str(at / pattern))
+    found = {"netlist": one("*.dsn"), "bom": one("*.csv"), "schematic": one("schematic*"), "datasheets": str(at / "datasheets")}
+    required(*found.values())
+    return found

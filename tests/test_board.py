@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from boardloom import api
+from boardloom import api, run, sinks
 from boardloom.catalog import Catalog
 from boardloom.functions import text as T
 from boardloom.operators import connect, desk, evidence, knowledge, neighborhood, texts
@@ -140,27 +140,111 @@ def test_tools(project):
     assert api.TOOLS["get_connectivity_anomalies"](cat, "HIGH", "u3").count() == 1
 
 
-def test_packet(project):
+def test_packet(project, tmp_path):
     cat, _ = project
-    p = api.ask(cat, "Is the SWD programming header of U3 wired correctly?")
+    said = []
+    p = run.ask(cat, "Is the SWD programming header of U3 wired correctly?", folder=str(tmp_path / "qa"), answer=lambda x: x[0]["content"][0]["text"][:20], progress=said.append)
     assert p["intent"] == "protocol_debug_validation" and p["stop_reason"] == "coverage_incomplete" and "SWDCLK" not in {n["data"] for n in p["evidence"]}
-    assert p["evidence"] and p["evidence"][0]["source_priority"] == "DSN" and p["missing_obligations"]["nets"] == []
+    assert p["evidence"] and p["evidence"][0]["source_priority"] == "DSN" and p["missing_obligations"]["nets"] == ["SWDCLK"] and "obligation_coverage_incomplete" in p["open_uncertainties"]
+    assert "U3" in p["obligations"]["components"] and p["obligations"]["negative_checks"] and p["schematic_image_count"] > 0 and set(p["evidence_diversity_metrics"]) == {"distinct_nets", "distinct_components", "distinct_blocks"}
     assert "Evidence:" in evidence.prompt(p) and json.dumps(p, default=str)
-    bad = api.Run(cat).execute("get_net", net_name="NOPE")
-    assert bad["error"]["type"] == "KeyError"
-    assert api.validate(cat, [{"id": "q", "question": "Which pins are on SWDIO?", "expected_focus": ["power"]}])["questions"] == 1
+    files = {f.name for f in (tmp_path / "qa").iterdir()}
+    assert files >= {"agent_evidence_packet.json", "agent_prompt.txt", "coverage_report.json", "obligations.json", "agent_trace.json", "agent_tool_calls.jsonl", "agent_answer.txt"} and any(f.startswith("response_") for f in files)
+    assert len((tmp_path / "qa" / "agent_tool_calls.jsonl").read_text().splitlines()) == p["agent_trace"]["tool_call_count"] and said[0].startswith("question") and said[-1].startswith("finished")
+    bad = run.Run(cat).execute("get_net", net_name="NOPE")
+    assert bad["error"]["type"] == "KeyError" and run.Run(cat).execute("get_net", nothing=1)["error"]["type"] == "TypeError"
+
+
+def test_linked_entities(project):
+    cat, _ = project
+    got = run.link(cat, r"Does u3 drive R\E\S\E\T\ or swdio, and what is X99?")
+    assert got["refdes"] == ["U3"] and got["nets"] == ["RESET", "SWDIO"] and "X99" in got["symbols"]
+
+
+def test_model_plan(project):
+    cat, _ = project
+
+    def model(messages, tools):
+        assert {"finalize_evidence", "get_net"} <= {t["name"] for t in tools}
+        done = sum(m["role"] == "tool" for m in messages)
+        return [{"name": "get_net_members", "arguments": '{"net_name": "SWDIO"}', "id": "a"}, {"name": "finalize_evidence", "arguments": {"reason": "x"}, "id": "b"}] if done < 20 else []
+
+    p = run.ask(cat, "What is on the RESET path?", run.Limits(iterations=3, tool_calls=5), run.model_plan(model))
+    assert p["stop_reason"] == "coverage_satisfied_finalize" and len(p["tool_decision_trace"]) == 2
+    p = run.ask(cat, "Is the SWD header right?", run.Limits(iterations=3, tool_calls=5), run.model_plan(model))
+    assert p["stop_reason"] == "coverage_incomplete" and len(p["tool_decision_trace"]) == 5  # the gate holds, the limit ends it
+
+
+def test_retrieval(project):
+    cat, _ = project
+    got = run.retrieve(cat, "How does U3 communicate over SWDIO with U6?")
+    assert got["intent"] == "protocol_debug_validation" and [r["source_id"] for r in got["component_evidence"]] == ["U3", "U6"] and "SWDIO" in {r["source_id"] for r in got["net_evidence"]}
+    assert got["anomaly_evidence"] and got["datasheet_evidence"] and all(r["score"] > 0.05 for r in got["datasheet_evidence"])
+    run_ = run.Run.of(cat, "Is the SWD header of U3 right?")
+    run_.execute("get_net_members", net_name="SWDIO")
+    assert {"SWDIO", "MOD1", "P3", "U3"} <= set(run_.terms())
+
+
+def test_suites(project):
+    cat, _ = project
+    got = run.validate(cat, {"board": [{"id": "a", "question": "Which pins are on SWDIO?", "expected_focus": ["swdio"]}, {"id": "b", "question": "What about X99?", "expected_focus": ["nothere"]}], "other": [{"id": "c", "question": "Which pins are on SWDIO?", "expected_focus": ["zzz"]}]})
+    assert got["totals"] == {"total": 3, "passed_heuristic": 1, "failed_heuristic": 2, "coverage_passed": got["totals"]["coverage_passed"], "coverage_failed": 3 - got["totals"]["coverage_passed"]}
+    assert got["board"]["passed_heuristic"] == 1 and got["other"]["total"] == 1 and 0 <= got["board"]["image_attachment_precision_proxy"] <= 1 and len(got["runs"]) == 3
+
+
+def test_server(project):
+    import io
+
+    from boardloom import server
+
+    cat, _ = project
+    tools = server.reply(cat, {"id": 1, "method": "tools/list"})["result"]["tools"]
+    assert len(tools) == 26 and next(t for t in tools if t["name"] == "get_pin_net")["inputSchema"]["required"] == ["refdes", "pin"]
+    packet = server.call(cat, "build_evidence_packet", {"question": "What is on the RESET path?"})
+    assert packet["evidence"] and "RESET" in server.call(cat, "render_prompt_from_evidence_packet", {"packet": packet})["prompt"] and server.call(cat, "build_evidence_packet", {})["error"]["type"] == "TypeError"
+    bundle = server.call(cat, "get_component_context_bundle", {"refdes": "U3"})
+    assert bundle["component"][0]["refdes"] == "U3" and bundle["pins"] and json.dumps(bundle)
+    to = io.StringIO()
+    asked = [{"id": 1, "method": "initialize"}, {"method": "notifications/initialized"}, {"id": 2, "method": "tools/call", "params": {"name": "get_pin_net", "arguments": {"refdes": "U3", "pin": "8"}}}, {"id": 3, "method": "tools/call", "params": {"name": "nope"}}, {"id": 4, "method": "what"}]
+    server.serve(cat, io.StringIO("\n".join(map(json.dumps, asked)) + "\n{"), to)
+    got = [json.loads(x) for x in to.getvalue().splitlines()]
+    assert [g.get("id") for g in got] == [1, 2, 3, 4, None] and "RESET" in got[1]["result"]["content"][0]["text"] and "error" in got[2] and got[4]["error"]["code"] == -32700
+
+
+def test_command_line(project, tmp_path, capsys):
+    from boardloom import __main__ as cli
+
+    cat, _ = project
+    with pytest.raises(SystemExit):
+        cli.main(["ingest", "--root", str(tmp_path), "--netlist", "x.dsn"])  # all inputs or none
+    with pytest.raises(FileNotFoundError):
+        cli.main(["ingest", "--root", str(tmp_path)])
+    assert cli.main(["ask", "--root", cat.root, "--mode", "auto", "--quiet", "what about the weather"]) == 0
+    got = json.loads(capsys.readouterr().out)
+    assert got["route"] == "irrelevant_general" and got["mode_selected"] == "auto" and got["mode"] == "general"
+    assert cli.main(["tool", "--root", cat.root, "get_pin_net", "--json", '{"refdes": "U3", "pin": "8"}']) == 0 and "RESET" in capsys.readouterr().out
+
+
+def test_documents(project):
+    cat, _ = project
+    from pathlib import Path
+
+    root = Path(cat.root)
+    assert (root / "bom_overview.md").read_text().startswith("# Bill of Materials Overview\n\n| Designators") and "power_path" in (root / "circuit_summary.md").read_text()
+    items = json.loads((root / "datasheets" / "manifest.json").read_text())["items"]
+    assert items and Path(items[0]["markdown_path"]).read_text().startswith("# Datasheet: ") and json.loads((root / "schematic_page_images.json").read_text())["page_count"] == 0
+    assert set(api.TOOLS["list_project_summary"](cat)) == set(api.SUMMARY) and len(api.SUMMARY) == 14
 
 
 def test_ways(project, tmp_path):
     cat, _ = project
-    assert api.route(cat, "what about the weather")["route"] == "irrelevant_general" and api.route(cat, "x", "precision") == {"route": "precision", "confidence": "forced"}
-    got = api.answer_generally(cat, "tell me about it", model=lambda q, c: f"{q} {len(c) > 0}")
-    assert got["answer"] == "tell me about it True" and "board" in api.answer_generally(cat, "the weather")["answer"]
+    assert run.route(cat, "what about the weather")["route"] == "irrelevant_general" and run.route(cat, "x", "precision")["confidence"] == "forced"
+    assert run.route(cat, "x", model=lambda q: {"route": "precision"})["model_used"] == "model" and run.route(cat, "x", model=lambda q: {"route": "odd"})["model_used"] == "heuristic"
+    got = run.answer_generally(cat, "tell me about it", model=lambda q, c: f"{q} {len(c) > 0}")
+    assert got["answer"] == "tell me about it True" and "board" in run.answer_generally(cat, "the weather")["answer"]
     assert api.TOOLS["get_circuit_summary"](cat).filter("section = 1").count() == 3
     with pytest.raises(KeyError):
         api.TOOLS["get_schematic_page_image"](cat, 1)
-    from boardloom import sinks
-
     assert sinks.write_answer("x", str(tmp_path)).endswith(".md")
     images = tabular.page_images(cat.spark, str(cat.root) + "/../in", lambda b: [(2, 3, b"png")], "*.txt").collect()
     assert [(r["page_number"], r["width"], bytes(r["image"])) for r in images] == [(1, 2, b"png")]
@@ -199,7 +283,45 @@ def test_containment_against_nested_loop(spark):
     assert got == {(x, y) for x in a for y in b if x in y or y in x}
 
 
+def test_enrichment(spark, tmp_path):
+    from boardloom import enrich
+    from boardloom.schemas import TABLES
+
+    cat = Catalog(spark, str(tmp_path))
+    sinks.write_table(spark.createDataFrame([("b", "U1", "P", "M", "s.pdf", "", False)], TABLES["component_facts"]), cat.root, "component_facts")
+    sinks.write_table(spark.createDataFrame([("s.pdf", "x " * 30_000)], TABLES["datasheet_markdown"]), cat.root, "datasheet_markdown")
+    calls = []
+
+    def model(kind, context):
+        calls.append(kind)
+        return {"blocks": {"blocks": [{"block": "radio", "nets": ["ANT"]}, "odd"]}, "protocols": {"protocols": [{"protocol": "swd", "required_nets": ["SWDIO"]}]}, "facts": {"part_description": "A part.", "pins": [{"pin_name": "1"}] if calls.count("facts") > 1 else []}}[kind]
+
+    assert enrich.enrich(cat, None) == {} and enrich.enrich(cat, model) == {"blocks": 1, "protocols": 1, "facts": 2}
+    assert calls.count("facts") == 2 and cat.table("function_blocks").first()["nets"] == ["ANT"] and cat.table("component_pin_functions").first()["pin_name"] == "1" and cat.table("component_facts").count() == 2
+    assert enrich.facts(Catalog(spark, str(tmp_path)), lambda k, c: calls.append("w") or {}, windows=3) == 0 and calls.count("w") == 3
+
+
+def test_markdown_and_headings(spark):
+    df = spark.createDataFrame([("f", 1, "1 START\nbody\n\nTABLE X\nmore"), ("f", 2, None), ("f", 3, "  ")], "f string, p int, t string")
+    assert [(r["line_no"], r["heading"], r["offset"]) for r in texts.heading_lines(df, ["f", "p"], "t").orderBy("line_no").collect()] == [(0, "1 START", 0), (3, "TABLE X", 14)]
+    assert texts.datasheet_markdown(df, "f", "p", "t").first()["markdown"] == "# Datasheet: f\n\n## Page 1\n\n1 START\nbody\n\nTABLE X\nmore\n\n## Page 2\n\n_No extractable text on this page._\n\n## Page 3\n\n_No extractable text on this page._\n"
+    assert [r["window_text"] for r in texts.windows(spark.createDataFrame([("  abcdefgh \n",), (" ",), (None,)], "t string"), [], "t", size=4, overlap=0.5).orderBy("start").collect()] == ["abcd", "cdef", "efgh", "gh"]
+    hints = spark.createDataFrame([("Top-A_1.SchDoc x",), ("-- 2  of 9--",), ("no",)], "t string").select(T.sheet_hint(F.col("t")))
+    assert [r[0] for r in hints.collect()] == ["A_1.SchDoc", "-- 2  of 9--", "unknown_sheet"]
+
+
+def test_names_in_pages(spark):
+    names = spark.createDataFrame([("AB",), ("X Y",), ("Q",), ("NOPE",), ("",)], "n string")
+    pages = spark.createDataFrame([(1, "xab-1 z"), (2, "x y q"), (3, None), (4, "x z y"), (5, "AB"), (6, "")], "page int, t string")
+    got = {tuple(r) for r in knowledge.entity_pages(names, "n", pages, ["page"], "t").select("n", "page").collect()}
+    assert got == {("AB", 1), ("AB", 5), ("X Y", 2), ("Q", 2)}
+
+
 def test_desk(spark):
+    c = spark.createDataFrame([(1, "t1", "s1", 5), (2, "t2", None, 7), (3, "t3", "s3", 9)], "k int, t string, s string, u int")
+    assert [r["line"] for r in desk.carried_lines(c, 3, "k", "t", "s", "u").collect()] == ["t2: ", "t1: s1"]
+    f = spark.createDataFrame([("response_20240102_030405.md",), ("x.md",), ("response_20250102_030405.md",)], "n string")
+    assert [r["n"] for r in desk.response_files(f, "n").collect()] == ["response_20250102_030405.md", "response_20240102_030405.md"]
     m = desk.map_datasheets(spark.createDataFrame([("AB-1",), ("C/2",), ("D3X",), ("none",)], "p string"), "p", spark.createDataFrame([("ab-1",), ("c2",), ("d3xy",), ("d3xz",)], "s string"), "s")
     assert {r["p"]: (r["s"], r["how"]) for r in m.collect()} == {"AB-1": ("ab-1", "exact"), "C/2": ("c2", "normalized"), "D3X": ("d3xy", "fuzzy"), "none": (None, "unmatched")}
     old, new = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string"), spark.createDataFrame([(2, "c"), (3, "d")], "k int, v string")
