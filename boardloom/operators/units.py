@@ -202,7 +202,8 @@ def read(df: DataFrame, row_id: str, designator: str, value: str, specification:
             for i, d, v, s, src in zip(b["_id"], b["_d"], b["_v"], b["_s"], b["_src"]):
                 kind, found = kind_of(d), [("value", *m) for m in measures(v, kelvin=False)]
                 given = next((f for f in found if f[1] == MISSING.get(kind, ("",))[0]), None)
-                n = None if given else bare(v)
+                # where no convention tells what the number should be, a measure that is written is what it is
+                n = None if given or (found and kind not in MISSING) else bare(v)
                 if n:
                     c = by_convention(kind, n[1], s)
                     shown = c[2] if c and c[2] in _UNITS else None
@@ -228,21 +229,23 @@ def _none() -> F.Column:
 
 
 def fit(parsed: DataFrame, rows: int = FIT_ROWS):
-    """(forest, isotonic model of how often its vote is right, share right and rows of the third held out), of at most `rows`
-    labelled rows; None where there are not labels enough."""
+    """(forest, isotonic model of how often its vote is right, share right and rows of the third held out, the units that its
+    classes are), of at most `rows` labelled rows; None where there are not labels enough."""
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.functions import array_to_vector, vector_to_array
     from pyspark.ml.regression import IsotonicRegression
 
     known = parsed.filter(F.col("features").isNotNull() & F.col("label").isNotNull()).select("_id", "label", F.coalesce("shown", "features").alias("features"))
     sample = known.orderBy(F.xxhash64("_id"), "_id").limit(rows)
-    got = sample.withColumn("_y", F.array_position(F.array(*map(F.lit, _UNITS)), F.col("label")).cast("double") - 1).withColumn("_x", array_to_vector(F.coalesce("features", _none())))
+    got = sample.withColumn("_x", array_to_vector(F.coalesce("features", _none())))
     part = F.pmod(F.xxhash64(F.lit("held out"), "_id"), F.lit(3))
-    got = got.coalesce(8).cache()  # `rows` rows at most
+    got = got.cache()  # `rows` rows at most
     try:
-        if got.filter(part > 0).select("_y").distinct().limit(2).count() < 2:
+        units = sorted(r["label"] for r in got.filter(part > 0).select("label").distinct().collect())  # of _UNITS
+        if len(units) < 2:
             return None
-        forest = RandomForestClassifier(featuresCol="_x", labelCol="_y", numTrees=20, maxDepth=10, maxBins=64, featureSubsetStrategy="0.6", subsamplingRate=0.9, seed=7, probabilityCol="_p", predictionCol="_g", rawPredictionCol="_raw").fit(got.filter(part > 0))
+        got = got.withColumn("_y", F.array_position(F.array(*map(F.lit, units)), F.col("label")).cast("double") - 1)
+        forest = RandomForestClassifier(featuresCol="_x", labelCol="_y", numTrees=20, maxDepth=12, maxBins=64, featureSubsetStrategy="0.7", subsamplingRate=0.9, seed=7, probabilityCol="_p", predictionCol="_g", rawPredictionCol="_raw").fit(got.filter((part > 0) & (F.col("_y") >= 0)))
         held = forest.transform(got.filter(part == 0)).select((F.col("_g") == F.col("_y")).cast("double").alias("ok"), F.array_max(vector_to_array("_p")).alias("vote"))
         share, n = held.agg(F.avg("ok"), F.count("*")).first()
         if not n:
@@ -250,7 +253,7 @@ def fit(parsed: DataFrame, rows: int = FIT_ROWS):
         isotonic = IsotonicRegression(featuresCol="vote", labelCol="ok", predictionCol="_conf").fit(held)
     finally:
         got.unpersist()
-    return forest, isotonic, share, n
+    return forest, isotonic, share, n, units
 
 
 def convert(df: DataFrame, row_id: str, designator: str, value: str, specification: str, fit_rows: int = FIT_ROWS, source: str | None = None) -> DataFrame:
@@ -269,7 +272,7 @@ def convert(df: DataFrame, row_id: str, designator: str, value: str, specificati
         from pyspark.ml.functions import array_to_vector, vector_to_array
 
         got = model[0].transform(lone.withColumn("_x", array_to_vector(F.coalesce("features", _none())))).withColumn("vote", F.array_max(vector_to_array("_p")))
-        lone = model[1].transform(got).withColumn("_unit", F.element_at(F.array(*map(F.lit, _UNITS)), F.col("_g").cast("int") + 1))
+        lone = model[1].transform(got).withColumn("_unit", F.element_at(F.array(*map(F.lit, model[4])), F.col("_g").cast("int") + 1))
     ratio = F.split("number", "/")
     factor = F.element_at(F.create_map(*[F.lit(x) for p, e in PREFIX.items() for q in COMMON for x in (p + q, 10.0 ** (e - COMMON[q]))]), F.col("_unit"))
     guessed = F.floor(ratio[0].cast("double") / ratio[1].cast("double") * factor + 0.5).cast("long")

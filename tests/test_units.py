@@ -61,6 +61,6 @@ def test_forest_decides(spark, monkeypatch):
 def test_forest_on_held_out_rows(spark):
     rows = [(i, f"{'RCLY'[i % 4]}{i}", ["{}kohm", "{}nF", "{}uH", "{}MHz"][i % 4].format(i % 95 + 1), "") for i in range(1200)]
     parsed = units.read(spark.createDataFrame(rows, "id long, d string, v string, s string"), "id", "d", "v", "s")
-    forest, isotonic, share, n = units.fit(parsed)
+    forest, isotonic, share, n, classes = units.fit(parsed)
     steps = isotonic.predictions.toArray().tolist()
-    assert share > 0.85 and 300 < n < 500 and steps == sorted(steps) and steps[-1] > 0.9
+    assert set(classes) == {"kresistance", "ncapacitance", "uinductance", "Mfrequency"} and share > 0.85 and 300 < n < 500 and steps == sorted(steps) and steps[-1] > 0.9
