@@ -2,7 +2,7 @@
 
 The reference list becomes a symmetric-delete dictionary: every key with up to EDITS characters taken out of its first PREFIX
 points to its entries, so all entries within a bounded edit distance are found by look-up (`allowed`: none for short keys,
-one, two for long ones). They are ranked by a weighted Damerau-Levenshtein distance (look-alike characters and swaps cost
+one, two for long ones and only where no key is one away). They are ranked by a weighted Damerau-Levenshtein distance (look-alike characters and swaps cost
 less), then by how often the entry occurs, as written, in the table itself, then by key. Where members of a family differ
 in one character, that character decides: a value that differs from an entry just there names another part, not that one.
 
@@ -65,6 +65,11 @@ def deletes(key: str, edits: int = EDITS, prefix: int = PREFIX) -> set[str]:
     return out
 
 
+def found_by(key: str) -> set[str]:
+    """All that a key is found by: within one edit of the whole, within two by its beginning (the latter holds the former)."""
+    return deletes(key)
+
+
 _ALIKE = {frozenset(p) for p in ("0O", "1I", "1L", "5S", "8B", "2Z", "IL", "0D", "6G", "UV", "0Q", "OQ")}
 
 
@@ -93,17 +98,28 @@ class Dictionary:
 
     def __init__(self):
         self.ids: dict[str, set[int]] = defaultdict(set)
+        #: keys by what is left with one character out, and by their beginning with EDITS characters out
+        self.one: dict[str, list[str]] = defaultdict(list)
         self.near: dict[str, list[str]] = defaultdict(list)
 
     def add(self, key: str, ref_id: int) -> None:
         if key not in self.ids:
+            for d in deletes(key, 1, len(key)):
+                self.one[d].append(key)
             for d in deletes(key):
                 self.near[d].append(key)
         self.ids[key].add(ref_id)
 
     def find(self, key: str) -> list[tuple[float, str]]:
-        """(distance, key) of the keys within the edits allowed, nearest first."""
-        got = {k for d in deletes(key) for k in self.near.get(d, ())} if allowed(len(key)) else {key} & self.ids.keys()
+        """(distance, key) of the keys within the edits allowed, nearest first; two edits only where no key is one away."""
+        if not allowed(len(key)):
+            return [(0.0, key)] if key in self.ids else []
+        got = {k for d in deletes(key, 1, len(key)) for k in self.one.get(d, ())}
+        if near := sorted((d, k) for k in got if (d := distance(key, k, 1.0)) <= 1.01):
+            return near
+        if allowed(len(key) + EDITS) < EDITS:
+            return []
+        got = {k for d in deletes(key) for k in self.near.get(d, ()) if abs(len(k) - len(key)) <= EDITS}
         return sorted((d, k) for k in got if (d := distance(key, k, EDITS)) <= allowed(max(len(key), len(k))) + 0.01)
 
 
@@ -155,7 +171,7 @@ class Names:
         if not words:
             return set()
         whole = "".join(words)
-        out = {f"bd:{d}" for d in deletes(words[0])} | {f"wd:{d}" for d in deletes(whole)} | {f"b:{_crc(words[0])}"}
+        out = {f"bd:{d}" for d in found_by(words[0])} | {f"wd:{d}" for d in found_by(whole)} | {f"b:{_crc(words[0])}"}
         out |= {key for key, n in _prefix_keys("p", whole) if n >= 5}
         return out | ({f"s:{fold(short)}"} if short else set())
 
@@ -164,8 +180,8 @@ class Names:
         """What a value looks up, all rules together."""
         words = cls.core(value)
         squeezed = "".join(words)
-        out = {f"s:{w}" for w in words} | {f"bd:{d}" for w in words if len(w) > 3 for d in deletes(w)} | {f"wd:{d}" for d in deletes(squeezed)}
-        out |= {f"bd:{d}" for a, b in zip(words, words[1:]) for d in deletes(a + b)} | {key for key, n in _prefix_keys("b", squeezed) if n >= 5}
+        out = {f"s:{w}" for w in words} | {f"bd:{d}" for w in words if len(w) > 3 for d in found_by(w)} | {f"wd:{d}" for d in found_by(squeezed)}
+        out |= {f"bd:{d}" for a, b in zip(words, words[1:]) for d in found_by(a + b)} | {key for key, n in _prefix_keys("b", squeezed) if n >= 5}
         return out | ({f"p:{_crc(squeezed)}"} if len(squeezed) >= 5 else set())
 
     @staticmethod
@@ -275,13 +291,13 @@ class Parts:
     @classmethod
     def entry_keys(cls, number: str) -> set[str]:
         key = cls.squeeze(fold(number))
-        return {f"e:{key}", f"l:{cls.plain(key)}"} | {f"d:{d}" for d in deletes(key)}
+        return {f"e:{key}", f"l:{cls.plain(key)}"} | {f"d:{d}" for d in found_by(key)}
 
     @classmethod
     def asked_keys(cls, value: str) -> tuple[set[str], set[str]]:
         """(keys of parts, keys of the makers whose names may stand before a number)."""
         forms = cls([], {}, _Any()).forms(value)
-        keys = {k for f in forms for k in (f"e:{f}", f"l:{cls.plain(f)}")} | {f"d:{d}" for f in forms if len(f) >= 6 for d in deletes(f)}
+        keys = {k for f in forms for k in (f"e:{f}", f"l:{cls.plain(f)}")} | {f"d:{d}" for f in forms if len(f) >= 6 for d in found_by(f)}
         return keys, {f"b:{_crc(w)}" for w in re.findall(r"[A-Z]{3,}", fold(value))}
 
     @staticmethod

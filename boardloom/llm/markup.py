@@ -32,6 +32,8 @@ from boardloom.tables import spread
 ROLES = ["text", "heading", "list", "code", "formula", "table", "quote", "mark"]
 #: Probability from which on a leaf is markup.
 MARKUP = 0.5
+#: Characters of values whose labels a task keeps, about; what falls out is labelled again.
+MEMO_CHARS = 20_000_000
 
 
 
@@ -51,6 +53,7 @@ DIM = 12 + WORDS_DIM + SIGN_DIM
 _LEAF_WORD = re.compile(r"[^\W\d_]+|\d")
 
 
+@lru_cache(maxsize=4096)
 def _class(c: str) -> int:
     return 0 if not c or c == "\n" else 1 if c.isspace() else 2 if c.isalpha() else 3 if c.isdigit() else 4
 
@@ -94,11 +97,9 @@ class Vectors:
         self.rows = np.zeros((1024, DIM), np.float32)
 
     def ids(self, text: str, cells: bool, seq: list[tuple[int, int, bool, str]]) -> np.ndarray:
-        opens, n = set(starts(text, cells)), len(text)
-        kinds = [_class(text[a - 1] if a else "") for a, _, _, _ in seq]
-        kinds_after = [_class(text[b] if b < n else "") for _, b, _, _ in seq]
+        opens, around = set(starts(text, cells)), f"\n{text}\n"
         # all that a leaf's vector depends on
-        keys = [(text[a:b], sign, path, a in opens, before, after) for (a, b, sign, path), before, after in zip(seq, kinds, kinds_after)]
+        keys = [(text[a:b], sign, path, a in opens, _class(around[a]), _class(around[b + 1])) for a, b, sign, path in seq]
         out = np.empty(len(seq), np.int64)
         for i, key in enumerate(keys):
             k = self.at.get(key)
@@ -361,18 +362,20 @@ def residue(df: DataFrame, row_id: str, fields: dict[str, bool], with_text: bool
     plain, rows = rows.filter(~signs), rows.filter(signs)
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = Vectors()
+        known, done, held = Vectors(), {}, 0
         for b in batches:
-            memo: dict[tuple[str, bool], int] = {}
-            at = [memo.setdefault((t, fields[names[f]]), len(memo)) for t, f in zip(b["_text"], b["_field"])]
-            got = []
-            for (t, c), own in zip(memo, label(list(memo), known=known)):
+            texts = [(t, fields[names[f]]) for t, f in zip(b["_text"], b["_field"])]
+            if held > MEMO_CHARS:
+                done, held = {}, 0
+            new = list({*texts}.difference(done))
+            for (t, c), own in zip(new, label(new, known=known)):
                 _, role, p = own
+                held += len(t) + 100
                 if not len(p) or p.max() < MARKUP:
-                    got.append(([], t) if whole else None)
+                    done[t, c] = ([], t) if whole else None
                 else:
-                    got.append((list(dict.fromkeys(ROLES[r] for r in role.tolist() if ROLES[r] != "mark")), clean(t, c, own) if with_text else None))
-            out = [(i, names[f], *got[k]) for i, f, k in zip(b["_id"], b["_field"], at) if got[k] is not None]
+                    done[t, c] = (list(dict.fromkeys(ROLES[r] for r in role.tolist() if ROLES[r] != "mark")), clean(t, c, own) if with_text else None)
+            out = [(i, names[f], *got) for i, f, x in zip(b["_id"], b["_field"], texts) if (got := done[x]) is not None]
             yield pd.DataFrame(out, columns=["_id", "field", "roles", "clean_text"])
 
     found = spread(rows, "_id", "_field").mapInPandas(work, f"_id {kind}, field string, roles array<string>, clean_text string")
