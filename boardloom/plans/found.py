@@ -91,7 +91,23 @@ found as (
   where key <> '' and t is not null and not exists (
     select 1 from owners o where o.src_table = r.src_table and o.scope = r.scope and o.key = r.key and (o.a is null or o.a <= r.t) and (o.b is null or o.b > r.t)))
 """
+_P5 = r"""
+with c as (select distinct 'bom_lines' as src_table, line_id as row_id, designator as cell from bom_lines union select distinct 'component_index', entry_id, array_to_string(designators, ',') from component_index),
+t as (select src_table, row_id, upper(regexp_replace(regexp_replace(regexp_replace(regexp_replace(cell, '[\r]', chr(10), 'g'), '[–—−‐‑]', '-', 'g'), '[…～]', '~', 'g'),
+  '["''`“”‘’„«»\[\]{}()<>\x{0B}\x{0C}\x{85}\x{A0}\x{1680}\x{2000}-\x{200B}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]', ' ', 'g')) as x from c where cell is not null),
+m as (select src_table, row_id, string_split(regexp_replace(x, '([A-Z]+-?)?([0-9]+)', chr(1) || '\1' || chr(2) || '\2' || chr(3), 'g'), chr(1))[2:] as ps from t),
+p as (select src_table, row_id, unnest(ps) as s, generate_subscripts(ps, 1) as k from m),
+q as (select src_table, row_id, k, split_part(s, chr(2), 1) as l, split_part(split_part(s, chr(2), 2), chr(3), 1) as d, trim(split_part(s, chr(3), 2), ' ' || chr(9) || chr(10)) as sep from p),
+r as (select *, regexp_full_match(sep, '-+|\.{2,}|~+|:+|TO|THRU|THROUGH|BIS') and lead(d) over w is not null as span, coalesce(last_value(nullif(l, '') ignore nulls) over (partition by src_table, row_id order by k), '') as own, lead(l) over w as l2, lead(d) over w as d2 from q window w as (partition by src_table, row_id order by k)),
+s as (select *, coalesce(lag(span) over w, false) as before, coalesce(lead(span) over w, false) as after, coalesce(lag(span, 2) over w, false) as before2 from r window w as (partition by src_table, row_id order by k)),
+u as (select *, span and not before and not after as opens, before and not span and not before2 as closes from s),
+v as (select src_table, row_id, k, 0 as j, own, d::bigint as a, case when opens and (l2 = '' or l2 = own or l2 = own || '-') and own <> '' then d2::bigint else d::bigint end as b, d as first, opens and (l2 = '' or l2 = own or l2 = own || '-') and own <> '' as ran,
+  closes and lag(opens and (l2 = '' or l2 = own or l2 = own || '-') and own <> '') over (partition by src_table, row_id order by k) as done from u),
+e as (select src_table, row_id, k, own, first, ran, unnest(case when a <= b then generate_series(a, b) else list_reverse(generate_series(b, a)) end) as n, unnest(range(1, abs(b - a) + 2)) as j from v where own <> '' and not coalesce(done, false)),
+f as (select src_table, row_id, row_number() over (partition by src_table, row_id order by k, j) as pos, own || case when not ran then first when first like '0%' then lpad(n::text, greatest(length(first), length(n::text))::int, '0') else n::text end as refdes, count(*) over (partition by src_table, row_id) as many from e)
+select src_table, row_id, pos, refdes from f where many >= 2"""
 SQL = {
+    "p5_found": _P5,
     "p2_found": _P2 + "select * from found",
     "p2_report": _P2 + "select src_table, period, count(*) as orphans, count(distinct ref_key) as keys from found group by 1, 2",
 }
