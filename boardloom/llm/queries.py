@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from boardloom.llm import canon, encode, lines, markup, pack, quality, split
@@ -57,6 +57,17 @@ def p6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.split(chunks, "chunk_id", "text", keep=("source_file", "heading_path"))
 
 
+def p6_rebuilt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per chunk the text that its pieces make when overlaps are taken off, and whether all of them keep to limit and overlap."""
+    pieces = p6_pieces(spark, sf_dir)
+    before = F.lag("end").over(Window.partitionBy("chunk_id").orderBy("piece"))
+    own = pieces.withColumn("_before", before).withColumn("_shared", F.coalesce(F.col("_before") - F.col("start"), F.lit(0)))
+    fits = (F.length("piece_text") <= 1800) & ((F.col("piece") == 0) | (F.col("_shared") == F.least(F.lit(250), "_before"))) & (F.length("piece_text") == F.col("end") - F.col("start"))
+    part = F.struct("piece", F.expr("substring(piece_text, cast(_shared as int) + 1)").alias("t"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda x: x["t"]), "")
+    return own.groupBy("chunk_id").agg(F.md5(text).alias("digest"), F.bool_and(fits).alias("fits"))
+
+
 def _residue(spark: SparkSession, sf_dir: str, with_text: bool, whole: bool = False) -> DataFrame:
     rows = table(spark, sf_dir, "component_pin_functions", "pinfn_id", "description", "raw_row")
     return markup.residue(rows, "pinfn_id", {"description": False, "raw_row": True}, with_text, whole)
@@ -102,7 +113,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p10_stats(spark, sf_dir).filter("kind <> 'prose'").select("doc_id", "kind")
 
 
-QUERIES = {"p1_found": p1_found, "p1_clean": p1_clean, "p1_near": p1_near, "p3_found": p3_found, "p3_misses": p3_misses, "p6_found": p6_found, "p6_pieces": p6_pieces, "p7_found": p7_found, "p7_clean": p7_clean, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_fill": p9_fill, "p10_found": p10_found, "p10_stats": p10_stats}
+QUERIES = {"p1_found": p1_found, "p1_clean": p1_clean, "p1_near": p1_near, "p3_found": p3_found, "p3_misses": p3_misses, "p6_found": p6_found, "p6_pieces": p6_pieces, "p6_rebuilt": p6_rebuilt, "p7_found": p7_found, "p7_clean": p7_clean, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_fill": p9_fill, "p10_found": p10_found, "p10_stats": p10_stats}
 
 _KEY = r"regexp_replace(lower(line), '[\s0-9\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]', '', 'g')"
 _OUTER = r"[\s\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
@@ -114,5 +125,6 @@ each as (select source_file, chunk_id, unnest(string_split(text, chr(10))) as li
 keyed as (select source_file, chunk_id, line_no, {_KEY} as k from each where regexp_matches(line, '\\p{{L}}')),
 often as (select source_file, k from keyed join n using (source_file) group by source_file, k, n having count(distinct chunk_id) >= 4 and count(distinct chunk_id) * 4 >= n)
 select distinct chunk_id, line_no from keyed join often using (source_file, k)""",
+    "p6_rebuilt": f"with t as (select distinct chunk_id, regexp_replace(text, '^{_OUTER}+|{_OUTER}+$', '', 'g') as t from pdf_chunks where text is not null and chunk_id is not null) select chunk_id, md5(t) as digest, true as fits from t where t <> ''",
     "p6_found": f"select distinct chunk_id from pdf_chunks where length(regexp_replace(text, '^{_OUTER}+|{_OUTER}+$', '', 'g')) > 1800",
 }
