@@ -114,19 +114,29 @@ def sheet_semantics(chunks: DataFrame) -> DataFrame:
     )
 
 
-def entity_pages(names: DataFrame, name: str, pages: DataFrame, page: list[str], text: str) -> DataFrame:
+def pages_of(names: list[str], name: str, pages: DataFrame, page: list[str], text: str) -> DataFrame:
+    """(name, page...), distinct, for the few names of a question: one scan of the pages."""
+    upper = F.upper(text)
+    held = F.array_compact(F.array(*(F.when(upper.contains(n), F.lit(n)) for n in names))) if names else F.array().cast("array<string>")
+    return pages.select(F.explode(held).alias(name), *page).distinct()
+
+
+def entity_pages(names: DataFrame, name: str, pages: DataFrame, page: list[str], text: str, spaced: bool = True) -> DataFrame:
     """(name, page...), distinct, where the upper-case text of a page holds the name.
 
     A name stands within one word of the text (a stretch without white space), so names are looked up in the distinct words of
     all pages (`connect.held_in`), and these joined back to their pages. A name with white space is looked up by its longest
-    word and then checked against the text."""
+    word and then checked against the text; spaced=False: there are none such (canonical names), and no plan for them."""
     asked = names.select(F.col(name).alias("_n")).filter("_n is not null and trim(_n) <> ''").distinct()
     words = F.filter(F.split("_n", r"\s+"), lambda w: w != "")
     longest = F.try_element_at(F.array_sort(F.transform(words, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), F.lit(1))["w"]
-    asked = asked.withColumn("_w", longest)
+    asked = asked.withColumn("_w", longest if spaced else F.col("_n"))
     upper = F.upper(text)
     on = pages.filter(F.col(text).isNotNull()).select(*page, F.explode(F.array_distinct(F.split(upper, r"\s+"))).alias("_word")).filter("_word <> ''")
-    held = connect.held_in(asked, "_w", on.select("_word").distinct(), "_word").join(asked, "_w").select("_n", "_word", F.col("_n").rlike(r"\s").alias("_check"))
+    met = connect.held_in(asked, "_w", on.select("_word").distinct(), "_word")
+    if not spaced:
+        return on.join(met, "_word").select(F.col("_w").alias(name), *page).distinct()
+    held = met.join(asked, "_w").select("_n", "_word", F.col("_n").rlike(r"\s").alias("_check"))
     hits = on.join(held, "_word").select("_n", *page, "_check").distinct()
     sure = hits.filter("not _check").select("_n", *page)
     maybe = hits.filter("_check").join(pages.select(*page, upper.alias("_t")), page).filter(F.col("_t").contains(F.col("_n"))).select("_n", *page)

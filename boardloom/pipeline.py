@@ -53,7 +53,7 @@ def ingest(spark: SparkSession, root: str, netlist: str, bom: str, schematic: st
     _keep(knowledge.typed_graph(nets, parts, pins), cat, "typed_graph")
     _keep(knowledge.sheet_semantics(chunks), cat, "sheet_semantics")
     drawn = chunks.filter("source_type = 'schematic'").select("source_file", F.col("page_start").alias("page_number"), "text")
-    _keep(knowledge.entity_pages(nets.select(F.col("net_name_canonical").alias("net_name")), "net_name", drawn, ["source_file", "page_number"], "text"), cat, "entity_pages")
+    _keep(knowledge.entity_pages(nets.select(F.col("net_name_canonical").alias("net_name")), "net_name", drawn, ["source_file", "page_number"], "text", spaced=False), cat, "entity_pages")
     images = _keep(tabular.page_images(spark, schematic, render, "*"), cat, "page_images") if render else cat.table("page_images")
     write_json(image_manifest(images), f"{root}/schematic_page_images.json")
     write_markdown(sheets, f"{root}/datasheets")

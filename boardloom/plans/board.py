@@ -188,7 +188,7 @@ def component_facts(s, d):
 @query(f"""with {_C}, nm as (select distinct net_name_canonical as net_name from nets where net_name_canonical <> '') select distinct net_name, source_file, page_start as page_number from nm join ch on source_type = 'schematic' and contains(upper(text), net_name)""")
 def entity_pages(s, d):
     pages = _chunks(s, d).filter("source_type = 'schematic'").select("source_file", F.col("page_start").alias("page_number"), "text")
-    return knowledge.entity_pages(_nets(s, d).select(F.col("net_name_canonical").alias("net_name")), "net_name", pages, ["source_file", "page_number"], "text")
+    return knowledge.entity_pages(_nets(s, d).select(F.col("net_name_canonical").alias("net_name")), "net_name", pages, ["source_file", "page_number"], "text", spaced=False)
 
 
 @query(f"with {_NP} select distinct np.board_id, np.refdes, net_name_canonical from np join (select distinct board_id, upper(trim(refdes)) as refdes from refdes_to_part where starts_with(upper(trim(refdes)), 'U')) q using (board_id, refdes)")
@@ -426,9 +426,8 @@ a as (select source_file, page_number, 2.5 as w from np union all
 select source_file, page_number, round(sum(w) - case when page_number = 1 then 0.4 else 0 end, 4) as score from a group by 1, 2""")
 def page_ranking(s, d):
     chunks = _chunks(s, d).filter("source_type = 'schematic'").withColumn("page_number", F.col("page_start"))
-    names = s.createDataFrame([("SWDIO",), ("RESET",)], "net_name string")
     page = ["source_file", "page_number"]
-    on = knowledge.entity_pages(names, "net_name", chunks, page, "text")
+    on = knowledge.pages_of(["SWDIO", "RESET"], "net_name", chunks, page, "text")
     tagged = knowledge.sheet_semantics(_chunks(s, d)).filter("debug").withColumns({"w": F.lit(1.5), "why": F.lit("sheet_tag:debug")})
     got = search.rank_pages(on, ["SWDIO", "RESET"], chunks, ["SWDIO", "RESET", "CODEC"], tagged, chunks.filter("page_number = 1"), page)
     return got.select(*page, "score")
