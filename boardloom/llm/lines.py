@@ -1,7 +1,7 @@
 """Lines repeated across the documents of one source: found by locality-sensitive hashing, counted exactly, removed.
 
 Numbers, dates and names of each line are masked; lines of five words and more get MinHash values over their five-word
-shingles, in BANDS bands of two (a pair of similarity 0.8 shares a band with probability 0.98), every line also a bucket of
+shingles, in BANDS bands of ROWS (a pair of similarity 0.8 shares a band with probability 0.97, one of 0.4 with 0.28), every line also a bucket of
 its own masked form. Buckets are counted per source, map-side first; those of high document frequency are the clusters of
 repeated lines. The lines in such a cluster, by their bands or their form, as a bit set of fixed size tells, are then counted
 exactly (`found`); those of a cluster that are only near each other are told by `near`.
@@ -32,14 +32,14 @@ from pyspark.sql import functions as F
 
 from boardloom.tables import clear_name, written
 
-WORDS, BANDS, BITS, SIMILAR = 5, 4, 23, 0.8
+WORDS, BANDS, ROWS, BITS, SIMILAR = 5, 5, 3, 23, 0.8
 #: Characters of text that are worked on at a time.
 AT_ONCE = 1_000_000
 
 _rng = np.random.default_rng(11_400_714)
 _T1, _T2 = (_rng.integers(1, 2**63, 256, dtype=np.uint64) * 2 + 1 for _ in range(2))
 _A = _rng.integers(1, 2**63, WORDS, dtype=np.uint64) * 2 + 1
-_MA, _MB = _rng.integers(1, 2**63, 2 * BANDS, dtype=np.uint64) * 2 + 1, _rng.integers(1, 2**63, 2 * BANDS, dtype=np.uint64)
+_MA, _MB = _rng.integers(1, 2**63, ROWS * BANDS, dtype=np.uint64) * 2 + 1, _rng.integers(1, 2**63, ROWS * BANDS, dtype=np.uint64)
 _P1, _P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _SPACES = [chr(c) for c in (0x09, 0x0B, 0x0C, 0x0D, 0x1C, 0x1D, 0x1E, 0x1F, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
 _KEPT, _NO_DIGIT, _GAP = np.ones(256, bool), np.ones(256, bool), np.zeros(256, bool)
@@ -132,9 +132,11 @@ def hash_bands(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     shingle, at = shingle[whole], of[:m][whole]
     if len(shingle):
         starts, who = _stretches(shingle, at)
-        least = [np.minimum.reduceat(_mix(shingle * _MA[j] + _MB[j]), starts) for j in range(2 * BANDS)]
         for b in range(BANDS):
-            bands[who, b] = _mix(least[2 * b] * _P1 + least[2 * b + 1] * _P2 + np.uint64(b + 1))
+            h = np.full(len(who), b + 1, np.uint64)
+            for j in range(b * ROWS, (b + 1) * ROWS):
+                h = _mix(h * _P1 + np.minimum.reduceat(_mix(shingle * _MA[j] + _MB[j]), starts))
+            bands[who, b] = h
         has[who] = True
     return bands, has, shingle, at
 

@@ -154,7 +154,7 @@ def _drifting(n, step, docs):
 
 def test_near_clusters_over_several_buckets(spark):
     """Neighbours are alike, the ends are not, and no bucket holds all of the lines: the union counts."""
-    rows = _drifting(60, 2, 16)
+    rows = _drifting(60, 3, 16)
     ids = lines._buckets([t.split("\n")[0] for _, _, t in rows], np.zeros(16, np.int64), True, False)[4][:, 1:]
     assert all((a == b).any() for a, b in zip(ids, ids[1:])) and np.unique(ids, return_counts=True)[1].max() < 14
     df = spark.createDataFrame(rows + [("s", f"e{i}", None) for i in range(40)], "src string, doc string, text string")  # 56 documents, 14 needed
