@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -295,9 +296,11 @@ class Repeated:
         busy = sets.groupBy("bucket").agg(F.min("set").alias("low"), F.max("set").alias("high")).filter("low < high").select("bucket")
         sets = written(sets.join(busy, "bucket", "left_semi").dropDuplicates(["bucket", "set"]), "line-sets")
         one, two = sets.select("bucket", F.col("set").alias("s1"), F.col("shingles").alias("x")), sets.select("bucket", F.col("set").alias("s2"), F.col("shingles").alias("y"))
-        both = one.join(two, "bucket").filter("s1 < s2").filter(F.least(F.size("x"), F.size("y")) / F.greatest(F.size("x"), F.size("y")) >= SIMILAR)
-        common = F.size(F.array_intersect("x", "y"))
-        alike = both.filter(common / (F.size("x") + F.size("y") - common) >= SIMILAR).select("s1", "s2").distinct()
+        # c / (x + y - c) >= p / q in whole numbers, with the costly c named once
+        p, q = Fraction(str(SIMILAR)).as_integer_ratio()
+        x, y = F.size("x"), F.size("y")
+        both = one.join(two, "bucket").filter("s1 < s2").filter(F.least(x, y) * q >= F.greatest(x, y) * p)
+        alike = both.filter(F.size(F.array_intersect("x", "y")) * (p + q) >= (x + y) * p).select("s1", "s2").distinct()
         forms = each.filter("set is not null").select("set", "form").distinct()
         least = forms.groupBy("set").agg(F.min("form").alias("b"))
         equal = forms.join(least, "set").select(F.col("form").alias("a"), "b")
