@@ -97,7 +97,9 @@ def trace_net_neighborhood(cat: Catalog, seed_nets=(), seed_pins=(), seed_compon
     seeds = [f"net:{known.get(n, n)}" for n in asked]
     # a pin given as PIN:... stays upper case and is no node; others are looked up in upper case
     seeds += [p.upper() if p.upper().startswith("PIN:") else f"pin:{p.upper()}" for p in seed_pins] + [f"component:{c.upper()}" for c in seed_components]
-    return neighborhood.trace(cat.table("graph_edges"), board, seeds, depth, max_nodes)
+    nodes, truncated, edges = neighborhood.trace(cat.table("graph_edges"), board, seeds, depth, max_nodes)
+    log = [(r["src"], r["dst"]) for r in edges.orderBy("place").toLocalIterator()]
+    return {"seed_nodes": seeds, "depth": depth, "max_nodes": max_nodes, "truncated": truncated, "nodes": nodes, "edges": log}
 
 
 @tool

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections import deque
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,27 +28,25 @@ def logged_edges(edges: DataFrame, reached: DataFrame, depth: int) -> DataFrame:
     return edges.join(reached.filter(F.col("hop") < depth).select("board_id", F.col("id").alias("src")), ["board_id", "src"], "left_semi")
 
 
-def trace(edges: DataFrame, board: str, seeds: list[str], depth: int = 1, max_nodes: int = 250) -> dict:
-    """The truncated breadth-first trace of one board, in queue order: at most `max_nodes` nodes, seeds included; edges to
-    nodes beyond are still logged. It needs the order of the edges, so it runs on the driver, over the edges of the nodes
-    it expands alone: at most `max_nodes` nodes are ever asked for."""
+def trace(edges: DataFrame, board: str, seeds: list[str], depth: int = 1, max_nodes: int = 250) -> tuple[list[str], bool, DataFrame]:
+    """(nodes in the order they are met, whether nodes were left out, the edges out of all expanded nodes with their order): the
+    breadth-first trace of one board, at most `max_nodes` nodes, seeds included.
+
+    Level by level: the next nodes are the targets of the level's edges by where they come first. Spark finds those and
+    sends as many as there is room for, and one more that tells whether any is left out; edges stay where they are."""
     own = edges.filter(F.col("board_id") == board)
-    visited, queue, out, truncated = dict.fromkeys(seeds), deque((s, 0) for s in seeds), [], False
-    while queue and queue[0][1] < depth:
-        level = queue[0][1]
-        now = [queue.popleft()[0] for _ in range(sum(1 for _, d in queue if d == level))]
-        rows = own.filter(F.col("src").isin(now)).orderBy("net_ord", "net_id", "pin_ord", "edge_no").select("src", "dst").toLocalIterator()
-        by: dict[str, list[str]] = {}
-        for r in rows:
-            by.setdefault(r["src"], []).append(r["dst"])
-        for node in now:
-            for nxt in by.get(node, []):
-                out.append((node, nxt))
-                if nxt in visited:
-                    continue
-                if len(visited) >= max_nodes:
-                    truncated = True
-                    continue
-                visited[nxt] = None
-                queue.append((nxt, level + 1))
-    return {"seed_nodes": seeds, "depth": depth, "max_nodes": max_nodes, "truncated": truncated, "nodes": list(visited), "edges": out}
+    place = F.struct("_node", "net_ord", "net_id", "pin_ord", "edge_no")
+    met, level, truncated, expanded = list(dict.fromkeys(seeds)), list(dict.fromkeys(seeds)), False, []
+    for _ in range(depth):
+        if not level:
+            break
+        expanded += level
+        asked = own.sparkSession.createDataFrame(list(enumerate(level, len(expanded) - len(level))), "_node long, src string")
+        new = own.join(asked, "src").filter(~F.col("dst").isin(met)).groupBy("dst").agg(F.min(place).alias("_p"))
+        room = max(0, max_nodes - len(met))
+        level = [r["dst"] for r in new.orderBy("_p").limit(room + 1).collect()]
+        truncated |= len(level) > room
+        level = level[:room]
+        met += level
+    nodes = own.sparkSession.createDataFrame(list(enumerate(expanded)), "_node long, src string")
+    return met, truncated, own.join(nodes, "src").select(place.alias("place"), "src", "dst")

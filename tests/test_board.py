@@ -99,6 +99,31 @@ def test_graph(project):
     assert relations["connected_to"] == 16 and relations["domain_net"] == 2
 
 
+def test_trace_against_a_queue(spark):
+    """The trace is that of a queue that takes each edge in turn."""
+    import random
+    from collections import deque
+
+    r = random.Random(4)
+    rows = [("b", k, k, 0, 0, f"n{r.randrange(12)}", f"n{r.randrange(25)}", "t") for k in range(80)] + [("other", 1, 1, 0, 0, "n1", "n99", "t")]
+    edges = spark.createDataFrame(rows, "board_id string, net_ord long, net_id long, pin_ord int, edge_no int, src string, dst string, type string")
+    for depth, most in ((1, 250), (2, 250), (3, 8), (2, 2), (0, 5)):
+        seen, queue, log, cut = ["n1", "n2"], deque([("n1", 0), ("n2", 0)]), [], False
+        while queue:
+            node, d = queue.popleft()
+            for x in rows if d < depth else ():
+                if x[0] == "b" and x[5] == node:
+                    log.append((node, x[6]))
+                    if x[6] not in seen:
+                        if len(seen) < most:
+                            seen.append(x[6])
+                            queue.append((x[6], d + 1))
+                        else:
+                            cut = True
+        nodes, truncated, own = neighborhood.trace(edges, "b", ["n1", "n2"], depth, most)
+        assert (nodes, truncated) == (seen, cut) and [(e["src"], e["dst"]) for e in own.orderBy("place").collect()] == log
+
+
 def test_texts(project):
     cat, _ = project
     facts = _one(cat.table("component_facts"), refdes="U3")
