@@ -22,7 +22,7 @@ repeated rows count once; extra columns never enter.
 
 from __future__ import annotations
 
-import hashlib
+import re
 from collections.abc import Iterator
 from fractions import Fraction
 
@@ -184,18 +184,41 @@ def _place(ids: np.ndarray) -> np.ndarray:
     return ((ids ^ (ids >> np.uint64(41))) & np.uint64(2**BITS - 1)).astype(np.int64)
 
 
-def _sets(source: np.ndarray, shingles: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[list[int | None], list[np.ndarray | None]]:
-    """Per line a hash of its source and its set of shingles, and the set where it comes first; None without shingles."""
-    sets: list[int | None] = []
-    own: list[np.ndarray | None] = []
-    known: set[int] = set()
-    for src, a, b in zip(source.tolist(), low.tolist(), high.tolist()):
-        got = np.unique(shingles[a:b]).view(np.int64) if b > a else None
-        h = None if got is None else int.from_bytes(hashlib.blake2b(got.tobytes(), digest_size=8, key=src.to_bytes(8, "little", signed=True)).digest(), "little", signed=True)
-        sets.append(h)
-        own.append(None if h is None or h in known else got)
-        known.add(h)
-    return sets, own
+def _sets(source: np.ndarray, shingles: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """Per line a hash of its source and its set of shingles, and the set where it comes first; null without shingles."""
+    n, size = len(low), high - low
+    line = np.repeat(np.arange(n), size)
+    each = shingles[np.repeat(low, size) + np.arange(len(line)) - np.repeat(np.cumsum(size) - size, size)]
+    order = np.lexsort((each, line))
+    line, each = line[order], each[order]
+    new = np.ones(len(line), bool)
+    new[1:] = (line[1:] != line[:-1]) | (each[1:] != each[:-1])
+    line, each = line[new], each[new]
+    starts, who = _stretches(each, line)
+    known = np.zeros(n, np.uint64)
+    if len(starts):
+        # order does not matter to a sum; twice mixed, it tells sets apart as well as 64 bits can
+        known[who] = _mix(np.add.reduceat(_mix(each ^ np.uint64(0x5851F42D4C957F2D)), starts) + _mix(source[who].view(np.uint64)))
+    first = np.zeros(n, bool)
+    first[who[np.unique(known[who], return_index=True)[1]]] = True
+    held = first[line]
+    offsets = np.concatenate([[0], np.cumsum(np.bincount(line[held], minlength=n))]).astype(np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(each[held].view(np.int64)), mask=pa.array(~first))
+    return pa.array(known.view(np.int64), mask=size == 0), lists
+
+
+_LATIN = re.compile("[A-Za-z]")
+
+
+def _with_letter(texts: list[str], row: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """Whether each of the given lines (in order of rows) has a letter."""
+    out, at, own = np.zeros(len(row), bool), -1, []
+    for k, (r, n) in enumerate(zip(row.tolist(), number.tolist())):
+        if r != at:
+            at, own = r, texts[r].split("\n")
+        line = own[n - 1]
+        out[k] = _LATIN.search(line) is not None or any(map(str.isalpha, line))
+    return out
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -264,13 +287,12 @@ class Repeated:
                     row, number, k1, k2, ids, mask, shingles, low, high = _buckets(texts, source[first : first + len(texts)], near=True, second=True, whole=near)
                     hit = bits[_place(ids)] & mask
                     at = np.flatnonzero(hit.any(1))
-                    own: dict[int, list[str]] = {}
-                    letter = [any(map(str.isalpha, own.setdefault(r, texts[r].split("\n"))[n - 1])) for r, n in zip(row[at].tolist(), number[at].tolist())]
+                    letter = _with_letter(texts, row[at], number[at])
                     cols = [pa.array(source[first + row[at]]), docs.take(pa.array(first + row[at])), pa.array(number[at]), pa.array(k1[at].view(np.int64)), pa.array(k2[at].view(np.int64)), pa.array(letter, pa.bool_())]
                     if near:
-                        cols.append(pa.array([i[h].tolist() for i, h in zip(ids[at, 1:].view(np.int64), hit[at, 1:])], pa.list_(pa.int64())))
-                        own_sets, own_shingles = _sets(source[first + row[at]], shingles, low[at], high[at])
-                        cols += [pa.array(own_sets, pa.int64()), pa.array(own_shingles, pa.list_(pa.int64()))]
+                        bands = hit[at, 1:]
+                        cols.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(bands.sum(1))]).astype(np.int32)), pa.array(ids[at, 1:][bands].view(np.int64))))
+                        cols += _sets(source[first + row[at]], shingles, low[at], high[at])
                     yield pa.RecordBatch.from_arrays(cols, names=names)
 
         columns = f"_fh long, _doc {kind}, line_no long, k1 long, k2 long, letter boolean" + (", buckets array<long>, set long, shingles array<long>" if near else "")
