@@ -30,16 +30,22 @@ def table_once(spark: SparkSession, sf_dir: str, name: str, key: str, *columns:
 
 
 def _once(spark: SparkSession, path: str, key: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """What `make` gives, made once a session for each state of the files at `path` (their time and length)."""
+    """What `make` gives, made once a session for each state of the files at `path` (their time and length), and again where
+    what was made is gone from the shared folder."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-    state = (path, key, fs.getFileStatus(p).getModificationTime(), fs.getContentSummary(p).getLength())
+    state = (shared_dir(spark), path, key, fs.getFileStatus(p).getModificationTime(), fs.getContentSummary(p).getLength())
     known = spark.__dict__.setdefault("_boardloom_once", {})
-    if state not in known:
+    if state not in known or not all(_there(spark, f) for f in known[state].inputFiles()[:1]):
         known[state] = make()
     return known[state]
 
 
+def _there(spark: SparkSession, file: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(file))
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: the session's spark.checkpoint.dir. Where it is unset, a local session (one machine, as
     in tests) gets a folder of its own; on a cluster that is an error, since no folder of one machine is shared."""

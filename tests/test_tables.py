@@ -25,3 +25,23 @@ def test_names():
 def test_written_survives(spark):
     df = tables.written(spark.range(10).withColumn("x", F.col("id") * 2), "t")
     assert df.count() == 10 and "parquet" in df._jdf.queryExecution().toString().lower()
+
+
+def test_repeats_are_told_once_a_session(spark, tmp_path):
+    """The keys that come again are written once for a state of the table, anew where the table or what was written changes."""
+    import shutil
+
+    from boardloom import tables
+
+    folder = str(tmp_path)
+    write = lambda rows: spark.createDataFrame(rows, "k long, v string").coalesce(1).write.mode("overwrite").parquet(f"{folder}/t.parquet")
+    read = lambda: sorted(map(tuple, tables.table_once(spark, folder, "t", "k", "v").collect()), key=str)
+    made = lambda: [v for k, v in spark.__dict__["_boardloom_once"].items() if k[1] == f"{folder}/t.parquet"]
+    write([(1, "a"), (1, "a"), (2, "b"), (None, "c"), (None, "c")])
+    want = [(1, "a"), (2, "b"), (None, "c"), (None, "c")]
+    assert read() == want and read() == want and len(made()) == 1
+    for f in made()[0].inputFiles():
+        shutil.rmtree(f.removeprefix("file://").rsplit("/", 1)[0], ignore_errors=True)
+    assert read() == want and len(made()) == 1
+    write([(3, "x"), (3, "x"), (3, "x")])
+    assert read() == [(3, "x")] and len(made()) == 2
