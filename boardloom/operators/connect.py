@@ -82,7 +82,8 @@ GRAM = 3
 
 def held_in(needles: DataFrame, needle: str, texts: DataFrame, text: str) -> DataFrame:
     """(needle, text), distinct, where the text holds the needle: an equi-join on the needle's rarest stretch of GRAM characters
-    (itself, where it is shorter), then an exact check. Rows grow with the length of the texts, not with its square."""
+    (itself, where it is shorter), then an exact check. Rows grow with the length of the texts, not with its square. Joins are
+    by sorting: of exploded rows the planner expects as few as there were before, and would send all of them through the driver."""
     a = needles.select(F.col(needle).alias("a")).filter("a <> ''").distinct()
     b = texts.select(F.col(text).alias("b")).filter("b <> ''").distinct()
 
@@ -96,8 +97,8 @@ def held_in(needles: DataFrame, needle: str, texts: DataFrame, text: str) -> Dat
     often = held.groupBy("g").agg(F.count("*").alias("n"))
     own = a.select("a", F.explode(F.when(F.length("a") > GRAM, grams("a", range(GRAM, GRAM + 1))).otherwise(F.array("a"))).alias("g"))
     # a needle with a stretch that no text has is in none
-    rarest = own.join(often, "g", "left").groupBy("a").agg(F.min(F.struct(F.coalesce("n", F.lit(0).cast("long")).alias("n"), "g")).alias("k")).filter("k.n > 0").select("a", F.col("k.g").alias("g"))
-    return held.join(rarest, "g").filter(F.col("b").contains(F.col("a"))).select(F.col("a").alias(needle), F.col("b").alias(text))
+    rarest = own.join(often.hint("merge"), "g", "left").groupBy("a").agg(F.min(F.struct(F.coalesce("n", F.lit(0).cast("long")).alias("n"), "g")).alias("k")).filter("k.n > 0").select("a", F.col("k.g").alias("g"))
+    return held.join(rarest.hint("merge"), "g").filter(F.col("b").contains(F.col("a"))).select(F.col("a").alias(needle), F.col("b").alias(text))
 
 
 def containment(parts: DataFrame, part: str, stems: DataFrame, stem: str) -> DataFrame:

@@ -121,23 +121,34 @@ def pages_of(names: list[str], name: str, pages: DataFrame, page: list[str], tex
     return pages.select(F.explode(held).alias(name), *page).distinct()
 
 
+#: Names of up to NAME characters are looked up whole in stretches of STRETCH characters of a word, of which any NAME characters stand in one.
+NAME, STRETCH = 32, 96
+_STRETCHES = rf"(?=(\S{{1,{STRETCH}}}))\S{{1,{STRETCH - NAME + 1}}}"
+
+
 def entity_pages(names: DataFrame, name: str, pages: DataFrame, page: list[str], text: str, spaced: bool = True) -> DataFrame:
     """(name, page...), distinct, where the upper-case text of a page holds the name.
 
     A name stands within one word of the text (a stretch without white space), so names are looked up in the distinct words of
-    all pages (`connect.held_in`), and these joined back to their pages. A name with white space is looked up by its longest
-    word and then checked against the text; spaced=False: there are none such (canonical names), and no plan for them."""
+    all pages (`connect.held_in`), long words in overlapping stretches (rows of grams grow with a word's length, not with its
+    square), and these joined back to their pages. A name with white space is looked up by its longest word, one of more than
+    NAME characters by as many, and then checked against the text; spaced=False: there are none with white space (canonical
+    names), and only texts with a word of that length are checked. No side of a join goes through the driver: the planner
+    takes exploded rows for as many as there were before."""
     asked = names.select(F.col(name).alias("_n")).filter("_n is not null and trim(_n) <> ''").distinct()
     words = F.filter(F.split("_n", r"\s+"), lambda w: w != "")
     longest = F.try_element_at(F.array_sort(F.transform(words, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), F.lit(1))["w"]
     asked = asked.withColumn("_w", longest if spaced else F.col("_n"))
+    asked = asked.select("_n", F.substring("_w", 1, NAME).alias("_w"), (F.col("_n").rlike(r"\s") | (F.length("_w") > NAME)).alias("_check"))
     upper = F.upper(text)
-    on = pages.filter(F.col(text).isNotNull()).select(*page, F.explode(F.array_distinct(F.split(upper, r"\s+"))).alias("_word")).filter("_word <> ''")
+    on = pages.filter(F.col(text).isNotNull()).select(*page, F.explode(F.array_distinct(F.regexp_extract_all(upper, F.lit(_STRETCHES), F.lit(1)))).alias("_word"))
     met = connect.held_in(asked, "_w", on.select("_word").distinct(), "_word")
-    if not spaced:
-        return on.join(met, "_word").select(F.col("_w").alias(name), *page).distinct()
-    held = met.join(asked, "_w").select("_n", "_word", F.col("_n").rlike(r"\s").alias("_check"))
-    hits = on.join(held, "_word").select("_n", *page, "_check").distinct()
+    held = met.join(asked.hint("merge"), "_w").select("_n", "_word", "_check")
+    hits = on.join(held.hint("merge"), "_word").select("_n", *page, "_check").distinct()
     sure = hits.filter("not _check").select("_n", *page)
-    maybe = hits.filter("_check").join(pages.select(*page, upper.alias("_t")), page).filter(F.col("_t").contains(F.col("_n"))).select("_n", *page)
+    texts = pages.select(*(F.col(c).alias(f"_{i}") for i, c in enumerate(page)), upper.alias("_t"))
+    if not spaced:
+        texts = texts.filter(F.col("_t").rlike(rf"\S{{{NAME + 1}}}"))
+    same = [F.col(c).eqNullSafe(F.col(f"_{i}")) for i, c in enumerate(page)]
+    maybe = hits.filter("_check").join(texts.hint("merge"), [*same, F.col("_t").contains(F.col("_n"))]).select("_n", *page)
     return sure.unionByName(maybe.distinct()).withColumnRenamed("_n", name)

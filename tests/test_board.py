@@ -1,6 +1,7 @@
 """A small synthetic board from files to packet, and the rules that are easy to get wrong."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -342,6 +343,30 @@ def test_names_in_pages(spark):
     assert got == {("AB", 1), ("AB", 5), ("X Y", 2), ("Q", 2)}
 
 
+def _moved(node) -> tuple[int, list[str]]:
+    """Bytes that the exchanges of a plan that ran took, and the names of its nodes."""
+    kids = [node.executedPlan()] if hasattr(node, "executedPlan") and node.nodeName() == "AdaptiveSparkPlan" else [node.plan()] if "QueryStage" in node.nodeName() else [node.children().apply(i) for i in range(node.children().size())]
+    below = [_moved(k) for k in kids]
+    own = node.metrics().apply("dataSize").value() if "Exchange" in node.nodeName() and node.metrics().contains("dataSize") else 0
+    return own + sum(b for b, _ in below), [node.nodeName(), *(n for _, names in below for n in names)]
+
+
+@pytest.mark.parametrize("spaced", [True, False])
+def test_names_in_long_words(spark, spaced):
+    """What moves grows with the length of a word, not with its square, and no side of a join goes through the driver."""
+    word = "".join(random.Random(1).choices("abcdefghijklmnopqrstuvwxyz0123456789", k=20_000))
+    up = word.upper()
+    inside = [up[i : i + n] for i in (0, 1, 63, 64, 65, 66, 7_000, 12_345) for n in (7, 31, 32, 33, 96, 97, 500)] + [up[-n:] for n in (7, 32, 33, 200)] + [up]
+    others = [up[70:102] + "-", up[200:300] + "-", "-" + up[500:540], up[:2_000] + up[2_001:4_000]]
+    names = spark.createDataFrame([(n,) for n in [*inside, *others, "-"]], "n string")
+    pages = spark.createDataFrame([(None, 1, f"a {word} b"), ("f", 2, word[:500] + "\n" + word[500:]), ("f", 3, "a-b"), ("f", None, word[70:102] + "-" + word[200:230])], "f string, page int, t string")
+    texts = [(r["f"], r["page"], r["t"].upper()) for r in pages.collect()]
+    found = knowledge.entity_pages(names, "n", pages, ["f", "page"], "t", spaced=spaced)
+    assert sorted(map(str, map(tuple, found.collect()))) == sorted({str((n, f, p)) for n in [*inside, *others, "-"] for f, p, t in texts if n in t})
+    moved, nodes = _moved(found._jdf.queryExecution().executedPlan())
+    assert 0 < moved < 1_000 * sum(len(t) for _, _, t in texts) and not [n for n in nodes if "Broadcast" in n]
+
+
 def test_desk(spark):
     c = spark.createDataFrame([(1, "t1", "s1", 5), (2, "t2", None, 7), (3, "t3", "s3", 9)], "k int, t string, s string, u int")
     assert [r["line"] for r in desk.carried_lines(c, 3, "k", "t", "s", "u").collect()] == ["t2: ", "t1: s1"]
